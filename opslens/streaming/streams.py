@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from opslens.functions import codes
 from opslens.plans.skew import previous_values
 from opslens.session import ensure_checkpoint_dir
-from opslens.sources.tables import table_path
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """A raw table's Parquet files as a stream (schema taken from the batch
-    table, since streams need a declared schema)."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    reader = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet"))
+                      max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """A raw table's Parquet files in ``sf_dir`` as a stream: ``<name>.parquet``,
+    or every file matching ``glob`` as it arrives. The schema is taken from
+    the first matching file, since streams need a declared schema."""
+    pattern = glob or f"{name}.parquet"
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(sf_dir)
@@ -77,7 +79,7 @@ def metric_window_avg(samples: DataFrame, value_col: str, window: str = "1 hour"
 # --------------------------------------------------- threshold transitions
 
 TRANSITION_SCHEMA = "host string, ts timestamp_ntz, event string, value double"
-STATE_SCHEMA = "open boolean, last_ts timestamp"
+STATE_SCHEMA = "open boolean, last_us long"
 
 
 def _metric(samples: DataFrame, value: str) -> DataFrame:
@@ -99,31 +101,33 @@ def threshold_transitions_batch(samples: DataFrame, value: str, threshold: float
 
 def _transitions_fn(threshold: float):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("ts", kind="stable")
-        was_open = bool(state.get[0]) if state.exists else False
+        # one host's rows of this micro-batch (bounded by the trigger size)
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        was_open, last_us = (bool(state.get[0]), int(state.get[1])) if state.exists else (False, None)
+        us = pdf["ts"].astype("datetime64[us]").astype("int64")
+        if last_us is not None:
+            pdf, us = pdf[us > last_us], us[us > last_us]  # at or before a processed sample: late
+        order = us.argsort(kind="stable")
+        pdf, us = pdf.iloc[order], us.iloc[order]
         above = (pdf["value"] >= threshold).to_numpy()
-        before = [was_open] + list(above[:-1])
-        change = above != pd.Series(before).to_numpy()
+        before = np.concatenate([[was_open], above[:-1]]).astype(bool)
+        change = above != before
         out = pdf.loc[change, ["host", "ts", "value"]].copy()
-        out.insert(2, "event", ["RAISED" if a else "CLEARED" for a in above[change]])
+        out.insert(2, "event", np.where(above[change], "RAISED", "CLEARED"))
         if len(above):
-            state.update((bool(above[-1]), pd.Timestamp(pdf["ts"].iloc[-1]).to_pydatetime()))
+            state.update((bool(above[-1]), int(us.iloc[-1])))
         yield out[["host", "ts", "event", "value"]]
     return fn
 
 
-def threshold_transitions(samples: DataFrame, value: str, threshold: float,
-                          late: str = "10 minutes") -> DataFrame:
+def threshold_transitions(samples: DataFrame, value: str, threshold: float) -> DataFrame:
     """Streaming form of ``threshold_transitions_batch``: the open/closed
-    flag per host is kept in state between micro-batches, so an alert is
-    raised once and cleared once however many batches the samples span.
-    Rows later than the watermark are dropped; within a batch rows are taken
-    in event-time order."""
-    df = (_metric(samples, value)
-          .withColumn("event_time", _zoned("ts"))
-          .withWatermark("event_time", late)
-          .drop("event_time"))
-    return df.groupBy("host").applyInPandasWithState(
+    flag and the time of the last processed sample per host are kept in
+    state between micro-batches, so an alert is raised once and cleared once
+    however many batches the samples span. Within a batch a host's rows are
+    taken in event-time order; a row at or before the host's last processed
+    sample arrived late and is ignored. State is one small row per host."""
+    return _metric(samples, value).groupBy("host").applyInPandasWithState(
         _transitions_fn(threshold), outputStructType=TRANSITION_SCHEMA,
         stateStructType=STATE_SCHEMA, outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout)
