@@ -19,6 +19,7 @@ from opslens.functions import codes
 from opslens.operators import activity, components, database, hosts, requests, storage
 from opslens.operators import findings as fnd
 from opslens.oracle_views import with_views
+from opslens.sources import command_output as co
 from opslens.sources.fixtures import Snapshot
 from opslens.streaming import streams
 
@@ -311,6 +312,14 @@ SQL["m17_server_process_counts"] = "select host, " + ", ".join(
 SQL["m19_logged_on_users"] = r"""select host, regexp_extract(line, '^(\S+)', 1) as user_name,
     count(*) as sessions from who_lines group by host, regexp_extract(line, '^(\S+)', 1)"""
 
+# text parsers: parsing the rendered command output must give back the
+# sample tables, so the oracle is the same report over those tables
+SQL["s4_cpu_usage_from_proc_stat"] = SQL["m02_cpu_usage"]
+SQL["s4_memory_usage_from_free"] = SQL["m03_memory_usage"]
+SQL["f13_filesystem_alerts_from_df"] = SQL["m05_filesystem_alerts"]
+SQL["s3_top_cpu_processes_from_ps"] = SQL["m09_top_cpu_processes"]
+SQL["s3_listening_ports_from_netstat"] = SQL["m14_listening_ports"]
+
 # streaming reports, batch form
 SQL["t1_error_counts_hourly"] = """select date_trunc('hour', originating_timestamp) as window_start,
     date_trunc('hour', originating_timestamp) + interval 1 hour as window_end, count(*) as errors
@@ -447,6 +456,11 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "m16_vmstat_samples": lambda s: hosts.vmstat_samples(s.vmstat_lines),
     "m17_server_process_counts": lambda s: hosts.server_process_counts(s.proc_snapshot),
     "m19_logged_on_users": lambda s: hosts.logged_on_users(s.who_lines),
+    "s4_cpu_usage_from_proc_stat": lambda s: hosts.cpu_usage(co.proc_stat_cpu(s.proc_stat_lines)),
+    "s4_memory_usage_from_free": lambda s: hosts.memory_usage(co.free_memory(s.free_lines)),
+    "f13_filesystem_alerts_from_df": lambda s: hosts.filesystem_alerts(co.df_usage(s.df_lines)),
+    "s3_top_cpu_processes_from_ps": lambda s: hosts.top_processes(co.ps_snapshot(s.ps_lines), "pcpu"),
+    "s3_listening_ports_from_netstat": lambda s: hosts.listening_ports(co.netstat_listeners(s.netstat_lines)),
     "t1_error_counts_hourly": lambda s: streams.error_counts(s.alert_log),
     "t2_memory_window_avg": lambda s: streams.metric_window_avg(_mem_pct(s), "mem_pct"),
     "t3_memory_threshold_transitions": lambda s: streams.threshold_transitions_batch(

@@ -499,3 +499,64 @@ class Snapshot:
                         F.lit("  "), F.date_format("ts", "yyyy-MM-dd HH:mm"))
         return (self.raw("events").where(F.col("event_type") == "view")
                 .select(_host("user_id"), line.alias("line")))
+
+    # Command output rendered from the sample tables, for the text parsers:
+    # parsing these lines must give the sample tables back.
+
+    def _hosts_of(self, df: DataFrame) -> DataFrame:
+        return df.select("host").distinct()
+
+    @cached_property
+    def proc_stat_lines(self) -> DataFrame:
+        """/proc/stat: the aggregate cpu line, one per-core line and an
+        unrelated counter line per sample."""
+        c = self.cpu_samples
+        nums = F.concat_ws(" ", *[_s(x) for x in ("user", "nice", "system", "idle", "iowait", "irq",
+                                                  "softirq", "steal")], F.lit("0"), F.lit("0"))
+        return c.select("host", "ts", F.explode(F.array(
+            F.concat(F.lit("cpu  "), nums), F.concat(F.lit("cpu0 "), nums),
+            F.concat(F.lit("intr "), _s("user")))).alias("line"))
+
+    @cached_property
+    def free_lines(self) -> DataFrame:
+        """`free` output: header, Mem: and Swap: lines per sample."""
+        m = self.mem_samples
+        mem = F.concat(F.lit("Mem:     "), _s("mem_total"), F.lit("  "), _s("mem_used"), F.lit("  "),
+                       _s(F.col("mem_total") - F.col("mem_used")), F.lit("  0  0  0"))
+        swap = F.concat(F.lit("Swap:    "), _s("swap_total"), F.lit("  "), _s("swap_used"), F.lit("  "),
+                        _s(F.col("swap_total") - F.col("swap_used")))
+        head = F.lit("               total        used        free      shared  buff/cache   available")
+        return m.select("host", "ts", F.explode(F.array(head, mem, swap)).alias("line"))
+
+    @cached_property
+    def df_lines(self) -> DataFrame:
+        """`df -H` output: a header per host, then one line per file system."""
+        f = self.fs_usage
+        data = f.select("host", F.concat(F.col("filesystem"), F.lit("   100G   "), _s("use_pct"),
+                                         F.lit("G   "), _s(100 - F.col("use_pct")), F.lit("G   "),
+                                         _s("use_pct"), F.lit("% /mnt/"),
+                                         F.regexp_replace("filesystem", "/", "_")).alias("line"))
+        head = self._hosts_of(f).select(
+            "host", F.lit("Filesystem      Size  Used Avail Use% Mounted on").alias("line"))
+        return data.unionByName(head)
+
+    @cached_property
+    def ps_lines(self) -> DataFrame:
+        """`ps -eo pid,pcpu,pmem,state,thcount,comm` output with a header per host."""
+        p = self.proc_snapshot
+        data = p.select("host", F.concat_ws("  ", _s("pid"), _s("pcpu"), _s("pmem"), F.col("state"),
+                                            _s("thcount"), F.col("comm")).alias("line"))
+        head = self._hosts_of(p).select("host", F.lit("    PID %CPU %MEM S THCNT COMMAND").alias("line"))
+        return data.unionByName(head)
+
+    @cached_property
+    def netstat_lines(self) -> DataFrame:
+        """`netstat -tuln` output with its two header lines per host."""
+        lst = self.listeners
+        data = lst.select("host", F.concat(F.col("proto"), F.lit("        0      0 0.0.0.0:"), _s("port"),
+                                           F.lit("            0.0.0.0:*               LISTEN")).alias("line"))
+        head = self._hosts_of(lst).select("host", F.explode(F.array(
+            F.lit("Active Internet connections (only servers)"),
+            F.lit("Proto Recv-Q Send-Q Local Address           Foreign Address         State"))).alias("line"))
+        return data.unionByName(head)
+
