@@ -88,12 +88,12 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", col_(start), col_(end)) / F.lit(float(MICROS_PER_MINUTE))
 
 
-def oracle_datetime(c: str | Column) -> Column:
+def report_datetime(c: str | Column) -> Column:
     """'DD-MON-YYYY HH24:MI:SS' text, month in capitals (e.g. 02-JAN-2025 03:04:05)."""
     return F.upper(F.date_format(col_(c), "dd-MMM-yyyy HH:mm:ss"))
 
 
-def oracle_datetime_short(c: str | Column) -> Column:
+def report_datetime_short(c: str | Column) -> Column:
     """'DD-MON-YY HH24:MI:SS' text, month in capitals."""
     return F.upper(F.date_format(col_(c), "dd-MMM-yy HH:mm:ss"))
 

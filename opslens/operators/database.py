@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
-from opslens.functions.exprs import oracle_datetime, since
+from opslens.functions.exprs import report_datetime, since
 
 
 def database_details(db_info: DataFrame) -> DataFrame:
@@ -59,8 +59,8 @@ def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
     Columns: session_key, start_time, end_time, status, autobackup_done,
     autobackup_count, input_type, elapsed_seconds."""
     df = backup_jobs.where(F.col("start_time") > since(as_of, days=days))
-    out = df.select("session_key", oracle_datetime("start_time").alias("start_time"),
-                    oracle_datetime("end_time").alias("end_time"), "status", "autobackup_done",
+    out = df.select("session_key", report_datetime("start_time").alias("start_time"),
+                    report_datetime("end_time").alias("end_time"), "status", "autobackup_done",
                     "autobackup_count", "input_type", "elapsed_seconds",
                     F.col("start_time").alias("_t"))
     key = F.col("_t") if order_by_time else F.col("start_time")
@@ -73,7 +73,7 @@ def alert_log_errors(alert_log: DataFrame, as_of, hours: float = 12,
     oldest first. Columns: timestamp (text), message_text."""
     df = alert_log.where((F.col("originating_timestamp") > since(as_of, hours=hours))
                          & F.col("message_text").like(pattern))
-    return (df.select(oracle_datetime("originating_timestamp").alias("timestamp"), "message_text",
+    return (df.select(report_datetime("originating_timestamp").alias("timestamp"), "message_text",
                       "originating_timestamp")
             .orderBy(F.col("originating_timestamp").asc_nulls_last())
             .drop("originating_timestamp"))
@@ -89,7 +89,3 @@ def parameters_like(parameters: DataFrame, token: str) -> DataFrame:
 def redo_members(members: DataFrame) -> DataFrame:
     """Columns: group_no, member."""
     return members.select("group_no", "member")
-
-
-def _lit(c) -> Column:
-    return c if isinstance(c, Column) else F.lit(c)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import codes
 from opslens.functions.exprs import (as_of_lit, decode, decode_or_self, minutes_between,
-                                     oracle_datetime, oracle_datetime_short, parse_as_of, since,
+                                     report_datetime, report_datetime_short, parse_as_of, since,
                                      text_concat)
 from opslens.plans.joins import broadcast_if_small
 
@@ -62,7 +62,7 @@ def long_running_requests(requests: DataFrame, users: DataFrame, responsibilitie
            .join(u, "requested_by"))
     return (df.select(F.col("request_id").alias("requestid"), F.col("user_name").alias("username"),
                       "responsibility_name", F.col("user_program_name").alias("program_name"),
-                      oracle_datetime("actual_start_date").alias("start_datetime"),
+                      report_datetime("actual_start_date").alias("start_datetime"),
                       decode_or_self("status_code", codes.RUNNING_STATUS).alias("status"),
                       "runtime_min", F.col("argument_text").alias("report_arguments"),
                       "program_id")
@@ -137,9 +137,9 @@ def program_runs(requests: DataFrame, programs: DataFrame, users: DataFrame, as_
     return (df.select(
         F.col("request_id").alias("requestid"), F.col("user_program_name").alias("program_name"),
         F.round(minutes_between("actual_start_date", "actual_completion_date"), 2).alias("process_time"),
-        oracle_datetime_short("request_date").alias("requestdate"),
-        oracle_datetime_short("actual_start_date").alias("startdate"),
-        oracle_datetime_short("actual_completion_date").alias("completedate"),
+        report_datetime_short("request_date").alias("requestdate"),
+        report_datetime_short("actual_start_date").alias("startdate"),
+        report_datetime_short("actual_completion_date").alias("completedate"),
         F.col("user_name").alias("username"),
         decode("phase_code", codes.RUN_PHASE, codes.RUN_PHASE_DEFAULT).alias("phasecode"),
         decode("status_code", codes.RUN_STATUS, codes.RUN_STATUS_DEFAULT).alias("statuscode"),

@@ -23,9 +23,22 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # scan splits and post-shuffle partitions sized for executor memory
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
 }
 
 
+def shuffle_partitions_for(input_bytes: int, cores: int,
+                           target_bytes: int = 256 * 1024 * 1024) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for a job reading
+    ``input_bytes``: enough partitions that each holds about ``target_bytes``
+    before AQE coalesces the small ones, and at least two waves of tasks."""
+    return max(2 * cores, -(-input_bytes // target_bytes))
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app_name: str = "opslens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, no servers opened)."""
@@ -54,10 +67,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the configured checkpoint folder; create a scratch one only when
-    none is configured (local runs and tests). On a cluster the setting comes
-    from the cluster and is never overridden here."""
+    none is configured and the master is local (tests, the bench). On a
+    cluster the setting must come from the cluster: a machine-local folder
+    would not survive the loss of the executor or driver that wrote it."""
     d = checkpoint_dir(spark)
     if d is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) "
+                               "before running streams or lineage cuts on a cluster")
         d = tempfile.mkdtemp(prefix="opslens-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

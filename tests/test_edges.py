@@ -154,9 +154,9 @@ def test_backup_order_is_text_order_by_default(spark):
 
 
 def test_month_format(spark):
-    from opslens.functions.exprs import oracle_datetime, oracle_datetime_short
+    from opslens.functions.exprs import report_datetime, report_datetime_short
     df = spark.createDataFrame([(dt.datetime(2025, 1, 2, 3, 4, 5),)], "t timestamp_ntz")
-    row = df.select(oracle_datetime("t").alias("a"), oracle_datetime_short("t").alias("b")).first()
+    row = df.select(report_datetime("t").alias("a"), report_datetime_short("t").alias("b")).first()
     assert (row["a"], row["b"]) == ("02-JAN-2025 03:04:05", "02-JAN-25 03:04:05")
 
 
