@@ -280,7 +280,7 @@ SQL["m08_uptime_by_host"] = f"""select host, arg_max(boot_time, ts) as boot_time
     (epoch_us({AS_OF_SQL}) - epoch_us(arg_max(boot_time, ts))) / 3.6e9 as uptime_hours
     from boot_samples group by host"""
 _TOP = """select host, "rank", pid, comm, pcpu, pmem, state, thcount from (
-    select *, row_number() over (partition by host order by {by} desc nulls last, pid) as "rank"
+    select *, cast(row_number() over (partition by host order by {by} desc nulls last, pid) as integer) as "rank"
     from proc_snapshot) t where "rank" <= 4"""
 SQL["m09_top_cpu_processes"] = _TOP.format(by="pcpu")
 SQL["m10_top_memory_processes"] = _TOP.format(by="pmem")

@@ -65,3 +65,17 @@ def test_entry_smoke(spark):
 def test_catalog_names_are_plain():
     for name in catalog.QUERIES:
         assert name.replace("_", "").isalnum() and name == name.lower()
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_column_types_match_oracle(spark, duck_small, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    ours = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+    rel = duck_small.sql(SQLS[name])
+    theirs = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert ours == theirs
