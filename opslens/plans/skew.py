@@ -10,8 +10,9 @@ the rows a bucket needs from before its start as *context rows*:
 1. per (key, bucket) keep the last ``n_back`` rows (a ``row_number() <= n``
    filter, which Spark plans as a partial group limit before the shuffle);
 2. over those tails (at most ``n_back`` rows per bucket, so small per key)
-   number the rows per key and give each bucket the ``n_back`` rows just
-   before its first tail row, by an equi-join on a generated index;
+   each tail row finds the later buckets that start within its next
+   ``n_back`` tail rows (``lead`` over the per-key tail order) and is copied
+   to them;
 3. union the context rows into the bucket, run the window, drop them.
 
 The result equals the plain per-key window exactly, whatever the bucket width.
@@ -32,10 +33,6 @@ BUCKET = "_bucket"
 CONTEXT = "_context"
 
 
-def _cols(cs: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cs]
-
-
 def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                  n_back: int) -> DataFrame:
     """``df`` plus a ``_bucket`` column, a ``_context`` flag, and for every
@@ -49,19 +46,24 @@ def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     keys, order = list(keys), list(order)
     base = df.withColumn(BUCKET, bucket)
     desc = [F.col(c).desc() for c in order]
-    # 1. last n_back rows of every (key, bucket)
-    w_tail = Window.partitionBy(*keys, BUCKET).orderBy(*desc)
-    tails = base.withColumn("_r", F.row_number().over(w_tail)).where(F.col("_r") <= n_back).drop("_r")
-    # 2. index the tails per key (small: <= n_back rows per bucket)
+    # 1. last n_back rows of every (key, bucket). One row: a max_by hash
+    #    aggregate (partial on the map side, no sort). More: a row_number
+    #    group limit, also cut down on the map side before the shuffle.
+    if n_back == 1:
+        others = [c for c in base.columns if c not in keys and c != BUCKET]
+        last = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
+        tails = (base.groupBy(*keys, BUCKET).agg(last.alias("_last"))
+                 .select(*keys, BUCKET, *[F.col(f"_last.{c}").alias(c) for c in others]))
+    else:
+        w_tail = Window.partitionBy(*keys, BUCKET).orderBy(*desc)
+        tails = base.withColumn("_r", F.row_number().over(w_tail)).where(F.col("_r") <= n_back).drop("_r")
+    # 2. a tail row is context for every later bucket that starts within the
+    #    next n_back tail rows of its key: the buckets among lead(bucket, 1..n_back)
     w_idx = Window.partitionBy(*keys).orderBy(F.col(BUCKET), *[F.col(c) for c in order])
-    tails = tails.withColumn("_idx", F.row_number().over(w_idx))
-    firsts = tails.groupBy(*keys, BUCKET).agg(F.min("_idx").alias("_first"))
-    wanted = firsts.where(F.col("_first") > 1).select(
-        *keys, F.col(BUCKET).alias("_target"),
-        F.explode(F.sequence(F.greatest(F.col("_first") - n_back, F.lit(1)),
-                             F.col("_first") - 1)).alias("_idx"))
-    ctx = (tails.join(wanted, keys + ["_idx"])
-           .drop(BUCKET, "_idx").withColumnRenamed("_target", BUCKET)
+    ahead = F.array(*[F.lead(BUCKET, k).over(w_idx) for k in range(1, n_back + 1)])
+    targets = F.array_distinct(F.filter(ahead, lambda b: b.isNotNull() & (b != F.col(BUCKET))))
+    ctx = (tails.withColumn("_targets", targets)
+           .withColumn(BUCKET, F.explode("_targets")).drop("_targets")
            .withColumn(CONTEXT, F.lit(True)))
     return base.withColumn(CONTEXT, F.lit(False)).unionByName(ctx)
 
