@@ -45,14 +45,16 @@ def online_user_count(app_sessions: DataFrame, app_users: DataFrame, as_of,
 
 
 def inactive_sessions(db_sessions: DataFrame, idle_seconds: int = 86400,
-                      username: str = codes.APPS_USER, by_session: bool = True) -> DataFrame:
+                      username: str = codes.APPS_USER, by_session: bool = True,
+                      ordered: bool = True) -> DataFrame:
     """INACTIVE sessions of one account idle longer than ``idle_seconds``,
     with a row count per group, largest first. The source report groups by
     session id and serial too (count 1 per session); ``by_session=False``
-    groups by status, module, program and machine only.
+    groups by status, module, program and machine only; ``ordered=False``
+    skips the global sort of a fleet-sized result written as a table.
     Columns: [sid, serial_no,] status, module, program, machine, session_count."""
     df = db_sessions.where((F.col("status") == "INACTIVE") & (F.col("username") == username)
                            & (F.col("last_call_et") > idle_seconds))
     keys = (["sid", "serial_no"] if by_session else []) + ["status", "module", "program", "machine"]
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("session_count"))
-            .orderBy(F.col("session_count").desc()))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("session_count"))
+    return out.orderBy(F.col("session_count").desc()) if ordered else out

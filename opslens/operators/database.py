@@ -68,15 +68,17 @@ def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
 
 
 def alert_log_errors(alert_log: DataFrame, as_of, hours: float = 12,
-                     pattern: str = codes.ERROR_PATTERN) -> DataFrame:
+                     pattern: str = codes.ERROR_PATTERN, ordered: bool = True) -> DataFrame:
     """Alert-log lines of the last ``hours`` hours that match a LIKE pattern,
-    oldest first. Columns: timestamp (text), message_text."""
+    oldest first (``ordered=False``: no global sort).
+    Columns: timestamp (text), message_text."""
     df = alert_log.where((F.col("originating_timestamp") > since(as_of, hours=hours))
                          & F.col("message_text").like(pattern))
-    return (df.select(report_datetime("originating_timestamp").alias("timestamp"), "message_text",
-                      "originating_timestamp")
-            .orderBy(F.col("originating_timestamp").asc_nulls_last())
-            .drop("originating_timestamp"))
+    out = df.select(report_datetime("originating_timestamp").alias("timestamp"), "message_text",
+                    "originating_timestamp")
+    if ordered:
+        out = out.orderBy(F.col("originating_timestamp").asc_nulls_last())
+    return out.drop("originating_timestamp")
 
 
 def parameters_like(parameters: DataFrame, token: str) -> DataFrame:

@@ -44,17 +44,21 @@ def database_size(data_files: DataFrame, temp_files: DataFrame, pdbs: DataFrame,
 
 
 def datafile_details(data_files: DataFrame, pdbs: DataFrame,
-                     root_label: str = codes.ROOT_CONTAINER_LABEL) -> DataFrame:
+                     root_label: str = codes.ROOT_CONTAINER_LABEL, ordered: bool = True) -> DataFrame:
     """Every data file with its container name, status and autoextend flag,
     ordered by container name then file id (the file id is not shown).
+    The listing grows with the fleet; ``ordered=False`` skips the global sort
+    (range-partition sampling plus a full shuffle) when the result is written
+    as a table rather than read in order.
     Columns: container_name, tablespace_name, file_name, status, autoextend."""
     p = broadcast_if_small(pdbs.select(F.col("con_id").alias("pdb_id"), F.col("name").alias("pdb_name")))
     df = data_files.join(p, data_files.con_id == p.pdb_id, "left")
     name = F.when(F.col("con_id") == 1, F.lit(root_label)).otherwise(F.col("pdb_name"))
-    return (df.select(name.alias("container_name"), "tablespace_name", "file_name", "status",
-                      F.col("autoextensible").alias("autoextend"), "file_id")
-              .orderBy(F.col("container_name").asc_nulls_last(), F.col("file_id").asc_nulls_last())
-              .drop("file_id"))
+    out = df.select(name.alias("container_name"), "tablespace_name", "file_name", "status",
+                    F.col("autoextensible").alias("autoextend"), "file_id")
+    if ordered:
+        out = out.orderBy(F.col("container_name").asc_nulls_last(), F.col("file_id").asc_nulls_last())
+    return out.drop("file_id")
 
 
 def _usage_parts(data_files: DataFrame, free_space: DataFrame, temp_files: DataFrame,

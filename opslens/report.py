@@ -5,7 +5,8 @@ document. Here each report is a table written under ``out_dir/<report>/``
 partitioned by ``as_of_date`` (dynamic overwrite, so a re-run of a day
 replaces exactly that day), plus the findings table. The tablespace usage
 frame feeds both its report and the capacity alert, so it is persisted for
-the run and released afterwards (the source ran that query twice).
+the run and released afterwards (the source ran that query twice). The
+fleet-sized listings are written unsorted: a table needs no global order.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
         "database_details": database.database_details(s.db_info),
         "instance_details": database.instance_details(s.instance_info),
         "database_size": storage.database_size(s.data_files, s.temp_files, s.pdbs),
-        "datafile_details": storage.datafile_details(s.data_files, s.pdbs),
+        "datafile_details": storage.datafile_details(s.data_files, s.pdbs, ordered=False),
         "tablespace_usage": usage,
         "tablespace_alerts": alerts,
         "resource_utilization": database.resource_utilization(s.resource_limit),
@@ -43,12 +44,12 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
         "invalid_objects": database.invalid_objects(s.db_objects, pdb_con_id),
         "invalid_object_counts": database.invalid_object_counts(s.db_objects),
         "backup_summary": database.backup_summary(s.backup_jobs, as_of),
-        "alert_log_errors": database.alert_log_errors(s.alert_log, as_of),
+        "alert_log_errors": database.alert_log_errors(s.alert_log, as_of, ordered=False),
         "recovery_area": storage.recovery_area(s.recovery_dest),
         "online_user_count": activity.online_user_count(s.app_sessions, users, as_of,
                                                         profile_timeout_minutes),
         "online_users": activity.online_users(s.app_sessions, users, as_of, profile_timeout_minutes),
-        "inactive_sessions": activity.inactive_sessions(s.db_sessions),
+        "inactive_sessions": activity.inactive_sessions(s.db_sessions, ordered=False),
         "queue_status": requests.queue_status(s.queues, s.queues_vl),
         "long_running_requests": requests.long_running_requests(s.requests, users, s.responsibilities,
                                                                 s.programs, as_of),
