@@ -59,6 +59,16 @@ class Snapshot:
             return self.overrides[name]
         return read_table(self.spark, self.sf_dir, name)
 
+    def register_views(self, names=None) -> list[str]:
+        """Register logical tables as temporary views so reports can also be
+        written in Spark SQL (the plans are the same as the DataFrame ones)."""
+        from opslens.sources.schemas import NAMES
+        out = []
+        for n in names or NAMES:
+            getattr(self, n).createOrReplaceTempView(n)
+            out.append(n)
+        return out
+
     # ------------------------------------------------------------- storage
 
     @cached_property
