@@ -81,3 +81,35 @@ def test_threshold_transitions_stream_equals_batch(spark, event_dir):
                                                 "mem_pct", THRESHOLD)
     _same(out, batch)
     assert out.where("event = 'RAISED'").count() > 0
+
+
+def test_jobs_write_parquet_and_findings(spark, event_dir):
+    from pyspark.sql import functions as F
+
+    from opslens.streaming import jobs
+
+    out = tempfile.mkdtemp(prefix="opslens-stream-out-")
+    tag = f"{os.getpid()}-{id(out)}"
+    q = jobs.start_error_counts(spark, event_dir, os.path.join(out, "errors"), glob="events-*.parquet",
+                                available_now=True, name=f"errors-{tag}")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = spark.read.parquet(os.path.join(out, "errors"))
+    batch = streams.error_counts(_batch_snapshot(spark, event_dir).alert_log)
+    # append mode: only windows closed by the watermark are written, each exactly once
+    assert got.count() > 0 and got.count() <= batch.count()
+    assert got.join(batch, ["window_start", "window_end", "errors"], "left_anti").count() == 0
+    assert got.groupBy("window_start").count().where("count > 1").count() == 0
+
+    q = jobs.start_threshold_findings(spark, event_dir, os.path.join(out, "findings"), threshold=THRESHOLD,
+                                      glob="events-*.parquet", available_now=True, max_files_per_trigger=1,
+                                      name=f"findings-{tag}")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    f = spark.read.parquet(os.path.join(out, "findings"))
+    mem = _batch_snapshot(spark, event_dir).mem_samples.withColumn(
+        "mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
+    expected = streams.threshold_transitions_batch(mem, "mem_pct", THRESHOLD)
+    assert f.select("batch_id").distinct().count() >= 2
+    assert sorted((r["entity"], r["metric"]) for r in f.collect()) == \
+        sorted((r["host"], r["event"]) for r in expected.collect())
