@@ -9,11 +9,13 @@ the joins then touch only the group rows.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
-from opslens.functions.exprs import as_of_lit, gib, pct_used, since
+from opslens.functions.exprs import as_of_lit, gib, parse_as_of, pct_used
 from opslens.plans.joins import broadcast_if_small
 
 
@@ -126,9 +128,11 @@ def archive_per_day(archived_log: DataFrame, as_of, days: int = 6,
     first. The window is ``completion_time > as_of - days`` to the second, so
     the oldest day is partial; ``whole_days=True`` starts at midnight instead.
     Columns: day, gb, archives_generated_per_day."""
-    lower = since(as_of, days=days)
+    bound = parse_as_of(as_of) - _dt.timedelta(days=days)
     if whole_days:
-        lower = F.date_trunc("DD", lower)
+        bound = bound.replace(hour=0, minute=0, second=0, microsecond=0)
+    lower = as_of_lit(bound)
+    # date_trunc yields a zoned TIMESTAMP; casting back gives the same wall-clock midnight
     day = F.date_trunc("DD", F.col("completion_time")).cast("timestamp_ntz")
     return (archived_log.where(F.col("completion_time") > lower)
             .groupBy(day.alias("day"))
@@ -175,4 +179,4 @@ def recovery_area(recovery_dest: DataFrame) -> DataFrame:
 
 
 __all__ = ["database_size", "datafile_details", "capacity_usage", "capacity_alerts",
-           "archive_per_day", "temp_usage", "block_corruption", "recovery_area", "as_of_lit"]
+           "archive_per_day", "temp_usage", "block_corruption", "recovery_area"]

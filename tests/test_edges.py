@@ -234,3 +234,15 @@ def test_missing_ports(spark):
     assert out == [("h1", 1571), ("h1", 8050), ("h2", 1571), ("h2", 7052), ("h2", 8050)]
     assert hosts.listening_ports(lst).count() == 2           # 17052 matches as text
     assert hosts.listening_ports(lst, exact=True).count() == 1
+
+
+def test_archive_whole_days(spark):
+    log = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 25, 1, 0), 1, 8192), (dt.datetime(2024, 1, 24, 23, 0), 1, 8192),
+         (dt.datetime(2024, 1, 30, 12, 0), 2, 8192)],
+        "completion_time timestamp_ntz, blocks bigint, block_size bigint")
+    as_of = "2024-01-31 12:00:00"  # 6 days back: 2024-01-25 12:00
+    partial = _rows(storage.archive_per_day(log, as_of), "day", "archives_generated_per_day")
+    assert partial == [(dt.datetime(2024, 1, 30), 1)]
+    whole = _rows(storage.archive_per_day(log, as_of, whole_days=True), "day", "archives_generated_per_day")
+    assert whole == [(dt.datetime(2024, 1, 25), 1), (dt.datetime(2024, 1, 30), 1)]
