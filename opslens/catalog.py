@@ -121,6 +121,16 @@ SQL["r08_temp_usage"] = f"""select a.tablespace_name, d.mb_total as total_size_g
     from sort_segment a, (select b.name, c.block_size, sum(c.bytes){GIB_SQL} as mb_total
         from tablespaces b, temp_files c where b.ts_no = c.ts_no group by b.name, c.block_size) d
     where a.tablespace_name = d.name group by a.tablespace_name, d.mb_total"""
+SQL["r08_temp_usage_by_container"] = f"""select a.tablespace_name, d.mb_total as total_size_gb,
+    sum(a.used_blocks * d.block_size){GIB_SQL} as used_size_gb
+    from sort_segment a, (select b.name, c.block_size, sum(c.bytes){GIB_SQL} as mb_total
+        from tablespaces b, temp_files c where b.ts_no = c.ts_no and b.con_id = c.con_id
+        group by b.name, c.block_size) d
+    where a.tablespace_name = d.name group by a.tablespace_name, d.mb_total"""
+SQL["r07_archive_per_day_whole_days"] = f"""select date_trunc('day', completion_time) as day,
+    round(sum(blocks * block_size){GIB_SQL}) as gb, count(*) as archives_generated_per_day
+    from archived_log where completion_time > date_trunc('day', {AS_OF_SQL} - interval 6 day)
+    group by date_trunc('day', completion_time)"""
 SQL["r09_block_corruption"] = """select file_no, block_no, blocks, corruption_change_no, corruption_type
     from block_corruption"""
 SQL["r10_invalid_objects"] = """select con_id, owner, object_name, object_type, last_ddl_time as last_ddl_run
@@ -215,6 +225,12 @@ _R26 = f"""select distinct * from (
     limit 2) t"""
 SQL["r26_latest_profile_changes"] = _R26.format(lang="")
 SQL["r26_latest_profile_changes_us"] = _R26.format(lang="and tl.language = 'US'")
+SQL["r26_profile_changes_last_2_days"] = f"""select distinct tl.user_profile_option_name as profile_option,
+    {_case('val.level_id', codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT)} as option_level,
+    val.profile_option_value as profile_value, val.last_update_date as change_date, usr.user_name
+    from profile_options opt, profile_values val, profile_options_tl tl, app_users usr
+    where opt.profile_option_id = val.profile_option_id and opt.profile_option_name = tl.profile_option_name
+    and usr.user_id = val.last_updated_by and val.last_update_date > {AS_OF_SQL} - interval 2 day"""
 SQL["r27_component_status"] = """select distinct fsc.component_id, fsc.component_name,
     fsc.component_status as status, fcq.enabled_flag as enabled, fsc.inbound_agent_name,
     fsc.outbound_agent_name, fsc.startup_mode, fsc.last_update_date as updated
@@ -401,6 +417,9 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "r06_resource_utilization": lambda s: database.resource_utilization(s.resource_limit),
     "r07_archive_per_day": lambda s: storage.archive_per_day(s.archived_log, AS_OF),
     "r08_temp_usage": lambda s: storage.temp_usage(s.sort_segment, s.tablespaces, s.temp_files),
+    "r08_temp_usage_by_container": lambda s: storage.temp_usage(s.sort_segment, s.tablespaces, s.temp_files,
+                                                                by_container=True),
+    "r07_archive_per_day_whole_days": lambda s: storage.archive_per_day(s.archived_log, AS_OF, whole_days=True),
     "r09_block_corruption": lambda s: storage.block_corruption(s.block_corruption),
     "r10_invalid_objects": lambda s: database.invalid_objects(s.db_objects),
     "r16_invalid_objects_pdb": lambda s: database.invalid_objects(s.db_objects, con_id=3),
@@ -430,6 +449,8 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
         s.profile_options, s.profile_values, s.profile_options_tl, _users(s)),
     "r26_latest_profile_changes_us": lambda s: requests.latest_profile_changes(
         s.profile_options, s.profile_values, s.profile_options_tl, _users(s), language="US"),
+    "r26_profile_changes_last_2_days": lambda s: requests.latest_profile_changes(
+        s.profile_options, s.profile_values, s.profile_options_tl, _users(s), days=2, as_of=AS_OF),
     "r27_component_status": lambda s: components.component_status(
         s.components, s.component_params, s.queues, s.services, s.param_defs, s.processes),
     "r28_mailer_status": lambda s: components.mailer_status(s.components),

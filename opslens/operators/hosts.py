@@ -9,6 +9,7 @@ group limit Spark plans for ``row_number() <= n``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -196,7 +197,7 @@ def processes_matching(proc_snapshot: DataFrame, words: Sequence[str] = codes.WA
     """Processes whose command contains one of ``words`` as a whole word
     (underscore is a word character, so 'ora_smon_X' does not match 'smon').
     Columns: host, pid, comm."""
-    pattern = r"\b(" + "|".join(words) + r")\b"
+    pattern = r"\b(" + "|".join(re.escape(w) for w in words) + r")\b"
     return proc_snapshot.where(F.col("comm").rlike(pattern)).select("host", "pid", "comm")
 
 
