@@ -9,6 +9,7 @@ scale-minded operator, so the pair checks the rewrite as well.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -492,9 +493,22 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
 QUERIES: dict[str, Query] = {name: Query(build, SQL.get(name)) for name, build in BUILDERS.items()}
 
 
+_SNAPSHOTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Snapshot]]" = weakref.WeakKeyDictionary()
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The snapshot tables of ``sf_dir``, defined once per session: the table
+    definitions (file listing, projections, size-checked hints) are shared by
+    every report run against the same directory, as views would be."""
+    per_session = _SNAPSHOTS.setdefault(spark, {})
+    if sf_dir not in per_session:
+        per_session[sf_dir] = Snapshot(spark, sf_dir)
+    return per_session[sf_dir]
+
+
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     build = QUERIES[name].build
-    return lambda spark, sf_dir: build(Snapshot(spark, sf_dir))
+    return lambda spark, sf_dir: build(snapshot(spark, sf_dir))
 
 
 def oracle(name: str) -> str | None:
