@@ -57,4 +57,7 @@ def inactive_sessions(db_sessions: DataFrame, idle_seconds: int = 86400,
                            & (F.col("last_call_et") > idle_seconds))
     keys = (["sid", "serial_no"] if by_session else []) + ["status", "module", "program", "machine"]
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("session_count"))
-    return out.orderBy(F.col("session_count").desc()) if ordered else out
+    # the group keys break ties: with a count of 1 on nearly every row the
+    # count alone would send all rows to one range partition
+    return (out.orderBy(F.col("session_count").desc(), *[F.col(k).asc_nulls_last() for k in keys])
+            if ordered else out)

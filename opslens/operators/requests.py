@@ -39,7 +39,8 @@ def queue_status(queues: DataFrame, queues_vl: DataFrame, only_at_target: bool =
                     F.col("max_processes").alias("target"),
                     decode("control_code", codes.QUEUE_CONTROL).alias("status"))
             .distinct()
-            .orderBy(F.col("target").desc_nulls_first()))
+            .orderBy(F.col("target").desc_nulls_first(), F.col("concurrent_manager").asc_nulls_last(),
+                     F.col("server_node").asc_nulls_last()))
 
 
 def long_running_requests(requests: DataFrame, users: DataFrame, responsibilities: DataFrame,
@@ -91,7 +92,8 @@ def failed_requests(requests: DataFrame, programs: DataFrame, as_of, hours: floa
                      F.col("actual_start_date").alias("start_date"))
             .agg(F.count(F.lit(1)).alias("request_count"))
             .drop("user_program_name", "description")
-            .orderBy(F.col("request_count").desc()))
+            .orderBy(F.col("request_count").desc(), F.col("start_date").desc_nulls_last(),
+                     F.col("program_name").asc_nulls_last(), F.col("error_message").asc_nulls_last()))
 
 
 def request_summary(requests: DataFrame, as_of, hours: float = 12,

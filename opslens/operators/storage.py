@@ -77,6 +77,12 @@ def _usage_parts(data_files: DataFrame, free_space: DataFrame, temp_files: DataF
     return ids, free, alloc, temp
 
 
+# by container as the report orders, then tablespace: a total order that lets
+# range partitioning split a container with many tablespaces
+def _usage_order():
+    return [F.col(c).asc_nulls_last() for c in ("con_id", "con_name", "tablespace_name")]
+
+
 def capacity_usage(data_files: DataFrame, free_space: DataFrame, temp_files: DataFrame,
                    containers: DataFrame, keep_full: bool = False) -> DataFrame:
     """Free, allocated and largest-file GiB per container and tablespace, temp
@@ -100,8 +106,7 @@ def capacity_usage(data_files: DataFrame, free_space: DataFrame, temp_files: Dat
     temp = temp.select(
         "con_id", "con_name", "tablespace_name", F.lit(None).cast("double").alias("free_space_gb"),
         gib("alloc_bytes").alias("allocated_space_gb"), gib("max_bytes").alias("max_allocated_gb"))
-    return (perm.unionByName(temp)
-            .orderBy(F.col("con_id").asc_nulls_last(), F.col("con_name").asc_nulls_last()))
+    return perm.unionByName(temp).orderBy(*_usage_order())
 
 
 def capacity_alerts(usage: DataFrame, threshold: float = codes.CAPACITY_THRESHOLD,
@@ -119,7 +124,7 @@ def capacity_alerts(usage: DataFrame, threshold: float = codes.CAPACITY_THRESHOL
         temp = (usage.where(F.col("free_space_gb").isNull() & (F.col("allocated_space_gb") > 0))
                 .withColumn("used_percentage", F.lit(None).cast("double")))
         perm = perm.unionByName(temp)
-    return perm.orderBy(F.col("con_id").asc_nulls_last(), F.col("con_name").asc_nulls_last())
+    return perm.orderBy(*_usage_order())
 
 
 def archive_per_day(archived_log: DataFrame, as_of, days: int = 6,

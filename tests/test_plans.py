@@ -69,3 +69,11 @@ def test_shuffle_partitions_do_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+@pytest.mark.parametrize("name,key", [("r15_inactive_sessions", "sid"), ("r05_capacity_usage", "tablespace_name"),
+                                      ("r23_failed_requests", "start_date")])
+def test_global_sort_has_tie_breakers(spark, name, key):
+    plan = pi.physical_plan(QUERIES[name](spark, SF_SMALL))
+    m = re.search(r"rangepartitioning\(([^)]*)", plan)
+    assert m and key in m.group(1), plan
