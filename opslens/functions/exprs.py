@@ -102,3 +102,36 @@ def add_minutes(ts: str | Column, minutes: Column) -> Column:
     """ts + minutes (fractional minutes kept to the microsecond)."""
     secs = (minutes * F.lit(60)).cast("decimal(18,6)")
     return col_(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(c: str | Column) -> Column:
+    """NTZ wall-clock time as a zoned TIMESTAMP read as UTC, whatever the
+    session zone (a plain cast would use the session zone). Needed where
+    Spark requires a zoned timestamp, e.g. ``withWatermark``."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), col_(c))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(c: str | Column) -> Column:
+    """Inverse of ``ntz_to_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col_(c)), F.expr(_EPOCH_NTZ))
+
+
+def day_of(c: str | Column) -> Column:
+    """Midnight of an NTZ time, as NTZ (no session zone involved)."""
+    return col_(c).cast("date").cast("timestamp_ntz")
+
+
+_UNIT_MICROS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6,
+                "week": 7 * 86400 * 10**6}
+
+
+def time_bucket(c: str | Column, unit: str) -> Column:
+    """Index of the fixed-width time bucket of an NTZ time (BIGINT, never
+    decreasing along time, no session zone involved)."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), col_(c))
+    return F.floor(micros / F.lit(_UNIT_MICROS[unit]))
+

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
-from opslens.functions.exprs import as_of_lit
+from opslens.functions.exprs import as_of_lit, time_bucket
 from opslens.plans.joins import broadcast_if_small
 from opslens.plans.skew import previous_values, rolling_mean, top_n_per_key
 
@@ -26,7 +26,7 @@ DEFAULT_BUCKET = "hour"
 
 
 def _bucket(ts: str, unit: str) -> Column:
-    return F.date_trunc(unit, F.col(ts))
+    return time_bucket(ts, unit)
 
 
 # ---------------------------------------------------------------- probes

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
-from opslens.functions.exprs import as_of_lit, gib, parse_as_of, pct_used
+from opslens.functions.exprs import as_of_lit, day_of, gib, parse_as_of, pct_used
 from opslens.plans.joins import broadcast_if_small
 
 
@@ -137,8 +137,7 @@ def archive_per_day(archived_log: DataFrame, as_of, days: int = 6,
     if whole_days:
         bound = bound.replace(hour=0, minute=0, second=0, microsecond=0)
     lower = as_of_lit(bound)
-    # date_trunc yields a zoned TIMESTAMP; casting back gives the same wall-clock midnight
-    day = F.date_trunc("DD", F.col("completion_time")).cast("timestamp_ntz")
+    day = day_of("completion_time")
     return (archived_log.where(F.col("completion_time") > lower)
             .groupBy(day.alias("day"))
             .agg(F.round(gib(F.sum(F.col("blocks") * F.col("block_size"))), 0).alias("gb"),

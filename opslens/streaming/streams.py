@@ -12,9 +12,10 @@ expressions are shared) and run in Structured Streaming:
 
 Each has a batch form (the same function over a batch frame, or
 ``threshold_transitions_batch``) that the tests compare with the stream.
-``withWatermark`` needs a zoned TIMESTAMP; the NTZ event time is cast to it
-under the session zone (UTC in every session built here) and the window
-bounds are cast back to NTZ on output.
+``withWatermark`` needs a zoned TIMESTAMP; the NTZ event time is converted to
+it as if it were UTC (``ntz_to_instant``, independent of the session zone) and
+the window bounds are converted back to NTZ on output, so window boundaries
+fall on the same wall-clock times in every session zone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslens.functions import codes
+from opslens.functions.exprs import instant_to_ntz, ntz_to_instant, time_bucket
 from opslens.plans.skew import previous_values
 from opslens.session import ensure_checkpoint_dir
 
@@ -47,7 +49,7 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str,
 
 
 def _zoned(c: str):
-    return F.col(c).cast("timestamp")
+    return ntz_to_instant(c)
 
 
 def error_counts(alert_log: DataFrame, window: str = "1 hour", late: str = "10 minutes",
@@ -59,8 +61,8 @@ def error_counts(alert_log: DataFrame, window: str = "1 hour", late: str = "10 m
           .withWatermark("event_time", late))
     return (df.groupBy(F.window("event_time", window).alias("w"))
             .agg(F.count(F.lit(1)).alias("errors"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "errors"))
+            .select(instant_to_ntz("w.start").alias("window_start"),
+                    instant_to_ntz("w.end").alias("window_end"), "errors"))
 
 
 def metric_window_avg(samples: DataFrame, value_col: str, window: str = "1 hour",
@@ -72,8 +74,8 @@ def metric_window_avg(samples: DataFrame, value_col: str, window: str = "1 hour"
           .withWatermark("event_time", late))
     return (df.groupBy("host", F.window("event_time", window, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("v"), 2).alias("avg_value"))
-            .select("host", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "samples", "avg_value"))
+            .select("host", instant_to_ntz("w.start").alias("window_start"),
+                    instant_to_ntz("w.end").alias("window_end"), "samples", "avg_value"))
 
 
 # --------------------------------------------------- threshold transitions
@@ -92,7 +94,7 @@ def threshold_transitions_batch(samples: DataFrame, value: str, threshold: float
     (>=) after being below it (or on its first sample), a CLEARED row where it
     falls back below. Columns: host, ts, event, value."""
     df = _metric(samples, value).withColumn("above", F.col("value") >= F.lit(threshold))
-    df = previous_values(df, ["host"], ["ts"], ["above"], F.date_trunc(bucket, F.col("ts")))
+    df = previous_values(df, ["host"], ["ts"], ["above"], time_bucket("ts", bucket))
     before = F.coalesce(F.col("prev_above"), F.lit(False))
     return (df.where(F.col("above") != before)
             .select("host", "ts", F.when(F.col("above"), "RAISED").otherwise("CLEARED").alias("event"),
