@@ -244,6 +244,20 @@ SQL["r27_component_status"] = """select distinct fsc.component_id, fsc.component
         and fcq.application_id = fcp.application_id and fcp.process_status_code = 'A'
     where fsc.component_type != 'FND_MCS_PUSH_NTF_PROVIDER' and fcs.service_handle = 'FNDCPGSC'
     and v.parameter_name = 'PROCESSOR_IN_THREAD_COUNT' and fsc.sync_state = 'UPDATED'"""
+SQL["r27_component_status_with_processes"] = """select fsc.component_id, fsc.component_name,
+    fsc.component_status as status, fcq.enabled_flag as enabled, fsc.inbound_agent_name,
+    fsc.outbound_agent_name, fsc.startup_mode, fsc.last_update_date as updated,
+    count(fcp.queue_id) as active_processes
+    from components fsc
+    join queues fcq on fsc.queue_id = fcq.queue_id
+    join services fcs on fcq.manager_type = fcs.service_id
+    left outer join processes fcp on fcq.queue_id = fcp.queue_id
+        and fcq.application_id = fcp.application_id and fcp.process_status_code = 'A'
+    where fsc.component_type != 'FND_MCS_PUSH_NTF_PROVIDER' and fcs.service_handle = 'FNDCPGSC'
+    and fsc.sync_state = 'UPDATED'
+    and exists (select 1 from component_params v where v.component_id = fsc.component_id
+                and v.parameter_name = 'PROCESSOR_IN_THREAD_COUNT')
+    group by all"""
 SQL["r28_mailer_status"] = """select component_name,
     case when component_status = 'RUNNING' then 'RUNNING' else 'DOWN' end as component_status
     from components where component_type = 'WF_MAILER' and sync_state = 'UPDATED'"""
@@ -454,6 +468,9 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
         s.profile_options, s.profile_values, s.profile_options_tl, _users(s), days=2, as_of=AS_OF),
     "r27_component_status": lambda s: components.component_status(
         s.components, s.component_params, s.queues, s.services, s.param_defs, s.processes),
+    "r27_component_status_with_processes": lambda s: components.component_status(
+        s.components, s.component_params, s.queues, s.services, processes=s.processes,
+        count_active_processes=True),
     "r28_mailer_status": lambda s: components.mailer_status(s.components),
     "m01_probe_status": lambda s: hosts.probe_status(s.probe_results),
     "m01_availability": lambda s: hosts.availability(s.probe_results),
