@@ -11,6 +11,8 @@ fleet-sized listings are written unsorted: a table needs no global order.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +93,32 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
     return reports, found
 
 
-def run(s: Snapshot, as_of, out_dir: str, **kwargs) -> dict[str, str]:
+def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, str]:
     """Compute and write every report and the findings for ``as_of``.
+
+    Most reports are small next to the cluster, so up to ``parallel_jobs``
+    report writes are submitted at once from driver threads (Spark schedules
+    concurrent jobs side by side); each write is still a distributed job.
     Returns report name -> output path."""
     reports, found = health_check(s, as_of, **kwargs)
-    paths = {}
+    base = out_dir.rstrip("/")
+    day = F.to_date(as_of_lit(as_of))
+
+    def write(item) -> tuple[str, str]:
+        name, df = item
+        path = f"{base}/{name}"
+        (df.withColumn("as_of_date", day)
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("as_of_date").parquet(path))
+        return name, path
+
     try:
-        for name, df in reports.items():
-            path = f"{out_dir.rstrip('/')}/{name}"
-            (df.withColumn("as_of_date", F.to_date(as_of_lit(as_of)))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("as_of_date").parquet(path))
-            paths[name] = path
-        paths["findings"] = f"{out_dir.rstrip('/')}/findings"
+        # the shared usage frame first, so the alert and findings reuse its cache
+        paths = dict([write(("tablespace_usage", reports["tablespace_usage"]))])
+        rest = [(n, d) for n, d in reports.items() if n != "tablespace_usage"]
+        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+            paths.update(pool.map(write, rest))
+        paths["findings"] = f"{base}/findings"
         findings.write_findings(found, paths["findings"])
     finally:
         reports["tablespace_usage"].unpersist()
