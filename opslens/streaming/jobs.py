@@ -6,14 +6,20 @@ stopped and a lost executor's work is recomputed from the source files.
 
 * ``start_error_counts``: hourly error counts, append mode; a window is
   written once the watermark has passed its end.
-* ``start_threshold_findings``: per-host alert transitions written into the
-  findings layout through ``foreachBatch``. Each micro-batch goes to its own
-  ``batch_id`` partition with dynamic overwrite, so a batch replayed after a
-  failure replaces its own output instead of duplicating it.
+* ``start_threshold_findings``: per-host alert transitions
+  (``applyInPandasWithState``) written into the findings layout through
+  ``foreachBatch``. Each micro-batch goes to its own ``batch_id`` partition
+  with dynamic overwrite, so a batch replayed after a failure replaces its
+  own output instead of duplicating it.
+* ``start_threshold_findings_scaled``: the same findings with the state as a
+  versioned table and DataFrame operations only, for fleets where one host
+  can hold a large share of a micro-batch.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,18 +46,68 @@ def start_error_counts(spark: SparkSession, source_dir: str, out_path: str, *, g
 
 def _write_findings_batch(out_path: str, check: str, threshold: float):
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(
-            F.lit(check).alias("check"),
-            F.when(F.col("event") == "RAISED", "WARNING").otherwise("INFO").alias("severity"),
-            F.col("host").alias("entity"), F.col("event").alias("metric"),
-            F.col("value").cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"),
-            F.col("ts").alias("as_of"))
+        rows = _finding_rows(batch, check, threshold)
         (rows.withColumn("as_of_date", F.to_date("as_of")).withColumn("batch_id", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id", "check").parquet(out_path))
     return write
 
 
+def _finding_rows(tr: DataFrame, check: str, threshold: float) -> DataFrame:
+    return tr.select(
+        F.lit(check).alias("check"),
+        F.when(F.col("event") == "RAISED", "WARNING").otherwise("INFO").alias("severity"),
+        F.col("host").alias("entity"), F.col("event").alias("metric"),
+        F.col("value").cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"),
+        F.col("ts").alias("as_of"))
+
+
+def _stateful_batch_writer(spark: SparkSession, out_path: str, state_path: str, check: str,
+                           threshold: float):
+    """foreachBatch body: state version N-1 in, transitions and state version N
+    out. Batch N always reads version N-1, so a replayed batch recomputes the
+    same output and overwrites its own partition and state version."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        state = None
+        if batch_id > 0:
+            try:
+                state = spark.read.parquet(f"{state_path}/v={batch_id - 1}")
+            except AnalysisException as exc:  # only "no state yet" is expected here
+                if "PATH_NOT_FOUND" not in str(exc):
+                    raise
+        rows = batch.select("host", "ts", "value").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            tr, new_state = streams.transitions_with_state(rows, state, threshold)
+            (_finding_rows(tr, check, threshold).withColumn("as_of_date", F.to_date("as_of"))
+                .withColumn("batch_id", F.lit(batch_id))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id", "check").parquet(out_path))
+            new_state.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        finally:
+            rows.unpersist()
+    return write
+
+
+def start_threshold_findings_scaled(spark: SparkSession, source_dir: str, out_path: str, *,
+                                    threshold: float = 90.0, glob: str = "events*.parquet",
+                                    available_now: bool = False, interval: str = "1 minute",
+                                    max_files_per_trigger: int | None = None,
+                                    name: str = "memory_threshold_scaled") -> StreamingQuery:
+    """Same output as ``start_threshold_findings`` with the per-host state
+    kept as a small versioned table under the stream's checkpoint folder and
+    every step a DataFrame operation, so no host is processed in one task."""
+    ev = streams.read_table_stream(spark, source_dir, "events", glob=glob,
+                                   max_files_per_trigger=max_files_per_trigger)
+    mem = Snapshot(spark, source_dir, overrides={"events": ev}).mem_samples
+    vals = mem.select("host", "ts", (F.col("mem_used") * F.lit(100.0) / F.col("mem_total")).alias("value"))
+    ckpt = streams.stream_checkpoint(spark, name)
+    w = (vals.writeStream.outputMode("append")
+         .foreachBatch(_stateful_batch_writer(spark, out_path, f"{ckpt}/host_state",
+                                              "memory_threshold", threshold))
+         .option("checkpointLocation", ckpt).queryName(name))
+    return _trigger(w, available_now, interval).start()
+
+
 def start_threshold_findings(spark: SparkSession, source_dir: str, out_path: str, *,
                              threshold: float = 90.0, glob: str = "events*.parquet",
                              available_now: bool = False, interval: str = "1 minute",

@@ -135,6 +135,39 @@ def threshold_transitions(samples: DataFrame, value: str, threshold: float) -> D
         timeoutConf=GroupStateTimeout.NoTimeout)
 
 
+# ------------------------------------------- transitions, one batch at a time
+
+def transitions_with_state(batch: DataFrame, state: DataFrame | None, threshold: float,
+                           bucket: str = "hour") -> tuple[DataFrame, DataFrame]:
+    """One micro-batch of threshold transitions computed with DataFrame
+    operations only, and the new per-host state.
+
+    ``batch`` has (host, ts, value); ``state`` has (host, last_ts, last_above)
+    from the previous batches (None at the start). Rows at or before a host's
+    ``last_ts`` arrived late and are dropped. Each host's state row is put in
+    front of its rows as a context row, the previous flag comes from the
+    bucketed ``previous_values`` (a host with a large share of the batch is
+    split by time bucket, never handled in one task), and the new state is the
+    latest row per host (a ``max_by`` aggregate).
+    Returns (transitions: host, ts, event, value; state)."""
+    rows = batch.select("host", "ts", "value", (F.col("value") >= F.lit(threshold)).alias("above"),
+                        F.lit(False).alias("_ctx"))
+    if state is not None:
+        rows = (rows.join(state.select("host", "last_ts"), "host", "left")
+                .where(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).drop("last_ts"))
+        ctx = state.select("host", F.col("last_ts").alias("ts"), F.lit(None).cast("double").alias("value"),
+                           F.col("last_above").alias("above"), F.lit(True).alias("_ctx"))
+        rows = rows.unionByName(ctx)
+    with_prev = previous_values(rows, ["host"], ["ts"], ["above"], time_bucket("ts", bucket))
+    before = F.coalesce(F.col("prev_above"), F.lit(False))
+    out = (with_prev.where(~F.col("_ctx") & (F.col("above") != before))
+           .select("host", "ts", F.when(F.col("above"), "RAISED").otherwise("CLEARED").alias("event"), "value"))
+    new_state = (rows.groupBy("host")
+                 .agg(F.max_by(F.struct("ts", "above"), "ts").alias("_l"))
+                 .select("host", F.col("_l.ts").alias("last_ts"), F.col("_l.above").alias("last_above")))
+    return out, new_state
+
+
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     """Checkpoint location of a named stream under the shared checkpoint
     folder (the cluster's ``spark.checkpoint.dir``), so a restarted driver

@@ -113,3 +113,38 @@ def test_jobs_write_parquet_and_findings(spark, event_dir):
     assert f.select("batch_id").distinct().count() >= 2
     assert sorted((r["entity"], r["metric"]) for r in f.collect()) == \
         sorted((r["host"], r["event"]) for r in expected.collect())
+
+
+def test_scaled_transitions_job_equals_batch(spark, event_dir):
+    from pyspark.sql import functions as F
+
+    from opslens.streaming import jobs
+
+    out = tempfile.mkdtemp(prefix="opslens-stream-out2-")
+    q = jobs.start_threshold_findings_scaled(spark, event_dir, os.path.join(out, "findings"),
+                                             threshold=THRESHOLD, glob="events-*.parquet",
+                                             available_now=True, max_files_per_trigger=1,
+                                             name=f"scaled-{os.getpid()}-{id(out)}")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    f = spark.read.parquet(os.path.join(out, "findings"))
+    mem = _batch_snapshot(spark, event_dir).mem_samples.withColumn(
+        "mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
+    expected = streams.threshold_transitions_batch(mem, "mem_pct", THRESHOLD)
+    assert f.select("batch_id").distinct().count() >= 2
+    assert sorted((r["entity"], r["metric"], r["as_of"]) for r in f.collect()) == \
+        sorted((r["host"], r["event"], r["ts"]) for r in expected.collect())
+
+
+def test_transitions_with_state_drops_late_rows(spark):
+    import datetime as dt
+    state = spark.createDataFrame([("h1", dt.datetime(2024, 1, 1, 12), True)],
+                                  "host string, last_ts timestamp_ntz, last_above boolean")
+    batch = spark.createDataFrame([("h1", dt.datetime(2024, 1, 1, 11), 10.0),   # late: ignored
+                                   ("h1", dt.datetime(2024, 1, 1, 13), 95.0),   # still above: nothing
+                                   ("h1", dt.datetime(2024, 1, 1, 14), 10.0),   # cleared
+                                   ("h2", dt.datetime(2024, 1, 1, 13), 99.0)],  # new host: raised
+                                  "host string, ts timestamp_ntz, value double")
+    tr, st = streams.transitions_with_state(batch, state, THRESHOLD)
+    assert sorted((r["host"], r["event"]) for r in tr.collect()) == [("h1", "CLEARED"), ("h2", "RAISED")]
+    assert sorted((r["host"], r["last_above"]) for r in st.collect()) == [("h1", False), ("h2", True)]
