@@ -56,3 +56,28 @@ def test_usage_and_size_agree(snap_small):
     size = storage.database_size(s.data_files, s.temp_files.limit(0), s.pdbs)
     for r in size.collect():
         assert abs(r["total_size_gb"] - per_con[r["con_id"]]) < 1e-6
+
+
+@settings(max_examples=40, deadline=None)
+@given(as_of_min=st.integers(0, 60 * 24 * 3), comp_min=st.integers(-60 * 24 * 40, 0))
+def test_truncated_date_rewrite(as_of_min, comp_min):
+    """trunc(x) > as_of - 30 days  <=>  x >= trunc(as_of - 30 days) + 1 day (the
+    rewrite program_runs uses so the bound is pushed to the scan)."""
+    import datetime as dt
+    as_of = dt.datetime(2024, 1, 31) + dt.timedelta(minutes=as_of_min)
+    x = as_of + dt.timedelta(minutes=comp_min, seconds=17)
+    literal = dt.datetime.combine(x.date(), dt.time()) > as_of - dt.timedelta(days=30)
+    lower = (as_of - dt.timedelta(days=30)).replace(hour=0, minute=0, second=0, microsecond=0) \
+        + dt.timedelta(days=1)
+    assert literal == (x >= lower)
+
+
+def test_request_summary_counts_add_up(snap_small):
+    from pyspark.sql import functions as F
+
+    from opslens.functions.exprs import since
+    from opslens.operators import requests
+    s = snap_small
+    total = s.requests.where(F.col("requested_start_date") > since(AS_OF, hours=12)).count()
+    rows = requests.request_summary(s.requests, AS_OF).collect()
+    assert sum(r["request_count"] for r in rows) == total
