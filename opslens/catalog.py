@@ -1,10 +1,10 @@
 """Registry of named queries: each a Spark DataFrame over a snapshot directory,
 paired with independent DuckDB SQL over the raw tables (the oracle).
 
-The oracle SQL is written in the source reports' own shapes (comma joins,
-outer joins filtered in WHERE, DECODE-like CASE, truncated dates compared to
-a moving bound, window LAG) while the Spark side is the rewritten,
-scale-minded operator, so the pair checks the rewrite as well.
+The oracle SQL is written independently in plain SQL. Where the Spark
+operator rewrites a query shape (semi joins for filtered outer joins, a range
+bound instead of a truncated date, pre-aggregation before a fan-out join), the
+oracle keeps the direct form, so the pair checks the rewrite as well.
 """
 
 from __future__ import annotations
@@ -62,76 +62,73 @@ SQL: dict[str, str] = {}
 SQL["r01_database_details"] = "select dbid, name, created, log_mode, open_mode from db_info"
 SQL["r02_instance_details"] = "select instance_name, host_name, version, status from instance_info"
 
-_R03_PART = """select c.con_id, coalesce(p.name, 'CDB') as database_name, {agg} as size_gb
-    from {tbl} c left join pdbs p on c.con_id = p.con_id group by c.con_id, coalesce(p.name, 'CDB')"""
-_R03 = """select con_id, database_name, sum(size_gb) as total_size_gb from (
-    {a}
-    {op}
-    {b}) t group by con_id, database_name"""
-SQL["r03_database_size"] = _R03.format(
-    a=_R03_PART.format(agg=f"sum(c.bytes){GIB_SQL}", tbl="data_files"), op="union",
-    b=_R03_PART.format(agg=f"round(sum(c.bytes){GIB_SQL})", tbl="temp_files"))
-SQL["r03_database_size_union_all"] = _R03.format(
-    a=_R03_PART.format(agg=f"sum(c.bytes){GIB_SQL}", tbl="data_files"), op="union all",
-    b=_R03_PART.format(agg=f"round(sum(c.bytes){GIB_SQL})", tbl="temp_files"))
-
-SQL["r04_datafile_details"] = """select case when d.con_id = 1 then 'CDB$ROOT' else p.name end as container_name,
-    d.tablespace_name, d.file_name, d.status, d.autoextensible as autoextend
-    from data_files d left join pdbs p on d.con_id = p.con_id"""
-
-_FREE = f"""(select c.con_id, cf.tablespace_name, sum(cf.bytes){GIB_SQL} as free_space_gb
-    from free_space cf join containers c on cf.con_id = c.con_id group by c.con_id, cf.tablespace_name)"""
-_ALLOC = f"""(select c.con_id, df.tablespace_name, sum(df.bytes){GIB_SQL} as allocated_space_gb,
-    max(df.maxbytes){GIB_SQL} as max_allocated_gb
-    from data_files df join containers c on df.con_id = c.con_id group by c.con_id, df.tablespace_name)"""
-_TEMP = f"""select vc.con_id, vc.name as con_name, tf.tablespace_name, cast(null as double) as free_space_gb,
-    sum(tf.bytes){GIB_SQL} as allocated_space_gb, max(tf.maxbytes){GIB_SQL} as max_allocated_gb
-    from containers vc join temp_files tf on vc.con_id = tf.con_id
-    group by vc.con_id, vc.name, tf.tablespace_name"""
-SQL["r05_capacity_usage"] = f"""select f.con_id, v.name as con_name, f.tablespace_name, f.free_space_gb,
-    a.allocated_space_gb, a.max_allocated_gb
-    from {_FREE} f join {_ALLOC} a on f.con_id = a.con_id and f.tablespace_name = a.tablespace_name
-    join containers v on f.con_id = v.con_id
-    union all {_TEMP}"""
-SQL["r05_capacity_usage_keep_full"] = f"""select a.con_id, v.name as con_name, a.tablespace_name,
-    coalesce(f.free_space_gb, 0e0) as free_space_gb, a.allocated_space_gb, a.max_allocated_gb
-    from {_ALLOC} a left join {_FREE} f on f.con_id = a.con_id and f.tablespace_name = a.tablespace_name
-    join containers v on a.con_id = v.con_id
-    union all {_TEMP}"""
-_A1 = f"""select f.con_id, v.name as con_name, f.tablespace_name, f.free_space_gb, a.allocated_space_gb,
-    a.max_allocated_gb, (a.allocated_space_gb - f.free_space_gb) / a.allocated_space_gb * 100 as used_percentage
-    from {_FREE} f join {_ALLOC} a on f.con_id = a.con_id and f.tablespace_name = a.tablespace_name
-    join containers v on f.con_id = v.con_id
-    where (a.allocated_space_gb - f.free_space_gb) / a.allocated_space_gb * 100 > 90"""
-SQL["a1_capacity_alerts"] = _A1
-SQL["a1_capacity_alerts_with_temp"] = _A1 + f"""
-    union all select vc.con_id, vc.name, tf.tablespace_name, cast(null as double),
-    sum(tf.bytes){GIB_SQL}, max(tf.maxbytes){GIB_SQL}, cast(null as double)
-    from containers vc join temp_files tf on vc.con_id = tf.con_id
-    group by vc.con_id, vc.name, tf.tablespace_name having sum(tf.bytes){GIB_SQL} > 0"""
+# per-container totals of one file table, labelled with the PDB name ('CDB' when absent)
+_SIZE_PART = """select files.con_id, coalesce(pdb.name, 'CDB') as database_name, {agg} as size_gb
+    from {tbl} as files left join pdbs as pdb using (con_id)
+    group by files.con_id, coalesce(pdb.name, 'CDB')"""
+_SIZE = """select con_id, database_name, sum(size_gb) as total_size_gb
+    from ({data} {op} {temp}) as parts
+    group by con_id, database_name"""
+for _name, _op in (("r03_database_size", "union"), ("r03_database_size_union_all", "union all")):
+    SQL[_name] = _SIZE.format(
+        data=_SIZE_PART.format(agg=f"sum(files.bytes){GIB_SQL}", tbl="data_files"), op=_op,
+        temp=_SIZE_PART.format(agg=f"round(sum(files.bytes){GIB_SQL})", tbl="temp_files"))
+
+SQL["r04_datafile_details"] = """select
+        case when files.con_id = 1 then 'CDB$ROOT' else pdb.name end as container_name,
+        files.tablespace_name, files.file_name, files.status, files.autoextensible as autoextend
+    from data_files as files left join pdbs as pdb using (con_id)"""
+
+# free / allocated GiB per (container, tablespace), containers limited to the known list
+_FREE_GB = f"""(select con_id, tablespace_name, sum(bytes){GIB_SQL} as free_space_gb
+    from free_space join containers using (con_id) group by con_id, tablespace_name)"""
+_ALLOC_GB = f"""(select con_id, tablespace_name, sum(bytes){GIB_SQL} as allocated_space_gb,
+        max(maxbytes){GIB_SQL} as max_allocated_gb
+    from data_files join containers using (con_id) group by con_id, tablespace_name)"""
+_TEMP_GB = f"""select con_id, ctr.name as con_name, tablespace_name, cast(null as double) as free_space_gb,
+        sum(bytes){GIB_SQL} as allocated_space_gb, max(maxbytes){GIB_SQL} as max_allocated_gb
+    from temp_files join containers as ctr using (con_id)
+    group by con_id, ctr.name, tablespace_name"""
+_PERM = f"""select con_id, ctr.name as con_name, tablespace_name, {{free}} as free_space_gb,
+        allocated_space_gb, max_allocated_gb{{pct}}
+    from {{left}} {{how}} join {{right}} using (con_id, tablespace_name)
+    join containers as ctr using (con_id)"""
+SQL["r05_capacity_usage"] = _PERM.format(
+    free="free_space_gb", pct="", left=_FREE_GB, how="inner", right=_ALLOC_GB) + " union all " + _TEMP_GB
+SQL["r05_capacity_usage_keep_full"] = _PERM.format(
+    free="coalesce(free_space_gb, 0e0)", pct="", left=_ALLOC_GB, how="left", right=_FREE_GB
+) + " union all " + _TEMP_GB
+_USED = "(allocated_space_gb - free_space_gb) / allocated_space_gb * 100"
+_ALERTS = ("select * from (" + _PERM.format(free="free_space_gb", pct=f", {_USED} as used_percentage",
+                                             left=_FREE_GB, how="inner", right=_ALLOC_GB)
+           + ") as usage_rows where used_percentage > 90")
+SQL["a1_capacity_alerts"] = _ALERTS
+SQL["a1_capacity_alerts_with_temp"] = (_ALERTS + " union all select *, cast(null as double) from ("
+                                       + _TEMP_GB + ") as temp_rows where allocated_space_gb > 0")
 
 SQL["r06_resource_utilization"] = """select resource_name, current_utilization, max_utilization,
-    initial_allocation, limit_value from resource_limit
+        initial_allocation, limit_value
+    from resource_limit
     where resource_name in ('processes', 'sessions', 'parallel_max_servers', 'enqueue_resources')"""
-SQL["r07_archive_per_day"] = f"""select date_trunc('day', completion_time) as day,
-    round(sum(blocks * block_size){GIB_SQL}) as gb, count(*) as archives_generated_per_day
-    from archived_log where completion_time > {AS_OF_SQL} - interval 6 day
-    group by date_trunc('day', completion_time)"""
-SQL["r08_temp_usage"] = f"""select a.tablespace_name, d.mb_total as total_size_gb,
-    sum(a.used_blocks * d.block_size){GIB_SQL} as used_size_gb
-    from sort_segment a, (select b.name, c.block_size, sum(c.bytes){GIB_SQL} as mb_total
-        from tablespaces b, temp_files c where b.ts_no = c.ts_no group by b.name, c.block_size) d
-    where a.tablespace_name = d.name group by a.tablespace_name, d.mb_total"""
-SQL["r08_temp_usage_by_container"] = f"""select a.tablespace_name, d.mb_total as total_size_gb,
-    sum(a.used_blocks * d.block_size){GIB_SQL} as used_size_gb
-    from sort_segment a, (select b.name, c.block_size, sum(c.bytes){GIB_SQL} as mb_total
-        from tablespaces b, temp_files c where b.ts_no = c.ts_no and b.con_id = c.con_id
-        group by b.name, c.block_size) d
-    where a.tablespace_name = d.name group by a.tablespace_name, d.mb_total"""
-SQL["r07_archive_per_day_whole_days"] = f"""select date_trunc('day', completion_time) as day,
-    round(sum(blocks * block_size){GIB_SQL}) as gb, count(*) as archives_generated_per_day
-    from archived_log where completion_time > date_trunc('day', {AS_OF_SQL} - interval 6 day)
-    group by date_trunc('day', completion_time)"""
+_ARCHIVE = f"""select date_trunc('day', completion_time) as day,
+        round(sum(blocks * block_size){GIB_SQL}) as gb, count(*) as archives_generated_per_day
+    from archived_log where completion_time > {{lower}}
+    group by 1"""
+SQL["r07_archive_per_day"] = _ARCHIVE.format(lower=f"{AS_OF_SQL} - interval 6 day")
+SQL["r07_archive_per_day_whole_days"] = _ARCHIVE.format(
+    lower=f"date_trunc('day', {AS_OF_SQL} - interval 6 day)")
+# temp totals per tablespace name joined on the number only (or number and container)
+_TEMP_USE = f"""with totals as (
+        select ts.name, files.block_size, sum(files.bytes){GIB_SQL} as total_size_gb
+        from tablespaces as ts join temp_files as files on {{on}}
+        group by ts.name, files.block_size)
+    select seg.tablespace_name, totals.total_size_gb,
+        sum(seg.used_blocks * totals.block_size){GIB_SQL} as used_size_gb
+    from sort_segment as seg join totals on seg.tablespace_name = totals.name
+    group by seg.tablespace_name, totals.total_size_gb"""
+SQL["r08_temp_usage"] = _TEMP_USE.format(on="files.ts_no = ts.ts_no")
+SQL["r08_temp_usage_by_container"] = _TEMP_USE.format(
+    on="files.ts_no = ts.ts_no and files.con_id = ts.con_id")
 SQL["r09_block_corruption"] = """select file_no, block_no, blocks, corruption_change_no, corruption_type
     from block_corruption"""
 SQL["r10_invalid_objects"] = """select con_id, owner, object_name, object_type, last_ddl_time as last_ddl_run
@@ -140,126 +137,129 @@ SQL["r16_invalid_objects_pdb"] = """select owner, object_name, object_type, last
     from db_objects where status = 'INVALID' and con_id = 3"""
 SQL["r16_invalid_object_counts"] = """select con_id, owner, object_type, count(*) as invalid_objects
     from db_objects where status = 'INVALID' group by con_id, owner, object_type"""
-SQL["r11_backup_summary"] = f"""select b.session_key, {_fmt('b.start_time')} as start_time,
-    {_fmt('b.end_time')} as end_time, b.status, b.autobackup_done, b.autobackup_count, b.input_type,
-    b.elapsed_seconds from backup_jobs b where b.start_time > {AS_OF_SQL} - interval 5 day"""
+SQL["r11_backup_summary"] = f"""select session_key, {_fmt('job.start_time')} as start_time,
+        {_fmt('job.end_time')} as end_time, status, autobackup_done, autobackup_count, input_type,
+        elapsed_seconds
+    from backup_jobs as job where job.start_time > {AS_OF_SQL} - interval 5 day"""
 SQL["r12_alert_log_errors"] = f"""select {_fmt('originating_timestamp')} as "timestamp", message_text
-    from alert_log where originating_timestamp > {AS_OF_SQL} - interval 12 hour
-    and message_text like '%ORA-%'"""
-_ONLINE = f"""from app_sessions icx, app_users fu
-    where icx.disabled_flag != 'Y' and icx.pseudo_flag = 'N'
-    and icx.last_connect + {{timeout}} > {AS_OF_SQL}
-    and icx.counter < icx.limit_connects and icx.user_id = fu.user_id and fu.user_name != 'GUEST'"""
-SQL["r13_online_users"] = ("select distinct icx.session_id, icx.user_id, fu.user_name, fu.description "
-                           + _ONLINE.format(timeout="to_hours(icx.limit_time)"))
-SQL["r13_online_users_timeout_30m"] = ("select distinct icx.session_id, icx.user_id, fu.user_name, "
-                                       "fu.description " + _ONLINE.format(timeout="interval 30 minute"))
-SQL["r14_online_user_count"] = ("select count(*) as online_users "
-                                + _ONLINE.format(timeout="to_hours(icx.limit_time)"))
-SQL["r15_inactive_sessions"] = """select sid, serial_no, status, module, program, machine,
-    count(*) as session_count from db_sessions
+    from alert_log
+    where originating_timestamp > {AS_OF_SQL} - interval 12 hour and message_text like '%ORA-%'"""
+# sessions still inside their time-out, of real (non-guest) users
+_LIVE = f"""from app_sessions as sess join app_users as usr using (user_id)
+    where sess.disabled_flag <> 'Y' and sess.pseudo_flag = 'N' and sess.counter < sess.limit_connects
+      and usr.user_name <> 'GUEST' and sess.last_connect + {{timeout}} > {AS_OF_SQL}"""
+_LIVE_COLS = "select distinct sess.session_id, user_id, usr.user_name, usr.description "
+SQL["r13_online_users"] = _LIVE_COLS + _LIVE.format(timeout="to_hours(sess.limit_time)")
+SQL["r13_online_users_timeout_30m"] = _LIVE_COLS + _LIVE.format(timeout="interval 30 minute")
+SQL["r14_online_user_count"] = "select count(*) as online_users " + _LIVE.format(
+    timeout="to_hours(sess.limit_time)")
+_IDLE = """select {keys}, count(*) as session_count
+    from db_sessions
     where status = 'INACTIVE' and username = 'APPS' and last_call_et > 86400
-    group by module, program, machine, sid, serial_no, status"""
-SQL["r15_inactive_session_summary"] = """select status, module, program, machine, count(*) as session_count
-    from db_sessions where status = 'INACTIVE' and username = 'APPS' and last_call_et > 86400
-    group by module, program, machine, status"""
+    group by {keys}"""
+SQL["r15_inactive_sessions"] = _IDLE.format(keys="sid, serial_no, status, module, program, machine")
+SQL["r15_inactive_session_summary"] = _IDLE.format(keys="status, module, program, machine")
 SQL["r17_recovery_area"] = f"""select name, space_limit{GIB_SQL} as total_space_gb,
-    space_used{GIB_SQL} as used_space_gb,
-    round(space_limit{GIB_SQL} - space_used{GIB_SQL}) as free_space_gb from recovery_dest"""
+        space_used{GIB_SQL} as used_space_gb,
+        round(space_limit{GIB_SQL} - space_used{GIB_SQL}) as free_space_gb
+    from recovery_dest"""
 for _tok in codes.PARAMETER_TOKENS:
     SQL[f"r18_parameters_{_tok}"] = (f"select name, type, value from parameters "
-                                     f"where lower(name) like '%{_tok}%'")
+                                     f"where contains(lower(name), '{_tok}')")
 SQL["r19_redo_members"] = "select group_no, member from redo_members"
-SQL["r20_log_tail"] = """select host, line_no, line from (
-    select host, line_no, line, row_number() over (partition by host order by line_no desc) as r
-    from host_log) t where r <= 30"""
-_R21 = f"""select distinct b.user_queue_name as concurrent_manager, a.target_node as server_node,
-    a.running_processes as actual, a.max_processes as target,
-    {_case('b.control_code', codes.QUEUE_CONTROL)} as status
-    from queues a, queues_vl b where a.queue_id = b.queue_id"""
-SQL["r21_queue_status"] = _R21 + " and a.running_processes = a.max_processes"
-SQL["r21_queue_status_all"] = _R21
-_RUNTIME = f"round({_minutes_sql('fcr.actual_start_date', AS_OF_SQL)}, 2)"
-SQL["r22_long_running_requests"] = f"""select distinct fcr.request_id as requestid, fu.user_name as username,
-    fr.responsibility_name, fcp.user_program_name as program_name,
-    {_fmt('fcr.actual_start_date')} as start_datetime,
-    case fcr.status_code when 'R' then 'R:RUNNING' else fcr.status_code end as status,
-    {_RUNTIME} as runtime_min, fcr.argument_text as report_arguments
-    from requests fcr, app_users fu, responsibilities fr, programs fcp
-    where fcr.status_code like 'R' and fu.user_id = fcr.requested_by
-    and fr.responsibility_id = fcr.responsibility_id and fcr.program_id = fcp.program_id
-    and fcr.application_id = fcp.application_id and {_RUNTIME} > 60"""
-_PNAME = "case when fcp.user_program_name = 'Report Set' then fcr.description else fcp.user_program_name end"
-_FSTAT = _case("fcr.status_code", codes.FAILED_STATUS)
-SQL["r23_failed_requests"] = f"""select {_PNAME} as program_name, {_FSTAT} as status,
-    fcr.completion_text as error_message, fcr.actual_start_date as start_date, count(*) as request_count
-    from requests fcr, programs fcp
-    where fcr.program_id = fcp.program_id and fcr.status_code in ('E', 'G') and fcp.language = 'US'
-    and fcr.requested_start_date > {AS_OF_SQL} - interval 12 hour
-    group by fcp.user_program_name, fcr.description, {_PNAME}, {_FSTAT}, fcr.completion_text,
-    fcr.actual_start_date"""
+SQL["r20_log_tail"] = """select host, line_no, line from host_log
+    qualify row_number() over (partition by host order by line_no desc) <= 30"""
+_QUEUES = f"""select distinct names.user_queue_name as concurrent_manager, qu.target_node as server_node,
+        qu.running_processes as actual, qu.max_processes as target,
+        {_case('names.control_code', codes.QUEUE_CONTROL)} as status
+    from queues as qu join queues_vl as names using (queue_id)"""
+SQL["r21_queue_status"] = _QUEUES + " where qu.running_processes = qu.max_processes"
+SQL["r21_queue_status_all"] = _QUEUES
+_RUN_MIN = f"round({_minutes_sql('req.actual_start_date', AS_OF_SQL)}, 2)"
+SQL["r22_long_running_requests"] = f"""select distinct req.request_id as requestid, usr.user_name as username,
+        resp.responsibility_name, prog.user_program_name as program_name,
+        {_fmt('req.actual_start_date')} as start_datetime,
+        case when req.status_code = 'R' then 'R:RUNNING' else req.status_code end as status,
+        {_RUN_MIN} as runtime_min, req.argument_text as report_arguments
+    from requests as req
+    join app_users as usr on usr.user_id = req.requested_by
+    join responsibilities as resp using (responsibility_id)
+    join programs as prog using (program_id, application_id)
+    where req.status_code = 'R' and {_RUN_MIN} > 60"""
+_SHOWN_NAME = ("case when prog.user_program_name = 'Report Set' then req.description "
+               "else prog.user_program_name end")
+_FAILED = _case("req.status_code", codes.FAILED_STATUS)
+SQL["r23_failed_requests"] = f"""select {_SHOWN_NAME} as program_name, {_FAILED} as status,
+        req.completion_text as error_message, req.actual_start_date as start_date, count(*) as request_count
+    from requests as req join programs as prog using (program_id)
+    where req.status_code in ('E', 'G') and prog.language = 'US'
+      and req.requested_start_date > {AS_OF_SQL} - interval 12 hour
+    group by prog.user_program_name, req.description, req.status_code, req.completion_text,
+        req.actual_start_date"""
 _LABEL = (f"coalesce({_case('phase_code', codes.SUMMARY_PHASE)}, '') || ' With ' || "
           f"coalesce({_case('status_code', codes.SUMMARY_STATUS)}, '')")
-SQL["r24_request_summary"] = f"""select {_LABEL} as status, count(*) as request_count from requests
-    where requested_start_date > {AS_OF_SQL} - interval 12 hour group by phase_code, status_code"""
-SQL["r24_request_summary_by_label"] = f"""select {_LABEL} as status, count(*) as request_count
-    from requests where requested_start_date > {AS_OF_SQL} - interval 12 hour group by {_LABEL}"""
-SQL["r25_program_runs"] = f"""select distinct a.request_id as requestid, c.user_program_name as program_name,
-    round({_minutes_sql('a.actual_start_date', 'a.actual_completion_date')}, 2) as process_time,
-    {_fmt_short('a.request_date')} as requestdate, {_fmt_short('a.actual_start_date')} as startdate,
-    {_fmt_short('a.actual_completion_date')} as completedate, d.user_name as username,
-    {_case('a.phase_code', codes.RUN_PHASE, codes.RUN_PHASE_DEFAULT)} as phasecode,
-    {_case('a.status_code', codes.RUN_STATUS, codes.RUN_STATUS_DEFAULT)} as statuscode,
-    a.argument_text as program_arg
-    from requests a, programs c, app_users d
-    where a.program_id = c.program_id and a.requested_by = d.user_id
-    and date_trunc('day', a.actual_completion_date) > {AS_OF_SQL} - interval 30 day
-    and c.user_program_name = 'Gather Schema Statistics' and a.argument_text like '%,%,%,%,%,%,%,%,%'"""
-_R26 = f"""select distinct * from (
-    select tl.user_profile_option_name as profile_option,
-    {_case('val.level_id', codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT)} as option_level,
-    val.profile_option_value as profile_value, val.last_update_date as change_date, usr.user_name
-    from profile_options opt, profile_values val, profile_options_tl tl, app_users usr
-    where opt.profile_option_id = val.profile_option_id and opt.profile_option_name = tl.profile_option_name
-    and usr.user_id = val.last_updated_by {{lang}}
+_SUMMARY = f"""select {_LABEL} as status, count(*) as request_count
+    from requests where requested_start_date > {AS_OF_SQL} - interval 12 hour
+    group by {{keys}}"""
+SQL["r24_request_summary"] = _SUMMARY.format(keys="phase_code, status_code")
+SQL["r24_request_summary_by_label"] = _SUMMARY.format(keys="1")
+SQL["r25_program_runs"] = f"""select distinct req.request_id as requestid, prog.user_program_name as program_name,
+        round({_minutes_sql('req.actual_start_date', 'req.actual_completion_date')}, 2) as process_time,
+        {_fmt_short('req.request_date')} as requestdate, {_fmt_short('req.actual_start_date')} as startdate,
+        {_fmt_short('req.actual_completion_date')} as completedate, usr.user_name as username,
+        {_case('req.phase_code', codes.RUN_PHASE, codes.RUN_PHASE_DEFAULT)} as phasecode,
+        {_case('req.status_code', codes.RUN_STATUS, codes.RUN_STATUS_DEFAULT)} as statuscode,
+        req.argument_text as program_arg
+    from requests as req
+    join programs as prog using (program_id)
+    join app_users as usr on usr.user_id = req.requested_by
+    where prog.user_program_name = 'Gather Schema Statistics'
+      and length(req.argument_text) - length(replace(req.argument_text, ',', '')) >= 8
+      and date_trunc('day', req.actual_completion_date) > {AS_OF_SQL} - interval 30 day"""
+_CHANGES = f"""select names.user_profile_option_name as profile_option,
+        {_case('val.level_id', codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT)} as option_level,
+        val.profile_option_value as profile_value, val.last_update_date as change_date, usr.user_name
+    from profile_values as val
+    join profile_options as opt using (profile_option_id)
+    join profile_options_tl as names using (profile_option_name)
+    join app_users as usr on usr.user_id = val.last_updated_by"""
+_LATEST = ("select distinct * from (" + _CHANGES + """ {filter}
     order by change_date desc nulls first, profile_option, option_level, profile_value, user_name
-    limit 2) t"""
-SQL["r26_latest_profile_changes"] = _R26.format(lang="")
-SQL["r26_latest_profile_changes_us"] = _R26.format(lang="and tl.language = 'US'")
-SQL["r26_profile_changes_last_2_days"] = f"""select distinct tl.user_profile_option_name as profile_option,
-    {_case('val.level_id', codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT)} as option_level,
-    val.profile_option_value as profile_value, val.last_update_date as change_date, usr.user_name
-    from profile_options opt, profile_values val, profile_options_tl tl, app_users usr
-    where opt.profile_option_id = val.profile_option_id and opt.profile_option_name = tl.profile_option_name
-    and usr.user_id = val.last_updated_by and val.last_update_date > {AS_OF_SQL} - interval 2 day"""
-SQL["r27_component_status"] = """select distinct fsc.component_id, fsc.component_name,
-    fsc.component_status as status, fcq.enabled_flag as enabled, fsc.inbound_agent_name,
-    fsc.outbound_agent_name, fsc.startup_mode, fsc.last_update_date as updated
-    from components fsc
-    left outer join component_params v on v.component_id = fsc.component_id
-    left outer join param_defs p on v.parameter_id = p.parameter_id
-    left outer join queues fcq on fsc.queue_id = fcq.queue_id
-    left outer join services fcs on fcq.manager_type = fcs.service_id
-    left outer join processes fcp on fcq.queue_id = fcp.queue_id
-        and fcq.application_id = fcp.application_id and fcp.process_status_code = 'A'
-    where fsc.component_type != 'FND_MCS_PUSH_NTF_PROVIDER' and fcs.service_handle = 'FNDCPGSC'
-    and v.parameter_name = 'PROCESSOR_IN_THREAD_COUNT' and fsc.sync_state = 'UPDATED'"""
-SQL["r27_component_status_with_processes"] = """select fsc.component_id, fsc.component_name,
-    fsc.component_status as status, fcq.enabled_flag as enabled, fsc.inbound_agent_name,
-    fsc.outbound_agent_name, fsc.startup_mode, fsc.last_update_date as updated,
-    count(fcp.queue_id) as active_processes
-    from components fsc
-    join queues fcq on fsc.queue_id = fcq.queue_id
-    join services fcs on fcq.manager_type = fcs.service_id
-    left outer join processes fcp on fcq.queue_id = fcp.queue_id
-        and fcq.application_id = fcp.application_id and fcp.process_status_code = 'A'
-    where fsc.component_type != 'FND_MCS_PUSH_NTF_PROVIDER' and fcs.service_handle = 'FNDCPGSC'
-    and fsc.sync_state = 'UPDATED'
-    and exists (select 1 from component_params v where v.component_id = fsc.component_id
-                and v.parameter_name = 'PROCESSOR_IN_THREAD_COUNT')
+    limit 2) as latest""")
+SQL["r26_latest_profile_changes"] = _LATEST.format(filter="")
+SQL["r26_latest_profile_changes_us"] = _LATEST.format(filter="where names.language = 'US'")
+SQL["r26_profile_changes_last_2_days"] = ("select distinct * from (" + _CHANGES + f"""
+    where val.last_update_date > {AS_OF_SQL} - interval 2 day) as recent""")
+# all six tables, outer joins filtered afterwards: checks that dropping two of
+# them and turning the others into semi joins changes nothing
+SQL["r27_component_status"] = """select distinct comp.component_id, comp.component_name,
+        comp.component_status as status, qu.enabled_flag as enabled, comp.inbound_agent_name,
+        comp.outbound_agent_name, comp.startup_mode, comp.last_update_date as updated
+    from components as comp
+    left join component_params as par on par.component_id = comp.component_id
+    left join param_defs as pdef on pdef.parameter_id = par.parameter_id
+    left join queues as qu on qu.queue_id = comp.queue_id
+    left join services as svc on svc.service_id = qu.manager_type
+    left join processes as proc on proc.queue_id = qu.queue_id
+        and proc.application_id = qu.application_id and proc.process_status_code = 'A'
+    where comp.sync_state = 'UPDATED' and comp.component_type <> 'FND_MCS_PUSH_NTF_PROVIDER'
+      and par.parameter_name = 'PROCESSOR_IN_THREAD_COUNT' and svc.service_handle = 'FNDCPGSC'"""
+SQL["r27_component_status_with_processes"] = """select comp.component_id, comp.component_name,
+        comp.component_status as status, qu.enabled_flag as enabled, comp.inbound_agent_name,
+        comp.outbound_agent_name, comp.startup_mode, comp.last_update_date as updated,
+        count(proc.queue_id) as active_processes
+    from components as comp
+    join queues as qu on qu.queue_id = comp.queue_id
+    join services as svc on svc.service_id = qu.manager_type
+    left join processes as proc on proc.queue_id = qu.queue_id
+        and proc.application_id = qu.application_id and proc.process_status_code = 'A'
+    where comp.sync_state = 'UPDATED' and comp.component_type <> 'FND_MCS_PUSH_NTF_PROVIDER'
+      and svc.service_handle = 'FNDCPGSC'
+      and comp.component_id in (select component_id from component_params
+                                where parameter_name = 'PROCESSOR_IN_THREAD_COUNT')
     group by all"""
 SQL["r28_mailer_status"] = """select component_name,
-    case when component_status = 'RUNNING' then 'RUNNING' else 'DOWN' end as component_status
+        case when component_status = 'RUNNING' then 'RUNNING' else 'DOWN' end as component_status
     from components where component_type = 'WF_MAILER' and sync_state = 'UPDATED'"""
 
 # hosts
@@ -373,7 +373,7 @@ _F = "select '{check}' as \"check\", '{sev}' as severity, cast({entity} as varch
      + AS_OF_SQL + " as as_of from ({{body}}) x"
 SQL["s7_findings"] = "\nunion all\n".join([
     _F.format(check="tablespace_usage", sev="WARNING", entity="concat_ws('/', con_name, tablespace_name)",
-              metric="used_percentage", value="used_percentage", thr="90").format(body=_A1),
+              metric="used_percentage", value="used_percentage", thr="90").format(body=_ALERTS),
     _F.format(check="filesystem_usage", sev="WARNING", entity="concat_ws(':', host, filesystem)",
               metric="use_pct", value="use_pct", thr="90").format(body=SQL["m05_filesystem_alerts"]),
     _F.format(check="long_running_request", sev="INFO", entity="requestid", metric="runtime_min",
