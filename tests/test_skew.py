@@ -60,3 +60,27 @@ def test_top_n_per_key(samples):
     assert out.groupBy("host").count().where("count != 3").count() == 0
     from opslens.plans.inspect import physical_plan
     assert "WindowGroupLimit" in physical_plan(out)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 500), st.floats(0, 100)),
+                 min_size=1, max_size=40)
+
+
+@settings(max_examples=12, deadline=None)
+@given(rows=_rows, width=st.sampled_from([1, 7, 60, 1000]), n=st.integers(1, 6))
+def test_random_frames_match_plain_windows(spark, rows, width, n):
+    base = dt.datetime(2024, 1, 1)
+    data = [(h, base + dt.timedelta(minutes=m), i, v) for i, (h, m, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "host string, ts timestamp_ntz, seq bigint, v double")
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width * 60_000_000))
+    w = Window.partitionBy("host").orderBy("ts", "seq")
+    plain = df.select("seq", F.lag("v").over(w).alias("p"),
+                      F.round(F.avg("v").over(w.rowsBetween(-(n - 1), 0)), 9).alias("m"))
+    lag = previous_values(df, ["host"], ["ts", "seq"], ["v"], bucket).select("seq", F.col("prev_v").alias("p"))
+    roll = rolling_mean(df, ["host"], ["ts", "seq"], {"m": F.col("v")}, n, bucket) \
+        .select("seq", F.round("m", 9).alias("m"))
+    ours = lag.join(roll, "seq")
+    assert _collect(ours, ["seq", "p", "m"]) == _collect(plain, ["seq", "p", "m"])
