@@ -58,7 +58,7 @@ def read_text_lines(spark: SparkSession, path: str, host: str | None = None) ->
     ``host`` defaults to the parent folder name.
     """
     df = (spark.read.option("lineSep", "\n").text(path)
-          .withColumn("source", F.input_file_name()))
+          .withColumn("source", F.col("_metadata.file_path")))
     host_col = F.lit(host) if host is not None else F.element_at(F.split("source", "/"), -2)
     return df.select(host_col.alias("host"), "source",
                      F.monotonically_increasing_id().alias("line_no"),
