@@ -350,6 +350,8 @@ SQL["s4_memory_usage_from_free"] = SQL["m03_memory_usage"]
 SQL["f13_filesystem_alerts_from_df"] = SQL["m05_filesystem_alerts"]
 SQL["s3_top_cpu_processes_from_ps"] = SQL["m09_top_cpu_processes"]
 SQL["s3_listening_ports_from_netstat"] = SQL["m14_listening_ports"]
+SQL["s4_disk_average_from_sar"] = SQL["m15_disk_average"]
+SQL["s4_uptime_from_uptime_p"] = SQL["m08_uptime_by_host"]
 
 # streaming reports, batch form
 SQL["t1_error_counts_hourly"] = """select date_trunc('hour', originating_timestamp) as window_start,
@@ -500,6 +502,8 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "f13_filesystem_alerts_from_df": lambda s: hosts.filesystem_alerts(co.df_usage(s.df_lines)),
     "s3_top_cpu_processes_from_ps": lambda s: hosts.top_processes(co.ps_snapshot(s.ps_lines), "pcpu"),
     "s3_listening_ports_from_netstat": lambda s: hosts.listening_ports(co.netstat_listeners(s.netstat_lines)),
+    "s4_disk_average_from_sar": lambda s: hosts.disk_average(co.sar_disk(s.sar_lines)),
+    "s4_uptime_from_uptime_p": lambda s: hosts.uptime_by_host(co.uptime_pretty(s.uptime_pretty_lines), AS_OF),
     "t1_error_counts_hourly": lambda s: streams.error_counts(s.alert_log),
     "t2_memory_window_avg": lambda s: streams.metric_window_avg(_mem_pct(s), "mem_pct"),
     "t3_memory_threshold_transitions": lambda s: streams.threshold_transitions_batch(

@@ -91,3 +91,34 @@ def netstat_listeners(lines: DataFrame) -> DataFrame:
     data = lines.where(F.col("line").rlike(r"^(tcp|udp)"))
     port = F.regexp_extract(F.element_at(parts, 4), r":([0-9]+)$", 1).try_cast("int")
     return data.select(*_keys(lines), F.element_at(parts, 1).alias("proto"), port.alias("port"))
+
+
+def sar_disk(lines: DataFrame) -> DataFrame:
+    """`sar -pd` interval lines as disk samples. Header lines (they name the
+    ``DEV`` column) and the ``Average:`` summary lines are dropped: the
+    averages are recomputed from the samples (``hosts.disk_average``).
+    Fields: time, device, tps, rkB/s, wkB/s, areq-sz, aqu-sz, await, %util.
+    Columns: host, ts, device, tps, util."""
+    parts = _fields()
+    data = lines.where(F.col("line").rlike(r"^[0-9]{2}:[0-9]{2}:[0-9]{2}")
+                       & ~F.col("line").rlike(r"\sDEV\s"))
+    return data.select(*_keys(lines), F.element_at(parts, 2).alias("device"),
+                       _field(parts, 3, "double").alias("tps"),
+                       F.element_at(parts, -1).try_cast("double").alias("util"))
+
+
+_UPTIME_UNITS = (("week", 7 * 24 * 60), ("day", 24 * 60), ("hour", 60), ("minute", 1))
+
+
+def uptime_pretty(lines: DataFrame) -> DataFrame:
+    """`uptime -p` lines ('up 1 week, 2 days, 3 hours, 4 minutes') as the boot
+    time implied at each sample: ``ts - uptime``.
+    Columns: host, ts, uptime_minutes, boot_time."""
+    line = F.col("line")
+    minutes = sum((F.coalesce(F.regexp_extract(line, rf"([0-9]+) {unit}s?\b", 1).try_cast("bigint"),
+                              F.lit(0).cast("bigint")) * F.lit(m)
+                   for unit, m in _UPTIME_UNITS), F.lit(0).cast("bigint"))
+    return (lines.where(line.startswith("up "))
+            .select(*_keys(lines), minutes.alias("uptime_minutes"))
+            .withColumn("boot_time", F.col("ts") - F.make_dt_interval(
+                F.lit(0), F.lit(0), F.col("uptime_minutes").cast("int"), F.lit(0))))

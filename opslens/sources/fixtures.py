@@ -570,3 +570,32 @@ class Snapshot:
             F.lit("Proto Recv-Q Send-Q Local Address           Foreign Address         State"))).alias("line"))
         return data.unionByName(head)
 
+    @cached_property
+    def sar_lines(self) -> DataFrame:
+        """`sar -pd` output: a header per sample time and one line per device
+        sample (no Average lines: sar prints those only at the end)."""
+        d = self.disk_samples
+        t = F.date_format("ts", "HH:mm:ss")
+        data = d.select("host", "ts", F.concat_ws(
+            "  ", t, F.col("device"), _s("tps"), F.lit("0.00"), F.lit("0.00"), F.lit("0.00"),
+            F.lit("0.00"), F.lit("0.00"), _s("util")).alias("line"))
+        head = d.select("host", "ts", F.concat(
+            t, F.lit("  DEV  tps  rkB/s  wkB/s  areq-sz  aqu-sz  await  %util")).alias("line"))
+        return data.unionByName(head)
+
+    @cached_property
+    def uptime_pretty_lines(self) -> DataFrame:
+        """`uptime -p` output at each sample, from its boot time."""
+        b = self.boot_samples
+        mins = F.timestamp_diff("MINUTE", F.col("boot_time"), F.col("ts"))
+        weeks, days = F.floor(mins / 10080), F.floor(mins % 10080 / 1440)
+        hours, minutes = F.floor(mins % 1440 / 60), mins % 60
+
+        def part(n: Column, unit: str) -> Column:
+            return F.when(n > 0, F.concat(_s(n), F.lit(f" {unit}"),
+                                          F.when(n > 1, F.lit("s")).otherwise(F.lit(""))))
+
+        text = F.concat(F.lit("up "), F.concat_ws(", ", part(weeks, "week"), part(days, "day"),
+                                                  part(hours, "hour"), part(minutes, "minute")))
+        return b.select("host", "ts", text.alias("line"))
+

@@ -69,3 +69,21 @@ def test_text_line_source_keeps_file_order(spark):
     rows = sorted(df.collect(), key=lambda r: r["line_no"])
     assert [r["line"] for r in rows] == [f"line {i}" for i in range(50)]
     assert {r["host"] for r in rows} == {"hostA"}
+
+
+def test_sar_disk(spark):
+    lines = _lines(spark, [
+        "12:00:01          DEV       tps     rkB/s     wkB/s     dkB/s   areq-sz    aqu-sz     await     %util",
+        "12:00:03          sda     12.50      0.00    100.00      0.00      8.00      0.01      0.80      1.25",
+        "12:00:03      nvme0n1      3.00      4.00      0.00      0.00      1.33      0.00      0.10      0.30",
+        "Average:          sda     11.00      0.00     90.00      0.00      8.18      0.01      0.75      1.10"])
+    out = sorted((r["device"], r["tps"], r["util"]) for r in co.sar_disk(lines).collect())
+    assert out == [("nvme0n1", 3.0, 0.3), ("sda", 12.5, 1.25)]
+
+
+def test_uptime_pretty(spark):
+    lines = _lines(spark, ["up 1 week, 2 days, 3 hours, 4 minutes", "up 5 minutes", "up 1 hour"])
+    got = sorted(r["uptime_minutes"] for r in co.uptime_pretty(lines).collect())
+    assert got == [5, 60, 7 * 1440 + 2 * 1440 + 3 * 60 + 4]
+    r = co.uptime_pretty(_lines(spark, ["up 2 hours"])).first()
+    assert r["boot_time"] == T - dt.timedelta(hours=2)
