@@ -5,7 +5,7 @@ from the text the collectors print. Each parser takes a DataFrame of lines
 ``(host, [ts,] line)`` and returns typed rows using only built-in string
 functions (split on whitespace, regexp_extract, try_cast), so parsing runs in
 the scan's codegen stage and scales with the number of lines. Header and
-unrelated lines are dropped by a pattern filter, never by position.
+unrelated lines are dropped by a prefix or pattern filter, never by position.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def free_memory(lines: DataFrame) -> DataFrame:
     Columns: host, ts, mem_total, mem_used, swap_total, swap_used."""
     parts = _fields()
     kind = F.element_at(parts, 1)
-    rows = lines.where(F.col("line").rlike(r"^(Mem|Swap):")).select(
+    rows = lines.where(F.col("line").startswith("Mem:") | F.col("line").startswith("Swap:")).select(
         *_keys(lines), kind.alias("kind"), _field(parts, 2, "bigint").alias("total"),
         _field(parts, 3, "bigint").alias("used"))
 
@@ -64,7 +64,7 @@ def df_usage(lines: DataFrame) -> DataFrame:
     use percentage the fifth with '%' stripped, mount point the last.
     Columns: host, filesystem, use_pct, mounted_on."""
     parts = _fields()
-    data = lines.where(~F.col("line").rlike(r"^Filesystem\s"))
+    data = lines.where(~F.col("line").startswith("Filesystem"))
     pct = F.regexp_extract(F.element_at(parts, 5), r"^([0-9]+)%?$", 1).try_cast("int")
     return data.select(*_keys(lines), F.element_at(parts, 1).alias("filesystem"), pct.alias("use_pct"),
                        F.element_at(parts, -1).alias("mounted_on"))
@@ -88,7 +88,7 @@ def netstat_listeners(lines: DataFrame) -> DataFrame:
     (after its last colon); the two header lines are dropped.
     Columns: host, proto, port."""
     parts = _fields()
-    data = lines.where(F.col("line").rlike(r"^(tcp|udp)"))
+    data = lines.where(F.col("line").startswith("tcp") | F.col("line").startswith("udp"))
     port = F.regexp_extract(F.element_at(parts, 4), r":([0-9]+)$", 1).try_cast("int")
     return data.select(*_keys(lines), F.element_at(parts, 1).alias("proto"), port.alias("port"))
 
