@@ -84,13 +84,21 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
         "disk_average": hosts.disk_average(s.disk_samples),
         "vmstat": hosts.vmstat_samples(s.vmstat_lines),
     }
-    found = findings.standard_findings(
-        as_of=as_of, capacity_threshold=threshold, capacity_alerts=alerts,
-        filesystem_alerts=reports["filesystem_alerts"], long_running=reports["long_running_requests"],
-        failed_requests=reports["failed_requests"], mailer_status=reports["mailer_status"],
-        zombies=reports["zombie_processes"],
-        missing_ports=hosts.missing_ports(s.listeners, s.proc_snapshot))
-    return reports, found
+    reports["missing_ports"] = hosts.missing_ports(s.listeners, s.proc_snapshot)
+    return reports, _findings(reports, as_of, threshold)
+
+
+# report tables the findings are built from, by findings argument
+_FINDING_SOURCES = {"capacity_alerts": "tablespace_alerts", "filesystem_alerts": "filesystem_alerts",
+                    "long_running": "long_running_requests", "failed_requests": "failed_requests",
+                    "mailer_status": "mailer_status", "zombies": "zombie_processes",
+                    "missing_ports": "missing_ports"}
+
+
+def _findings(frames: dict[str, DataFrame], as_of, threshold: float) -> DataFrame:
+    return findings.standard_findings(
+        as_of=as_of, capacity_threshold=threshold,
+        **{arg: frames[name] for arg, name in _FINDING_SOURCES.items()})
 
 
 def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, str]:
@@ -99,8 +107,12 @@ def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> d
     Most reports are small next to the cluster, so up to ``parallel_jobs``
     report writes are submitted at once from driver threads (Spark schedules
     concurrent jobs side by side); each write is still a distributed job.
+    The findings are then built from the written alert tables (read back for
+    this day only), not recomputed from the sources: no second scan, and the
+    lineage starts at a durable table.
     Returns report name -> output path."""
-    reports, found = health_check(s, as_of, **kwargs)
+    reports, _ = health_check(s, as_of, **kwargs)
+    threshold = kwargs.get("threshold", codes.CAPACITY_THRESHOLD)
     base = out_dir.rstrip("/")
     day = F.to_date(as_of_lit(as_of))
 
@@ -118,8 +130,13 @@ def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> d
         rest = [(n, d) for n, d in reports.items() if n != "tablespace_usage"]
         with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
             paths.update(pool.map(write, rest))
+        spark = s.spark
+        # read back with the known schema: an empty report has no data files to infer it from
+        written = {name: (spark.read.schema(reports[name].withColumn("as_of_date", day).schema)
+                          .parquet(paths[name]).where(F.col("as_of_date") == day).drop("as_of_date"))
+                   for name in _FINDING_SOURCES.values()}
         paths["findings"] = f"{base}/findings"
-        findings.write_findings(found, paths["findings"])
+        findings.write_findings(_findings(written, as_of, threshold), paths["findings"])
     finally:
         reports["tablespace_usage"].unpersist()
     return paths
