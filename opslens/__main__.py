@@ -14,7 +14,7 @@ import json
 from pyspark.sql import SparkSession
 
 from opslens import report
-from opslens.session import RECOMMENDED_CONF
+from opslens.session import RECOMMENDED_CONF, size_shuffles
 from opslens.sources.fixtures import Snapshot
 
 
@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    size_shuffles(spark, args.snapshot)
     paths = report.run(Snapshot(spark, args.snapshot), args.as_of, args.out,
                        parallel_jobs=args.parallel_jobs, threshold=args.threshold)
     print(json.dumps(paths, indent=1))

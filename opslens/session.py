@@ -79,3 +79,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def input_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total size of the files under ``path`` through the Hadoop FileSystem of
+    the session (works for local, HDFS and object-store paths); None when the
+    size cannot be read."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength())
+    except Exception:  # noqa: BLE001 - sizing is advisory
+        return None
+
+
+def size_shuffles(spark: SparkSession, path: str) -> int | None:
+    """Set ``spark.sql.shuffle.partitions`` for a job reading ``path`` (see
+    ``shuffle_partitions_for``); AQE coalesces from there. Returns the value
+    set, or None when the input size is unknown (setting left as is)."""
+    size = input_bytes(spark, path)
+    if size is None:
+        return None
+    n = shuffle_partitions_for(size, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+

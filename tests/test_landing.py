@@ -50,3 +50,12 @@ def test_sql_over_views_equals_operator(spark, snap_small):
     op = storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers)
     a, b = spark_rows(sql), spark_rows(op)
     assert sorted(a[1], key=repr) == sorted(b[1], key=repr)
+
+
+def test_input_size_and_shuffle_sizing(spark):
+    from opslens.session import input_bytes, shuffle_partitions_for
+    from tests.conftest import SF_SMALL
+    n = input_bytes(spark, SF_SMALL)
+    assert n and n > 100_000
+    assert shuffle_partitions_for(100 * 1024 ** 4, 8000) == 409600
+    assert shuffle_partitions_for(n, 8) == 16
