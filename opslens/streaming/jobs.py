@@ -6,6 +6,8 @@ stopped and a lost executor's work is recomputed from the source files.
 
 * ``start_error_counts``: hourly error counts, append mode; a window is
   written once the watermark has passed its end.
+* ``start_disk_window_avg``: per-host sliding-window disk averages, append
+  mode.
 * ``start_threshold_findings``: per-host alert transitions
   (``applyInPandasWithState``) written into the findings layout through
   ``foreachBatch``. Each micro-batch goes to its own ``batch_id`` partition
@@ -44,6 +46,20 @@ def start_error_counts(spark: SparkSession, source_dir: str, out_path: str, *, g
     return _trigger(w, available_now, interval).start()
 
 
+def start_disk_window_avg(spark: SparkSession, source_dir: str, out_path: str, *, value: str = "util",
+                          glob: str = "events*.parquet", window: str = "1 hour", slide: str = "15 minutes",
+                          late: str = "10 minutes", available_now: bool = False, interval: str = "1 minute",
+                          name: str = "disk_window_avg") -> StreamingQuery:
+    """Per-host sliding-window averages of a disk metric, append mode: a
+    window is written once the watermark has passed its end."""
+    ev = streams.read_table_stream(spark, source_dir, "events", glob=glob)
+    disk = Snapshot(spark, source_dir, overrides={"events": ev}).disk_samples
+    avg = streams.metric_window_avg(disk, value, window=window, slide=slide, late=late)
+    w = (avg.writeStream.outputMode("append").format("parquet").option("path", out_path)
+         .option("checkpointLocation", streams.stream_checkpoint(spark, name)).queryName(name))
+    return _trigger(w, available_now, interval).start()
+
+
 def _write_findings_batch(out_path: str, check: str, threshold: float):
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = _finding_rows(batch, check, threshold)

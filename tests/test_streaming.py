@@ -148,3 +148,18 @@ def test_transitions_with_state_drops_late_rows(spark):
     tr, st = streams.transitions_with_state(batch, state, THRESHOLD)
     assert sorted((r["host"], r["event"]) for r in tr.collect()) == [("h1", "CLEARED"), ("h2", "RAISED")]
     assert sorted((r["host"], r["last_above"]) for r in st.collect()) == [("h1", False), ("h2", True)]
+
+
+def test_window_avg_job(spark, event_dir):
+    from opslens.streaming import jobs
+
+    out = os.path.join(tempfile.mkdtemp(prefix="opslens-stream-out3-"), "disk")
+    q = jobs.start_disk_window_avg(spark, event_dir, out, glob="events-*.parquet", available_now=True,
+                                   name=f"disk-{os.getpid()}-{id(out)}")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = spark.read.parquet(out)
+    batch = streams.metric_window_avg(_batch_snapshot(spark, event_dir).disk_samples, "util")
+    assert 0 < got.count() <= batch.count()
+    # every window written is final: equal to the batch window
+    assert got.join(batch, ["host", "window_start", "window_end", "samples", "avg_value"], "left_anti").count() == 0
