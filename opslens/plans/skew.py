@@ -7,12 +7,15 @@ of the data. The helpers here split each key into time buckets (rows per
 fleet size or history length), run the window per (key, bucket), and supply
 the rows a bucket needs from before its start as *context rows*:
 
-1. per (key, bucket) keep the last ``n_back`` rows (a ``row_number() <= n``
-   filter, which Spark plans as a partial group limit before the shuffle);
-2. over those tails (at most ``n_back`` rows per bucket, so small per key)
-   each tail row finds the later buckets that start within its next
-   ``n_back`` tail rows (``lead`` over the per-key tail order) and is copied
-   to them;
+1. per (key, bucket) keep the last ``n_back`` rows: a ``max_by`` hash
+   aggregate for one row (partial on the map side, no sort), else a
+   ``row_number() <= n`` filter, which Spark plans as a partial group limit
+   before the shuffle;
+2. over those tails (at most ``n_back`` rows per bucket) each tail row finds
+   the later buckets that start within its next ``n_back`` tail rows
+   (``lead`` over the per-key tail order) and is copied to them. This window
+   holds ``n_back`` rows per non-empty bucket of a key, so pick the bucket
+   width to keep buckets per key moderate (an hour over a year is 8,760);
 3. union the context rows into the bucket, run the window, drop them.
 
 The result equals the plain per-key window exactly, whatever the bucket width.
