@@ -115,9 +115,14 @@ def uptime_pretty(lines: DataFrame) -> DataFrame:
     time implied at each sample: ``ts - uptime``.
     Columns: host, ts, uptime_minutes, boot_time."""
     line = F.col("line")
-    minutes = sum((F.coalesce(F.regexp_extract(line, rf"([0-9]+) {unit}s?\b", 1).try_cast("bigint"),
-                              F.lit(0).cast("bigint")) * F.lit(m)
-                   for unit, m in _UPTIME_UNITS), F.lit(0).cast("bigint"))
+
+    def count(unit: str) -> Column:
+        # absent units extract '' -> NULL -> 0; the pattern only matches digits,
+        # so a plain cast is safe (a failing try_cast per row would be slow)
+        digits = F.nullif(F.regexp_extract(line, rf"([0-9]+) {unit}s?\b", 1), F.lit(""))
+        return F.coalesce(digits.cast("bigint"), F.lit(0).cast("bigint"))
+
+    minutes = sum((count(unit) * F.lit(m) for unit, m in _UPTIME_UNITS), F.lit(0).cast("bigint"))
     return (lines.where(line.startswith("up "))
             .select(*_keys(lines), minutes.alias("uptime_minutes"))
             .withColumn("boot_time", F.col("ts") - F.make_dt_interval(

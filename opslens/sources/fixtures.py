@@ -585,17 +585,16 @@ class Snapshot:
 
     @cached_property
     def uptime_pretty_lines(self) -> DataFrame:
-        """`uptime -p` output at each sample, from its boot time."""
-        b = self.boot_samples
-        mins = F.timestamp_diff("MINUTE", F.col("boot_time"), F.col("ts"))
-        weeks, days = F.floor(mins / 10080), F.floor(mins % 10080 / 1440)
-        hours, minutes = F.floor(mins % 1440 / 60), mins % 60
+        """`uptime -p` output at each sample. The uptime is the whole number
+        of hours ``boot_samples`` subtracts (event_id % 97), rendered as
+        '[N days, ]M hours' (the 'up 0 hours' case reads 'up 0 minutes')."""
+        h = (F.col("event_id") % 97).cast("int")
+        days, hours = (h / 24).cast("int"), h % 24
 
         def part(n: Column, unit: str) -> Column:
             return F.when(n > 0, F.concat(_s(n), F.lit(f" {unit}"),
                                           F.when(n > 1, F.lit("s")).otherwise(F.lit(""))))
 
-        text = F.concat(F.lit("up "), F.concat_ws(", ", part(weeks, "week"), part(days, "day"),
-                                                  part(hours, "hour"), part(minutes, "minute")))
-        return b.select("host", "ts", text.alias("line"))
-
+        body = F.concat_ws(", ", part(days, "day"), part(hours, "hour"))
+        text = F.concat(F.lit("up "), F.when(h == 0, F.lit("0 minutes")).otherwise(body))
+        return self.raw("events").select(_host("user_id"), "ts", text.alias("line"))
