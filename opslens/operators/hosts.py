@@ -25,8 +25,10 @@ IDLE_FIELDS = ("idle", "iowait")
 DEFAULT_BUCKET = "hour"
 
 
-def _bucket(ts: str, unit: str) -> Column:
-    return time_bucket(ts, unit)
+def _bucket(ts: str, unit: str | None) -> Column | None:
+    """Time bucket of the skew-safe windows; ``None`` runs the plain per-host
+    window instead (for fleets where no host can hold a large share)."""
+    return None if unit is None else time_bucket(ts, unit)
 
 
 # ---------------------------------------------------------------- probes
@@ -59,7 +61,7 @@ def latest_probe_status(probe_results: DataFrame, by: Sequence[str] = ("url",))
 
 # ------------------------------------------------------------- CPU, memory
 
-def cpu_usage(cpu_samples: DataFrame, bucket: str = DEFAULT_BUCKET) -> DataFrame:
+def cpu_usage(cpu_samples: DataFrame, bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
     """CPU busy percentage between consecutive counter samples of a host:
     (delta total - delta idle) / delta total * 100, 2 decimals, where total is
     the sum of the listed counter fields and idle is idle + iowait. NULL when
@@ -79,7 +81,7 @@ def cpu_usage(cpu_samples: DataFrame, bucket: str = DEFAULT_BUCKET) -> DataFrame
                     pct.alias("cpu_pct")))
 
 
-def memory_usage(mem_samples: DataFrame, samples: int = 5, bucket: str = DEFAULT_BUCKET) -> DataFrame:
+def memory_usage(mem_samples: DataFrame, samples: int = 5, bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
     """Memory used percentage per sample, and its mean over the host's last
     ``samples`` samples (fewer at the start), 2 decimals.
     Columns: host, ts, mem_pct, mem_pct_avg."""
@@ -91,7 +93,7 @@ def memory_usage(mem_samples: DataFrame, samples: int = 5, bucket: str = DEFAULT
                       F.round("mem_pct_avg", 2).alias("mem_pct_avg"))
 
 
-def swap_usage(mem_samples: DataFrame, samples: int = 5, bucket: str = DEFAULT_BUCKET) -> DataFrame:
+def swap_usage(mem_samples: DataFrame, samples: int = 5, bucket: str | None = DEFAULT_BUCKET) -> DataFrame:
     """Swap used percentage as ``memory_usage`` does it; hosts without swap
     (total 0) read 'Not Enabled' and have no percentage.
     Columns: host, ts, swap_pct, swap_pct_avg, swap_state."""

@@ -72,10 +72,14 @@ def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    cols: Sequence[str], bucket: Column, prefix: str = "prev_") -> DataFrame:
+                    cols: Sequence[str], bucket: Column | None, prefix: str = "prev_") -> DataFrame:
     """Attach ``prev_<col>``: the value of ``col`` on the previous row of the
     same key in ``order`` (NULL on a key's first row). Equal to
-    ``lag(col).over(partitionBy(keys).orderBy(order))``."""
+    ``lag(col).over(partitionBy(keys).orderBy(order))``, which is what
+    ``bucket=None`` runs (one read, but a whole key per task)."""
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
+        return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols])
     x = with_context(df, keys, order, bucket, 1)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in order])
     for c in cols:
@@ -84,11 +88,15 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 cols: dict[str, Column], n: int, bucket: Column) -> DataFrame:
+                 cols: dict[str, Column], n: int, bucket: Column | None) -> DataFrame:
     """Mean of each expression over the current and the ``n - 1`` previous
     rows of the key (fewer at the start of a key). ``cols`` maps output name
     to the expression averaged. Equal to ``avg(expr).over(partitionBy(keys)
-    .orderBy(order).rowsBetween(-(n - 1), 0))``."""
+    .orderBy(order).rowsBetween(-(n - 1), 0))``, which is what ``bucket=None``
+    runs (one read, but a whole key per task)."""
+    if bucket is None:
+        w = (Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order]).rowsBetween(-(n - 1), 0))
+        return df.select("*", *[F.avg(expr).over(w).alias(name) for name, expr in cols.items()])
     tmp = {name: f"_v_{name}" for name in cols}
     src = df.select("*", *[expr.alias(tmp[name]) for name, expr in cols.items()])
     x = with_context(src, keys, order, bucket, n - 1) if n > 1 else \

@@ -84,3 +84,15 @@ def test_random_frames_match_plain_windows(spark, rows, width, n):
         .select("seq", F.round("m", 9).alias("m"))
     ours = lag.join(roll, "seq")
     assert _collect(ours, ["seq", "p", "m"]) == _collect(plain, ["seq", "p", "m"])
+
+
+def test_plain_window_option_matches(spark):
+    from opslens.operators import hosts
+    from opslens.sources.fixtures import Snapshot
+    from tests.conftest import SF_SMALL
+    s = Snapshot(spark, SF_SMALL)
+    for op in (hosts.cpu_usage, hosts.memory_usage, hosts.swap_usage):
+        a = op(s.cpu_samples if op is hosts.cpu_usage else s.mem_samples)
+        b = op(s.cpu_samples if op is hosts.cpu_usage else s.mem_samples, bucket=None)
+        cols = sorted(a.columns)
+        assert _collect(a, cols) == _collect(b, cols)
