@@ -28,6 +28,7 @@ EXPECTED_SMALL = {
     "m09_top_cpu_processes": 40, "m01_availability": 2, "m03_memory_usage": 1000,
     "m06_filesystem_usage": 133, "m11_zombie_processes": 30, "m13_thread_count": 10,
     "m15_disk_average": 30, "m17_server_process_counts": 10, "m12_processes_matching": 500,
+    "m14_listening_ports_exact": 127, "m02_cpu_usage": 990, "r23_failed_requests": 1,
 }
 
 
