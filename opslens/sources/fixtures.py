@@ -523,9 +523,11 @@ class Snapshot:
         c = self.cpu_samples
         nums = F.concat_ws(" ", *[_s(x) for x in ("user", "nice", "system", "idle", "iowait", "irq",
                                                   "softirq", "steal")], F.lit("0"), F.lit("0"))
-        return c.select("host", "ts", F.explode(F.array(
-            F.concat(F.lit("cpu  "), nums), F.concat(F.lit("cpu0 "), nums),
-            F.concat(F.lit("intr "), _s("user")))).alias("line"))
+        # the counter text is built once per sample, then used by two lines
+        return (c.select("host", "ts", "user", nums.alias("_nums"))
+                .select("host", "ts", F.explode(F.array(
+                    F.concat(F.lit("cpu  "), F.col("_nums")), F.concat(F.lit("cpu0 "), F.col("_nums")),
+                    F.concat(F.lit("intr "), _s("user")))).alias("line")))
 
     @cached_property
     def free_lines(self) -> DataFrame:
