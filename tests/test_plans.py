@@ -77,3 +77,13 @@ def test_global_sort_has_tie_breakers(spark, name, key):
     plan = pi.physical_plan(QUERIES[name](spark, SF_SMALL))
     m = re.search(r"rangepartitioning\(([^)]*)", plan)
     assert m and key in m.group(1), plan
+
+
+@pytest.mark.parametrize("name", ["m02_cpu_usage", "m03_memory_usage", "t3_memory_threshold_transitions"])
+def test_ordered_host_windows_are_bucketed(spark, name):
+    plan = pi.physical_plan(QUERIES[name](spark, SF_SMALL))
+    specs = [pi._top_level_groups(m.group(1))[1] for m in pi._WINDOW.finditer(plan)]
+    # the row windows (lag / rolling mean) run per (host, bucket); only the small
+    # per-host window over bucket tails is partitioned by host alone
+    assert any("host" in s and "_bucket" in s for s in specs), specs
+    assert sum(1 for s in specs if "_bucket" not in s) <= 1, specs
