@@ -73,14 +73,13 @@ def df_usage(lines: DataFrame) -> DataFrame:
 def ps_snapshot(lines: DataFrame) -> DataFrame:
     """`ps -eo pid,pcpu,pmem,state,thcount,comm` output (header dropped).
     Columns: host, pid, pcpu, pmem, state, thcount, comm."""
-    parts = _fields()
+    # at most 6 parts: the command may contain blanks and stays whole in the last one
+    parts = F.split(F.trim(F.col("line")), WS, 6)
     data = lines.where(F.col("line").rlike(r"^\s*[0-9]"))
     return data.select(
         *_keys(lines), _field(parts, 1, "bigint").alias("pid"), _field(parts, 2, "double").alias("pcpu"),
         _field(parts, 3, "double").alias("pmem"), _field(parts, 4).alias("state"),
-        _field(parts, 5, "int").alias("thcount"),
-        # the command may contain blanks: everything after the fifth field
-        F.regexp_extract(F.trim(F.col("line")), r"^(?:\S+\s+){5}(.*)$", 1).alias("comm"))
+        _field(parts, 5, "int").alias("thcount"), _field(parts, 6).alias("comm"))
 
 
 def netstat_listeners(lines: DataFrame) -> DataFrame:
