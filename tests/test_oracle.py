@@ -80,3 +80,11 @@ def test_column_types_match_oracle(spark, duck_small, name):
     rel = duck_small.sql(SQLS[name])
     theirs = dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert ours == theirs
+
+
+def test_output_column_names_are_plain(spark):
+    import re
+    for name, fn in E.queries().items():
+        cols = fn(spark, SF_SMALL).columns
+        assert len(cols) == len(set(cols)), (name, cols)
+        assert all(re.fullmatch(r"[a-z][a-z0-9_]*", c) for c in cols), (name, cols)
