@@ -3,13 +3,16 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import mixing, packing
+from opslens.llm import html_text, mixing, packing, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op6_best_fit_packing": packing.query,
+    "op7_warc": warc.query,
+    "op10_html_extraction": html_text.query,
 }
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }
