@@ -3,10 +3,12 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import html_text, mixing, packing, warc
+from opslens.llm import edit_embedding, html_text, impact_search, mixing, packing, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
+    "op4_document_fingerprints": edit_embedding.query,
+    "op5_exact_top_k": impact_search.query,
     "op6_best_fit_packing": packing.query,
     "op7_warc": warc.query,
     "op10_html_extraction": html_text.query,
@@ -14,5 +16,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE_SQL,
+    "op5_exact_top_k": impact_search.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
 }
