@@ -3,7 +3,7 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import edit_embedding, html_text, impact_search, mixing, packing, warc
+from opslens.llm import edit_embedding, html_text, impact_search, mixing, ordinal_quality, packing, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_top_k": impact_search.query,
     "op6_best_fit_packing": packing.query,
     "op7_warc": warc.query,
+    "op8_ordinal_quality": ordinal_quality.query,
     "op10_html_extraction": html_text.query,
 }
 
