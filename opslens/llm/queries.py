@@ -3,10 +3,11 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import edit_embedding, html_text, impact_search, mixing, ordinal_quality, packing, warc
+from opslens.llm import edit_embedding, html_text, impact_search, mixing, ordinal_quality, packing, pii, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
+    "op2_pii_surrogates": pii.query,
     "op4_document_fingerprints": edit_embedding.query,
     "op5_exact_top_k": impact_search.query,
     "op6_best_fit_packing": packing.query,
