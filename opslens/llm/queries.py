@@ -3,7 +3,7 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import edit_embedding, html_text, impact_search, mixing, ordinal_quality, packing, pii, warc
+from opslens.llm import edit_embedding, html_text, impact_search, jaccard_join, mixing, ordinal_quality, packing, pii, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_warc": warc.query,
     "op8_ordinal_quality": ordinal_quality.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_html_extraction": html_text.query,
 }
 
