@@ -3,11 +3,12 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import edit_embedding, html_text, impact_search, jaccard_join, mixing, ordinal_quality, packing, pii, warc
+from opslens.llm import edit_embedding, html_text, impact_search, jaccard_join, mixing, ordinal_quality, packing, pii, substring_dedup, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_pii_surrogates": pii.query,
+    "op3_suffix_array_dedup": substring_dedup.query,
     "op4_document_fingerprints": edit_embedding.query,
     "op5_exact_top_k": impact_search.query,
     "op6_best_fit_packing": packing.query,
