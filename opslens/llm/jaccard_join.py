@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.common import cut, pieces, table
+from opslens.llm.common import cut, fresh, pieces, table
 from opslens.llm.components import components
 from opslens.llm.shingles import shingle_sets, signatures, slices
 
@@ -324,10 +324,18 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is their component's smallest, one row for each
-    id; documents without an id stay."""
-    kept = link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    id (of rows that share it, the first by all columns); documents without an
+    id stay."""
+    chosen = (link_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id"))
+              .agg((F.count(F.lit(1)) > 1).alias("repeated")))
+    chosen = cut(chosen)
+    few = chosen.count() <= BROADCAST_SETS  # counted before it is broadcast; larger ones are joined as usual
+    joined = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").cast("long") == F.col("kept_id"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*names))
+    first, = fresh(docs, "nth")
+    repeated = joined.where("repeated").select(*names).withColumn(first, nth).where(F.col(first) == 1).drop(first)
+    return joined.where("not repeated").select(*names).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
