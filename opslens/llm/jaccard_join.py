@@ -326,16 +326,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is their component's smallest, one row for each
     id (of rows that share it, the first by all columns); documents without an
     id stay."""
-    chosen = (link_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id"))
-              .agg((F.count(F.lit(1)) > 1).alias("repeated")))
-    chosen = cut(chosen)
+    kept, repeated, first = fresh(docs, "kept_id", "repeated", "nth")
+    chosen = cut(link_components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept))
+                 .agg((F.count(F.lit(1)) > 1).alias(repeated)))
     few = chosen.count() <= BROADCAST_SETS  # counted before it is broadcast; larger ones are joined as usual
-    joined = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").cast("long") == F.col("kept_id"))
+    joined = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").cast("long") == F.col(kept))
     names = [F.col(f"`{c}`") for c in docs.columns]
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*names))
-    first, = fresh(docs, "nth")
-    repeated = joined.where("repeated").select(*names).withColumn(first, nth).where(F.col(first) == 1).drop(first)
-    return joined.where("not repeated").select(*names).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    ties = joined.where(F.col(repeated)).select(*names).withColumn(first, nth).where(F.col(first) == 1).drop(first)
+    return joined.where(~F.col(repeated)).select(*names).unionByName(ties).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -73,22 +73,21 @@ def copies_per_document(docs: DataFrame, doc_id: str = "doc_id", source: str = "
     """``docs`` with one struct column added (its name is returned too):
     ``size``, ``source_size``, ``target`` and ``copies``, the number of times
     the mix emits the document."""
-    mix, = fresh(docs, "mix")
+    mix, found = fresh(docs, "mix", "of_source")
     size = word_count(F.col("text")) if size is None else size
     sized = docs.withColumn(mix, F.struct(size.alias("size"), F.col(source).alias("source")))
     targets = cut(source_targets(sized.select(f"{mix}.*"), weights=weights, max_repeat=max_repeat))
     # its size is counted before it is broadcast; a larger one is joined as usual
     small = targets.count() <= BROADCAST_SOURCES
-    targets = targets.withColumnRenamed("source", "s")
-    joined = sized.join(
-        F.broadcast(targets) if small else targets, F.col(mix)["source"].eqNullSafe(F.col("s")))
-    m = F.col(mix)
+    targets = targets.select(F.struct("*").alias(found))
+    m, of = F.col(mix), F.col(found)
+    joined = sized.join(F.broadcast(targets) if small else targets, m["source"].eqNullSafe(of["source"]))
     label = F.concat(F.when(m["source"].isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(m["source"], F.lit("")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(of["source_size"] > 0, of["target"] / of["source_size"]).otherwise(F.lit(0.0))
     drawn = unit_hash(F.lit(seed), F.lit("document"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    stratum = F.floor(drawn * F.ceil(F.col("n_docs") / F.lit(STRATUM_ROWS)))
+    stratum = F.floor(drawn * F.ceil(of["n_docs"] / F.lit(STRATUM_ROWS)))
     rows = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
-        m["size"].alias("size"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"),
+        m["size"].alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"),
         label.alias("label"), stratum.alias("stratum"), drawn.alias("drawn")).alias(mix))
     place = F.row_number().over(Window.partitionBy(m["label"], m["stratum"]).orderBy(m["size"], m["drawn"], F.col(doc_id)))
     start = unit_hash(F.lit(seed), F.lit("stratum"), m["label"], m["stratum"].cast("string"))

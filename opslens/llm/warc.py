@@ -85,12 +85,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]
     page_id among the pages of at least ``min_bytes`` with the same payload,
     null where there is no other. Only payloads that occur twice are joined
     back, so their table stays small where few pages repeat."""
-    key, target = fresh(pages, "payload_key", "refers_to")
+    key, same, target = fresh(pages, "payload_key", "same_key", "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.withColumn(key, F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)))
-    twice = (keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
-             .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias(target)).where("n > 1").drop("n"))
-    joined = keyed.join(twice, F.col(key) == F.col("k"), "left")
+    twice = (keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(same))
+             .agg(F.count(F.lit(1)).alias("rows"), F.max("page_id").alias(target)).where("rows > 1").drop("rows"))
+    joined = keyed.join(twice, F.col(key) == F.col(same), "left")
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns], F.when(~F.col("page_id").eqNullSafe(F.col(target)), F.col(target)).alias(target)), target
 
 
