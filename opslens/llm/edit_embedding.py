@@ -160,9 +160,9 @@ def likeness_of(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def near_duplicates(fingerprints: DataFrame, min_likeness: float = 0.8, band: int = 4) -> DataFrame:
-    """Verified links (a, b, likeness), a < b, between fingerprints (doc_id,
-    fingerprint): each with the smallest id that shares one of its bands. Equal
-    fingerprints are taken together first."""
+    """Verified links (a, b, likeness), a < b, of fingerprints (doc_id,
+    fingerprint). Equal ones are one class, linked to its smallest id; classes
+    are linked with the smallest class that shares one of their bands."""
     classes = fingerprints.groupBy("fingerprint").agg(F.min("doc_id").alias("a"))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +181,10 @@ def near_duplicates(fingerprints: DataFrame, min_likeness: float = 0.8, band: in
     first = banded.groupBy("band").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     links = banded.join(first, "band").where("a < b").select("a", "b").distinct()
     texts = classes.select(F.col("a").alias("id"), "fingerprint")
-    return (links.join(texts.withColumnsRenamed({"id": "a", "fingerprint": "fa"}), "a").join(texts.withColumnsRenamed({"id": "b", "fingerprint": "fb"}), "b")
-            .withColumn("likeness", likeness_of("fa", "fb")).where(F.col("likeness") >= min_likeness).select("a", "b", "likeness"))
+    between = (links.join(texts.withColumnsRenamed({"id": "a", "fingerprint": "fa"}), "a").join(texts.withColumnsRenamed({"id": "b", "fingerprint": "fb"}), "b")
+               .withColumn("likeness", likeness_of("fa", "fb")).where(F.col("likeness") >= min_likeness).select("a", "b", "likeness"))
+    members = fingerprints.join(classes, "fingerprint").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    return between.unionByName(members)
 
 
 EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

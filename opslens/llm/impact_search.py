@@ -19,7 +19,8 @@ Nulls and odd rows: rows whose vector is null or holds a null or a non-finite
 component, or whose id is null, take no part; an empty vector scores 0;
 missing trailing components of shorter vectors count as 0; a repeated row is a
 candidate as often as it occurs, and a repeated query row is asked once; rows
-with the query's id are not its candidates.
+with the query's id are not its candidates; components and scores beyond 64
+bits stop at the largest number of 64 bits; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from opslens.llm.common import pieces, table
 
 SCALE = 256
 TOP = 5
+LARGEST = (1 << 63) - 1
 QUERY_ROWS = 512
 BLOCK_ROWS = 8192
 #: Rows per query that may be left for rescoring before another segment is added.
@@ -110,7 +112,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
         at = at[row_ids[at] != query_ids[i]]
         exact = [int(s) for s in (rows[at] @ queries[i] if largest < 2.0 ** 52 else scores[i, at])]
         best = sorted(zip((-s for s in exact), row_ids[at].tolist(), strict=True))[:k]
-        out += [(int(query_ids[i]), r, -s) for s, r in best]
+        out += [(int(query_ids[i]), r, max(-LARGEST, min(LARGEST, -s))) for s, r in best]
     return out
 
 

@@ -181,8 +181,10 @@ def _grams(shards: int):
         doc, gram = np.concatenate(docs), np.concatenate(grams)
         order = np.lexsort((doc, gram))
         doc, gram = doc[order], gram[order]
-        start = np.flatnonzero(np.r_[len(gram) > 0, gram[1:] != gram[:-1]])
-        end = np.r_[start[1:], len(gram)]
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(gram)][:len(start)]
         several = doc[start] != doc[end - 1]
         shard, name = _home(gram[start], shards)
         chunk, out = t.column("chunk")[0].as_py() if t.num_rows else 0, []
