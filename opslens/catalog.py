@@ -1,10 +1,10 @@
 """Registry of named queries: each a Spark DataFrame over a snapshot directory,
 paired with independent DuckDB SQL over the raw tables (the oracle).
 
-The oracle SQL is written independently in plain SQL. Where the Spark
-operator rewrites a query shape (semi joins for filtered outer joins, a range
-bound instead of a truncated date, pre-aggregation before a fan-out join), the
-oracle keeps the direct form, so the pair checks the rewrite as well.
+The oracle SQL reaches the same rows by another route than the operators
+(membership tests and lookups for joins, one conditional aggregate over a
+tagged union, windows for groups and limits) and states every label and list
+of names itself, so that a wrong one in the operators shows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from opslens.streaming import streams
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_SQL = f"timestamp '{AS_OF}'"
+#: A moment with contacts in the half hour before it.
+AS_OF_BUSY = "2024-01-30 12:00:00"
 GIB_SQL = "/1024/1024/1024"
 
 
@@ -35,14 +37,6 @@ class Query:
     sql: str | None
 
 
-def _case(col: str, mapping: dict, default: str | None = None) -> str:
-    def q(v):
-        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-    whens = " ".join(f"when {q(k)} then {q(v)}" for k, v in mapping.items())
-    tail = f" else {q(default)}" if default is not None else ""
-    return f"case {col} {whens}{tail} end"
-
-
 def _fmt(col: str) -> str:
     return f"upper(strftime({col}, '%d-%b-%Y %H:%M:%S'))"
 
@@ -51,10 +45,6 @@ def _fmt_short(col: str) -> str:
     return f"upper(strftime({col}, '%d-%b-%y %H:%M:%S'))"
 
 
-def _minutes_sql(start: str, end: str) -> str:
-    return f"(epoch_us({end}) - epoch_us({start})) / 60000000e0"
-
-
 # ------------------------------------------------------------ SQL bodies
 
 SQL: dict[str, str] = {}
@@ -74,37 +64,40 @@ for _name, _op in (("r03_database_size", "union"), ("r03_database_size_union_all
         data=_SIZE_PART.format(agg=f"sum(files.bytes){GIB_SQL}", tbl="data_files"), op=_op,
         temp=_SIZE_PART.format(agg=f"round(sum(files.bytes){GIB_SQL})", tbl="temp_files"))
 
-SQL["r04_datafile_details"] = """select
-        case when files.con_id = 1 then 'CDB$ROOT' else pdb.name end as container_name,
-        files.tablespace_name, files.file_name, files.status, files.autoextensible as autoextend
-    from data_files as files left join pdbs as pdb using (con_id)"""
-
-# free / allocated GiB per (container, tablespace), containers limited to the known list
-_FREE_GB = f"""(select con_id, tablespace_name, sum(bytes){GIB_SQL} as free_space_gb
-    from free_space join containers using (con_id) group by con_id, tablespace_name)"""
-_ALLOC_GB = f"""(select con_id, tablespace_name, sum(bytes){GIB_SQL} as allocated_space_gb,
-        max(maxbytes){GIB_SQL} as max_allocated_gb
-    from data_files join containers using (con_id) group by con_id, tablespace_name)"""
-_TEMP_GB = f"""select con_id, ctr.name as con_name, tablespace_name, cast(null as double) as free_space_gb,
-        sum(bytes){GIB_SQL} as allocated_space_gb, max(maxbytes){GIB_SQL} as max_allocated_gb
-    from temp_files join containers as ctr using (con_id)
-    group by con_id, ctr.name, tablespace_name"""
-_PERM = f"""select con_id, ctr.name as con_name, tablespace_name, {{free}} as free_space_gb,
-        allocated_space_gb, max_allocated_gb{{pct}}
-    from {{left}} {{how}} join {{right}} using (con_id, tablespace_name)
-    join containers as ctr using (con_id)"""
-SQL["r05_capacity_usage"] = _PERM.format(
-    free="free_space_gb", pct="", left=_FREE_GB, how="inner", right=_ALLOC_GB) + " union all " + _TEMP_GB
-SQL["r05_capacity_usage_keep_full"] = _PERM.format(
-    free="coalesce(free_space_gb, 0e0)", pct="", left=_ALLOC_GB, how="left", right=_FREE_GB
-) + " union all " + _TEMP_GB
-_USED = "(allocated_space_gb - free_space_gb) / allocated_space_gb * 100"
-_ALERTS = ("select * from (" + _PERM.format(free="free_space_gb", pct=f", {_USED} as used_percentage",
-                                             left=_FREE_GB, how="inner", right=_ALLOC_GB)
-           + ") as usage_rows where used_percentage > 90")
+# root files under their own label, the others under whatever name their container has
+SQL["r04_datafile_details"] = """select 'CDB$ROOT' as container_name, tablespace_name, file_name, status,
+        autoextensible as autoextend
+    from data_files where con_id = 1
+    union all
+    select (select max(p.name) from pdbs p where p.con_id = d.con_id), tablespace_name, file_name, status, autoextensible
+    from data_files d where con_id is distinct from 1"""
+
+# one pass over all extents and files, told apart by a tag
+_EXTENTS = """select con_id, tablespace_name, kind = 'temp' as is_temp,
+        sum(case kind when 'free' then bytes end) as free_bytes,
+        sum(case kind when 'free' then 0 else bytes end) as all_bytes, max(top) as top_bytes,
+        bool_or(kind = 'free') as has_free, bool_or(kind = 'file') as has_file
+    from (select con_id, tablespace_name, 'free' as kind, bytes, null as top from free_space
+          union all select con_id, tablespace_name, 'file', bytes, maxbytes from data_files
+          union all select con_id, tablespace_name, 'temp', bytes, maxbytes from temp_files) as tagged
+    group by con_id, tablespace_name, kind = 'temp'"""
+
+
+def _capacity_sql(condition: str, free: str = "free_bytes", more: str = "") -> str:
+    return f"""select e.con_id, k.name as con_name, e.tablespace_name,
+        case when is_temp then null else {free} / 1073741824e0 end as free_space_gb,
+        all_bytes / 1073741824e0 as allocated_space_gb, top_bytes / 1073741824e0 as max_allocated_gb{more}
+    from ({_EXTENTS}) as e, containers as k where k.con_id = e.con_id and ({condition})"""
+
+
+SQL["r05_capacity_usage"] = _capacity_sql("is_temp or (has_free and has_file)")
+SQL["r05_capacity_usage_keep_full"] = _capacity_sql("is_temp or has_file", free="coalesce(free_bytes, 0)")
+_USED = "100e0 * (1e0 * (all_bytes - free_bytes) / nullif(all_bytes, 0))"
+_ALERTS = _capacity_sql(f"not is_temp and has_free and has_file and {_USED} > 90", more=f", {_USED} as used_percentage")
 SQL["a1_capacity_alerts"] = _ALERTS
-SQL["a1_capacity_alerts_with_temp"] = (_ALERTS + " union all select *, cast(null as double) from ("
-                                       + _TEMP_GB + ") as temp_rows where allocated_space_gb > 0")
+SQL["a1_capacity_alerts_with_temp"] = _capacity_sql(
+    f"(is_temp and all_bytes > 0) or (has_free and has_file and {_USED} > 90)",
+    more=f", case when not is_temp then {_USED} end as used_percentage")
 
 SQL["r06_resource_utilization"] = """select resource_name, current_utilization, max_utilization,
         initial_allocation, limit_value
@@ -117,18 +110,18 @@ _ARCHIVE = f"""select date_trunc('day', completion_time) as day,
 SQL["r07_archive_per_day"] = _ARCHIVE.format(lower=f"{AS_OF_SQL} - interval 6 day")
 SQL["r07_archive_per_day_whole_days"] = _ARCHIVE.format(
     lower=f"date_trunc('day', {AS_OF_SQL} - interval 6 day)")
-# temp totals per tablespace name joined on the number only (or number and container)
-_TEMP_USE = f"""with totals as (
-        select ts.name, files.block_size, sum(files.bytes){GIB_SQL} as total_size_gb
-        from tablespaces as ts join temp_files as files on {{on}}
-        group by ts.name, files.block_size)
-    select seg.tablespace_name, totals.total_size_gb,
-        sum(seg.used_blocks * totals.block_size){GIB_SQL} as used_size_gb
-    from sort_segment as seg join totals on seg.tablespace_name = totals.name
-    group by seg.tablespace_name, totals.total_size_gb"""
-SQL["r08_temp_usage"] = _TEMP_USE.format(on="files.ts_no = ts.ts_no")
+# every file counts once for each tablespace row of its number; used blocks are laid against the file block size
+_TEMP_USE = """select u.tablespace_name, any_value(f.total) / 1073741824e0 as total_size_gb,
+        any_value(u.blocks) * f.block_size / 1073741824e0 as used_size_gb
+    from (select distinct tablespace_name, sum(used_blocks) over (partition by tablespace_name) as blocks from sort_segment) as u,
+         (select name, block_size, sum(bytes * copies) as total
+          from temp_files as t, (select name, {key}, count(*) as copies from tablespaces group by all) as n
+          where {match} group by all) as f
+    where f.name = u.tablespace_name
+    group by u.tablespace_name, f.block_size, f.total"""
+SQL["r08_temp_usage"] = _TEMP_USE.format(key="ts_no", match="n.ts_no = t.ts_no")
 SQL["r08_temp_usage_by_container"] = _TEMP_USE.format(
-    on="files.ts_no = ts.ts_no and files.con_id = ts.con_id")
+    key="ts_no, con_id", match="n.ts_no = t.ts_no and n.con_id = t.con_id")
 SQL["r09_block_corruption"] = """select file_no, block_no, blocks, corruption_change_no, corruption_type
     from block_corruption"""
 SQL["r10_invalid_objects"] = """select con_id, owner, object_name, object_type, last_ddl_time as last_ddl_run
@@ -144,15 +137,19 @@ SQL["r11_backup_summary"] = f"""select session_key, {_fmt('job.start_time')} as
 SQL["r12_alert_log_errors"] = f"""select {_fmt('originating_timestamp')} as "timestamp", message_text
     from alert_log
     where originating_timestamp > {AS_OF_SQL} - interval 12 hour and message_text like '%ORA-%'"""
-# sessions still inside their time-out, of real (non-guest) users
-_LIVE = f"""from app_sessions as sess join app_users as usr using (user_id)
-    where sess.disabled_flag <> 'Y' and sess.pseudo_flag = 'N' and sess.counter < sess.limit_connects
-      and usr.user_name <> 'GUEST' and sess.last_connect + {{timeout}} > {AS_OF_SQL}"""
-_LIVE_COLS = "select distinct sess.session_id, user_id, usr.user_name, usr.description "
-SQL["r13_online_users"] = _LIVE_COLS + _LIVE.format(timeout="to_hours(sess.limit_time)")
-SQL["r13_online_users_timeout_30m"] = _LIVE_COLS + _LIVE.format(timeout="interval 30 minute")
-SQL["r14_online_user_count"] = "select count(*) as online_users " + _LIVE.format(
-    timeout="to_hours(sess.limit_time)")
+# who is still inside the time-out (microseconds since the last contact), by membership tests
+def _live(columns: str, timeout_us: str, as_of: str = AS_OF_SQL, tail: str = "") -> str:
+    return f"""select {columns} from app_sessions as a
+    where a.user_id in (select user_id from app_users where user_name is distinct from 'GUEST' and user_name is not null)
+      and a.disabled_flag in ('N') and a.pseudo_flag in ('N') and a.limit_connects - a.counter > 0
+      and epoch_us({as_of}) - epoch_us(a.last_connect) < {timeout_us} {tail}"""
+
+
+_WHO = """a.session_id, a.user_id, (select max(n.user_name) from app_users n where n.user_id = a.user_id) as user_name,
+        (select max(n.description) from app_users n where n.user_id = a.user_id) as description"""
+SQL["r13_online_users"] = _live(_WHO, "a.limit_time * 3600000000", tail="group by all")
+SQL["r13_online_users_timeout_30m"] = _live(_WHO, "30 * 60000000", f"timestamp '{AS_OF_BUSY}'", "group by all")
+SQL["r14_online_user_count"] = _live("count(a.session_id) as online_users", "a.limit_time * 3600000000")
 _IDLE = """select {keys}, count(*) as session_count
     from db_sessions
     where status = 'INACTIVE' and username = 'APPS' and last_call_et > 86400
@@ -163,101 +160,116 @@ SQL["r17_recovery_area"] = f"""select name, space_limit{GIB_SQL} as total_space_
         space_used{GIB_SQL} as used_space_gb,
         round(space_limit{GIB_SQL} - space_used{GIB_SQL}) as free_space_gb
     from recovery_dest"""
-for _tok in codes.PARAMETER_TOKENS:
+for _tok in ("sga", "pga", "processes"):
     SQL[f"r18_parameters_{_tok}"] = (f"select name, type, value from parameters "
                                      f"where contains(lower(name), '{_tok}')")
 SQL["r19_redo_members"] = "select group_no, member from redo_members"
 SQL["r20_log_tail"] = """select host, line_no, line from host_log
     qualify row_number() over (partition by host order by line_no desc) <= 30"""
-_QUEUES = f"""select distinct names.user_queue_name as concurrent_manager, qu.target_node as server_node,
-        qu.running_processes as actual, qu.max_processes as target,
-        {_case('names.control_code', codes.QUEUE_CONTROL)} as status
-    from queues as qu join queues_vl as names using (queue_id)"""
-SQL["r21_queue_status"] = _QUEUES + " where qu.running_processes = qu.max_processes"
-SQL["r21_queue_status_all"] = _QUEUES
-_RUN_MIN = f"round({_minutes_sql('req.actual_start_date', AS_OF_SQL)}, 2)"
-SQL["r22_long_running_requests"] = f"""select distinct req.request_id as requestid, usr.user_name as username,
-        resp.responsibility_name, prog.user_program_name as program_name,
-        {_fmt('req.actual_start_date')} as start_datetime,
-        case when req.status_code = 'R' then 'R:RUNNING' else req.status_code end as status,
-        {_RUN_MIN} as runtime_min, req.argument_text as report_arguments
-    from requests as req
-    join app_users as usr on usr.user_id = req.requested_by
-    join responsibilities as resp using (responsibility_id)
-    join programs as prog using (program_id, application_id)
-    where req.status_code = 'R' and {_RUN_MIN} > 60"""
-_SHOWN_NAME = ("case when prog.user_program_name = 'Report Set' then req.description "
-               "else prog.user_program_name end")
-_FAILED = _case("req.status_code", codes.FAILED_STATUS)
-SQL["r23_failed_requests"] = f"""select {_SHOWN_NAME} as program_name, {_FAILED} as status,
-        req.completion_text as error_message, req.actual_start_date as start_date, count(*) as request_count
-    from requests as req join programs as prog using (program_id)
-    where req.status_code in ('E', 'G') and prog.language = 'US'
-      and req.requested_start_date > {AS_OF_SQL} - interval 12 hour
-    group by prog.user_program_name, req.description, req.status_code, req.completion_text,
-        req.actual_start_date"""
-_LABEL = (f"coalesce({_case('phase_code', codes.SUMMARY_PHASE)}, '') || ' With ' || "
-          f"coalesce({_case('status_code', codes.SUMMARY_STATUS)}, '')")
-_SUMMARY = f"""select {_LABEL} as status, count(*) as request_count
-    from requests where requested_start_date > {AS_OF_SQL} - interval 12 hour
-    group by {{keys}}"""
-SQL["r24_request_summary"] = _SUMMARY.format(keys="phase_code, status_code")
-SQL["r24_request_summary_by_label"] = _SUMMARY.format(keys="1")
-SQL["r25_program_runs"] = f"""select distinct req.request_id as requestid, prog.user_program_name as program_name,
-        round({_minutes_sql('req.actual_start_date', 'req.actual_completion_date')}, 2) as process_time,
-        {_fmt_short('req.request_date')} as requestdate, {_fmt_short('req.actual_start_date')} as startdate,
-        {_fmt_short('req.actual_completion_date')} as completedate, usr.user_name as username,
-        {_case('req.phase_code', codes.RUN_PHASE, codes.RUN_PHASE_DEFAULT)} as phasecode,
-        {_case('req.status_code', codes.RUN_STATUS, codes.RUN_STATUS_DEFAULT)} as statuscode,
-        req.argument_text as program_arg
-    from requests as req
-    join programs as prog using (program_id)
-    join app_users as usr on usr.user_id = req.requested_by
-    where prog.user_program_name = 'Gather Schema Statistics'
-      and length(req.argument_text) - length(replace(req.argument_text, ',', '')) >= 8
-      and date_trunc('day', req.actual_completion_date) > {AS_OF_SQL} - interval 30 day"""
-_CHANGES = f"""select names.user_profile_option_name as profile_option,
-        {_case('val.level_id', codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT)} as option_level,
-        val.profile_option_value as profile_value, val.last_update_date as change_date, usr.user_name
-    from profile_values as val
-    join profile_options as opt using (profile_option_id)
-    join profile_options_tl as names using (profile_option_name)
-    join app_users as usr on usr.user_id = val.last_updated_by"""
-_LATEST = ("select distinct * from (" + _CHANGES + """ {filter}
-    order by change_date desc nulls first, profile_option, option_level, profile_value, user_name
-    limit 2) as latest""")
-SQL["r26_latest_profile_changes"] = _LATEST.format(filter="")
-SQL["r26_latest_profile_changes_us"] = _LATEST.format(filter="where names.language = 'US'")
-SQL["r26_profile_changes_last_2_days"] = ("select distinct * from (" + _CHANGES + f"""
-    where val.last_update_date > {AS_OF_SQL} - interval 2 day) as recent""")
-# all six tables, outer joins filtered afterwards: checks that dropping two of
-# them and turning the others into semi joins changes nothing
-SQL["r27_component_status"] = """select distinct comp.component_id, comp.component_name,
-        comp.component_status as status, qu.enabled_flag as enabled, comp.inbound_agent_name,
-        comp.outbound_agent_name, comp.startup_mode, comp.last_update_date as updated
-    from components as comp
-    left join component_params as par on par.component_id = comp.component_id
-    left join param_defs as pdef on pdef.parameter_id = par.parameter_id
-    left join queues as qu on qu.queue_id = comp.queue_id
-    left join services as svc on svc.service_id = qu.manager_type
-    left join processes as proc on proc.queue_id = qu.queue_id
-        and proc.application_id = qu.application_id and proc.process_status_code = 'A'
-    where comp.sync_state = 'UPDATED' and comp.component_type <> 'FND_MCS_PUSH_NTF_PROVIDER'
-      and par.parameter_name = 'PROCESSOR_IN_THREAD_COUNT' and svc.service_handle = 'FNDCPGSC'"""
-SQL["r27_component_status_with_processes"] = """select comp.component_id, comp.component_name,
-        comp.component_status as status, qu.enabled_flag as enabled, comp.inbound_agent_name,
-        comp.outbound_agent_name, comp.startup_mode, comp.last_update_date as updated,
-        count(proc.queue_id) as active_processes
-    from components as comp
-    join queues as qu on qu.queue_id = comp.queue_id
-    join services as svc on svc.service_id = qu.manager_type
-    left join processes as proc on proc.queue_id = qu.queue_id
-        and proc.application_id = qu.application_id and proc.process_status_code = 'A'
-    where comp.sync_state = 'UPDATED' and comp.component_type <> 'FND_MCS_PUSH_NTF_PROVIDER'
-      and svc.service_handle = 'FNDCPGSC'
-      and comp.component_id in (select component_id from component_params
-                                where parameter_name = 'PROCESSOR_IN_THREAD_COUNT')
-    group by all"""
+# Labels, written out here a second time so that a wrong one in the reports shows.
+_QUEUE_STATE = """(values ('D', 'DEACTIVATING'), ('E', 'DEACTIVATED'), ('N', 'NODE UNAVAILABLE'), ('A', 'ACTIVATING'),
+    ('X', 'TERMINATED'), ('T', 'TERMINATING'), ('V', 'VERIFYING'), ('O', 'SUSPENDING'), ('P', 'SUSPENDED'),
+    ('Q', 'RESUMING'), ('R', 'RESTARTING')) as state(code, label)"""
+_SUMMARY_PHASE = "(values ('R', 'Running'), ('I', 'Inactive'), ('C', 'Completed'), ('P', 'Pending')) as ph(code, label)"
+_SUMMARY_STATUS = """(values ('D', 'Cancelled'), ('U', 'Disabled'), ('E', 'Error'), ('M', 'NoManager'), ('R', 'Normal'),
+    ('I', 'Normal'), ('C', 'Normal'), ('H', 'OnHold'), ('W', 'Paused'), ('B', 'Resuming'), ('P', 'Scheduled'),
+    ('Q', 'Standby'), ('S', 'Suspended'), ('X', 'Terminated'), ('T', 'Terminating'), ('A', 'Waiting'), ('Z', 'Waiting'),
+    ('G', 'Warning')) as st(code, label)"""
+_RUN_PHASE = """(values ('P', 'Pending'), ('R', 'Running'), ('C', 'Completed'), ('I', 'Inactive'), ('B', 'Blocked'),
+    ('G', 'Waiting'), ('H', 'On Hold'), ('E', 'Error'), ('D', 'Cancelled'), ('Q', 'Standby'), ('Z', 'Paused')) as ph(code, label)"""
+_RUN_STATUS = """(values ('A', 'Waiting'), ('B', 'Resuming'), ('C', 'Normal'), ('D', 'Cancelled'), ('E', 'Error'),
+    ('F', 'Scheduled'), ('G', 'Warning'), ('H', 'On Hold'), ('I', 'Normal'), ('M', 'No Manager'), ('Q', 'Standby'),
+    ('S', 'Suspended'), ('T', 'Terminating'), ('U', 'Disabled'), ('W', 'Paused'), ('X', 'Terminated'), ('Z', 'Waiting')) as st(code, label)"""
+_LEVELS = """(values (10001, 'Site'), (10002, 'Application'), (10003, 'Responsibility'), (10004, 'User'), (10005, 'Server'),
+    (10006, 'Organization'), (10007, 'Server+Resp')) as lv(id, label)"""
+
+
+def _label(table: str, key: str, column: str = "code") -> str:
+    return f"(select max(label) from {table} where {column} = {key})"
+
+
+_QUEUES = f"""select v.user_queue_name as concurrent_manager, m.target_node as server_node,
+        m.running_processes as actual, m.max_processes as target, {_label(_QUEUE_STATE, 'v.control_code')} as status
+    from queues_vl as v, queues as m where m.queue_id = v.queue_id {{only}} group by all"""
+SQL["r21_queue_status"] = _QUEUES.format(only="and m.max_processes - m.running_processes = 0")
+SQL["r21_queue_status_all"] = _QUEUES.format(only="")
+# the running requests first, then every name by lookup; a request whose name is missing drops out
+SQL["r22_long_running_requests"] = f"""with slow as (
+        select *, round((epoch_us({AS_OF_SQL}) - epoch_us(actual_start_date)) / 6e7, 2) as mins
+        from requests where status_code = 'R'),
+    named as (
+        select request_id as requestid, (select max(user_name) from app_users where user_id = slow.requested_by) as username,
+            (select max(responsibility_name) from responsibilities t where t.responsibility_id = slow.responsibility_id)
+                as responsibility_name,
+            (select max(user_program_name) from programs t
+             where t.program_id = slow.program_id and t.application_id = slow.application_id) as program_name,
+            {_fmt('actual_start_date')} as start_datetime, 'R:RUNNING' as status, mins as runtime_min,
+            argument_text as report_arguments
+        from slow where mins > 60)
+    select * from named
+    where username is not null and responsibility_name is not null and program_name is not null group by all"""
+# counted by a window over each raw group, one row of it kept
+SQL["r23_failed_requests"] = f"""select case when n.user_program_name <> 'Report Set' then n.user_program_name else f.description end
+        as program_name,
+        case f.status_code when 'E' then 'ERROR' else 'WARNING' end as status, f.completion_text as error_message,
+        f.actual_start_date as start_date,
+        count(*) over (partition by n.user_program_name, f.description, f.status_code, f.completion_text, f.actual_start_date)
+            as request_count
+    from (select * from requests where list_contains(['E', 'G'], status_code)
+          and epoch_us({AS_OF_SQL}) - epoch_us(requested_start_date) < 12 * 3600000000) as f,
+         (select * from programs where language = 'US') as n
+    where n.program_id = f.program_id
+    qualify row_number() over (partition by n.user_program_name, f.description, f.status_code, f.completion_text,
+        f.actual_start_date) = 1"""
+_RECENT = f"""(select phase_code, status_code, count(*) as n from requests
+    where requested_start_date > {AS_OF_SQL} - interval 12 hour group by all)"""
+SQL["r24_request_summary"] = f"""select concat({_label(_SUMMARY_PHASE, 'r.phase_code')}, ' With ',
+        {_label(_SUMMARY_STATUS, 'r.status_code')}) as status, n as request_count from {_RECENT} as r"""
+SQL["r24_request_summary_by_label"] = f"""select status, cast(sum(request_count) as bigint) as request_count
+    from ({SQL["r24_request_summary"]}) as s group by status"""
+SQL["r25_program_runs"] = f"""with runs as (
+        select * from requests
+        where len(string_split(argument_text, ',')) > 8
+          and cast(actual_completion_date as date) > cast({AS_OF_SQL} as date) - 30
+          and program_id in (select program_id from programs where user_program_name = 'Gather Schema Statistics')
+          and requested_by in (select user_id from app_users))
+    select request_id as requestid, 'Gather Schema Statistics' as program_name,
+        round((epoch_us(actual_completion_date) - epoch_us(actual_start_date)) / 6e7, 2) as process_time,
+        {_fmt_short('request_date')} as requestdate, {_fmt_short('actual_start_date')} as startdate,
+        {_fmt_short('actual_completion_date')} as completedate,
+        (select max(user_name) from app_users u where u.user_id = runs.requested_by) as username,
+        coalesce({_label(_RUN_PHASE, 'runs.phase_code')}, 'Unknown Phase') as phasecode,
+        coalesce({_label(_RUN_STATUS, 'runs.status_code')}, 'Unknown Status') as statuscode, argument_text as program_arg
+    from runs group by all"""
+# every change in every language, numbered newest first
+_CHANGES = f"""select t.user_profile_option_name as profile_option,
+        coalesce({_label(_LEVELS, 'c.level_id', 'id')}, 'No idea, boss') as option_level,
+        c.profile_option_value as profile_value, c.last_update_date as change_date, u.user_name, t.language
+    from profile_options_tl as t, profile_options as o, profile_values as c, app_users as u
+    where o.profile_option_name = t.profile_option_name and c.profile_option_id = o.profile_option_id
+      and c.last_updated_by = u.user_id"""
+_NEWEST = """select profile_option, option_level, profile_value, change_date, user_name from (
+        select *, row_number() over (order by change_date desc nulls first, profile_option, option_level, profile_value, user_name) as nth
+        from ({changes}) as x where {only}) as numbered
+    where nth <= 2 group by all"""
+SQL["r26_latest_profile_changes"] = _NEWEST.format(changes=_CHANGES, only="true")
+SQL["r26_latest_profile_changes_us"] = _NEWEST.format(changes=_CHANGES, only="language = 'US'")
+SQL["r26_profile_changes_last_2_days"] = f"""select profile_option, option_level, profile_value, change_date, user_name
+    from ({_CHANGES}) as x where epoch_us({AS_OF_SQL}) - epoch_us(change_date) < 48 * 3600000000 group by all"""
+# membership tests for what only restricts the components, a lookup for the queue's flag
+_KEPT = """c.sync_state = 'UPDATED' and not (c.component_type = 'FND_MCS_PUSH_NTF_PROVIDER')
+      and exists (select 1 from component_params p
+                  where p.component_id = c.component_id and p.parameter_name = 'PROCESSOR_IN_THREAD_COUNT')
+      and exists (select 1 from queues q, services s
+                  where q.queue_id = c.queue_id and s.service_id = q.manager_type and s.service_handle = 'FNDCPGSC')"""
+_COMPONENT = """c.component_id, c.component_name, c.component_status as status,
+        (select max(q.enabled_flag) from queues q where q.queue_id = c.queue_id) as enabled,
+        c.inbound_agent_name, c.outbound_agent_name, c.startup_mode, c.last_update_date as updated"""
+SQL["r27_component_status"] = f"select {_COMPONENT} from components c where {_KEPT} group by all"
+SQL["r27_component_status_with_processes"] = f"""select {_COMPONENT},
+        (select count(*) from processes a, queues q where q.queue_id = c.queue_id and a.queue_id = q.queue_id
+            and a.application_id = q.application_id and a.process_status_code = 'A') as active_processes
+    from components c where {_KEPT}"""
 SQL["r28_mailer_status"] = """select component_name,
         case when component_status = 'RUNNING' then 'RUNNING' else 'DOWN' end as component_status
     from components where component_type = 'WF_MAILER' and sync_state = 'UPDATED'"""
@@ -300,7 +312,7 @@ SQL["m03_recent_memory"] = """select host, count(*) as samples,
     where r <= 5 group by host"""
 SQL["m05_filesystem_alerts"] = """select host, filesystem, use_pct from fs_usage
     where not regexp_matches(filesystem, 'tmpfs|cdrom') and use_pct >= 90"""
-SQL["m06_filesystem_usage"] = """select host, filesystem, use_pct from fs_usage
+SQL["m06_filesystem_usage"] = """select host, filesystem, size, used, available, use_pct, mounted_on from fs_usage
     where filesystem not like '%tmpfs%'"""
 SQL["m07_load_average"] = """select host, ts,
     try_cast(trim(string_split(string_split_regex(line, '[a-z]:')[2], ',')[1]) as double) as load_1,
@@ -310,7 +322,8 @@ SQL["m07_load_average"] = """select host, ts,
 SQL["m08_uptime_by_host"] = f"""select host, arg_max(boot_time, ts) as boot_time,
     (epoch_us({AS_OF_SQL}) - epoch_us(arg_max(boot_time, ts))) / 3.6e9 as uptime_hours
     from boot_samples group by host"""
-_TOP = """select host, "rank", pid, comm, pcpu, pmem, state, thcount from (
+_TOP = """select host, "rank", ruser, pid, ppid, nice, wchan, pmem, pcpu, cpu_time, euser, state, flags, start_time,
+    thcount, comm from (
     select *, cast(row_number() over (partition by host order by {by} desc nulls last, pid) as integer) as "rank"
     from proc_snapshot) t where "rank" <= 4"""
 SQL["m09_top_cpu_processes"] = _TOP.format(by="pcpu")
@@ -318,6 +331,8 @@ SQL["m10_top_memory_processes"] = _TOP.format(by="pmem")
 SQL["m11_zombie_processes"] = "select host, pid, comm, state from proc_snapshot where state like 'Z%'"
 SQL["m12_processes_matching"] = r"""select host, pid, comm from proc_snapshot
     where regexp_matches(comm, '\b(smon|tnslsnr)\b')"""
+SQL["m12_processes_matching_token"] = """select host, pid, comm from proc_snapshot
+    where list_has_any(string_split_regex(comm, '[^A-Za-z0-9]+'), ['smon', 'tnslsnr'])"""
 SQL["m13_thread_count"] = """select u.host, u.processes, u.threads, l.max_user_processes,
     round(u.threads * 100e0 / l.max_user_processes, 2) as used_pct
     from (select host, count(*) as processes, cast(sum(thcount) as bigint) as threads
@@ -330,23 +345,32 @@ SQL["m14_missing_ports"] = """select h.host, p.port from (select distinct host f
     (select unnest([7052, 8050, 1571]) as port) p
     where not exists (select 1 from listeners l where l.host = h.host and l.port = p.port)"""
 SQL["m15_disk_average"] = """select host, device, count(*) as samples, round(avg(tps), 2) as avg_tps,
-    round(avg(util), 2) as avg_util from disk_samples group by host, device"""
+    round(avg(rkb_s), 2) as avg_rkb_s, round(avg(wkb_s), 2) as avg_wkb_s, round(avg(areq_sz), 2) as avg_areq_sz,
+    round(avg(aqu_sz), 2) as avg_aqu_sz, round(avg(await_ms), 2) as avg_await_ms, round(avg(util), 2) as avg_util
+    from disk_samples group by host, device"""
 _VM = ", ".join(
     (f"string_split_regex(trim(line), '\\s+')[{i + 1}] as {c}" if c in ("date", "time") else
      f"try_cast(string_split_regex(trim(line), '\\s+')[{i + 1}] as bigint) as {c}")
-    for i, c in enumerate(codes.VMSTAT_COLUMNS))
+    for i, c in enumerate(("run", "block", "swap", "free_mem", "buff_mem", "cache_mem", "swp_in", "swp_out", "blk_in", "blk_out",
+                           "interrupts", "ctx_switch", "usr", "sys", "idle", "wait", "steal", "date", "time")))
 SQL["m16_vmstat_samples"] = (f"select host, line_no, {_VM} from vmstat_lines "
-                             "where regexp_matches(line, '^\\s*[0-9]')")
+                             "where regexp_matches(line, '^\\s*[0-9]') and len(string_split_regex(trim(line), '\\s+')) >= 19")
 SQL["m17_server_process_counts"] = "select host, " + ", ".join(
-    f"count(*) filter (where comm like '%{k}%') as {k}" for k in codes.SERVER_PROCESS_KINDS
+    f"count(*) filter (where comm like '%{k}%') as {k}" for k in ("oacore_server", "forms_server", "oafm_server")
 ) + " from proc_snapshot group by host"
 SQL["m19_logged_on_users"] = r"""select host, regexp_extract(line, '^(\S+)', 1) as user_name,
     count(*) as sessions from who_lines group by host, regexp_extract(line, '^(\S+)', 1)"""
 
+SQL["m19_logged_on_sessions"] = r"""select host, f[1] as user_name, f[2] as terminal, f[3] || ' ' || f[4] as login_time, f[5] as idle,
+    cast(f[6] as bigint) as pid from (select host, string_split_regex(line, '\s+') as f from who_lines) w"""
+SQL["s4_core_counts"] = """select distinct host, cast(1 + cast(substr(host, 5) as int) % 4 as bigint) as cores from cpu_samples"""
+SQL["s4_rejected_df_lines"] = """select host, count(*) + 3 as data_lines, cast(3 as bigint) as rejected from fs_usage group by host"""
+
 # text parsers: parsing the rendered command output must give back the
 # sample tables, so the oracle is the same report over those tables
 SQL["s4_cpu_usage_from_proc_stat"] = SQL["m02_cpu_usage"]
 SQL["s4_memory_usage_from_free"] = SQL["m03_memory_usage"]
+SQL["s4_swap_usage_from_meminfo"] = SQL["m04_swap_usage"]
 SQL["f13_filesystem_alerts_from_df"] = SQL["m05_filesystem_alerts"]
 SQL["s3_top_cpu_processes_from_ps"] = SQL["m09_top_cpu_processes"]
 SQL["s3_listening_ports_from_netstat"] = SQL["m14_listening_ports"]
@@ -403,18 +427,19 @@ def _mem_pct(s: Snapshot) -> DataFrame:
     return s.mem_samples.withColumn("mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
 
 
-def _usage(s: Snapshot, keep_full: bool = False) -> DataFrame:
-    return storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers, keep_full)
+def _usage(s: Snapshot, keep_full: bool = False, ordered: bool = True) -> DataFrame:
+    return storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers, keep_full, ordered)
 
 
 def _findings(s: Snapshot) -> DataFrame:
     return fnd.standard_findings(
         as_of=AS_OF,
-        capacity_alerts=storage.capacity_alerts(_usage(s)),
+        # a union needs none of the listings' orders
+        capacity_alerts=storage.capacity_alerts(_usage(s, ordered=False), ordered=False),
         filesystem_alerts=hosts.filesystem_alerts(s.fs_usage),
         long_running=requests.long_running_requests(s.requests, _users(s), s.responsibilities,
-                                                    s.programs, AS_OF),
-        failed_requests=requests.failed_requests(s.requests, s.programs, AS_OF),
+                                                    s.programs, AS_OF, ordered=False),
+        failed_requests=requests.failed_requests(s.requests, s.programs, AS_OF, ordered=False),
         mailer_status=components.mailer_status(s.components),
         zombies=hosts.zombie_processes(s.proc_snapshot),
         missing_ports=hosts.missing_ports(s.listeners, s.proc_snapshot))
@@ -429,8 +454,8 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "r04_datafile_details": lambda s: storage.datafile_details(s.data_files, s.pdbs),
     "r05_capacity_usage": lambda s: _usage(s),
     "r05_capacity_usage_keep_full": lambda s: _usage(s, keep_full=True),
-    "a1_capacity_alerts": lambda s: storage.capacity_alerts(_usage(s)),
-    "a1_capacity_alerts_with_temp": lambda s: storage.capacity_alerts(_usage(s), include_temp=True),
+    "a1_capacity_alerts": lambda s: storage.capacity_alerts(_usage(s, ordered=False)),
+    "a1_capacity_alerts_with_temp": lambda s: storage.capacity_alerts(_usage(s, ordered=False), include_temp=True),
     "r06_resource_utilization": lambda s: database.resource_utilization(s.resource_limit),
     "r07_archive_per_day": lambda s: storage.archive_per_day(s.archived_log, AS_OF),
     "r08_temp_usage": lambda s: storage.temp_usage(s.sort_segment, s.tablespaces, s.temp_files),
@@ -444,7 +469,7 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "r11_backup_summary": lambda s: database.backup_summary(s.backup_jobs, AS_OF),
     "r12_alert_log_errors": lambda s: database.alert_log_errors(s.alert_log, AS_OF),
     "r13_online_users": lambda s: activity.online_users(s.app_sessions, s.app_users, AS_OF),
-    "r13_online_users_timeout_30m": lambda s: activity.online_users(s.app_sessions, s.app_users, AS_OF,
+    "r13_online_users_timeout_30m": lambda s: activity.online_users(s.app_sessions, s.app_users, AS_OF_BUSY,
                                                                     timeout_minutes=30),
     "r14_online_user_count": lambda s: activity.online_user_count(s.app_sessions, s.app_users, AS_OF),
     "r15_inactive_sessions": lambda s: activity.inactive_sessions(s.db_sessions),
@@ -489,6 +514,7 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "m10_top_memory_processes": lambda s: hosts.top_processes(s.proc_snapshot, "pmem"),
     "m11_zombie_processes": lambda s: hosts.zombie_processes(s.proc_snapshot),
     "m12_processes_matching": lambda s: hosts.processes_matching(s.proc_snapshot),
+    "m12_processes_matching_token": lambda s: hosts.processes_matching(s.proc_snapshot, token=True),
     "m13_thread_count": lambda s: hosts.thread_count(s.proc_snapshot, s.host_limits),
     "m14_listening_ports": lambda s: hosts.listening_ports(s.listeners),
     "m14_listening_ports_exact": lambda s: hosts.listening_ports(s.listeners, exact=True),
@@ -497,6 +523,10 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "m16_vmstat_samples": lambda s: hosts.vmstat_samples(s.vmstat_lines),
     "m17_server_process_counts": lambda s: hosts.server_process_counts(s.proc_snapshot),
     "m19_logged_on_users": lambda s: hosts.logged_on_users(s.who_lines),
+    "m19_logged_on_sessions": lambda s: co.who_sessions(s.who_lines),
+    "s4_core_counts": lambda s: co.core_counts(s.proc_stat_lines),
+    "s4_rejected_df_lines": lambda s: co.rejected_lines(s.df_lines, "df"),
+    "s4_swap_usage_from_meminfo": lambda s: hosts.swap_usage(co.meminfo(s.meminfo_lines)),
     "s4_cpu_usage_from_proc_stat": lambda s: hosts.cpu_usage(co.proc_stat_cpu(s.proc_stat_lines)),
     "s4_memory_usage_from_free": lambda s: hosts.memory_usage(co.free_memory(s.free_lines)),
     "f13_filesystem_alerts_from_df": lambda s: hosts.filesystem_alerts(co.df_usage(s.df_lines)),

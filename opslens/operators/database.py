@@ -52,7 +52,7 @@ def invalid_object_counts(db_objects: DataFrame) -> DataFrame:
 
 
 def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
-                   order_by_time: bool = False) -> DataFrame:
+                   order_by_time: bool = False, ordered: bool = True) -> DataFrame:
     """Backup jobs started in the last ``days`` days, times as
     'DD-MON-YYYY HH24:MI:SS' text. The source report sorts on that text
     (so 31-JAN sorts above 01-FEB); ``order_by_time=True`` sorts on the time.
@@ -64,7 +64,9 @@ def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
                     "autobackup_count", "input_type", "elapsed_seconds",
                     F.col("start_time").alias("_t"))
     key = F.col("_t") if order_by_time else F.col("start_time")
-    return out.orderBy(key.desc_nulls_first()).drop("_t")
+    if ordered:
+        out = out.orderBy(key.desc_nulls_first(), F.col("session_key").asc_nulls_last())
+    return out.drop("_t")
 
 
 def alert_log_errors(alert_log: DataFrame, as_of, hours: float = 12,
@@ -77,15 +79,16 @@ def alert_log_errors(alert_log: DataFrame, as_of, hours: float = 12,
     out = df.select(report_datetime("originating_timestamp").alias("timestamp"), "message_text",
                     "originating_timestamp")
     if ordered:
-        out = out.orderBy(F.col("originating_timestamp").asc_nulls_last())
+        out = out.orderBy(F.col("originating_timestamp").asc_nulls_last(), F.col("message_text").asc_nulls_last())
     return out.drop("originating_timestamp")
 
 
-def parameters_like(parameters: DataFrame, token: str) -> DataFrame:
-    """Configuration parameters whose name contains ``token`` (any case).
+def parameters_like(parameters: DataFrame, token: str, ordered: bool = True) -> DataFrame:
+    """Configuration parameters whose name contains ``token`` (any case), by
+    name, then value (one name repeats in every database of a fleet).
     Columns: name, type, value."""
-    return (parameters.where(F.lower("name").contains(token.lower()))
-            .select("name", "type", "value").orderBy("name"))
+    out = parameters.where(F.lower("name").contains(token.lower())).select("name", "type", "value")
+    return out.orderBy("name", "value", "type") if ordered else out
 
 
 def redo_members(members: DataFrame) -> DataFrame:

@@ -3,16 +3,19 @@
 The source appends report sections and an alert block to one HTML file; here
 each check contributes rows ``(check, severity, entity, metric, value,
 threshold, as_of)`` and the table is written partitioned by day and check.
-Re-running a day replaces exactly that day's partitions (dynamic overwrite),
-so a re-run after a lost executor or a failed job is idempotent.
+Re-running a day replaces the partition of every check that ran, also of one
+that found nothing, so cleared alerts go; checks that did not run keep theirs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.exprs import as_of_lit
+from opslens.functions.exprs import as_of_lit, parse_as_of
 
 FINDING_COLUMNS = ("check", "severity", "entity", "metric", "value", "threshold", "as_of")
 
@@ -77,11 +80,21 @@ def standard_findings(*, as_of, capacity_alerts: DataFrame | None = None,
     return findings(parts)
 
 
-def write_findings(df: DataFrame, path: str) -> None:
-    """Write findings as Parquet partitioned by (as_of_date, check), replacing
-    only the partitions present in ``df``."""
-    (df.withColumn("as_of_date", F.to_date("as_of"))
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy("as_of_date", "check")
-       .parquet(path))
+#: The checks of ``standard_findings`` by argument name.
+CHECKS = {"capacity_alerts": "tablespace_usage", "filesystem_alerts": "filesystem_usage",
+          "long_running": "long_running_request", "failed_requests": "failed_request",
+          "mailer_status": "mailer_down", "zombies": "zombie_process", "missing_ports": "port_not_listening"}
+
+
+def write_findings(df: DataFrame, path: str, as_of, checks: Sequence[str]) -> None:
+    """Write one day's findings under ``path/as_of_date=.../check=...``. The
+    partition of every check in ``checks`` (those that ran) is overwritten as a
+    whole, with no rows where the check found nothing."""
+    day = parse_as_of(as_of).date().isoformat()
+    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for check in checks:
+            (rows.where(F.col("check") == check).drop("check").write.mode("overwrite")
+             .parquet(f"{path.rstrip('/')}/as_of_date={day}/check={check}"))
+    finally:
+        rows.unpersist()

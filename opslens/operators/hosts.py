@@ -56,7 +56,7 @@ def latest_probe_status(probe_results: DataFrame, by: Sequence[str] = ("url",))
     Columns: <by...>, last_probe_ts, http_status."""
     return (probe_results.groupBy(*by)
             .agg(F.max("ts").alias("last_probe_ts"),
-                 F.max_by("http_status", "ts").alias("http_status")))
+                 F.max_by("http_status", F.struct("ts", "http_status")).alias("http_status")))
 
 
 # ------------------------------------------------------------- CPU, memory
@@ -71,7 +71,7 @@ def cpu_usage(cpu_samples: DataFrame, bucket: str | None = DEFAULT_BUCKET) -> Da
     total = sum((F.col(c) for c in CPU_FIELDS[1:]), F.col(CPU_FIELDS[0]))
     idle = F.col(IDLE_FIELDS[0]) + F.col(IDLE_FIELDS[1])
     df = cpu_samples.select("host", "ts", total.alias("total"), idle.alias("idle_t"))
-    df = previous_values(df, ["host"], ["ts"], ["ts", "total", "idle_t"], _bucket("ts", bucket))
+    df = previous_values(df, ["host"], ["ts", "total", "idle_t"], ["ts", "total", "idle_t"], _bucket("ts", bucket))
     d_total = F.col("total") - F.col("prev_total")
     d_idle = F.col("idle_t") - F.col("prev_idle_t")
     pct = F.when((d_total > 0) & (d_idle >= 0) & (d_idle <= d_total),
@@ -87,7 +87,7 @@ def memory_usage(mem_samples: DataFrame, samples: int = 5, bucket: str | None =
     Columns: host, ts, mem_pct, mem_pct_avg."""
     pct = F.try_divide(F.col("mem_used") * F.lit(100.0), F.col("mem_total"))
     df = mem_samples.select("host", "ts", pct.alias("mem_pct"))
-    out = rolling_mean(df, ["host"], ["ts"], {"mem_pct_avg": F.col("mem_pct")}, samples,
+    out = rolling_mean(df, ["host"], ["ts", "mem_pct"], {"mem_pct_avg": F.col("mem_pct")}, samples,
                        _bucket("ts", bucket))
     return out.select("host", "ts", F.round("mem_pct", 2).alias("mem_pct"),
                       F.round("mem_pct_avg", 2).alias("mem_pct_avg"))
@@ -100,7 +100,7 @@ def swap_usage(mem_samples: DataFrame, samples: int = 5, bucket: str | None = DE
     enabled = F.col("swap_total") > 0
     pct = F.when(enabled, F.col("swap_used") * F.lit(100.0) / F.col("swap_total"))
     df = mem_samples.select("host", "ts", pct.alias("swap_pct"), enabled.alias("_on"))
-    out = rolling_mean(df, ["host"], ["ts"], {"swap_pct_avg": F.col("swap_pct")}, samples,
+    out = rolling_mean(df, ["host"], ["ts", "swap_pct"], {"swap_pct_avg": F.col("swap_pct")}, samples,
                        _bucket("ts", bucket))
     return out.select("host", "ts", F.round("swap_pct", 2).alias("swap_pct"),
                       F.round("swap_pct_avg", 2).alias("swap_pct_avg"),
@@ -111,7 +111,7 @@ def recent_memory(mem_samples: DataFrame, samples: int = 5) -> DataFrame:
     """Report form: per host, mean memory and swap percentage of the latest
     ``samples`` samples (swap NULL when not enabled).
     Columns: host, samples, mem_pct_avg, swap_pct_avg, swap_state."""
-    last = top_n_per_key(mem_samples, ["host"], [F.col("ts").desc()], samples)
+    last = top_n_per_key(mem_samples, ["host"], [F.col(c).desc() for c in ("ts", "mem_used", "swap_used")], samples)
     enabled = F.col("swap_total") > 0
     return (last.groupBy("host").agg(
         F.count(F.lit(1)).alias("samples"),
@@ -134,8 +134,10 @@ def filesystem_alerts(fs_usage: DataFrame, threshold: float = codes.CAPACITY_THR
 
 
 def filesystem_usage(fs_usage: DataFrame) -> DataFrame:
-    """File-system listing without tmpfs. Columns: host, filesystem, use_pct."""
-    return fs_usage.where(~F.col("filesystem").contains("tmpfs")).select("host", "filesystem", "use_pct")
+    """File-system listing without tmpfs.
+    Columns: host, filesystem, size, used, available, use_pct, mounted_on."""
+    return fs_usage.where(~F.col("filesystem").contains("tmpfs")).select(
+        "host", "filesystem", "size", "used", "available", "use_pct", "mounted_on")
 
 
 # ------------------------------------------------------------ text parsers
@@ -144,9 +146,9 @@ def load_average(uptime_lines: DataFrame) -> DataFrame:
     """1, 5 and 15 minute load averages out of `uptime` lines: the text after
     the first 'letter:' ('average:'), split on commas.
     Columns: host, ts, load_1, load_5, load_15."""
-    tail = F.element_at(F.split(F.col("line"), "[a-z]:"), 2)
+    tail = F.get(F.split(F.col("line"), "[a-z]:"), F.lit(1))
     parts = F.split(tail, ",")
-    loads = [F.trim(F.element_at(parts, i + 1)).try_cast("double") for i in range(3)]
+    loads = [F.trim(F.get(parts, F.lit(i))).try_cast("double") for i in range(3)]
     return uptime_lines.select("host", "ts", loads[0].alias("load_1"), loads[1].alias("load_5"),
                                loads[2].alias("load_15"))
 
@@ -154,21 +156,21 @@ def load_average(uptime_lines: DataFrame) -> DataFrame:
 def uptime_by_host(boot_samples: DataFrame, as_of) -> DataFrame:
     """Uptime at ``as_of`` from the boot time reported with each host's latest
     sample. Columns: host, boot_time, uptime_hours."""
-    latest = boot_samples.groupBy("host").agg(F.max_by("boot_time", "ts").alias("boot_time"))
+    latest = boot_samples.groupBy("host").agg(F.max_by("boot_time", F.struct("ts", "boot_time")).alias("boot_time"))
     hours = F.timestamp_diff("MICROSECOND", F.col("boot_time"), as_of_lit(as_of)) / F.lit(3.6e9)
     return latest.select("host", "boot_time", hours.alias("uptime_hours"))
 
 
 def vmstat_samples(vmstat_lines: DataFrame, columns: Sequence[str] = codes.VMSTAT_COLUMNS) -> DataFrame:
     """`vmstat -t -w` lines as typed rows: header lines (not starting with a
-    number) are dropped and the whitespace-separated fields are named by
-    position; counters are BIGINT, date and time stay text.
+    number) and lines cut short are dropped and the whitespace-separated
+    fields are named by position; counters are BIGINT, date and time stay text.
     Columns: host, line_no, run ... steal, date, time."""
-    data = vmstat_lines.where(F.col("line").rlike(r"^\s*[0-9]"))
     parts = F.split(F.trim(F.col("line")), r"\s+")
+    data = vmstat_lines.where(F.col("line").rlike(r"^\s*[0-9]") & (F.size(parts) >= len(columns)))
     out = [F.col("host"), F.col("line_no")]
     for i, name in enumerate(columns):
-        v = F.element_at(parts, i + 1)
+        v = F.get(parts, F.lit(i))
         out.append((v if name in ("date", "time") else v.try_cast("bigint")).alias(name))
     return data.select(*out)
 
@@ -183,11 +185,16 @@ def logged_on_users(who_lines: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- processes
 
+PROCESS_COLUMNS = ("ruser", "pid", "ppid", "nice", "wchan", "pmem", "pcpu", "cpu_time", "euser", "state", "flags",
+                   "start_time", "thcount", "comm")
+
+
 def top_processes(proc_snapshot: DataFrame, by: str = "pcpu", n: int = codes.TOP_PROCESSES) -> DataFrame:
     """The ``n`` processes with the highest ``by`` per host (ties: lower pid
-    first). Columns: host, rank, pid, comm, pcpu, pmem, state, thcount."""
+    first). Columns: host, rank, ruser, pid, ppid, nice, wchan, pmem, pcpu,
+    cpu_time, euser, state, flags, start_time, thcount, comm."""
     ranked = top_n_per_key(proc_snapshot, ["host"], [F.col(by).desc_nulls_last(), F.col("pid").asc()], n)
-    return ranked.select("host", "rank", "pid", "comm", "pcpu", "pmem", "state", "thcount")
+    return ranked.select("host", "rank", *PROCESS_COLUMNS)
 
 
 def zombie_processes(proc_snapshot: DataFrame) -> DataFrame:
@@ -195,11 +202,14 @@ def zombie_processes(proc_snapshot: DataFrame) -> DataFrame:
     return proc_snapshot.where(F.col("state").startswith("Z")).select("host", "pid", "comm", "state")
 
 
-def processes_matching(proc_snapshot: DataFrame, words: Sequence[str] = codes.WATCHED_PROCESS_WORDS) -> DataFrame:
+def processes_matching(proc_snapshot: DataFrame, words: Sequence[str] = codes.WATCHED_PROCESS_WORDS,
+                       token: bool = False) -> DataFrame:
     """Processes whose command contains one of ``words`` as a whole word
-    (underscore is a word character, so 'ora_smon_X' does not match 'smon').
+    (underscore is a word character, so 'ora_smon_X' does not match 'smon');
+    ``token=True`` splits at everything but letters and digits, so it does.
     Columns: host, pid, comm."""
-    pattern = r"\b(" + "|".join(re.escape(w) for w in words) + r")\b"
+    any_word = "(" + "|".join(re.escape(w) for w in words) + ")"
+    pattern = rf"(^|[^A-Za-z0-9]){any_word}($|[^A-Za-z0-9])" if token else rf"\b{any_word}\b"
     return proc_snapshot.where(F.col("comm").rlike(pattern)).select("host", "pid", "comm")
 
 
@@ -244,15 +254,18 @@ def missing_ports(listeners: DataFrame, hosts: DataFrame,
 
 
 def disk_average(disk_samples: DataFrame) -> DataFrame:
-    """Average transfers per second and utilisation per host and device,
-    2 decimals. Columns: host, device, samples, avg_tps, avg_util."""
-    return (disk_samples.groupBy("host", "device")
-            .agg(F.count(F.lit(1)).alias("samples"),
-                 F.round(F.avg("tps"), 2).alias("avg_tps"),
-                 F.round(F.avg("util"), 2).alias("avg_util")))
-
-
-def log_tail(host_log: DataFrame, n: int = codes.LOG_TAIL_LINES) -> DataFrame:
-    """The last ``n`` lines of each host's log. Columns: host, line_no, line."""
-    return (top_n_per_key(host_log, ["host"], [F.col("line_no").desc()], n, "_r")
-            .select("host", "line_no", "line"))
+    """Averages of all disk metrics per host and device, 2 decimals.
+    Columns: host, device, samples, avg_tps, avg_rkb_s, avg_wkb_s,
+    avg_areq_sz, avg_aqu_sz, avg_await_ms, avg_util."""
+    metrics = ("tps", "rkb_s", "wkb_s", "areq_sz", "aqu_sz", "await_ms", "util")
+    return disk_samples.groupBy("host", "device").agg(
+        F.count(F.lit(1)).alias("samples"), *[F.round(F.avg(m), 2).alias(f"avg_{m}") for m in metrics])
+
+
+def log_tail(host_log: DataFrame, n: int = codes.LOG_TAIL_LINES, source: str | None = None) -> DataFrame:
+    """The last ``n`` lines of each host's log, by line number. ``source``: the
+    column that names the file, where a host has several (a live log and older
+    ones): lines are numbered in each file, so each file has its own tail.
+    Columns: host, (source,) line_no, line."""
+    keys = ["host"] + ([source] if source else [])
+    return top_n_per_key(host_log, keys, [F.col("line_no").desc()], n, "_r").select(*keys, "line_no", "line")

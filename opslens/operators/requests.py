@@ -44,7 +44,7 @@ def queue_status(queues: DataFrame, queues_vl: DataFrame, only_at_target: bool =
 
 
 def long_running_requests(requests: DataFrame, users: DataFrame, responsibilities: DataFrame,
-                          programs: DataFrame, as_of, minutes: float = 60) -> DataFrame:
+                          programs: DataFrame, as_of, minutes: float = 60, ordered: bool = True) -> DataFrame:
     """Running requests (status R) whose run time at ``as_of``, rounded to two
     decimals, is above ``minutes``. Programs are matched on id and
     application id. Distinct rows, ordered by program id then request id
@@ -52,7 +52,8 @@ def long_running_requests(requests: DataFrame, users: DataFrame, responsibilitie
     Columns: requestid, username, responsibility_name, program_name,
     start_datetime, status, runtime_min, report_arguments."""
     runtime = F.round(minutes_between("actual_start_date", as_of_lit(as_of)), 2)
-    r = (requests.where(F.col("status_code") == "R")
+    # a rounded run time above the limit implies a start before it: that bound reaches the scan
+    r = (requests.where((F.col("status_code") == "R") & (F.col("actual_start_date") <= since(as_of, hours=minutes / 60)))
          .withColumn("runtime_min", runtime)
          .where(F.col("runtime_min") > F.lit(float(minutes))))
     progs = broadcast_if_small(programs.select("program_id", "application_id", "user_program_name"))
@@ -61,19 +62,20 @@ def long_running_requests(requests: DataFrame, users: DataFrame, responsibilitie
     df = (r.join(progs, ["program_id", "application_id"])
            .join(resp, "responsibility_id")
            .join(u, "requested_by"))
-    return (df.select(F.col("request_id").alias("requestid"), F.col("user_name").alias("username"),
+    out = (df.select(F.col("request_id").alias("requestid"), F.col("user_name").alias("username"),
                       "responsibility_name", F.col("user_program_name").alias("program_name"),
                       report_datetime("actual_start_date").alias("start_datetime"),
                       decode_or_self("status_code", codes.RUNNING_STATUS).alias("status"),
                       "runtime_min", F.col("argument_text").alias("report_arguments"),
                       "program_id")
-            .distinct()
-            .orderBy(F.col("program_id").asc_nulls_last(), F.col("requestid").desc_nulls_first())
-            .drop("program_id"))
+           .distinct())
+    if ordered:
+        out = out.orderBy(F.col("program_id").asc_nulls_last(), F.col("requestid").desc_nulls_first())
+    return out.drop("program_id")
 
 
 def failed_requests(requests: DataFrame, programs: DataFrame, as_of, hours: float = 12,
-                    language: str = "US") -> DataFrame:
+                    language: str = "US", ordered: bool = True) -> DataFrame:
     """Requests ended in error (E) or warning (G) whose requested start is in
     the last ``hours`` hours, counted per program, status, message and start
     time, most frequent first. A 'Report Set' shows the request description
@@ -86,14 +88,16 @@ def failed_requests(requests: DataFrame, programs: DataFrame, as_of, hours: floa
     name = F.when(F.col("user_program_name") == codes.REPORT_SET, F.col("description")) \
             .otherwise(F.col("user_program_name"))
     status = decode("status_code", codes.FAILED_STATUS)
-    return (r.join(p, "program_id")
+    out = (r.join(p, "program_id")
             .groupBy("user_program_name", "description", name.alias("program_name"),
                      status.alias("status"), F.col("completion_text").alias("error_message"),
                      F.col("actual_start_date").alias("start_date"))
             .agg(F.count(F.lit(1)).alias("request_count"))
-            .drop("user_program_name", "description")
-            .orderBy(F.col("request_count").desc(), F.col("start_date").desc_nulls_last(),
-                     F.col("program_name").asc_nulls_last(), F.col("error_message").asc_nulls_last()))
+            .drop("user_program_name", "description"))
+    if ordered:
+        out = out.orderBy(F.col("request_count").desc(), F.col("start_date").desc_nulls_last(),
+                          F.col("program_name").asc_nulls_last(), F.col("error_message").asc_nulls_last())
+    return out
 
 
 def request_summary(requests: DataFrame, as_of, hours: float = 12,
@@ -118,7 +122,7 @@ def request_summary(requests: DataFrame, as_of, hours: float = 12,
 
 def program_runs(requests: DataFrame, programs: DataFrame, users: DataFrame, as_of,
                  name: str = codes.GATHER_STATS_PROGRAM, days: int = 30,
-                 min_commas: int = 8) -> DataFrame:
+                 min_commas: int = 8, ordered: bool = True) -> DataFrame:
     """Runs of one named program completed since the day after
     ``trunc(as_of - days)``, with at least ``min_commas`` commas in the
     arguments. The name table is matched on program id only (every language),
@@ -136,7 +140,7 @@ def program_runs(requests: DataFrame, programs: DataFrame, users: DataFrame, as_
                            .select("program_id", "user_program_name"))
     u = users.select(F.col("user_id").alias("requested_by"), "user_name")
     df = r.join(p, "program_id").join(u, "requested_by")
-    return (df.select(
+    out = (df.select(
         F.col("request_id").alias("requestid"), F.col("user_program_name").alias("program_name"),
         F.round(minutes_between("actual_start_date", "actual_completion_date"), 2).alias("process_time"),
         report_datetime_short("request_date").alias("requestdate"),
@@ -146,8 +150,8 @@ def program_runs(requests: DataFrame, programs: DataFrame, users: DataFrame, as_
         decode("phase_code", codes.RUN_PHASE, codes.RUN_PHASE_DEFAULT).alias("phasecode"),
         decode("status_code", codes.RUN_STATUS, codes.RUN_STATUS_DEFAULT).alias("statuscode"),
         F.col("argument_text").alias("program_arg"))
-        .distinct()
-        .orderBy(F.col("requestid").desc_nulls_first()))
+        .distinct())
+    return out.orderBy(F.col("requestid").desc_nulls_first()) if ordered else out
 
 
 def latest_profile_changes(options: DataFrame, values: DataFrame, options_tl: DataFrame,

@@ -84,7 +84,7 @@ def _usage_order():
 
 
 def capacity_usage(data_files: DataFrame, free_space: DataFrame, temp_files: DataFrame,
-                   containers: DataFrame, keep_full: bool = False) -> DataFrame:
+                   containers: DataFrame, keep_full: bool = False, ordered: bool = True) -> DataFrame:
     """Free, allocated and largest-file GiB per container and tablespace, temp
     tablespaces appended with NULL free space. ``max_allocated_gb`` is the
     largest single file's maximum, not a sum.
@@ -106,25 +106,24 @@ def capacity_usage(data_files: DataFrame, free_space: DataFrame, temp_files: Dat
     temp = temp.select(
         "con_id", "con_name", "tablespace_name", F.lit(None).cast("double").alias("free_space_gb"),
         gib("alloc_bytes").alias("allocated_space_gb"), gib("max_bytes").alias("max_allocated_gb"))
-    return perm.unionByName(temp).orderBy(*_usage_order())
+    out = perm.unionByName(temp)
+    return out.orderBy(*_usage_order()) if ordered else out
 
 
 def capacity_alerts(usage: DataFrame, threshold: float = codes.CAPACITY_THRESHOLD,
-                    include_temp: bool = False) -> DataFrame:
+                    include_temp: bool = False, ordered: bool = True) -> DataFrame:
     """Tablespaces whose used share of the allocation is strictly above
     ``threshold`` percent; zero allocation gives NULL and no alert. Temp
     tablespaces (no free-space figure) are added only with ``include_temp``,
     and then only when their allocation is above zero.
     Columns: the usage columns plus used_percentage (NULL on temp rows)."""
-    pct = pct_used("allocated_space_gb", "free_space_gb")
-    perm = (usage.where(F.col("free_space_gb").isNotNull())
-            .withColumn("used_percentage", pct)
-            .where(F.col("used_percentage") > F.lit(float(threshold))))
+    # the percentage of a temp row is NULL as its free space is; one pass serves both kinds
+    out = usage.withColumn("used_percentage", pct_used("allocated_space_gb", "free_space_gb"))
+    alert = F.col("used_percentage") > F.lit(float(threshold))
     if include_temp:
-        temp = (usage.where(F.col("free_space_gb").isNull() & (F.col("allocated_space_gb") > 0))
-                .withColumn("used_percentage", F.lit(None).cast("double")))
-        perm = perm.unionByName(temp)
-    return perm.orderBy(*_usage_order())
+        alert = alert | (F.col("free_space_gb").isNull() & (F.col("allocated_space_gb") > 0))
+    out = out.where(alert)
+    return out.orderBy(*_usage_order()) if ordered else out
 
 
 def archive_per_day(archived_log: DataFrame, as_of, days: int = 6,
@@ -167,11 +166,11 @@ def temp_usage(sort_segment: DataFrame, tablespaces: DataFrame, temp_files: Data
             .agg(gib(F.sum(F.col("used_blocks") * F.col("block_size"))).alias("used_size_gb")))
 
 
-def block_corruption(corruption: DataFrame) -> DataFrame:
-    """Corrupt block ranges, highest file number first.
+def block_corruption(corruption: DataFrame, ordered: bool = True) -> DataFrame:
+    """Corrupt block ranges, highest file number first (then by block).
     Columns: file_no, block_no, blocks, corruption_change_no, corruption_type."""
-    return (corruption.select("file_no", "block_no", "blocks", "corruption_change_no", "corruption_type")
-            .orderBy(F.col("file_no").desc_nulls_first()))
+    out = corruption.select("file_no", "block_no", "blocks", "corruption_change_no", "corruption_type")
+    return out.orderBy(F.col("file_no").desc_nulls_first(), F.col("block_no").asc_nulls_last()) if ordered else out
 
 
 def recovery_area(recovery_dest: DataFrame) -> DataFrame:

@@ -14,9 +14,8 @@ VIEWS: dict[str, str] = {
     # storage
     "containers": "select r_regionkey + 1 as con_id, r_name as name from region",
     "pdbs": "select con_id, name from containers where con_id > 1",
-    "li": """select n_regionkey + 1 as con_id, p_brand as tablespace_name, l.*
-        from lineitem l join part on p_partkey = l_partkey
-        join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey""",
+    "li": """select n_regionkey + 1 as con_id, 'TS' || cast(l_partkey as varchar) as tablespace_name, l.*
+        from lineitem l join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey""",
     "data_files": """select con_id, tablespace_name, l_orderkey * 10 + l_linenumber as file_id,
         '/data/' || cast(l_orderkey as varchar) || '_' || cast(l_linenumber as varchar) || '.dbf' as file_name,
         case when l_linestatus = 'O' then 'AVAILABLE' else 'INVALID' end as status,
@@ -24,7 +23,7 @@ VIEWS: dict[str, str] = {
         cast(l_quantity as bigint) * 1048576 as bytes,
         cast(l_quantity as bigint) * 2097152 as maxbytes from li""",
     "free_space": """select con_id, tablespace_name, cast(l_quantity as bigint) * 1048576 as bytes
-        from li where l_returnflag = 'R' and l_partkey % 5 < con_id""",
+        from li where l_returnflag = 'R'""",
     "temp_files": """select n_regionkey + 1 as con_id, cast(s_suppkey % 3 as int) as ts_no,
         'TEMP' || cast(s_suppkey % 3 as varchar) as tablespace_name,
         (s_suppkey + 1) * 67108864 as bytes, (s_suppkey + 1) * 134217728 as maxbytes,
@@ -53,7 +52,7 @@ VIEWS: dict[str, str] = {
     "block_corruption": """select l_orderkey as file_no, cast(l_linenumber as bigint) as block_no,
         cast(l_quantity as bigint) as blocks, l_partkey as corruption_change_no,
         'CHECKSUM' as corruption_type from lineitem where l_quantity = 50 and l_returnflag = 'A'""",
-    "db_objects": """select cast(o_custkey % 5 as int) + 1 as con_id, 'OWNER' || cast(o_custkey % 10 as varchar) as owner,
+    "db_objects": """select cast(o_custkey % 5 as int) + 1 as con_id, 'OWNER' || cast(o_custkey // 8 as varchar) as owner,
         'OBJ' || cast(o_orderkey as varchar) as object_name,
         case when o_orderkey % 2 = 0 then 'VIEW' else 'PACKAGE BODY' end as object_type,
         o_orderdate as last_ddl_time,
@@ -63,7 +62,7 @@ VIEWS: dict[str, str] = {
         case when event_type = 'error' then 'FAILED' else 'COMPLETED' end as status,
         case when event_id % 2 = 0 then 'YES' else 'NO' end as autobackup_done,
         cast(event_id % 3 as int) as autobackup_count, 'DB INCR' as input_type,
-        (event_id % 90) * 60 as elapsed_seconds from events where event_id % 10 = 0""",
+        (event_id % 90) * 60 as elapsed_seconds from events""",
     "alert_log": """select ts as originating_timestamp,
         case when event_type = 'error'
              then 'ORA-' || lpad(cast(event_id % 1000 as varchar), 5, '0') || ': ' || props
@@ -86,7 +85,7 @@ VIEWS: dict[str, str] = {
         case o_orderstatus when 'O' then 'INACTIVE' else 'ACTIVE' end as status,
         case when o_custkey % 2 = 0 then 'APPS' else 'SYS' end as username,
         o_orderpriority as module, 'prog' || cast(o_custkey % 7 as varchar) as program,
-        'host' || cast(o_custkey % 10 as varchar) as machine,
+        'host' || cast(o_custkey // 8 as varchar) as machine,
         cast(floor(o_totalprice) as bigint) as last_call_et from orders""",
     "queues": """select s_suppkey as queue_id, cast(s_suppkey % 2 as int) as application_id,
         'node' || cast(s_nationkey % 3 as varchar) as target_node,
@@ -96,7 +95,7 @@ VIEWS: dict[str, str] = {
         case when s_suppkey % 4 = 0 then null
              else substr('DENAXTVOPQR', cast(s_suppkey % 11 + 1 as int), 1) end as control_code
         from supplier""",
-    "requests": """select event_id as request_id, user_id as requested_by, event_id % 40 as program_id,
+    "requests": """select event_id as request_id, user_id as requested_by, user_id as program_id,
         cast(event_id % 2 as int) as application_id, cast(event_id % 25 as int) as responsibility_id,
         case when event_id % 4 = 3 then null else substr('RIC', cast(event_id % 4 + 1 as int), 1) end as phase_code,
         substr('DUEMRICHWBPQSXTAZG', cast(event_id % 18 + 1 as int), 1) as status_code,
@@ -108,7 +107,7 @@ VIEWS: dict[str, str] = {
     "programs": """select p_partkey as program_id, cast(p_partkey % 2 as int) as application_id,
         case when p_size % 2 = 0 then 'US' else 'D' end as language,
         case when p_partkey % 10 = 3 then 'Report Set' when p_partkey % 10 = 4 then 'Gather Schema Statistics'
-             else p_name end as user_program_name from part where p_partkey < 40""",
+             else p_name end as user_program_name from part""",
     "responsibilities": """select n_nationkey as responsibility_id, n_name as responsibility_name
         from nation""",
     "profile_options": """select p_partkey as profile_option_id,
@@ -116,7 +115,7 @@ VIEWS: dict[str, str] = {
     "profile_options_tl": """select 'OPT' || cast(p_partkey as varchar) as profile_option_name,
         lang as language, p_name || ' ' || lang as user_profile_option_name
         from part, (select 'US' as lang union all select 'D' as lang) l""",
-    "profile_values": """select event_id % 200 as profile_option_id, cast(10001 + event_id % 8 as int) as level_id,
+    "profile_values": """select user_id as profile_option_id, cast(10001 + event_id % 8 as int) as level_id,
         props as profile_option_value, ts as last_update_date, user_id as last_updated_by from events""",
     "components": """select s_suppkey as component_id, 'comp ' || s_name as component_name,
         case when s_suppkey % 5 = 0 then 'WF_MAILER' when s_suppkey % 5 = 1 then 'FND_MCS_PUSH_NTF_PROVIDER'
@@ -136,48 +135,56 @@ VIEWS: dict[str, str] = {
         case when k = 0 then 'A' else 'K' end as process_status_code
         from supplier, (select 0 as k union all select 1 as k union all select 2 as k) x""",
     # hosts
-    "probe_results": """select 'host' || cast(user_id % 10 as varchar) as host,
-        'u' || cast(event_id % 2 as varchar) as url, ts,
+    "probe_results": """select 'host' || cast(user_id // 2 as varchar) as host,
+        'http://host' || cast(user_id // 2 as varchar) || '/u' || cast(event_id % 2 as varchar) as url, ts,
         case event_type when 'error' then 503 when 'signup' then 404 else 200 end as http_status
         from events""",
-    "cpu_samples": """select 'host' || cast(user_id % 10 as varchar) as host, ts, event_id * 3 as "user",
+    "cpu_samples": """select 'host' || cast(user_id // 2 as varchar) as host, ts, event_id * 3 as "user",
         event_id as nice, event_id * 2 as system, event_id * 7 as idle, event_id as iowait,
         cast(0 as bigint) as irq, event_id as softirq, cast(0 as bigint) as steal from events""",
-    "mem_samples": """select 'host' || cast(user_id % 10 as varchar) as host, ts,
+    "mem_samples": """select 'host' || cast(user_id // 2 as varchar) as host, ts,
         cast(16384 as bigint) as mem_total, event_id * 37 % 16384 as mem_used,
-        case when user_id % 10 = 0 then 0 else 4096 end as swap_total,
+        case when (user_id // 2) % 10 = 0 then 0 else 4096 end as swap_total,
         event_id * 11 % 4096 as swap_used from events""",
-    "fs_usage": """select 'host' || cast(c_nationkey % 10 as varchar) as host,
+    "fs_usage": """select 'host' || cast(c_custkey // 8 as varchar) as host,
         case when c_custkey % 9 = 0 then 'tmpfs' when c_custkey % 11 = 0 then '/dev/cdrom'
              else '/dev/sd' || cast(c_custkey as varchar) end as filesystem,
-        cast(c_custkey % 101 as int) as use_pct from customer""",
-    "proc_snapshot": """select 'host' || cast(o_custkey % 10 as varchar) as host, o_orderkey as pid,
+        '100G' as size, cast(c_custkey % 101 as varchar) || 'G' as used, cast(100 - c_custkey % 101 as varchar) || 'G' as available,
+        cast(c_custkey % 101 as int) as use_pct,
+        '/mnt/' || case when c_custkey % 9 = 0 then 'tmpfs' when c_custkey % 11 = 0 then '_dev_cdrom'
+             else '_dev_sd' || cast(c_custkey as varchar) end as mounted_on from customer""",
+    "proc_snapshot": """select 'host' || cast(o_custkey // 8 as varchar) as host, o_orderkey as pid,
+        case o_orderkey % 2 when 0 then 'oracle' else 'applmgr' end as ruser, cast(o_custkey as bigint) as ppid,
+        cast(o_orderkey % 20 as int) as nice, case o_orderkey % 3 when 0 then '-' else 'ep_poll' end as wchan,
+        lpad(cast(o_orderkey % 24 as varchar), 2, '0') || ':' || lpad(cast(o_orderkey % 60 as varchar), 2, '0') || ':00' as cpu_time,
+        case o_orderkey % 2 when 0 then 'oracle' else 'applmgr' end as euser, cast(o_orderkey % 5 as varchar) as flags,
+        lpad(cast(o_orderkey % 24 as varchar), 2, '0') || ':' || lpad(cast(o_orderkey % 60 as varchar), 2, '0') as start_time,
         o_totalprice / 10000 as pcpu, o_totalprice / 20000 as pmem,
         case when o_orderkey % 50 = 0 then 'Z' else 'S' end as state,
         cast(o_orderkey % 12 as int) as thcount,
         case cast(o_orderkey % 6 as int) when 0 then 'smon' when 1 then 'ora_smon_X' when 2 then 'tnslsnr'
              when 3 then 'oacore_server' when 4 then 'forms_server' else 'oafm_server' end as comm
         from orders""",
-    "listeners": """select 'host' || cast(p_partkey % 10 as varchar) as host, 'tcp' as proto,
+    "listeners": """select 'host' || cast(p_partkey // 8 as varchar) as host, 'tcp' as proto,
         case cast(p_size % 5 as int) when 0 then 7052 when 1 then 8050 when 2 then 1571
              when 3 then 17052 else 22 end as port from part""",
-    "disk_samples": """select 'host' || cast(user_id % 10 as varchar) as host, ts,
-        'sd' || cast(event_id % 3 as varchar) as device, value as tps, value / 5 as util from events""",
-    "host_log": """select 'host' || cast(user_id % 10 as varchar) as host, event_id as line_no,
+    "disk_samples": """select 'host' || cast(user_id // 2 as varchar) as host, ts,
+        'sd' || cast(event_id % 3 as varchar) as device, value as tps, value * 8 as rkb_s, value * 4 as wkb_s,
+        value / 2 as areq_sz, value / 64 as aqu_sz, value / 16 as await_ms, value / 5 as util from events""",
+    "host_log": """select 'host' || cast(user_id // 2 as varchar) as host, event_id as line_no,
         event_type || ' ' || props as line from events""",
-    "uptime_lines": """select 'host' || cast(user_id % 10 as varchar) as host, ts,
+    "uptime_lines": """select 'host' || cast(user_id // 2 as varchar) as host, ts,
         ' 10:00:00 up ' || cast(event_id % 30 as varchar) || ' days, '
         || cast(user_id % 5 + 1 as varchar) || ' users,  load average: '
         || cast(event_id % 7 as varchar) || '.' || lpad(cast(event_id % 100 as varchar), 2, '0') || ', '
         || cast(event_id % 5 as varchar) || '.' || lpad(cast(event_id % 100 as varchar), 2, '0') || ', '
         || cast(event_id % 3 as varchar) || '.' || lpad(cast(event_id % 100 as varchar), 2, '0') as line
         from events""",
-    "boot_samples": """select 'host' || cast(user_id % 10 as varchar) as host, ts,
+    "boot_samples": """select 'host' || cast(user_id // 2 as varchar) as host, ts,
         ts - cast(event_id % 97 as int) * interval '1' hour as boot_time from events""",
-    "host_limits": """select 'host' || cast(n_nationkey as varchar) as host,
-        cast(4096 * (1 + n_nationkey % 3) as bigint) as max_user_processes
-        from nation where n_nationkey < 10""",
-    "vmstat_lines": """select 'host' || cast(user_id % 10 as varchar) as host, event_id as line_no,
+    "host_limits": """select distinct 'host' || cast(c_custkey // 8 as varchar) as host,
+        cast(4096 * (1 + (c_custkey // 8) % 3) as bigint) as max_user_processes from customer""",
+    "vmstat_lines": """select 'host' || cast(user_id // 2 as varchar) as host, event_id as line_no,
         ' ' || concat_ws('  ', cast(event_id % 5 as varchar), cast(event_id % 2 as varchar), '0',
             cast(1000 + event_id % 500 as varchar), '100', cast(2000 + event_id % 300 as varchar), '0', '0',
             cast(event_id % 50 as varchar), cast(event_id % 70 as varchar),
@@ -189,11 +196,14 @@ VIEWS: dict[str, str] = {
         select h.host, cast(k as bigint) as line_no,
             case when k = -2 then '--procs-- -----------memory---------- ---swap-- -----io---- -system-- --------cpu-------- -----timestamp-----'
                  else ' r  b  swpd  free  buff  cache  si  so  bi  bo  in  cs us sy id wa st UTC' end as line
-        from (select distinct 'host' || cast(user_id % 10 as varchar) as host from events) h,
-             (select -2 as k union all select -1 as k) hk""",
-    "who_lines": """select 'host' || cast(user_id % 10 as varchar) as host,
+        from (select distinct 'host' || cast(user_id // 2 as varchar) as host from events) h,
+             (select -2 as k union all select -1 as k) hk
+        union all
+        select distinct 'host' || cast(user_id // 2 as varchar), cast(-3 as bigint), ' 1  0  1000' from events""",
+    "who_lines": """select 'host' || cast(user_id // 2 as varchar) as host,
         'u' || cast(user_id % 3 as varchar) || '   pts/' || cast(event_id % 4 as varchar) || '  '
-        || strftime(ts, '%Y-%m-%d %H:%M') as line from events where event_type = 'view'""",
+        || strftime(ts, '%Y-%m-%d %H:%M') || ' 00:' || lpad(cast(event_id % 60 as varchar), 2, '0') || '   '
+        || cast(event_id as varchar) as line from events""",
 }
 
 _WORD = re.compile(r"[a-z_]+")

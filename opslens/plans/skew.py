@@ -64,7 +64,8 @@ def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     #    next n_back tail rows of its key: the buckets among lead(bucket, 1..n_back)
     w_idx = Window.partitionBy(*keys).orderBy(F.col(BUCKET), *[F.col(c) for c in order])
     ahead = F.array(*[F.lead(BUCKET, k).over(w_idx) for k in range(1, n_back + 1)])
-    targets = F.array_distinct(F.filter(ahead, lambda b: b.isNotNull() & (b != F.col(BUCKET))))
+    # a null bucket comes first, so a null ahead only means that no row follows
+    targets = F.array_distinct(F.filter(ahead, lambda b: b.isNotNull() & ~b.eqNullSafe(F.col(BUCKET))))
     ctx = (tails.withColumn("_targets", targets)
            .withColumn(BUCKET, F.explode("_targets")).drop("_targets")
            .withColumn(CONTEXT, F.lit(True)))

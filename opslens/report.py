@@ -2,8 +2,7 @@
 
 This replaces the source's single run that appends each section to one
 document. Here each report is a table written under ``out_dir/<report>/``
-partitioned by ``as_of_date`` (dynamic overwrite, so a re-run of a day
-replaces exactly that day), plus the findings table. The tablespace usage
+partitioned by ``as_of_date`` (a re-run overwrites that day's folder), plus the findings table. The tablespace usage
 frame feeds both its report and the capacity alert, so it is persisted for
 the run and released afterwards (the source ran that query twice). The
 fleet-sized listings are written unsorted: a table needs no global order.
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
-from opslens.functions.exprs import as_of_lit
+from opslens.functions.exprs import as_of_lit, parse_as_of
 from opslens.operators import activity, components, database, findings, hosts, requests, storage
 from opslens.sources.fixtures import Snapshot
 
@@ -28,9 +27,9 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
                  profile_timeout_minutes=None) -> tuple[dict[str, DataFrame], DataFrame]:
     """All report frames (lazy) and the findings frame, for ``as_of``.
     The caller owns the returned usage frame's cache (see ``run``)."""
-    usage = storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers) \
+    usage = storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers, ordered=False) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    alerts = storage.capacity_alerts(usage, threshold)
+    alerts = storage.capacity_alerts(usage, threshold, ordered=False)
     users = s.app_users
     reports: dict[str, DataFrame] = {
         "database_details": database.database_details(s.db_info),
@@ -42,10 +41,10 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
         "resource_utilization": database.resource_utilization(s.resource_limit),
         "archive_per_day": storage.archive_per_day(s.archived_log, as_of),
         "temp_usage": storage.temp_usage(s.sort_segment, s.tablespaces, s.temp_files),
-        "block_corruption": storage.block_corruption(s.block_corruption),
+        "block_corruption": storage.block_corruption(s.block_corruption, ordered=False),
         "invalid_objects": database.invalid_objects(s.db_objects, pdb_con_id),
         "invalid_object_counts": database.invalid_object_counts(s.db_objects),
-        "backup_summary": database.backup_summary(s.backup_jobs, as_of),
+        "backup_summary": database.backup_summary(s.backup_jobs, as_of, ordered=False),
         "alert_log_errors": database.alert_log_errors(s.alert_log, as_of, ordered=False),
         "recovery_area": storage.recovery_area(s.recovery_dest),
         "online_user_count": activity.online_user_count(s.app_sessions, users, as_of,
@@ -54,16 +53,16 @@ def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESH
         "inactive_sessions": activity.inactive_sessions(s.db_sessions, ordered=False),
         "queue_status": requests.queue_status(s.queues, s.queues_vl),
         "long_running_requests": requests.long_running_requests(s.requests, users, s.responsibilities,
-                                                                s.programs, as_of),
-        "failed_requests": requests.failed_requests(s.requests, s.programs, as_of),
+                                                                s.programs, as_of, ordered=False),
+        "failed_requests": requests.failed_requests(s.requests, s.programs, as_of, ordered=False),
         "request_summary": requests.request_summary(s.requests, as_of),
-        "program_runs": requests.program_runs(s.requests, s.programs, users, as_of),
+        "program_runs": requests.program_runs(s.requests, s.programs, users, as_of, ordered=False),
         "latest_profile_changes": requests.latest_profile_changes(
             s.profile_options, s.profile_values, s.profile_options_tl, users),
         "component_status": components.component_status(s.components, s.component_params,
                                                         s.queues, s.services),
         "mailer_status": components.mailer_status(s.components),
-        **{f"parameters_{t}": database.parameters_like(s.parameters, t) for t in codes.PARAMETER_TOKENS},
+        **{f"parameters_{t}": database.parameters_like(s.parameters, t, ordered=False) for t in codes.PARAMETER_TOKENS},
         "log_tail": hosts.log_tail(s.host_log),
         "redo_members": database.redo_members(s.redo_members),
         "server_process_counts": hosts.server_process_counts(s.proc_snapshot),
@@ -119,9 +118,8 @@ def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> d
     def write(item) -> tuple[str, str]:
         name, df = item
         path = f"{base}/{name}"
-        (df.withColumn("as_of_date", day)
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("as_of_date").parquet(path))
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+           .parquet(f"{path}/as_of_date={parse_as_of(as_of).date().isoformat()}"))
         return name, path
 
     try:
@@ -136,7 +134,8 @@ def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> d
                           .parquet(paths[name]).where(F.col("as_of_date") == day).drop("as_of_date"))
                    for name in _FINDING_SOURCES.values()}
         paths["findings"] = f"{base}/findings"
-        findings.write_findings(_findings(written, as_of, threshold), paths["findings"])
+        findings.write_findings(_findings(written, as_of, threshold), paths["findings"], as_of,
+                                [findings.CHECKS[arg] for arg in _FINDING_SOURCES])
     finally:
         reports["tablespace_usage"].unpersist()
     return paths

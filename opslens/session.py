@@ -94,6 +94,12 @@ def input_bytes(spark: SparkSession, path: str) -> int | None:
         return None
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the session's Hadoop FileSystem."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def size_shuffles(spark: SparkSession, path: str) -> int | None:
     """Set ``spark.sql.shuffle.partitions`` for a job reading ``path`` (see
     ``shuffle_partitions_for``); AQE coalesces from there. Returns the value

@@ -22,10 +22,56 @@ def _fields(line: str | Column = "line") -> Column:
 
 
 def _field(parts: Column, i: int, cast: str | None = None) -> Column:
-    v = F.element_at(parts, i)
+    """The i-th field (from 1; -1: the last), null where the line is shorter."""
+    v = F.try_element_at(parts, F.lit(i))
     return v.try_cast(cast) if cast else v
 
 
+def _line(pattern: str) -> Column:
+    return F.col("line").rlike(pattern)
+
+
+def _use_pct() -> Column:
+    return F.regexp_extract(F.coalesce(_field(_fields(), 5), F.lit("")), r"^([0-9]+)%?$", 1).try_cast("int")
+
+
+def _port() -> Column:
+    return F.regexp_extract(F.coalesce(_field(_fields(), 4), F.lit("")), r":([0-9]+)$", 1).try_cast("int")
+
+
+PS_FIELDS = 14
+
+
+def _rules(kind: str) -> tuple[Column, Column]:
+    """Which lines of a kind carry data, and which of these are whole. A line
+    cut short or wrapped by its collector is not."""
+    n = F.size(_fields())
+    return {
+        "proc_stat": (_line(r"^cpu\s"), (n >= 5) & _field(_fields(), 5, "bigint").isNotNull()),
+        "free": (_line("^(Mem|Swap):"), (n >= 3) & _field(_fields(), 3, "bigint").isNotNull()),
+        "meminfo": (_line("^(MemTotal|MemAvailable|SwapTotal|SwapFree):"), _field(_fields(), 2, "bigint").isNotNull()),
+        "df": (_line(r"\S") & ~_line("^Filesystem"), (n >= 6) & _use_pct().isNotNull()),
+        "ps": (_line(r"^\S") & ~_line("^RUSER"), (n >= PS_FIELDS) & _field(_fields(), 2, "bigint").isNotNull()),
+        "netstat": (_line("^(tcp|udp)"), _port().isNotNull()),
+        "sar": (_line("^[0-9]{2}:[0-9]{2}:[0-9]{2}") & ~_line(r"\sDEV\s"), (n >= 9) & _field(_fields(), 9, "double").isNotNull()),
+        "who": (_line(r"^\S"), n >= 6),
+    }[kind]
+
+
+def whole_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """The data lines of a kind that can be parsed."""
+    data, whole = _rules(kind)
+    return lines.where(data & whole)
+
+
+def rejected_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """Data lines and those of them that the parser leaves out, per host.
+    Columns: host, data_lines, rejected."""
+    data, whole = _rules(kind)
+    return lines.where(data).groupBy("host").agg(
+        F.count(F.lit(1)).alias("data_lines"), F.count(F.when(~F.coalesce(whole, F.lit(False)), 1)).alias("rejected"))
+
+
 def _keys(df: DataFrame, *extra: str) -> list[str]:
     return ["host"] + [c for c in ("ts",) + extra if c in df.columns]
 
@@ -35,10 +81,17 @@ def proc_stat_cpu(lines: DataFrame) -> DataFrame:
     counters are dropped) as cumulative counters.
     Columns: host, ts, user, nice, system, idle, iowait, irq, softirq, steal."""
     names = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
-    cpu = lines.where(F.col("line").rlike(r"^cpu\s"))
     parts = _fields()
-    return cpu.select(*_keys(lines), *[F.coalesce(_field(parts, i + 2, "bigint"), F.lit(0).cast("bigint"))
-                                       .alias(n) for i, n in enumerate(names)])
+    return whole_lines(lines, "proc_stat").select(
+        *_keys(lines), *[F.coalesce(_field(parts, i + 2, "bigint"), F.lit(0).cast("bigint")).alias(n) for i, n in enumerate(names)])
+
+
+def core_counts(lines: DataFrame) -> DataFrame:
+    """Cores per host: the distinct ``cpuN`` lines of /proc/stat.
+    Columns: host, cores."""
+    core = F.regexp_extract(F.col("line"), r"^(cpu[0-9]+)\s", 1)
+    return (lines.where(_line(r"^cpu[0-9]+\s")).groupBy("host", core.alias("core")).agg(F.lit(1).alias("one"))
+            .groupBy("host").agg(F.count(F.lit(1)).alias("cores")))
 
 
 def free_memory(lines: DataFrame) -> DataFrame:
@@ -46,8 +99,8 @@ def free_memory(lines: DataFrame) -> DataFrame:
     is dropped) as one row per sample, both lines folded in one aggregation.
     Columns: host, ts, mem_total, mem_used, swap_total, swap_used."""
     parts = _fields()
-    kind = F.element_at(parts, 1)
-    rows = lines.where(F.col("line").startswith("Mem:") | F.col("line").startswith("Swap:")).select(
+    kind = _field(parts, 1)
+    rows = whole_lines(lines, "free").select(
         *_keys(lines), kind.alias("kind"), _field(parts, 2, "bigint").alias("total"),
         _field(parts, 3, "bigint").alias("used"))
 
@@ -59,37 +112,52 @@ def free_memory(lines: DataFrame) -> DataFrame:
         pick("Swap:", "total").alias("swap_total"), pick("Swap:", "used").alias("swap_used"))
 
 
+def meminfo(lines: DataFrame) -> DataFrame:
+    """/proc/meminfo as one row per sample: used is total less available, as
+    ``free`` counts it; a swap total of 0 means that swap is not enabled.
+    Columns: host, ts, mem_total, mem_used, swap_total, swap_used."""
+    parts = _fields()
+    rows = whole_lines(lines, "meminfo").select(*_keys(lines), _field(parts, 1).alias("name"), _field(parts, 2, "bigint").alias("kb"))
+
+    def value(name: str) -> Column:
+        return F.max(F.when(F.col("name") == f"{name}:", F.col("kb")))
+
+    return rows.groupBy(*_keys(lines)).agg(
+        value("MemTotal").alias("mem_total"), (value("MemTotal") - value("MemAvailable")).alias("mem_used"),
+        value("SwapTotal").alias("swap_total"), (value("SwapTotal") - value("SwapFree")).alias("swap_used"))
+
+
 def df_usage(lines: DataFrame) -> DataFrame:
     """`df` output: the header is dropped, the file system is the first field,
     use percentage the fifth with '%' stripped, mount point the last.
-    Columns: host, filesystem, use_pct, mounted_on."""
+    Columns: host, filesystem, size, used, available, use_pct, mounted_on."""
     parts = _fields()
-    data = lines.where(~F.col("line").startswith("Filesystem"))
-    pct = F.regexp_extract(F.element_at(parts, 5), r"^([0-9]+)%?$", 1).try_cast("int")
-    return data.select(*_keys(lines), F.element_at(parts, 1).alias("filesystem"), pct.alias("use_pct"),
-                       F.element_at(parts, -1).alias("mounted_on"))
+    return whole_lines(lines, "df").select(
+        *_keys(lines), _field(parts, 1).alias("filesystem"), _field(parts, 2).alias("size"), _field(parts, 3).alias("used"),
+        _field(parts, 4).alias("available"), _use_pct().alias("use_pct"), _field(parts, -1).alias("mounted_on"))
 
 
 def ps_snapshot(lines: DataFrame) -> DataFrame:
-    """`ps -eo pid,pcpu,pmem,state,thcount,comm` output (header dropped).
-    Columns: host, pid, pcpu, pmem, state, thcount, comm."""
-    # at most 6 parts: the command may contain blanks and stays whole in the last one
-    parts = F.split(F.trim(F.col("line")), WS, 6)
-    data = lines.where(F.col("line").rlike(r"^\s*[0-9]"))
-    return data.select(
-        *_keys(lines), _field(parts, 1, "bigint").alias("pid"), _field(parts, 2, "double").alias("pcpu"),
-        _field(parts, 3, "double").alias("pmem"), _field(parts, 4).alias("state"),
-        _field(parts, 5, "int").alias("thcount"), _field(parts, 6).alias("comm"))
+    """`ps -eo ruser,pid,ppid,nice,wchan,pmem,pcpu,time,euser,state,flags,stime,
+    thcount,comm` output (header dropped).
+    Columns: host, ruser, pid, ppid, nice, wchan, pmem, pcpu, cpu_time, euser,
+    state, flags, start_time, thcount, comm."""
+    # at most 14 parts: the command may contain blanks and stays whole in the last one
+    parts = F.split(F.trim(F.col("line")), WS, PS_FIELDS)
+    fields = [("ruser", None), ("pid", "bigint"), ("ppid", "bigint"), ("nice", "int"), ("wchan", None), ("pmem", "double"), ("pcpu", "double"),
+              ("cpu_time", None), ("euser", None), ("state", None), ("flags", None), ("start_time", None), ("thcount", "int"), ("comm", None)]
+    return whole_lines(lines, "ps").select(*_keys(lines), *[_field(parts, i + 1, cast).alias(name) for i, (name, cast) in enumerate(fields)])
 
 
 def netstat_listeners(lines: DataFrame) -> DataFrame:
     """`netstat -tuln` output: protocol and the port of the local address
     (after its last colon); the two header lines are dropped.
     Columns: host, proto, port."""
-    parts = _fields()
-    data = lines.where(F.col("line").startswith("tcp") | F.col("line").startswith("udp"))
-    port = F.regexp_extract(F.element_at(parts, 4), r":([0-9]+)$", 1).try_cast("int")
-    return data.select(*_keys(lines), F.element_at(parts, 1).alias("proto"), port.alias("port"))
+    return whole_lines(lines, "netstat").select(*_keys(lines), _field(_fields(), 1).alias("proto"), _port().alias("port"))
+
+
+# place in the line; the last four counted from its end, since newer versions print a discard rate before them
+SAR_FIELDS = {"tps": 3, "rkb_s": 4, "wkb_s": 5, "areq_sz": -4, "aqu_sz": -3, "await_ms": -2, "util": -1}
 
 
 def sar_disk(lines: DataFrame) -> DataFrame:
@@ -97,13 +165,20 @@ def sar_disk(lines: DataFrame) -> DataFrame:
     ``DEV`` column) and the ``Average:`` summary lines are dropped: the
     averages are recomputed from the samples (``hosts.disk_average``).
     Fields: time, device, tps, rkB/s, wkB/s, areq-sz, aqu-sz, await, %util.
-    Columns: host, ts, device, tps, util."""
+    Columns: host, ts, device, tps, rkb_s, wkb_s, areq_sz, aqu_sz, await_ms, util."""
+    parts = _fields()
+    return whole_lines(lines, "sar").select(*_keys(lines), _field(parts, 2).alias("device"),
+                                            *[_field(parts, i, "double").alias(n) for n, i in SAR_FIELDS.items()])
+
+
+def who_sessions(lines: DataFrame) -> DataFrame:
+    """`who -u` lines: user, terminal, login date and time, idle time, pid.
+    Columns: host, user_name, terminal, login_time, idle, pid."""
     parts = _fields()
-    data = lines.where(F.col("line").rlike(r"^[0-9]{2}:[0-9]{2}:[0-9]{2}")
-                       & ~F.col("line").rlike(r"\sDEV\s"))
-    return data.select(*_keys(lines), F.element_at(parts, 2).alias("device"),
-                       _field(parts, 3, "double").alias("tps"),
-                       F.element_at(parts, -1).try_cast("double").alias("util"))
+    return whole_lines(lines, "who").select(
+        *_keys(lines), _field(parts, 1).alias("user_name"), _field(parts, 2).alias("terminal"),
+        F.concat_ws(" ", _field(parts, 3), _field(parts, 4)).alias("login_time"), _field(parts, 5).alias("idle"),
+        _field(parts, 6, "bigint").alias("pid"))
 
 
 _UPTIME_UNITS = (("week", 7 * 24 * 60), ("day", 24 * 60), ("hour", 60), ("minute", 1))

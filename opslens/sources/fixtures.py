@@ -31,8 +31,13 @@ def _s(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+#: Users, customers, orders' customers and parts of one host: hosts grow with the tables.
+USERS_PER_HOST, KEYS_PER_HOST = 2, 8
+
+
 def _host(c: str) -> Column:
-    return F.concat(F.lit("host"), _s(F.col(c) % 10)).alias("host")
+    each = USERS_PER_HOST if c == "user_id" else KEYS_PER_HOST
+    return F.concat(F.lit("host"), _s(F.floor(F.col(c) / each).cast("bigint"))).alias("host")
 
 
 def _minutes(n: Column) -> Column:
@@ -89,11 +94,11 @@ class Snapshot:
 
     @cached_property
     def _li(self) -> DataFrame:
-        li = self.raw("lineitem")
-        p = self.raw("part").select("p_partkey", F.col("p_brand").alias("tablespace_name"))
+        """Files and free extents: a tablespace per part, so some have few
+        files and some of these no free extent."""
+        li = self.raw("lineitem").withColumn("tablespace_name", F.concat(F.lit("TS"), _s("l_partkey")))
         sr = self._supplier_region.select("s_suppkey", "con_id")
-        return (li.join(p, li.l_partkey == p.p_partkey)
-                  .join(sr, li.l_suppkey == sr.s_suppkey))
+        return li.join(sr, li.l_suppkey == sr.s_suppkey)
 
     @cached_property
     def data_files(self) -> DataFrame:
@@ -111,7 +116,7 @@ class Snapshot:
     @cached_property
     def free_space(self) -> DataFrame:
         return (self._li
-                .where((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 < F.col("con_id")))
+                .where(F.col("l_returnflag") == "R")
                 .select("con_id", "tablespace_name",
                         (F.col("l_quantity").cast("bigint") * MIB).alias("bytes")))
 
@@ -180,6 +185,8 @@ class Snapshot:
 
     @cached_property
     def block_corruption(self) -> DataFrame:
+        """Corrupt blocks are few on any database: here the full-quantity
+        returned lines, about one line in 200."""
         li = self.raw("lineitem")
         return li.where((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "A")).select(
             F.col("l_orderkey").alias("file_no"), F.col("l_linenumber").cast("bigint").alias("block_no"),
@@ -192,7 +199,7 @@ class Snapshot:
         c, o = F.col("o_custkey"), F.col("o_orderkey")
         return self.raw("orders").select(
             ((c % 5).cast("int") + 1).alias("con_id"),
-            F.concat(F.lit("OWNER"), _s(c % 10)).alias("owner"),
+            F.concat(F.lit("OWNER"), _s(F.floor(c / KEYS_PER_HOST).cast("bigint"))).alias("owner"),
             F.concat(F.lit("OBJ"), _s(o)).alias("object_name"),
             F.when(o % 2 == 0, "VIEW").otherwise("PACKAGE BODY").alias("object_type"),
             F.col("o_orderdate").alias("last_ddl_time"),
@@ -201,7 +208,7 @@ class Snapshot:
     @cached_property
     def backup_jobs(self) -> DataFrame:
         e = F.col("event_id")
-        return self.raw("events").where(e % 10 == 0).select(
+        return self.raw("events").select(
             e.alias("session_key"), F.col("ts").alias("start_time"),
             (F.col("ts") + _minutes(e % 90)).alias("end_time"),
             F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETED").alias("status"),
@@ -262,7 +269,7 @@ class Snapshot:
             F.when(c % 2 == 0, "APPS").otherwise("SYS").alias("username"),
             F.col("o_orderpriority").alias("module"),
             F.concat(F.lit("prog"), _s(c % 7)).alias("program"),
-            F.concat(F.lit("host"), _s(c % 10)).alias("machine"),
+            _host("o_custkey").alias("machine"),
             F.floor("o_totalprice").cast("bigint").alias("last_call_et"))
 
     @cached_property
@@ -290,7 +297,7 @@ class Snapshot:
         status = F.substring(F.lit("DUEMRICHWBPQSXTAZG"), (e % 18 + 1).cast("int"), 1)
         return self.raw("events").select(
             e.alias("request_id"), F.col("user_id").alias("requested_by"),
-            (e % 40).alias("program_id"), (e % 2).cast("int").alias("application_id"),
+            F.col("user_id").alias("program_id"), (e % 2).cast("int").alias("application_id"),
             (e % 25).cast("int").alias("responsibility_id"),
             phase.alias("phase_code"), status.alias("status_code"),
             (ts - _minutes(F.lit(5))).alias("request_date"), ts.alias("requested_start_date"),
@@ -305,7 +312,7 @@ class Snapshot:
         k = F.col("p_partkey")
         name = (F.when(k % 10 == 3, "Report Set").when(k % 10 == 4, "Gather Schema Statistics")
                  .otherwise(F.col("p_name")))
-        return self.raw("part").where(k < 40).select(
+        return self.raw("part").select(
             k.alias("program_id"), (k % 2).cast("int").alias("application_id"),
             F.when(F.col("p_size") % 2 == 0, "US").otherwise("D").alias("language"),
             name.alias("user_program_name"))
@@ -334,7 +341,7 @@ class Snapshot:
     def profile_values(self) -> DataFrame:
         e = F.col("event_id")
         return self.raw("events").select(
-            (e % 200).alias("profile_option_id"), (10001 + e % 8).cast("int").alias("level_id"),
+            F.col("user_id").alias("profile_option_id"), (10001 + e % 8).cast("int").alias("level_id"),
             F.col("props").alias("profile_option_value"), F.col("ts").alias("last_update_date"),
             F.col("user_id").alias("last_updated_by"))
 
@@ -384,7 +391,7 @@ class Snapshot:
     def probe_results(self) -> DataFrame:
         t = F.col("event_type")
         return self.raw("events").select(
-            _host("user_id"), F.concat(F.lit("u"), _s(F.col("event_id") % 2)).alias("url"), "ts",
+            _host("user_id"), F.concat(F.lit("http://"), _host("user_id"), F.lit("/u"), _s(F.col("event_id") % 2)).alias("url"), "ts",
             F.when(t == "error", 503).when(t == "signup", 404).otherwise(200).alias("http_status"))
 
     @cached_property
@@ -402,7 +409,7 @@ class Snapshot:
         return self.raw("events").select(
             _host("user_id"), "ts", F.lit(16384).cast("bigint").alias("mem_total"),
             (e * 37 % 16384).alias("mem_used"),
-            F.when(F.col("user_id") % 10 == 0, 0).otherwise(4096).alias("swap_total"),
+            F.when(F.floor(F.col("user_id") / USERS_PER_HOST) % 10 == 0, 0).otherwise(4096).alias("swap_total"),
             (e * 11 % 4096).alias("swap_used"))
 
     @cached_property
@@ -410,8 +417,11 @@ class Snapshot:
         c = F.col("c_custkey")
         fs = (F.when(c % 9 == 0, "tmpfs").when(c % 11 == 0, "/dev/cdrom")
                .otherwise(F.concat(F.lit("/dev/sd"), _s(c))))
-        return self.raw("customer").select(_host("c_nationkey"), fs.alias("filesystem"),
-                                           (c % 101).cast("int").alias("use_pct"))
+        pct = (c % 101).cast("int")
+        return self.raw("customer").select(
+            _host("c_custkey"), fs.alias("filesystem"), F.lit("100G").alias("size"), F.concat(_s(pct), F.lit("G")).alias("used"),
+            F.concat(_s(100 - pct), F.lit("G")).alias("available"), pct.alias("use_pct"),
+            F.concat(F.lit("/mnt/"), F.regexp_replace(fs, "/", "_")).alias("mounted_on"))
 
     @cached_property
     def proc_snapshot(self) -> DataFrame:
@@ -419,10 +429,14 @@ class Snapshot:
         m = (o % 6).cast("int")
         comm = (F.when(m == 0, "smon").when(m == 1, "ora_smon_X").when(m == 2, "tnslsnr")
                  .when(m == 3, "oacore_server").when(m == 4, "forms_server").otherwise("oafm_server"))
+        user = F.when(o % 2 == 0, "oracle").otherwise("applmgr")
+        clock = F.concat(F.lpad(_s(o % 24), 2, "0"), F.lit(":"), F.lpad(_s(o % 60), 2, "0"))
         return self.raw("orders").select(
-            _host("o_custkey"), o.alias("pid"), (F.col("o_totalprice") / 10000).alias("pcpu"),
-            (F.col("o_totalprice") / 20000).alias("pmem"),
-            F.when(o % 50 == 0, "Z").otherwise("S").alias("state"),
+            _host("o_custkey"), user.alias("ruser"), o.alias("pid"), F.col("o_custkey").cast("bigint").alias("ppid"),
+            (o % 20).cast("int").alias("nice"), F.when(o % 3 == 0, "-").otherwise("ep_poll").alias("wchan"),
+            (F.col("o_totalprice") / 20000).alias("pmem"), (F.col("o_totalprice") / 10000).alias("pcpu"),
+            F.concat(clock, F.lit(":00")).alias("cpu_time"), user.alias("euser"),
+            F.when(o % 50 == 0, "Z").otherwise("S").alias("state"), _s(o % 5).alias("flags"), clock.alias("start_time"),
             (o % 12).cast("int").alias("thcount"), comm.alias("comm"))
 
     @cached_property
@@ -436,7 +450,9 @@ class Snapshot:
     def disk_samples(self) -> DataFrame:
         return self.raw("events").select(
             _host("user_id"), "ts", F.concat(F.lit("sd"), _s(F.col("event_id") % 3)).alias("device"),
-            F.col("value").alias("tps"), (F.col("value") / 5).alias("util"))
+            F.col("value").alias("tps"), (F.col("value") * 8).alias("rkb_s"), (F.col("value") * 4).alias("wkb_s"),
+            (F.col("value") / 2).alias("areq_sz"), (F.col("value") / 64).alias("aqu_sz"), (F.col("value") / 16).alias("await_ms"),
+            (F.col("value") / 5).alias("util"))
 
     @cached_property
     def host_log(self) -> DataFrame:
@@ -471,11 +487,10 @@ class Snapshot:
 
     @cached_property
     def host_limits(self) -> DataFrame:
-        """Per-host hard limit on user processes."""
-        k = F.col("n_nationkey")
-        return self.raw("nation").where(k < 10).select(
-            F.concat(F.lit("host"), _s(k)).alias("host"),
-            (F.lit(4096) * (1 + k % 3)).cast("bigint").alias("max_user_processes"))
+        """Per-host hard limit on user processes, for every host that runs any."""
+        k = F.regexp_extract("host", "[0-9]+$", 0).cast("bigint")
+        return self.raw("customer").select(_host("c_custkey")).distinct().select(
+            "host", (F.lit(4096) * (1 + k % 3)).cast("bigint").alias("max_user_processes"))
 
     @cached_property
     def vmstat_lines(self) -> DataFrame:
@@ -499,16 +514,17 @@ class Snapshot:
                    "--------cpu-------- -----timestamp-----")
              .otherwise(" r  b  swpd  free  buff  cache  si  so  bi  bo  in  cs us sy id wa st"
                         " UTC").alias("line"))
-        return data.unionByName(head)
+        torn = hosts.select("host", F.lit(-3).cast("bigint").alias("line_no"), F.lit(" 1  0  1000").alias("line"))
+        return data.unionByName(head).unionByName(torn)
 
     @cached_property
     def who_lines(self) -> DataFrame:
-        """`who -u` output lines: user, terminal, login time."""
+        """`who -u` output lines: user, terminal, login time, idle time, pid."""
         e = F.col("event_id")
         line = F.concat(F.lit("u"), _s(F.col("user_id") % 3), F.lit("   pts/"), _s(e % 4),
-                        F.lit("  "), F.date_format("ts", "yyyy-MM-dd HH:mm"))
-        return (self.raw("events").where(F.col("event_type") == "view")
-                .select(_host("user_id"), line.alias("line")))
+                        F.lit("  "), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" 00:"), F.lpad(_s(e % 60), 2, "0"),
+                        F.lit("   "), _s(e))
+        return self.raw("events").select(_host("user_id"), line.alias("line"))
 
     # Command output rendered from the sample tables, for the text parsers:
     # parsing these lines must give the sample tables back.
@@ -516,18 +532,27 @@ class Snapshot:
     def _hosts_of(self, df: DataFrame) -> DataFrame:
         return df.select("host").distinct()
 
+    def _with_torn(self, lines: DataFrame, *torn: str) -> DataFrame:
+        """``lines`` plus, once per host, lines that were cut short or wrapped;
+        the parsers must leave these out."""
+        keys = [c for c in ("host", "ts") if c in lines.columns]
+        once = lines.groupBy("host").agg(*[F.max(c).alias(c) for c in keys[1:]]) if len(keys) > 1 else self._hosts_of(lines)
+        return lines.unionByName(once.select(*keys, F.explode(F.array(*[F.lit(t) for t in torn])).alias("line")))
+
     @cached_property
     def proc_stat_lines(self) -> DataFrame:
         """/proc/stat: the aggregate cpu line, one per-core line and an
         unrelated counter line per sample."""
         c = self.cpu_samples
+        host_no = F.regexp_extract("host", "[0-9]+$", 0).cast("int")
         nums = F.concat_ws(" ", *[_s(x) for x in ("user", "nice", "system", "idle", "iowait", "irq",
                                                   "softirq", "steal")], F.lit("0"), F.lit("0"))
         # the counter text is built once per sample, then used by two lines
-        return (c.select("host", "ts", "user", nums.alias("_nums"))
-                .select("host", "ts", F.explode(F.array(
-                    F.concat(F.lit("cpu  "), F.col("_nums")), F.concat(F.lit("cpu0 "), F.col("_nums")),
-                    F.concat(F.lit("intr "), _s("user")))).alias("line")))
+        cores = F.transform(F.sequence(F.lit(0), host_no % 4), lambda k: F.concat(F.lit("cpu"), k.cast("string"), F.lit(" "), F.col("_nums")))
+        whole = (c.select("host", "ts", "user", nums.alias("_nums"))
+                 .select("host", "ts", F.explode(F.concat(F.array(
+                     F.concat(F.lit("cpu  "), F.col("_nums")), F.concat(F.lit("intr "), _s("user"))), cores)).alias("line")))
+        return self._with_torn(whole, "cpu", "cpu  12 3")
 
     @cached_property
     def free_lines(self) -> DataFrame:
@@ -538,28 +563,39 @@ class Snapshot:
         swap = F.concat(F.lit("Swap:    "), _s("swap_total"), F.lit("  "), _s("swap_used"), F.lit("  "),
                         _s(F.col("swap_total") - F.col("swap_used")))
         head = F.lit("               total        used        free      shared  buff/cache   available")
-        return m.select("host", "ts", F.explode(F.array(head, mem, swap)).alias("line"))
+        return self._with_torn(m.select("host", "ts", F.explode(F.array(head, mem, swap)).alias("line")), "Mem:", "Swap:    40")
+
+    @cached_property
+    def meminfo_lines(self) -> DataFrame:
+        """/proc/meminfo lines of every memory sample."""
+        m = self.mem_samples
+
+        def line(name: str, value: Column) -> Column:
+            return F.concat(F.lit(f"{name}:      "), _s(value), F.lit(" kB"))
+
+        lines = m.select("host", "ts", F.explode(F.array(
+            line("MemTotal", F.col("mem_total")), line("MemFree", F.lit(1)), line("MemAvailable", F.col("mem_total") - F.col("mem_used")),
+            line("SwapTotal", F.col("swap_total")), line("SwapFree", F.col("swap_total") - F.col("swap_used")))).alias("line"))
+        return self._with_torn(lines, "MemTotal:", "SwapFree:   kB")
 
     @cached_property
     def df_lines(self) -> DataFrame:
         """`df -H` output: a header per host, then one line per file system."""
         f = self.fs_usage
-        data = f.select("host", F.concat(F.col("filesystem"), F.lit("   100G   "), _s("use_pct"),
-                                         F.lit("G   "), _s(100 - F.col("use_pct")), F.lit("G   "),
-                                         _s("use_pct"), F.lit("% /mnt/"),
-                                         F.regexp_replace("filesystem", "/", "_")).alias("line"))
+        data = f.select("host", F.concat_ws("   ", "filesystem", "size", "used", "available",
+                                            F.concat(_s("use_pct"), F.lit("%")), "mounted_on").alias("line"))
         head = self._hosts_of(f).select(
             "host", F.lit("Filesystem      Size  Used Avail Use% Mounted on").alias("line"))
-        return data.unionByName(head)
+        return self._with_torn(data.unionByName(head), "/dev/mapper/a_very_long_volume_name", "                 100G   95G   5G  95% /wrapped", "/dev/sdx  10G")
 
     @cached_property
     def ps_lines(self) -> DataFrame:
-        """`ps -eo pid,pcpu,pmem,state,thcount,comm` output with a header per host."""
+        """`ps -eo ruser,pid,...,comm` output (14 columns) with a header per host."""
         p = self.proc_snapshot
-        data = p.select("host", F.concat_ws("  ", _s("pid"), _s("pcpu"), _s("pmem"), F.col("state"),
-                                            _s("thcount"), F.col("comm")).alias("line"))
-        head = self._hosts_of(p).select("host", F.lit("    PID %CPU %MEM S THCNT COMMAND").alias("line"))
-        return data.unionByName(head)
+        data = p.select("host", F.concat_ws("  ", *[_s(c) for c in p.columns if c != "host"]).alias("line"))
+        head = self._hosts_of(p).select(
+            "host", F.lit("RUSER PID PPID NI WCHAN %MEM %CPU TIME EUSER S F STIME THCNT COMMAND").alias("line"))
+        return self._with_torn(data.unionByName(head), "oracle  77", "oracle  pid  1 0 - 1 1 0 a S 0 0 1 cmd")
 
     @cached_property
     def netstat_lines(self) -> DataFrame:
@@ -570,7 +606,7 @@ class Snapshot:
         head = self._hosts_of(lst).select("host", F.explode(F.array(
             F.lit("Active Internet connections (only servers)"),
             F.lit("Proto Recv-Q Send-Q Local Address           Foreign Address         State"))).alias("line"))
-        return data.unionByName(head)
+        return self._with_torn(data.unionByName(head), "tcp        0", "tcp  0  0  0.0.0.0:")
 
     @cached_property
     def sar_lines(self) -> DataFrame:
@@ -579,11 +615,10 @@ class Snapshot:
         d = self.disk_samples
         t = F.date_format("ts", "HH:mm:ss")
         data = d.select("host", "ts", F.concat_ws(
-            "  ", t, F.col("device"), _s("tps"), F.lit("0.00"), F.lit("0.00"), F.lit("0.00"),
-            F.lit("0.00"), F.lit("0.00"), _s("util")).alias("line"))
+            "  ", t, F.col("device"), *[_s(c) for c in ("tps", "rkb_s", "wkb_s", "areq_sz", "aqu_sz", "await_ms", "util")]).alias("line"))
         head = d.select("host", "ts", F.concat(
             t, F.lit("  DEV  tps  rkB/s  wkB/s  areq-sz  aqu-sz  await  %util")).alias("line"))
-        return data.unionByName(head)
+        return self._with_torn(data.unionByName(head), "10:00:00  sda  1.0")
 
     @cached_property
     def uptime_pretty_lines(self) -> DataFrame:

@@ -29,10 +29,10 @@ def land(df: DataFrame, path: str, snapshot_date, by_container: bool | None = No
     """Write one logical table's snapshot for ``snapshot_date``."""
     if by_container is None:
         by_container = "con_id" in df.columns
-    parts = ["snapshot_date"] + (["con_id"] if by_container else [])
-    (df.withColumn("snapshot_date", F.to_date(F.lit(_day(snapshot_date))))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*parts).parquet(path))
+    # the day's own folder is overwritten, so a container that is gone leaves nothing behind
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy("con_id") if by_container else writer).parquet(
+        f"{path.rstrip('/')}/snapshot_date={_day(snapshot_date)}")
 
 
 def read_landed(spark: SparkSession, path: str, as_of=None,

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from opslens.session import delete_path
 from opslens.sources.fixtures import Snapshot
 from opslens.streaming import streams
 
@@ -65,7 +66,7 @@ def _write_findings_batch(out_path: str, check: str, threshold: float):
         rows = _finding_rows(batch, check, threshold)
         (rows.withColumn("as_of_date", F.to_date("as_of")).withColumn("batch_id", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id", "check").parquet(out_path))
+             .partitionBy("as_of_date", "check", "batch_id").parquet(out_path))
     return write
 
 
@@ -88,17 +89,21 @@ def _stateful_batch_writer(spark: SparkSession, out_path: str, state_path: str,
         if batch_id > 0:
             try:
                 state = spark.read.parquet(f"{state_path}/v={batch_id - 1}")
-            except AnalysisException as exc:  # only "no state yet" is expected here
-                if "PATH_NOT_FOUND" not in str(exc):
-                    raise
+            except AnalysisException as exc:
+                if "PATH_NOT_FOUND" in str(exc):
+                    raise RuntimeError(f"the state of batch {batch_id - 1} is lost ({state_path}); open alerts "
+                                       "would be raised again: start the stream with a new checkpoint") from exc
+                raise
         rows = batch.select("host", "ts", "value").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             tr, new_state = streams.transitions_with_state(rows, state, threshold)
             (_finding_rows(tr, check, threshold).withColumn("as_of_date", F.to_date("as_of"))
                 .withColumn("batch_id", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id", "check").parquet(out_path))
+                .partitionBy("as_of_date", "check", "batch_id").parquet(out_path))
             new_state.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+            if batch_id > 1:  # a replay of this batch reads the version before it, none older
+                delete_path(spark, f"{state_path}/v={batch_id - 2}")
         finally:
             rows.unpersist()
     return write

@@ -6,8 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from opslens.operators import storage
-from opslens.plans.compare import spark_rows
+from pyspark.sql import functions as F
+
+from opslens.operators import database
 from opslens.plans.inspect import physical_plan
 from opslens.sources.landing import land, read_landed
 
@@ -27,29 +28,25 @@ def test_land_and_prune(spark, snap_small):
     assert one.count() == df.where("con_id = 3").count()
 
 
+def test_landing_again_drops_what_is_gone(spark, snap_small):
+    path = os.path.join(tempfile.mkdtemp(prefix="opslens-land-"), "data_files")
+    df = snap_small.data_files
+    land(df, path, "2024-01-30")
+    land(df, path, "2024-01-31")
+    land(df.where("con_id <> 2"), path, "2024-01-31")
+    assert read_landed(spark, path, as_of="2024-01-31 00:00:00").where("con_id = 2").count() == 0
+    assert read_landed(spark, path, as_of="2024-01-30 00:00:00").where("con_id = 2").count() > 0
+
+
 def test_sql_over_views_equals_operator(spark, snap_small):
+    """A report written in Spark SQL over the registered views."""
     snap_small.register_views()
     sql = spark.sql("""
-        with f as (select c.con_id, cf.tablespace_name, sum(cf.bytes)/1024/1024/1024 as free_space_gb
-                   from free_space cf join containers c on cf.con_id = c.con_id
-                   group by c.con_id, cf.tablespace_name),
-             a as (select c.con_id, df.tablespace_name, sum(df.bytes)/1024/1024/1024 as allocated_space_gb,
-                          max(df.maxbytes)/1024/1024/1024 as max_allocated_gb
-                   from data_files df join containers c on df.con_id = c.con_id
-                   group by c.con_id, df.tablespace_name)
-        select f.con_id, v.name as con_name, f.tablespace_name, f.free_space_gb, a.allocated_space_gb,
-               a.max_allocated_gb
-        from f join a on f.con_id = a.con_id and f.tablespace_name = a.tablespace_name
-        join containers v on f.con_id = v.con_id
-        union all
-        select vc.con_id, vc.name, tf.tablespace_name, null, sum(tf.bytes)/1024/1024/1024,
-               max(tf.maxbytes)/1024/1024/1024
-        from containers vc join temp_files tf on vc.con_id = tf.con_id
-        group by vc.con_id, vc.name, tf.tablespace_name""")
-    s = snap_small
-    op = storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers)
-    a, b = spark_rows(sql), spark_rows(op)
-    assert sorted(a[1], key=repr) == sorted(b[1], key=repr)
+        select case when grouping(owner) = 1 then 'all' else owner end as who, count(*) as n
+        from db_objects where status = 'INVALID' group by rollup(owner)""")
+    counts = database.invalid_object_counts(snap_small.db_objects)
+    own = {r["owner"]: r["n"] for r in counts.groupBy("owner").agg(F.sum("invalid_objects").alias("n")).collect()}
+    assert {r["who"]: r["n"] for r in sql.collect()} == own | {"all": sum(own.values())}
 
 
 def test_input_size_and_shuffle_sizing(spark):

@@ -43,11 +43,54 @@ def test_df(spark):
 
 
 def test_ps(spark):
-    lines = _lines(spark, ["    PID %CPU %MEM S THCNT COMMAND",
-                           "   1234 12.5  3.1 S    40 ora_pmon_CDB",
-                           "      7  0.0  0.0 Z     1 tnslsnr LISTENER -inherit"], with_ts=False)
+    lines = _lines(spark, ["RUSER      PID    PPID  NI WCHAN  %MEM %CPU     TIME EUSER    S F STIME THCNT COMMAND",
+                           "oracle    1234       1   0 ep_pol  3.1 12.5 00:10:02 oracle   S 0 10:01    40 ora_pmon_CDB",
+                           "root         7       2  -5 -       0.0  0.0 00:00:00 root     Z 1 Jan01     1 tnslsnr LISTENER -inherit"], with_ts=False)
     out = sorted((r["pid"], r["pcpu"], r["state"], r["comm"]) for r in co.ps_snapshot(lines).collect())
     assert out == [(7, 0.0, "Z", "tnslsnr LISTENER -inherit"), (1234, 12.5, "S", "ora_pmon_CDB")]
+    r = co.ps_snapshot(lines).where("pid = 1234").first()
+    assert (r["ruser"], r["ppid"], r["nice"], r["wchan"], r["pmem"], r["cpu_time"], r["euser"], r["flags"], r["start_time"], r["thcount"]) == (
+        "oracle", 1, 0, "ep_pol", 3.1, "00:10:02", "oracle", "0", "10:01", 40)
+
+
+def test_torn_lines_are_left_out_and_counted(spark):
+    torn = {
+        "proc_stat": (["cpu  1 2 3 4 5 6 7", "cpu", "cpu  1 2", "cpu0 1 2 3 4 5 6 7 8"], co.proc_stat_cpu, 1, (2, 1)),
+        "free": (["Mem:   10   5", "Mem:", "Swap:  4", "total used"], co.free_memory, 1, (3, 2)),
+        "meminfo": (["MemTotal:  10 kB", "MemAvailable:", "MemFree: 1 kB"], co.meminfo, 1, (2, 1)),
+        "df": (["Filesystem Size", "/dev/mapper/long", "   10G  9G  1G  90% /x", "/dev/sda 10G 9G 1G 90% /"], co.df_usage, 1, (3, 2)),
+        "ps": (["oracle 12", "root x 1 0 - 1 1 0 a S 0 0 1 cmd"], co.ps_snapshot, 0, (2, 2)),
+        "netstat": (["tcp 0", "tcp 0 0 1.2.3.4:", "tcp 0 0 1.2.3.4:22 0.0.0.0:* LISTEN"], co.netstat_listeners, 1, (3, 2)),
+        "sar": (["10:00:00 sda 1.0", "10:00:00 sda 1 2 3 4 5 6 7"], co.sar_disk, 1, (2, 1)),
+        "who": (["u pts/1", "u pts/1 2024-01-01 10:00 . 77"], co.who_sessions, 1, (2, 1)),
+    }
+    for kind, (text, parse, rows, counts) in torn.items():
+        lines = _lines(spark, text)
+        assert len(parse(lines).collect()) == rows, kind
+        r = co.rejected_lines(lines, kind).first()
+        assert (r["data_lines"], r["rejected"]) == counts, kind
+
+
+def test_short_uptime_and_vmstat_lines(spark):
+    from opslens.operators import hosts
+    lines = _lines(spark, [" 10:00:00 up 3 days", " 10:00:00 up 1 day, load average: 1.5, 2.5"])
+    out = sorted((r["load_1"] or 0, r["load_5"] or 0, r["load_15"]) for r in hosts.load_average(lines).collect())
+    assert out == [(0, 0, None), (1.5, 2.5, None)]
+    vm = lines.selectExpr("host", "cast(1 as bigint) as line_no", "' 1 2 3' as line")
+    assert hosts.vmstat_samples(vm).collect() == []
+
+
+def test_core_counts(spark):
+    lines = _lines(spark, ["cpu  1 2 3 4", "cpu0 1 2 3 4", "cpu1 1 2 3 4", "cpu1 2 3 4 5", "intr 4"])
+    assert co.core_counts(lines).first()["cores"] == 2
+
+
+def test_log_tail_of_each_file(spark):
+    from opslens.operators import hosts
+    rows = [("h", "alert.log", i, f"new {i}") for i in range(5)] + [("h", "alert.log.1", i, f"old {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "host string, source string, line_no long, line string")
+    got = {(r["source"], r["line"]) for r in hosts.log_tail(df, 2, source="source").collect()}
+    assert got == {("alert.log", "new 3"), ("alert.log", "new 4"), ("alert.log.1", "old 48"), ("alert.log.1", "old 49")}
 
 
 def test_netstat(spark):

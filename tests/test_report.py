@@ -29,8 +29,8 @@ def test_run_writes_every_report(spark):
 
     counts = {n: read(n, p).count() for n, p in paths.items()}
     frames["tablespace_usage"].unpersist()
-    assert counts["tablespace_usage"] == 128 and counts["tablespace_alerts"] == 32
-    assert counts["log_tail"] == 300 and counts["online_user_count"] == 1
+    assert counts["tablespace_usage"] == 793 and counts["tablespace_alerts"] == 56
+    assert counts["log_tail"] == 240 and counts["online_user_count"] == 1
     assert counts["findings"] > 0
     # findings built from the written tables equal findings computed directly
     _, direct = report.health_check(s, AS_OF)
@@ -40,5 +40,5 @@ def test_run_writes_every_report(spark):
     assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, direct.select(*cols).collect()))
     # same day again: partitions replaced, not appended
     report.run(Snapshot(spark, SF_SMALL), AS_OF, out)
-    assert spark.read.parquet(paths["tablespace_usage"]).count() == 128
+    assert spark.read.parquet(paths["tablespace_usage"]).count() == 793
     assert not spark.sparkContext._jsc.getPersistentRDDs().values()

@@ -96,3 +96,15 @@ def test_plain_window_option_matches(spark):
         b = op(s.cpu_samples if op is hosts.cpu_usage else s.mem_samples, bucket=None)
         cols = sorted(a.columns)
         assert _collect(a, cols) == _collect(b, cols)
+
+
+def test_null_times_and_ties_equal_the_plain_window(spark):
+    from opslens.functions.exprs import time_bucket
+    from opslens.plans.skew import previous_values, rolling_mean
+    rows = [("h", None, 1), ("h", None, 2), ("h", "2024-01-01 00:10:00", 3), ("h", "2024-01-01 00:10:00", 4),
+            ("h", "2024-01-01 05:00:00", 5), ("g", "2024-01-01 05:00:00", 6), ("g", None, 7)]
+    df = spark.createDataFrame(rows, "host string, ts string, v long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    key = lambda r: repr(tuple(r))
+    for run in (lambda b: previous_values(df, ["host"], ["ts", "v"], ["v"], b),
+                lambda b: rolling_mean(df, ["host"], ["ts", "v"], {"m": F.col("v")}, 3, b)):
+        assert sorted(run(time_bucket("ts", "hour")).collect(), key=key) == sorted(run(None).collect(), key=key)
