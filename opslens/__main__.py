@@ -1,6 +1,9 @@
 """Command line: run the whole health check for one snapshot directory.
 
-    python -m opslens --snapshot /path/to/tables --as-of "2024-01-31 00:00:00" --out /shared/reports
+    python -m opslens --landed /shared/landed --as-of "2024-01-31 00:00:00" --out /shared/reports
+
+``--landed`` names the folder of the landed tables (``sources/landing.py``);
+``--snapshot`` runs on tables derived from a star-schema test directory.
 
 The Spark master and all cluster settings come from ``spark-submit`` / the
 environment; this only builds the reports and writes them.
@@ -16,11 +19,14 @@ from pyspark.sql import SparkSession
 from opslens import report
 from opslens.session import RECOMMENDED_CONF, size_shuffles
 from opslens.sources.fixtures import Snapshot
+from opslens.sources.landing import LandedSnapshot
 
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="opslens", description=__doc__.splitlines()[0])
-    ap.add_argument("--snapshot", required=True, help="directory with the raw snapshot tables")
+    source = ap.add_mutually_exclusive_group(required=True)
+    source.add_argument("--landed", help="folder with the landed tables")
+    source.add_argument("--snapshot", help="directory with star-schema test tables")
     ap.add_argument("--as-of", required=True, help="report time, 'YYYY-MM-DD HH:MM:SS' (no zone)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--threshold", type=float, default=90.0, help="capacity alert threshold, percent")
@@ -30,8 +36,9 @@ def main(argv: list[str] | None = None) -> None:
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    size_shuffles(spark, args.snapshot)
-    paths = report.run(Snapshot(spark, args.snapshot), args.as_of, args.out,
+    size_shuffles(spark, args.landed or args.snapshot)
+    tables = LandedSnapshot(spark, args.landed, args.as_of) if args.landed else Snapshot(spark, args.snapshot)
+    paths = report.run(tables, args.as_of, args.out,
                        parallel_jobs=args.parallel_jobs, threshold=args.threshold)
     print(json.dumps(paths, indent=1))
 

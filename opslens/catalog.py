@@ -9,7 +9,6 @@ of names itself, so that a wrong one in the operators shows.
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -544,17 +543,10 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
 QUERIES: dict[str, Query] = {name: Query(build, SQL.get(name)) for name, build in BUILDERS.items()}
 
 
-_SNAPSHOTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Snapshot]]" = weakref.WeakKeyDictionary()
-
-
 def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The snapshot tables of ``sf_dir``, defined once per session: the table
-    definitions (file listing, projections, size-checked hints) are shared by
-    every report run against the same directory, as views would be."""
-    per_session = _SNAPSHOTS.setdefault(spark, {})
-    if sf_dir not in per_session:
-        per_session[sf_dir] = Snapshot(spark, sf_dir)
-    return per_session[sf_dir]
+    """The logical tables of ``sf_dir``, defined anew so that files that have
+    arrived since are read (the raw schemas are declared: no footer is read)."""
+    return Snapshot(spark, sf_dir)
 
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from opslens.functions import codes
 from opslens.functions.exprs import as_of_lit, parse_as_of
 from opslens.operators import activity, components, database, findings, hosts, requests, storage
-from opslens.sources.fixtures import Snapshot
 
 
-def health_check(s: Snapshot, as_of, *, threshold: float = codes.CAPACITY_THRESHOLD,
+def health_check(s, as_of, *, threshold: float = codes.CAPACITY_THRESHOLD,
                  pdb_con_id: int | None = None,
                  profile_timeout_minutes=None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All report frames (lazy) and the findings frame, for ``as_of``.
+    """All report frames (lazy) and the findings frame, for ``as_of``. ``s`` has
+    the logical tables as attributes: landed ones (``landing.LandedSnapshot``)
+    or the test projections (``fixtures.Snapshot``).
     The caller owns the returned usage frame's cache (see ``run``)."""
     usage = storage.capacity_usage(s.data_files, s.free_space, s.temp_files, s.containers, ordered=False) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -100,7 +101,7 @@ def _findings(frames: dict[str, DataFrame], as_of, threshold: float) -> DataFram
         **{arg: frames[name] for arg, name in _FINDING_SOURCES.items()})
 
 
-def run(s: Snapshot, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, str]:
+def run(s, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, str]:
     """Compute and write every report and the findings for ``as_of``.
 
     Most reports are small next to the cluster, so up to ``parallel_jobs``

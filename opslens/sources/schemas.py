@@ -68,14 +68,20 @@ _DDL = {
                    "iowait bigint, irq bigint, softirq bigint, steal bigint",
     "mem_samples": "host string, ts timestamp_ntz, mem_total bigint, mem_used bigint, swap_total bigint, "
                    "swap_used bigint",
-    "fs_usage": "host string, filesystem string, use_pct int",
-    "proc_snapshot": "host string, pid bigint, pcpu double, pmem double, state string, thcount int, "
-                     "comm string",
+    "fs_usage": "host string, filesystem string, size string, used string, available string, use_pct int, "
+                "mounted_on string",
+    "proc_snapshot": "host string, ruser string, pid bigint, ppid bigint, nice int, wchan string, pmem double, "
+                     "pcpu double, cpu_time string, euser string, state string, flags string, start_time string, "
+                     "thcount int, comm string",
     "listeners": "host string, proto string, port int",
-    "disk_samples": "host string, ts timestamp_ntz, device string, tps double, util double",
+    "disk_samples": "host string, ts timestamp_ntz, device string, tps double, rkb_s double, wkb_s double, "
+                    "areq_sz double, aqu_sz double, await_ms double, util double",
     "host_log": "host string, line_no bigint, line string",
     "host_limits": "host string, max_user_processes bigint",
     "boot_samples": "host string, ts timestamp_ntz, boot_time timestamp_ntz",
+    "uptime_lines": "host string, ts timestamp_ntz, line string",
+    "vmstat_lines": "host string, line_no bigint, line string",
+    "who_lines": "host string, line string",
 }
 
 NAMES = tuple(_DDL)
