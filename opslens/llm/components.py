@@ -10,8 +10,10 @@ from opslens.llm.common import cut
 ROUNDS = 50
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node (a) has one centre (b), itself no node."""
+    n = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("nodes")).first()
+    return n["n"] == n["nodes"] and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pair = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # b: the smaller
     edges = cut(edges.where("a != b").select(pair.alias("e")).select("e.*").distinct())
-    seen = None
     for _ in range(ROUNDS):
+        if _are_stars(edges):
+            break
         # large star: larger neighbours of a node go to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: the node
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -35,8 +38,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         tied = edges.join(least, "a")
         edges = cut(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct())
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

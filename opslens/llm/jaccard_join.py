@@ -10,14 +10,17 @@ them. So only prefixes are indexed; a shingle's list is sorted by set size, and
 entries outside the size window, or whose positions leave too little overlap,
 are skipped.
 
-Relations between sets. Equal sets are one class and indexed once. A set's best
-predecessor (the one it shares most prefix shingles with) is verified first;
-sets so linked have their answers in common as far as components go, so all
-candidates inside a component are skipped without being verified, and only
-candidates across components are. Long lists (large groups of near copies) are
-first tied to their smallest entry, and searched in full only across the
-components that remain. No link between different texts is lost: every
-candidate is verified or lies inside a component already.
+Relations between sets. Equal sets are one class and indexed once. Of a set's
+candidates the closest (by bitmaps of the sets' shingles, which bound how much
+two sets differ) are verified first; sets so linked have their answers in
+common as far as components go, so all candidates inside a component are
+skipped without being verified, and only candidates across components are.
+Long lists (large families of near copies) are first searched from entry to a
+few others. Their sets are indexed anew among themselves, by what sets them
+apart: shingles that few of them have come first. Lists that are still long are
+then searched across the components that are left. No link between different
+texts is lost: every candidate is verified, ruled out by its bitmaps, or lies
+inside a component already.
 
 Lists travel as arrays, one row per slice of documents and bucket of shingles;
 frequent shingles are a table of bounded size; texts are joined only for the
@@ -32,22 +35,32 @@ an id link nothing and have no component; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.common import cut, fresh, pieces, table
 from opslens.llm.components import components
-from opslens.llm.shingles import shingle_sets, signatures, slices
+from opslens.llm.shingles import mix, shingle_sets, signatures, slices
 
 THRESHOLD = 80
 #: Shingles in this many sets or more are ordered last, at most this many of them.
-FREQUENT_FROM, FREQUENT_MAX = 32, 1 << 18
+FREQUENT_FROM, FREQUENT_MAX = 16, 1 << 18
 #: Lists up to this length are searched at once.
 SHORT_LIST = 16
+#: In longer ones an entry is first compared with so many others.
+NEIGHBOURS = 4
+#: Words of 64 bits in a bitmap.
+BITMAP = 16
+WORDS_OF_BITMAP = [f"w{k}" for k in range(BITMAP)]
+#: Candidates of a set that are verified first.
+CLOSEST = 4
 BUCKET_DOCS = 8192
+#: Entries of lists that a task packs at once.
+GATHER = 400_000
 #: Sets with candidates are picked from the documents by a broadcast up to this many.
 BROADCAST_SETS = 1_000_000
 
@@ -100,22 +113,37 @@ def _by_bucket(value: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterato
             yield b, [c[rows].tobytes() for c in columns]
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts joined to about ``GATHER`` entries, to bound a task's memory."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= GATHER:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def frequent_shingles(docs: DataFrame, buckets: int) -> np.ndarray:
     """Shingles that occur in many sets, the most frequent last. Counted over
     the third of every set that a prefix can reach, so a shingle is counted in
     all sets in which its place matters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def reached(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray]]:
             seen: set[int] = set()
-            found = []
             for _, _, doc, value, size, sig in _sets(batch.column(0)):
                 start = np.cumsum(size) - size
                 reach = np.minimum(size, np.maximum(-(-size // 3), size - _needed(size) + 9))
-                found.append(value[(np.arange(len(doc)) - start[doc] < reach[doc]) & _once(doc, sig, seen)])
-            value, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            rows = list(_by_bucket(value, buckets, value, n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in (0, 1))],
-                                             ["bucket", "value", "n"])
+                yield (value[(np.arange(len(doc)) - start[doc] < reach[doc]) & _once(doc, sig, seen)],)
+
+        for batch in batches:
+            for (found,) in _gathered(reached(batch)):
+                value, n = np.unique(found, return_counts=True)
+                rows = list(_by_bucket(value, buckets, value, n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in (0, 1))],
+                                                 ["bucket", "value", "n"])
 
     def count(t):
         values, counts = [], []
@@ -157,9 +185,9 @@ def _prefixes(batch: pa.RecordBatch, frequent: np.ndarray) -> Iterator[tuple[np.
 PAIR = "a long, b long, shingle long, size long, position long"
 
 
-def _search(t):
-    """Candidates (a, b) from the lists of a bucket, and the entries (a, null)
-    of the lists that are too long to be searched at once."""
+def _search(t, entries: bool):
+    """Candidates (a, b) from the lists of a bucket, and rows (a, null) for the
+    lists too long to be searched at once: their entries, or just their sets."""
     columns = [np.concatenate([np.frombuffer(v.as_py(), kind) for v in t.column(name)])
                for name, kind in (("value", np.uint64), ("sig", np.uint64), ("size", np.uint32), ("position", np.uint32))]
     value, sig, size, position = columns
@@ -192,44 +220,162 @@ def _search(t):
             break
         ok = possible(i, i + step)
         pairs.append((i[ok], i[ok] + step))
-    # long lists: every entry with the first one of its size window
-    for s, n in zip(starts[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
-        at = s
-        while at < s + n:
-            end = s + int(np.searchsorted(size[s:s + n] * THRESHOLD, 100 * size[at], side="right"))
-            j = np.arange(at + 1, end)
-            i = np.full(len(j), at)
-            ok = possible(i, j)
-            pairs.append((i[ok], j[ok]))
-            at = end
+    # long lists: the next few entries in an order of each list's own
+    rest = np.flatnonzero(long_list)
+    rest = rest[np.lexsort((mix(sig[rest] ^ value[rest]), value[rest]))]
+    for step in range(1, NEIGHBOURS + 1):
+        i, j = rest[:-step], rest[step:]
+        same = value[i] == value[j]
+        i, j = np.minimum(i, j)[same], np.maximum(i, j)[same]  # places are in order of size and signature
+        ok = possible(i, j)
+        pairs.append((i[ok], j[ok]))
     i = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
     j = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
     both = np.stack([sig[i], sig[j]], axis=1).view(np.int64)
-    found, shared = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
-    rest = np.flatnonzero(long_list)
+    found = np.unique(both, axis=0) if len(both) else both
+    if not entries:
+        rest = rest[np.unique(sig[rest], return_index=True)[1]]
     none = [None] * len(found)
     return pa.table([pa.array([*found[:, 0].tolist(), *sig[rest].view(np.int64).tolist()], pa.int64()), pa.array([*found[:, 1].tolist(), *[None] * len(rest)], pa.int64()),
-                     pa.array([*none, *value[rest].view(np.int64).tolist()], pa.int64()), pa.array([*shared.tolist(), *size[rest].tolist()], pa.int64()),
+                     pa.array([*none, *value[rest].view(np.int64).tolist()], pa.int64()), pa.array([*none, *size[rest].tolist()], pa.int64()),
                      pa.array([*none, *position[rest].tolist()], pa.int64())], names=[f.split()[0] for f in PAIR.split(", ")])
 
 
+def _searched(lists: DataFrame, entries: bool) -> tuple[DataFrame, DataFrame]:
+    """From packed lists: candidates (a, b), a before b by size and signature,
+    and what is left of long lists (shingle, sig, size, position)."""
+    found = cut(lists.groupBy("bucket").applyInArrow(lambda t: _search(t, entries), PAIR))
+    return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("shingle", F.col("a").alias("sig"), "size", "position")
+
+
+LISTS = "bucket int, value binary, sig binary, size binary, position binary"
+_LIST_KINDS = (pa.int32(), *[pa.binary()] * 4)
+
+
 def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, shared) candidates, a before b by size and signature, and the
-    entries (shingle, sig, size, position) of long lists."""
+    """Candidates from the prefixes of all documents, and the sets that stand
+    in long lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_prefixes(batch, frequent))
-            if not found:
-                continue
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-            rows = list(_by_bucket(columns[0], buckets, *columns))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(4))],
-                                             ["bucket", "value", "sig", "size", "position"])
+            for columns in _gathered(_prefixes(batch, frequent)):
+                rows = list(_by_bucket(columns[0], buckets, *columns))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(4))],
+                                                 ["bucket", "value", "sig", "size", "position"])
+
+    return _searched(docs.select("text").mapInArrow(run, LISTS), entries=False)
+
+
+def close_candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates among the sets of long lists (sig, text), and the entries of
+    lists that are still long.
+
+    Such sets are mostly large families of near copies. Here all their shingles
+    are counted among them, so each set's prefix starts with what sets it
+    apart: shingles that no other has fill it, unless the set is close to the
+    family's middle.
+    """
+    n = pieces(texts, BUCKET_DOCS)
+    sliced = texts.select("sig", "text").withColumn("slice", F.pmod(F.xxhash64("sig"), F.lit(n)).cast("int")).repartition(n, "slice")
+
+    def values(t):
+        found = [value for _, _, _, value, _, _ in _sets(t.column("text").combine_chunks())]
+        value, count = np.unique(np.concatenate(found), return_counts=True)
+        rows = list(_by_bucket(value, n, value, count.astype(np.uint32)))
+        return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([t.column("slice")[0].as_py()] * len(rows), pa.int32()),
+                         *(pa.array([c[k] for _, c in rows], pa.binary()) for k in (0, 1))], names=["bucket", "slice", "value", "n"])
+
+    def counted(t):
+        own = [np.frombuffer(v.as_py(), np.uint64) for v in t.column("value")]
+        value, of = np.unique(np.concatenate(own), return_inverse=True)
+        count = np.bincount(of, weights=np.concatenate([np.frombuffer(v.as_py(), np.uint32) for v in t.column("n")])).astype(np.uint32)
+        rows, at = [], 0
+        for v in own:
+            n_own = count[of[at:at + len(v)]]
+            at += len(v)
+            rows.append((v[n_own > 1].tobytes(), n_own[n_own > 1].tobytes()))
+        return pa.table([t.column("slice"), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["slice", "value", "n"])
+
+    def lists(known, t):
+        value_of, n_of = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in known.column(c)] or [np.zeros(0, kind)]) for c, kind in (("value", np.uint64), ("n", np.uint32)))
+        order = np.argsort(value_of)
+        value_of, n_of = value_of[order], n_of[order].astype(np.int64)
+        found = [[np.zeros(0, k)] * 1 for k in (np.uint64, np.uint64, np.uint32, np.uint32)]
+        for _, _, doc, value, size, sig in _sets(t.column("text").combine_chunks()):
+            n_own = np.ones(len(value), np.int64)
+            if len(value_of):
+                at = np.minimum(np.searchsorted(value_of, value), len(value_of) - 1)
+                n_own = np.where(value_of[at] == value, n_of[at], 1)
+            order = np.lexsort((value, n_own, doc))
+            value, n_own = value[order], n_own[order]
+            position = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+            keep = (position < (size - _needed(size) + 1)[doc]) & (n_own > 1)
+            for column, part in zip(found, (value[keep], sig[doc[keep]], size[doc[keep]].astype(np.uint32), position[keep].astype(np.uint32)), strict=True):
+                column.append(part)
+        columns = [np.concatenate(c) for c in found]
+        rows = list(_by_bucket(columns[0], n, *columns))
+        return pa.table([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(4))],
+                        names=["bucket", "value", "sig", "size", "position"])
+
+    known = (sliced.groupBy("slice").applyInArrow(values, "bucket int, slice int, value binary, n binary")
+             .groupBy("bucket").applyInArrow(counted, "slice int, value binary, n binary"))
+    return _searched(known.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(lists, LISTS), entries=True)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per set, its size and the parity of its shingles in each of 64 *
+    ``BITMAP`` places. Two bitmaps differ in no more places than their sets
+    differ in shingles."""
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, BITMAP * 64), np.uint8)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for at, end, doc, value, size, _ in _sets(batch.column(1)):
+            np.add.at(bits, (doc + at, (value >> np.uint64(32)).astype(np.int64) % (BITMAP * 64)), 1)
+            sizes[at:end] = size
+        words = np.packbits(bits & 1, axis=1).view(np.int64).reshape(batch.num_rows, BITMAP)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP))],
+                                         ["sig", "size", *WORDS_OF_BITMAP])
 
-    packed = docs.select("text").mapInArrow(run, "bucket int, value binary, sig binary, size binary, position binary")
-    found = cut(packed.groupBy("bucket").applyInArrow(_search, PAIR))
-    pairs = cut(found.where("b is not null").groupBy("a", "b").agg(F.sum("size").alias("shared")))
-    return pairs, found.where("b is null").select("shingle", F.col("a").alias("sig"), "size", "position")
+
+def bitmaps_of(texts: DataFrame) -> DataFrame:
+    """sig, size and the words of the bitmap of every set (sig, text)."""
+    return texts.select("sig", "text").mapInArrow(_bitmaps, "sig long, size long, " + ", ".join(f"{w} long" for w in WORDS_OF_BITMAP))
+
+
+def _least_overlap(x: str, y: str) -> Column:
+    return F.ceil(THRESHOLD * (F.col(f"{x}.size") + F.col(f"{y}.size")) / F.lit(100 + THRESHOLD))
+
+
+def _differ(x: str, y: str) -> Column:
+    """Places in which two bitmaps differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WORDS_OF_BITMAP))
+
+
+def by_bitmap(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """a, b, differ of the pairs whose bitmaps do not rule them out."""
+    x, y = bitmaps.alias("x"), bitmaps.alias("y")
+    differ = _differ("x", "y")
+    return (pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig"))
+            .where(differ <= F.col("x.size") + F.col("y.size") - 2 * _least_overlap("x", "y")).select("a", "b", differ.alias("differ")))
+
+
+def across_long_lists(entries: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Candidates (a, b) in long lists (shingle, sig, size, position) whose sets
+    are in different components: every entry outside its list's largest
+    component with all entries of other components. Pairs that their bitmaps
+    rule out are left out at once."""
+    listed = entries.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    main = (listed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+            .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "main"))
+    listed = cut(listed.join(main, "shingle").withColumn("minor", F.col("component") != F.col("main")).drop("main").join(bitmaps.drop("size"), "sig"))
+    x, y = listed.where("minor").alias("x"), listed.alias("y")
+    least = _least_overlap("x", "y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+                   & (~F.col("y.minor") | (F.col("x.sig") < F.col("y.sig")))
+                   & (100 * F.least("x.size", "y.size") >= THRESHOLD * F.greatest("x.size", "y.size"))
+                   & (F.col("x.position") <= F.col("x.size") - least) & (F.col("y.position") <= F.col("y.size") - least)
+                   & (_differ("x", "y") <= F.col("x.size") + F.col("y.size") - 2 * least))
+    one, two = F.struct("x.size", "x.sig"), F.struct("y.size", "y.sig")
+    return pairs.select(F.least(one, two)["sig"].alias("a"), F.greatest(one, two)["sig"].alias("b"))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,36 +421,30 @@ def link_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(document_sets(docs))
     buckets = pieces(sets, BUCKET_DOCS)
-    pairs, entries = candidates(docs, frequent_shingles(docs, buckets), buckets)
-    entries = cut(entries)
+    pairs, crowd = candidates(docs, frequent_shingles(docs, buckets), buckets)
+    crowd = cut(crowd.select("sig").distinct())
 
     # one text for every set that has a candidate or stands in a long list
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(entries.select("sig")).distinct()
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(crowd).distinct()
     holders = cut(sets.where("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sig"))
-    few = holders.count() <= BROADCAST_SETS
+    few = holders.count() <= BROADCAST_SETS  # counted before it is broadcast; more are joined as usual
     # a repeated id can have several texts: the one with the signature is meant
     texts = cut(docs.join(F.broadcast(holders) if few else holders, "doc_id").mapInArrow(_matching, "sig long, text string").dropDuplicates(["sig"]))
 
-    # first each set's best predecessor
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("shared").desc(), "a"))
-    first = cut(pairs.withColumn("best", best).where("best = 1").select("a", "b"))
-    links = verified(first, texts)
+    bitmaps = cut(bitmaps_of(texts))
+
+    # first each set's closest candidates
+    close, entries = close_candidates(texts.join(crowd, "sig"))
+    pairs = by_bitmap(pairs.unionByName(close).distinct(), bitmaps)
+    nearest = [F.row_number().over(Window.partitionBy(one).orderBy("differ", other)) for one, other in (("a", "b"), ("b", "a"))]
+    pairs = cut(pairs.withColumn("first", (nearest[0] <= CLOSEST) | (nearest[1] <= CLOSEST)))
+    links = verified(pairs.where("first"), texts)
     labels = cut(components(links))
 
-    # then what is left across the components
-    across = _labelled(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels).where("in_a != in_b").select("a", "b")
-    listed = entries.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = listed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
-    listed = cut(listed.join(mixed, "shingle"))
-    x, y = listed.alias("x"), listed.alias("y")
-    least = F.ceil(THRESHOLD * (F.col("x.size") + F.col("y.size")) / F.lit(100 + THRESHOLD))
-    between = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
-                      & ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.sig") < F.col("y.sig"))))
-                      & (100 * F.col("x.size") >= THRESHOLD * F.col("y.size"))
-                      & (F.col("x.position") <= F.col("x.size") - least) & (F.col("y.position") <= F.col("y.size") - least))
-               .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")))
-    more = cut(across.unionByName(between).distinct().join(first, ["a", "b"], "left_anti"))
-    labels = components(links.unionByName(verified(more, texts)))
+    # then the other candidates, and those in lists that are still long, as far as they lie across the components
+    others = _labelled(pairs.where("not first").select("a", "b"), labels).where("in_a != in_b").select("a", "b")
+    listed = across_long_lists(entries, labels, bitmaps).distinct().join(pairs, ["a", "b"], "left_anti")
+    labels = components(links.unionByName(verified(others.unionByName(listed), texts)))
 
     placed = sets.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     placed = placed.where("n_shingles > 0 and doc_id is not null")
