@@ -8,14 +8,12 @@ stopped and a lost executor's work is recomputed from the source files.
   written once the watermark has passed its end.
 * ``start_disk_window_avg``: per-host sliding-window disk averages, append
   mode.
-* ``start_threshold_findings``: per-host alert transitions
-  (``applyInPandasWithState``) written into the findings layout through
-  ``foreachBatch``. Each micro-batch goes to its own ``batch_id`` partition
-  with dynamic overwrite, so a batch replayed after a failure replaces its
-  own output instead of duplicating it.
-* ``start_threshold_findings_scaled``: the same findings with the state as a
-  versioned table and DataFrame operations only, for fleets where one host
-  can hold a large share of a micro-batch.
+* ``start_threshold_findings``: per-host alert transitions in the findings
+  layout (day, check, then batch), with the state as a versioned table and
+  DataFrame operations only. A batch replayed after a failure replaces its own
+  partitions.
+* ``start_threshold_findings_stateful``: the same with Spark's keyed state
+  (``applyInPandasWithState``), for fleets of many small hosts.
 """
 
 from __future__ import annotations
@@ -109,14 +107,16 @@ def _stateful_batch_writer(spark: SparkSession, out_path: str, state_path: str,
     return write
 
 
-def start_threshold_findings_scaled(spark: SparkSession, source_dir: str, out_path: str, *,
+def start_threshold_findings(spark: SparkSession, source_dir: str, out_path: str, *,
                                     threshold: float = 90.0, glob: str = "events*.parquet",
                                     available_now: bool = False, interval: str = "1 minute",
                                     max_files_per_trigger: int | None = None,
-                                    name: str = "memory_threshold_scaled") -> StreamingQuery:
-    """Same output as ``start_threshold_findings`` with the per-host state
-    kept as a small versioned table under the stream's checkpoint folder and
-    every step a DataFrame operation, so no host is processed in one task."""
+                                    name: str = "memory_threshold") -> StreamingQuery:
+    """Memory-threshold transitions per host, written as findings rows. The
+    per-host state is a small versioned table under the stream's checkpoint
+    folder and every step a DataFrame operation, so no host is processed in one
+    task. A lost state version fails the stream instead of raising every open
+    alert again."""
     ev = streams.read_table_stream(spark, source_dir, "events", glob=glob,
                                    max_files_per_trigger=max_files_per_trigger)
     mem = Snapshot(spark, source_dir, overrides={"events": ev}).mem_samples
@@ -129,12 +129,14 @@ def start_threshold_findings_scaled(spark: SparkSession, source_dir: str, out_pa
     return _trigger(w, available_now, interval).start()
 
 
-def start_threshold_findings(spark: SparkSession, source_dir: str, out_path: str, *,
+def start_threshold_findings_stateful(spark: SparkSession, source_dir: str, out_path: str, *,
                              threshold: float = 90.0, glob: str = "events*.parquet",
                              available_now: bool = False, interval: str = "1 minute",
-                             max_files_per_trigger: int | None = None,
-                             name: str = "memory_threshold") -> StreamingQuery:
-    """Memory-threshold transitions per host, written as findings rows."""
+                             max_files_per_trigger: int | None = 8,
+                             name: str = "memory_threshold_stateful") -> StreamingQuery:
+    """Same output as ``start_threshold_findings`` with Spark's keyed state: one
+    host's rows of a micro-batch are one task's, so the files of a micro-batch
+    are limited."""
     ev = streams.read_table_stream(spark, source_dir, "events", glob=glob,
                                    max_files_per_trigger=max_files_per_trigger)
     mem = Snapshot(spark, source_dir, overrides={"events": ev}).mem_samples

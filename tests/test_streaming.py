@@ -101,7 +101,7 @@ def test_jobs_write_parquet_and_findings(spark, event_dir):
     assert got.join(batch, ["window_start", "window_end", "errors"], "left_anti").count() == 0
     assert got.groupBy("window_start").count().where("count > 1").count() == 0
 
-    q = jobs.start_threshold_findings(spark, event_dir, os.path.join(out, "findings"), threshold=THRESHOLD,
+    q = jobs.start_threshold_findings_stateful(spark, event_dir, os.path.join(out, "findings"), threshold=THRESHOLD,
                                       glob="events-*.parquet", available_now=True, max_files_per_trigger=1,
                                       name=f"findings-{tag}")
     q.awaitTermination(300)
@@ -121,7 +121,7 @@ def test_scaled_transitions_job_equals_batch(spark, event_dir):
     from opslens.streaming import jobs
 
     out = tempfile.mkdtemp(prefix="opslens-stream-out2-")
-    q = jobs.start_threshold_findings_scaled(spark, event_dir, os.path.join(out, "findings"),
+    q = jobs.start_threshold_findings(spark, event_dir, os.path.join(out, "findings"),
                                              threshold=THRESHOLD, glob="events-*.parquet",
                                              available_now=True, max_files_per_trigger=1,
                                              name=f"scaled-{os.getpid()}-{id(out)}")
