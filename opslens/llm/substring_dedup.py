@@ -40,7 +40,7 @@ from opslens.llm.suffix_array import common_prefixes, suffix_array
 WINDOW = 50
 GRAM = 25
 CHUNK_DOCS = 8192
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 NULL_ID = (1 << 63) - 1
 #: Ends every segment in a shard's string; no UTF-8 text has it.
 END = 0xFF
@@ -179,7 +179,7 @@ def _grams(shards: int):
             docs.append(doc + first)
             grams.append(gram)
         doc, gram = np.concatenate(docs), np.concatenate(grams)
-        order = np.lexsort((doc, gram))
+        order = np.argsort(gram, kind="stable")  # documents stay in order
         doc, gram = doc[order], gram[order]
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
@@ -200,10 +200,25 @@ def _grams(shards: int):
 def _recurring(t):
     """Of a shard's grams, those that several documents have, for every chunk."""
     once, often = ([_long(v.as_py()) for v in t.column(c)] for c in ("once", "often"))
-    all_once = np.concatenate(once)
-    value, n = np.unique(all_once, return_counts=True)
-    shared = np.union1d(value[n > 1], np.concatenate(often))
-    rows = [_short(np.intersect1d(np.concatenate(own), shared)) for own in zip(once, often, strict=True)]
+    value = np.concatenate([*once, *often])
+    order = np.argsort(value, kind="stable")
+    ordered = value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    # in two chunks, or in several documents of one
+    several = np.zeros(len(value), bool)
+    several[:-1] = ~new[1:]
+    several |= ~new | (order >= sum(map(len, once)))
+    start = np.flatnonzero(new)
+    shared = np.zeros(len(value), bool)
+    shared[order] = np.repeat(np.logical_or.reduceat(several, start), np.diff(np.r_[start, len(value)])) if len(value) else several
+    rows, at = [], [0, sum(map(len, once))]
+    for own in zip(once, often, strict=True):
+        parts = []
+        for k in (0, 1):
+            parts.append(own[k][shared[at[k]:at[k] + len(own[k])]])
+            at[k] += len(own[k])
+        rows.append(_short(np.concatenate(parts)))
     return pa.table([t.column("shard"), t.column("chunk"), pa.array(rows, pa.binary())], names=["shard", "chunk", "grams"])
 
 

@@ -19,14 +19,12 @@ LETTERS_EACH = 64
 
 def _smaller(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (the last: yes)."""
-    n = len(s)
-    change = np.flatnonzero(s[:-1] != s[1:])
-    out = np.ones(n, bool)
-    if len(change):
-        up = s[change] < s[change + 1]
-        of = np.searchsorted(change, np.arange(n))
-        inside = of < len(change)
-        out[inside] = up[of[inside]]
+    out = np.ones(len(s), bool)
+    changes = s[:-1] != s[1:]
+    # each letter of a run compares like the run's last one
+    up = np.append((s[:-1] < s[1:])[changes], True)
+    out[0] = up[0]
+    out[1:] = up[np.cumsum(changes)]
     return out
 
 
@@ -43,7 +41,9 @@ def _append(buckets: list[list[np.ndarray]], at: np.ndarray, letters: np.ndarray
         start = end
 
 
-_NONE = np.zeros(0, np.int64)
+#: Positions: half the memory of the usual integers, for strings below 2 GB.
+_INT = np.int32
+_NONE = np.zeros(0, _INT)
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, lms: list[np.ndarray], k: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: list[np.ndarray], k: int) -
         found = before(large[c][0][::-1], True)
         _append(small, found, s[found])
     # the last suffix has no successor to induce it: it is the smallest of all
-    out = [np.array([len(s) - 1])]
+    out = [np.array([len(s) - 1], _INT)]
     for c in range(k):
         out += [large[c][0], small[c][0][::-1]]
     return np.concatenate(out)
@@ -124,11 +124,11 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
     stands for the end: it is smaller than all others and occurs once."""
     n = len(s)
     if n <= 2:
-        return np.arange(n)[::-1]
+        return np.arange(n, dtype=_INT)[::-1]
     smaller = _smaller(s)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(_INT)
 
     def by_letter(at: np.ndarray) -> list[np.ndarray]:
         buckets: list[list[np.ndarray]] = [[] for _ in range(k)]
@@ -138,9 +138,9 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
     order = _induce(s, smaller, by_letter(lms), k)
     order = order[1:][order[1:] < n - 1]
     # LMS substrings in order; each is named by its rank, equal ones alike
-    by_substring = np.r_[n - 1, order[is_lms[order]]]
-    place = np.zeros(n, np.int64)
-    place[lms] = np.arange(len(lms))
+    by_substring = np.concatenate([np.array([n - 1], _INT), order[is_lms[order]]])
+    place = np.zeros(n, _INT)
+    place[lms] = np.arange(len(lms), dtype=_INT)
     length = np.ones(len(lms), np.int64)
     length[:-1] = lms[1:] - lms[:-1] + 1
     same = _same_substrings(s, by_substring, length[place[by_substring]])
@@ -155,7 +155,7 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
     else:
         sorted_lms = lms[_sort(reduced, kinds)]
     full = _induce(s, smaller, by_letter(sorted_lms), k)
-    return np.r_[full[0], full[1:][full[1:] < n - 1]]
+    return np.concatenate([full[:1], full[1:][full[1:] < n - 1]])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -179,9 +179,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     n = len(text)
     if not n:
         return _NONE
-    previous = np.full(n, -1, np.int64)
+    previous = np.full(n, -1, _INT)
     previous[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=_INT)
     follows = np.zeros(n, bool)
     inner = (at[1:] > 0) & (previous[1:] > 0) & (previous[:-1] >= 0)
     follows[1:] = inner & (text[at[1:] - 1] == text[np.maximum(previous[1:] - 1, 0)])
