@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from opslens import catalog  # noqa: E402
 from opslens.plans.inspect import physical_plan  # noqa: E402
 from opslens.session import local_session  # noqa: E402
 
@@ -43,13 +43,13 @@ def main() -> None:
     cols = ["shuffles", "broadcasts", "bhj", "smj", "hash_agg", "windows", "group_limits", "top_k",
             "scans", "pushed", "python"]
     lines = ["# PLANS", "",
-             f"Physical plan shape of every registered query on `{sf_dir}` (`local[8]`, before AQE",
+             f"Physical plan shape of every report query on `{sf_dir}` (`local[8]`, before AQE",
              "re-optimisation; AQE may still turn a sort-merge join into a broadcast or coalesce",
              "partitions at run time). `pushed` counts scans with a pushed filter beyond IS NOT NULL.",
              "Generated by `tools/plan_report.py`.", "",
              "| query | " + " | ".join(cols) + " |", "| --- |" + " --- |" * len(cols)]
-    for name, fn in E.queries().items():
-        s = shape(physical_plan(fn(spark, sf_dir)))
+    for name in catalog.QUERIES:
+        s = shape(physical_plan(catalog.spark_query(name)(spark, sf_dir)))
         lines.append(f"| {name} | " + " | ".join(str(s[c]) for c in cols) + " |")
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(out, "w") as fh:
