@@ -126,7 +126,7 @@ def test_bitmaps_never_differ_more_than_the_sets():
     texts = family(rng, 12, 10)
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], ["sig", "text"])
     out = next(iter(J._bitmaps(iter([batch]))))
-    words = np.array([out.column(k + 1).to_pylist() for k in range(J.BITMAP)], dtype=np.int64).T.copy()
+    words = np.array([out.column(w).to_pylist() for w in J.WORDS_OF_BITMAP], dtype=np.int64).T.copy()
     for i in range(12):
         for j in range(12):
             differ = np.unpackbits((words[i] ^ words[j]).view(np.uint8)).sum()
