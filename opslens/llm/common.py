@@ -22,6 +22,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand texts to Python tasks in Arrow batches of at most ``rows`` rows. A
+    batch is held by the executor and by its Python worker at once, and the
+    default of 10,000 rows is sized for narrow rows, not for documents. The
+    setting is the session's, since plans are run after the operator returns;
+    a smaller one is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def release_memory() -> None:
+    """At the end of a Python task: freed memory goes back to the system, so
+    that idle workers, which Spark keeps, do not hold it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not use (compared the
     way Spark resolves them: without case)."""

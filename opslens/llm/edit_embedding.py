@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opslens.llm.common import pieces, table
+from opslens.llm.common import bound_batches, pieces, table
 
 SEED = 0x5EED
 SLOTS = 64
@@ -87,15 +87,13 @@ def _moves(block: int) -> np.ndarray:
 
 def digits(texts: list[str]) -> np.ndarray:
     """Sampled digits: a row per text, a column per slot up to the last used."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-    sizes = np.array([len(p) for p in points], dtype=np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes + 1)
-    buffer = np.full(int(ends[-1]) if len(texts) else 0, PAD, dtype=np.int64)
-    for p, end in zip(points, ends, strict=True):
+    buffer = np.full(int(ends[-1]) if len(texts) else 0, PAD, dtype=np.uint8)
+    for text, end in zip(texts, ends, strict=True):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         # code points spread over 255 symbols; neighbours stay apart
-        buffer[end - 1 - len(p):end - 1] = (p.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(255)
-    del points
-    buffer = buffer.astype(np.uint8)
+        buffer[end - 1 - len(points):end - 1] = (points * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(255)
     out = np.full((len(texts), len(STEPS)), NONE, dtype=np.uint8)
     rows = np.flatnonzero(sizes)
     pos = (ends - 1 - sizes)[rows]
@@ -150,6 +148,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(strings(digits(texts)), pa.string())],
                                              ["doc_id", "n_chars", "fingerprint"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
@@ -218,6 +217,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     a range also goes to the range before it, whose last row it follows. So
     the texts are shuffled once, and the driver sees two ids per range.
     """
+    bound_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("key"))
     n = pieces(ids, BUCKET_ROWS)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import fresh, table
+from opslens.llm.common import bound_batches, fresh, table
 
 # Element names, class words and weights of the block classifier.
 BLOCK_TAGS = frozenset("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption
@@ -271,6 +271,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> tuple[DataFrame, str]:
     """``pages`` with a column (its name is returned) of the main text."""
+    bound_batches(pages.sparkSession)
     name, = fresh(pages, "main_text")
     at = pages.columns.index(html)
 

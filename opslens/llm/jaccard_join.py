@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.common import cut, fresh, pieces, table
+from opslens.llm.common import bound_batches, cut, fresh, pieces, release_memory, table
 from opslens.llm.components import components
 from opslens.llm.shingles import mix, shingle_sets, signatures, slices
 
@@ -89,6 +89,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             for at, end, _, _, n, s in _sets(batch.column(1)):
                 sig[at:end], size[at:end] = s.view(np.int64), n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), pa.array(size)], ["doc_id", "sig", "n_shingles"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sig long, n_shingles long")
 
@@ -144,6 +145,7 @@ def frequent_shingles(docs: DataFrame, buckets: int) -> np.ndarray:
                 rows = list(_by_bucket(value, buckets, value, n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in (0, 1))],
                                                  ["bucket", "value", "n"])
+        release_memory()
 
     def count(t):
         values, counts = [], []
@@ -261,6 +263,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> tuple[Dat
                 rows = list(_by_bucket(columns[0], buckets, *columns))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(4))],
                                                  ["bucket", "value", "sig", "size", "position"])
+        release_memory()
 
     return _searched(docs.select("text").mapInArrow(run, LISTS), entries=False)
 
@@ -399,6 +402,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = np.bincount(doc[1:][twice], minlength=m)
             keep[at:at + m] = (100 * common >= THRESHOLD * (total - common)) & (total > 0)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+    release_memory()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -418,6 +422,7 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(document_sets(docs))
     buckets = pieces(sets, BUCKET_DOCS)
@@ -460,6 +465,7 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig[at:end] = s.view(np.int64)
         keep = pa.array(sig == batch.column("sig").to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([batch.column("sig").filter(keep), batch.column("text").filter(keep)], ["sig", "text"])
+    release_memory()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import fresh, table
+from opslens.llm.common import bound_batches, fresh, release_memory, table
 
 SAMPLE = 16_384
 BITS = 18
@@ -45,7 +45,7 @@ SCREEN_MIN = 4
 EPOCHS, BATCH, RATE, L2 = 30, 256, 0.05, 1e-5
 KEEP_FROM = 0.5
 GRADES = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 40_000
 
 SCORED = "expected_grade double, p_grade_1 double, p_grade_2 double"
 
@@ -135,13 +135,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, seed: int = 7) -> Model:
     size = 1 << BITS
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -1e9))
-    counts = np.stack([np.bincount(np.concatenate([r for r, g in zip(rows, grades, strict=True) if g == k] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-                       for k in range(GRADES)])
+    counts = np.zeros((GRADES, size), np.int64)
+    for r, g in zip(rows, grades, strict=True):
+        counts[g, r] += 1  # a row holds an id once
     n = [(grades == k).sum() for k in range(GRADES)]
     clear = (_differs(counts[0], n[0], counts[1] + counts[2], n[1] + n[2]) > SCREEN_Z) | (_differs(counts[1], n[1], counts[2], n[2]) > SCREEN_Z)
     ids = np.flatnonzero(clear & (counts.sum(axis=0) >= SCREEN_MIN))
-    place = np.full(size, -1)
-    place[ids] = np.arange(len(ids))
+    place = np.full(size, -1, np.int32)
+    place[ids] = np.arange(len(ids), dtype=np.int32)
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
 
     w, t = np.zeros(len(ids)), np.array([-3.0, -1.0])
@@ -177,6 +178,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents (labels: doc_id, quality, toxic)."""
+    bound_batches(docs.sparkSession)
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 1).otherwise(2)
     chosen = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -190,13 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # at most ``sample`` rows of two numbers
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select(F.col("grade").cast("int"), "text").mapInArrow(run, "grade int, ids binary").toArrow())
-    ids = [np.frombuffer(v.as_py(), dtype=np.int32).astype(np.int64) for v in rows.column("ids")]
-    order = sorted(range(len(ids)), key=lambda i: (rows.column("grade")[i].as_py(), ids[i].tobytes()))  # the same fit however the rows arrive
-    return fit([ids[i] for i in order], np.array([rows.column("grade")[i].as_py() for i in order], dtype=np.int64))
+    found = [(grade, zlib.crc32(ids), np.frombuffer(ids, dtype=np.int32)) for grade, ids in zip(rows.column("grade").to_pylist(), rows.column("ids").to_pylist(), strict=True)]
+    del rows
+    found.sort(key=lambda r: r[:2])  # the same fit however the rows arrive
+    return fit([ids for *_, ids in found], np.array([grade for grade, *_ in found], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with expected_grade, p_grade_1 and p_grade_2 (names returned)."""
+    bound_batches(docs.sparkSession)
     names = fresh(docs, *(f.split()[0] for f in SCORED.split(", ")))
     at = docs.columns.index(text)
 
@@ -206,6 +210,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame,
             found = [scorer(v.as_py() or "") for v in batch.column(at)]
             columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names, *names])
+        release_memory()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, " + ", ".join(f"{n} double" for n in names)), names

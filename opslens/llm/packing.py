@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.common import cut, table
+from opslens.llm.common import bound_batches, cut, release_memory, table
 
 SEQ_LEN = 1024
 END_ID = 2
@@ -49,7 +49,7 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        vocab = json.load(f)["model"].pop("vocab")
     # the printable stand-ins that byte-level BPE files use for bytes
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain}
@@ -60,14 +60,16 @@ def _encoder(path: str):
         del ranks[t]
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow: list[Tokenizer] = []  # loaded only if needed: it takes as much memory again
 
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
         except Exception:  # noqa: BLE001 - its regex engine gives up on some very long runs
-            return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+                slow[0].encode_special_tokens = True
+            return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
@@ -94,7 +96,9 @@ def tokenize(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: in
                     if with_ids:
                         out["ids"].append(part.astype(np.int32))
             yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow})
+        release_memory()
 
+    bound_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     arrow = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
