@@ -11,7 +11,14 @@ lie side by side and make one segment. Grams that only one document has cannot
 lead a recurring string, so first the grams' hashes are counted (per chunk of
 documents, then over all), and only segments around recurring grams go to
 their gram's shard: one per chunk and distinct content, with the smallest id
-there. A shard joins equal segments, and sorts those whose gram others share.
+there. A shard joins equal segments, and sorts those whose gram others share,
+some grams at a time.
+
+A gram at the edge of a common passage leads other segments in every document.
+Grams with more than ``HOT_SEGMENTS`` of them are hot: their segments are not
+sent, only their strings' hashes, each with the smallest id of its chunk, to
+shards made by those hashes. A string's copies have one leading gram, so they
+are hot together.
 
 What returns to a chunk is, per segment, the smallest id that each of its
 strings starts in. Groups of copies are thus one entry per chunk everywhere;
@@ -41,6 +48,11 @@ WINDOW = 50
 GRAM = 25
 CHUNK_DOCS = 8192
 SLICE_BYTES = 1_000_000
+#: Distinct segments of one gram, beyond one per chunk, that a shard sorts.
+HOT_SEGMENTS = 4096
+#: Bytes sorted at once, up to a gram's end; a gram has at most
+#: (chunks + HOT_SEGMENTS) * 76, so positions stay far below 32 bits.
+SORT_BYTES = 1 << 24
 NULL_ID = (1 << 63) - 1
 #: Ends every segment in a shard's string; no UTF-8 text has it.
 END = 0xFF
@@ -74,6 +86,10 @@ class _Slice:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+def _content(piece: _Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return piece.hash(start, end) ^ mix((end - start).astype(np.uint64))
+
+
 def _segments(piece: _Slice, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, start, end, gram hash) of the segments of a slice."""
     n = len(piece.data)
@@ -165,40 +181,51 @@ def _by_shard(shard: np.ndarray, shards: int):
             yield s, rows
 
 
-GRAMS = "shard int, chunk int, once binary, often binary"
+GRAMS = "shard int, chunk int, once binary, often binary, more binary"
 
 
 def _grams(shards: int):
     """Per chunk and shard: hashes of the grams that lead a segment in one
-    document, and in several."""
+    document, and in several, and how many distinct segments beyond one each
+    of the latter leads."""
     def run(t):
         _, _, texts = _chunk(t)
-        docs, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        docs, grams, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for first, piece, offsets, _ in _pieces(texts):
-            doc, _, _, gram = _segments(piece, offsets)
+            doc, begin, stop, gram = _segments(piece, offsets)
             docs.append(doc + first)
             grams.append(gram)
-        doc, gram = np.concatenate(docs), np.concatenate(grams)
+            contents.append(_content(piece, begin, stop))
+        doc, gram, content = np.concatenate(docs), np.concatenate(grams), np.concatenate(contents)
         order = np.argsort(gram, kind="stable")  # documents stay in order
-        doc, gram = doc[order], gram[order]
+        doc, gram, content = doc[order], gram[order], content[order]
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(gram)][:len(start)]
         several = doc[start] != doc[end - 1]
+        which = np.repeat(np.arange(len(start)), np.where(several, end - start, 0))
+        held = content[np.repeat(several, end - start)]
+        held = held[np.lexsort((held, which))]
+        differs = (held[1:] != held[:-1]) & (which[1:] == which[:-1])
+        more = np.bincount(which[1:][differs], minlength=len(start)).astype(np.uint32)
         shard, name = _home(gram[start], shards)
         chunk, out = t.column("chunk")[0].as_py() if t.num_rows else 0, []
         for s, rows in _by_shard(shard, shards):
             many = several[rows]
-            out.append((s, chunk, _short(name[rows[~many]]), _short(name[rows[many]])))
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                        names=["shard", "chunk", "once", "often"])
+            out.append((s, chunk, _short(name[rows[~many]]), _short(name[rows[many]]), _zip(more[rows[many]])))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)],
+                        names=[f.split()[0] for f in GRAMS.split(", ")])
 
     return run
 
 
+RECURRING = "shard int, chunk int, grams binary, hot binary"
+
+
 def _recurring(t):
-    """Of a shard's grams, those that several documents have, for every chunk."""
+    """Of a shard's grams, those that several documents have, for every chunk:
+    all of them, and the hot ones among them."""
     once, often = ([_long(v.as_py()) for v in t.column(c)] for c in ("once", "often"))
     value = np.concatenate([*once, *often])
     order = np.argsort(value, kind="stable")
@@ -212,54 +239,82 @@ def _recurring(t):
     start = np.flatnonzero(new)
     shared = np.zeros(len(value), bool)
     shared[order] = np.repeat(np.logical_or.reduceat(several, start), np.diff(np.r_[start, len(value)])) if len(value) else several
-    rows, at = [], [0, sum(map(len, once))]
+    more = np.concatenate([np.zeros(sum(map(len, once)), np.int64), *[_unzip(v.as_py(), np.uint32) for v in t.column("more")]])
+    hot = np.zeros(len(value), bool)
+    hot[order] = np.repeat(np.add.reduceat(more[order], start) > HOT_SEGMENTS, np.diff(np.r_[start, len(value)])) if len(value) else hot
+    rows, hot_rows, at = [], [], [0, sum(map(len, once))]
     for own in zip(once, often, strict=True):
-        parts = []
+        parts, hot_parts = [], []
         for k in (0, 1):
-            parts.append(own[k][shared[at[k]:at[k] + len(own[k])]])
+            here = slice(at[k], at[k] + len(own[k]))
+            parts.append(own[k][shared[here]])
+            hot_parts.append(own[k][hot[here]])
             at[k] += len(own[k])
         rows.append(_short(np.concatenate(parts)))
-    return pa.table([t.column("shard"), t.column("chunk"), pa.array(rows, pa.binary())], names=["shard", "chunk", "grams"])
+        hot_rows.append(_short(np.concatenate(hot_parts)))
+    return pa.table([t.column("shard"), t.column("chunk"), pa.array(rows, pa.binary()), pa.array(hot_rows, pa.binary())], names=[f.split()[0] for f in RECURRING.split(", ")])
 
 
 def _shared_segments(shared, texts: list[bytes], shards: int):
-    """The segments of a chunk whose gram recurs: (document, start and end in
-    the chunk's bytes, shard, name of the gram, hash of the content)."""
-    known = [np.zeros(0, np.uint64)]
-    for s, grams in zip(shared.column("shard").to_pylist(), shared.column("grams"), strict=True):
-        known.append((np.uint64(s) << np.uint64(40)) | _long(grams.as_py()))
-    known = np.sort(np.concatenate(known))
-    found = []
+    """The segments of a chunk whose gram recurs and is not hot: (document,
+    start and end in the chunk's bytes, shard, name of the gram, hash of the
+    content); the strings of the hot ones: (document, hash); the hot grams."""
+    def listed(column: str) -> np.ndarray:
+        keys = [(np.uint64(s) << np.uint64(40)) | _long(grams.as_py()) for s, grams in zip(shared.column("shard").to_pylist(), shared.column(column), strict=True)]
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+
+    def among(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        return known[at] == key if len(known) else np.zeros(len(key), bool)
+
+    known, hot = listed("grams"), listed("hot")
+    found, strings, hot_grams = [], [], [np.zeros(0, np.uint64)]
     for first, piece, offsets, before in _pieces(texts):
         doc, start, end, gram = _segments(piece, offsets)
         shard, name = _home(gram, shards)
         key = (shard.astype(np.uint64) << np.uint64(40)) | name
-        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        keep = known[at] == key if len(known) else np.zeros(len(key), bool)
+        split = among(hot, key)
+        if split.any():
+            at, n = _strings(start[split], end[split])
+            strings.append((np.repeat(doc[split] + first, n), piece.hash(at, at + WINDOW)))
+            hot_grams.append(gram[split])
+        keep = among(known, key) & ~split
         doc, start, end = doc[keep], start[keep], end[keep]
-        content = piece.hash(start, end) ^ mix((end - start).astype(np.uint64))
-        found.append((doc + first, start + before, end + before, shard[keep], name[keep], content))
+        found.append((doc + first, start + before, end + before, shard[keep], name[keep], _content(piece, start, end)))
     empty = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)]
-    return [np.concatenate(c) for c in zip(empty, *found, strict=True)]
+    return ([np.concatenate(c) for c in zip(empty, *found, strict=True)],
+            [np.concatenate(c) for c in zip([empty[0], empty[4]], *strings, strict=True)], np.unique(np.concatenate(hot_grams)))
+
+
+def _strings(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the strings of segments, and how many each segment has."""
+    n = end - start - WINDOW + 1
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n), n
 
 
-SEGMENTS = "shard int, chunk int, gram binary, content binary, key binary, size binary, bytes binary"
-_SEGMENT_KINDS = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+SEGMENTS = "shard int, chunk int, gram binary, content binary, key binary, size binary, bytes binary, string binary, string_key binary, hot binary"
+_SEGMENT_KINDS = (pa.int32(), pa.int32(), *[pa.binary()] * 8)
 
 
 def _send(shards: int):
-    """Segments to their shards: per chunk one for each distinct content."""
+    """Segments to their shards: per chunk one for each distinct content, and
+    one hash for each distinct string of the hot ones."""
     def run(shared, t):
         _, keys, texts = _chunk(t)
-        doc, start, end, shard, name, content = _shared_segments(shared, texts, shards)
+        (doc, start, end, shard, name, content), (string_doc, string), hot = _shared_segments(shared, texts, shards)
         _, first = np.unique(content, return_index=True)  # documents are in order: the smallest id
+        string, first_string = np.unique(string, return_index=True)
+        string_key = keys[string_doc[first_string]]
         data = np.frombuffer(b"".join(texts), np.uint8)
         chunk, out = t.column("chunk")[0].as_py() if t.num_rows else 0, []
-        for s, rows in _by_shard(shard[first], shards):
-            rows = first[rows]
+        segments, strings = dict(_by_shard(shard[first], shards)), dict(_by_shard(_home(string, shards)[0], shards))
+        none = np.zeros(0, np.int64)
+        for s in sorted(segments.keys() | strings.keys()):
+            rows, own = first[segments.get(s, none)], strings.get(s, none)
             size = end[rows] - start[rows]
-            out.append((s, chunk, _zip(name[rows]), _zip(content[rows]), _zip(keys[doc[rows]]), _zip(size.astype(np.uint32)), _zip(_take(data, start[rows], size))))
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, _SEGMENT_KINDS, strict=True)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
+            out.append((s, chunk, _zip(name[rows]), _zip(content[rows]), _zip(keys[doc[rows]]), _zip(size.astype(np.uint32)), _zip(_take(data, start[rows], size)),
+                        _zip(string[own]), _zip(string_key[own]), _zip(hot[:0] if out else hot)))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 10, _SEGMENT_KINDS, strict=True)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
     return run
 
@@ -271,12 +326,12 @@ def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[at]
 
 
-ANSWERS = "chunk int, content binary, first binary, last binary, key binary"
+ANSWERS = "chunk int, content binary, first binary, last binary, key binary, string binary, string_key binary, hot binary"
 
 
 def _answer(t):
     """For every chunk's segments: runs of windows (first, last) with the
-    smallest id that they start in."""
+    smallest id that they start in; for its hot strings that id alone."""
     parts = [[_unzip(v.as_py(), kind) for v in t.column(c)] for c, kind in
              (("gram", np.uint64), ("content", np.uint64), ("key", np.int64), ("size", np.uint32))]
     counts = [len(p) for p in parts[0]]
@@ -296,20 +351,24 @@ def _answer(t):
     first.append(np.zeros(len(row[0]), np.int64))
     last.append(windows[row[0]] - 1)
     smallest.append(least[row[0]])
-    if len(sort):
-        length = size[one[sort]] + 1
+    sort = sort[np.argsort(gram_of[sort], kind="stable")]
+    before = np.cumsum(size[one[sort]] + 1) - size[one[sort]] - 1
+    new_gram = np.diff(gram_of[sort], prepend=-1) != 0
+    part = before[new_gram][np.cumsum(new_gram) - 1] // SORT_BYTES  # by where its gram begins
+    for own in np.split(sort, np.flatnonzero(np.diff(part)) + 1) if len(sort) else []:
+        length = size[one[own]] + 1
         ends = np.cumsum(length)
         text = np.full(int(ends[-1]), END, np.uint8)
         within = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
-        segment = np.repeat(np.arange(len(sort)), length)
+        segment = np.repeat(np.arange(len(own)), length)
         inner = within < length[segment] - 1
-        text[inner] = _take(data, start[one[sort]], size[one[sort]])
+        text[inner] = _take(data, start[one[own]], size[one[own]])
         order = suffix_array(text)
         group = np.cumsum(common_prefixes(text, order) < WINDOW)
-        whole = within[order] < windows[sort][segment[order]]  # the window ends inside its segment
+        whole = within[order] < windows[own][segment[order]]  # the window ends inside its segment
         place, group = order[whole], group[whole]
         best = np.full(int(group.max(initial=0)) + 1, NULL_ID)
-        np.minimum.at(best, group, least[sort][segment[place]])
+        np.minimum.at(best, group, least[own][segment[place]])
         per = np.empty(len(text), np.int64)
         per[place] = best[group]
         place = np.sort(place)
@@ -318,7 +377,7 @@ def _answer(t):
         new[1:] = (segment[place[1:]] != segment[place[:-1]]) | (value[1:] != value[:-1])
         begin = np.flatnonzero(new)
         stop = np.r_[begin[1:], len(place)] - 1
-        row.append(sort[segment[place[begin]]])
+        row.append(own[segment[place[begin]]])
         first.append(within[place[begin]])
         last.append(within[place[stop]])
         smallest.append(value[begin])
@@ -327,13 +386,19 @@ def _answer(t):
     row, first, last, smallest = row[by_row], first[by_row], last[by_row], smallest[by_row]
     runs = np.bincount(row, minlength=len(one))
     run_start = np.cumsum(runs) - runs
-    out, at = [], 0
-    for chunk, count in zip(t.column("chunk").to_pylist(), counts, strict=True):
+    string, string_key = ([_unzip(v.as_py(), kind) for v in t.column(c)] for c, kind in (("string", np.uint64), ("string_key", np.int64)))
+    distinct, same = np.unique(np.concatenate(string), return_inverse=True)
+    string_least = np.full(len(distinct), NULL_ID)
+    np.minimum.at(string_least, same, np.concatenate(string_key))
+    out, at, string_at = [], 0, 0
+    for chunk, count, strings, hot in zip(t.column("chunk").to_pylist(), counts, string, t.column("hot").to_pylist(), strict=True):
+        answer = string_least[same[string_at:string_at + len(strings)]]
+        string_at += len(strings)
         mine = of[at:at + count]
         at += count
         take = _take(np.arange(len(row)), run_start[mine], runs[mine])
-        out.append((chunk, _zip(content[one][row[take]]), _zip(first[take].astype(np.uint32)), _zip(last[take].astype(np.uint32)), _zip(smallest[take])))
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=[f.split()[0] for f in ANSWERS.split(", ")])
+        out.append((chunk, _zip(content[one][row[take]]), _zip(first[take].astype(np.uint32)), _zip(last[take].astype(np.uint32)), _zip(smallest[take]), _zip(strings), _zip(answer), hot))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], names=[f.split()[0] for f in ANSWERS.split(", ")])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -344,17 +409,27 @@ def _remove(keep_bytes: bool):
     def run(answers, t):
         ids, keys, texts = _chunk(t)
         parts = [[_unzip(v.as_py(), kind) for v in answers.column(c)] for c, kind in
-                 (("content", np.uint64), ("first", np.uint32), ("last", np.uint32), ("key", np.int64))]
-        content, first, last, smallest = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+                 (("content", np.uint64), ("first", np.uint32), ("last", np.uint32), ("key", np.int64), ("string", np.uint64), ("string_key", np.int64), ("hot", np.uint64))]
+        content, first, last, smallest, string, string_least, hot = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+        by_string = np.argsort(string, kind="stable")
+        string, string_least = string[by_string], string_least[by_string]
         by_content = np.argsort(content, kind="stable")
         content, first, last, smallest = content[by_content], first[by_content].astype(np.int64), last[by_content].astype(np.int64), smallest[by_content]
         total = sum(len(x) for x in texts)
         change = np.zeros(total + 1, np.int64)
         for at, piece, offsets, before in _pieces(texts):
-            if not len(content):
+            if not len(content) and not len(hot):
                 break
-            doc, start, end, _ = _segments(piece, offsets)
-            own = piece.hash(start, end) ^ mix((end - start).astype(np.uint64))
+            doc, start, end, gram = _segments(piece, offsets)
+            split = np.isin(gram, hot)
+            if split.any():
+                place, n = _strings(start[split], end[split])
+                found = string_least[np.searchsorted(string, piece.hash(place, place + WINDOW))]
+                place = place[found < np.repeat(keys[doc[split] + at], n)] + before
+                np.add.at(change, place, 1)
+                np.add.at(change, place + WINDOW, -1)
+                doc, start, end = doc[~split], start[~split], end[~split]
+            own = _content(piece, start, end)
             lo, hi = np.searchsorted(content, own, side="left"), np.searchsorted(content, own, side="right")
             n = hi - lo
             run_no = _take(np.arange(len(content)), lo, n)
@@ -384,7 +459,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     n = pieces(docs.select("doc_id"), CHUNK_DOCS)
     chunks = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
               .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "chunk"))
-    shared = chunks.groupBy("chunk").applyInArrow(_grams(n), GRAMS).groupBy("shard").applyInArrow(_recurring, "shard int, chunk int, grams binary")
+    shared = chunks.groupBy("chunk").applyInArrow(_grams(n), GRAMS).groupBy("shard").applyInArrow(_recurring, RECURRING)
     sent = shared.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(_send(n), SEGMENTS)
     answers = sent.groupBy("shard").applyInArrow(_answer, ANSWERS)
     return answers.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(_remove(keep_bytes), RESULT)

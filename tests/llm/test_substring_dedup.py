@@ -88,6 +88,51 @@ def test_a_large_group_of_copies_and_a_common_passage(spark):
     agree(spark, rows)
 
 
+def local(rows, shards=4):
+    """The steps of remove_repeats without Spark, and what its shards receive."""
+    import pyarrow as pa
+
+    def by(tables, column):
+        t = pa.concat_tables(tables)
+        return {v: t.filter(pa.compute.equal(t.column(column), v)) for v in sorted(set(t.column(column).to_pylist()))}
+
+    docs = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "chunk": pa.array([r[0] % shards for r in rows], pa.int32())})
+    chunks = by([docs], "chunk")
+    shared = by([D._recurring(t) for t in by([D._grams(shards)(t) for t in chunks.values()], "shard").values()], "chunk")
+    sent = by([D._send(shards)(shared[c], t) for c, t in chunks.items()], "shard")
+    answers = by([D._answer(t) for t in sent.values()], "chunk")
+    out = pa.concat_tables([D._remove(False)(answers[c], t) for c, t in chunks.items()]).to_pylist()
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out], sent
+
+
+def test_a_hot_gram_does_not_gather_in_one_shard():
+    """A short passage with other surroundings in each of 12,000 documents."""
+    rng = random.Random(2)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = prose(70)
+    rows = [(i, prose(60) + passage + prose(60)) for i in range(12_000)]
+    got, sent = local(rows)
+    assert sorted(got) == [(k, *w) for (k, _), w in zip(rows, brute([(k, t.encode()) for k, t in rows]))]
+    assert sum(r[2] for r in got) >= 70 * 11_999
+    for t in sent.values():
+        grams = np.concatenate([D._unzip(v.as_py(), np.uint64) for v in t.column("gram")])
+        assert np.unique(grams, return_counts=True)[1].max(initial=0) <= D.HOT_SEGMENTS + len(t)
+    strings = [sum(len(D._unzip(v.as_py(), np.uint64)) for v in t.column("string")) for t in sent.values()]
+    assert min(strings) > 0.8 * max(strings)
+
+
+def test_hot_grams_and_parts_give_the_same_result(monkeypatch, texts):
+    rng = random.Random(5)
+    rows = [(d, t or "") for d, t in texts.items()]
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows += [(10_000_000 + i, "".join(rng.choice("abcdefgh ") for _ in range(i)) + passage + str(i)) for i in range(60)] + [(10_000_100, "a" * 300), (10_000_101, "ab" * 99)]
+    want = sorted((k, *w) for (k, _), w in zip(rows, brute([(k, t.encode()) for k, t in rows])))
+    for hot, size in ((0, 1), (2, 500), (1 << 30, 1), (1 << 30, 1 << 24)):
+        monkeypatch.setattr(D, "HOT_SEGMENTS", hot)
+        monkeypatch.setattr(D, "SORT_BYTES", size)
+        assert sorted(local(rows)[0]) == want
+
+
 @pytest.mark.parametrize("letters_each", [0, 64, 1e9])
 def test_suffix_arrays_and_common_prefixes(monkeypatch, letters_each):
     monkeypatch.setattr(SA, "LETTERS_EACH", letters_each)
