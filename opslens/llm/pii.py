@@ -54,7 +54,12 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ["man", "berg", "son", "ton", "ard", "ini", "eau", "ez"], "cyrillic": ["ов", "ин", "ский", "ко"]}
 
-_EDGE = r"(?<![\p{L}\p{N}._%+-])"
+# What an entity may not follow, by kind. Numbers: neither a word's inside nor
+# the inside of a longer number; addresses may end a range (10.0.0.1-10.0.0.9).
+_WORD = r"(?<![\p{L}\p{N}])"
+_NUMBER = r"(?<![\p{L}\p{N}_])(?<![0-9][._%+-])"
+EDGES = {"email": r"(?<![\p{L}\p{N}._%+-])", "secret": _WORD, "cloud_key": _WORD, "name": _WORD, "ip": r"(?<![\p{L}\p{N}_])(?<![0-9]\.)",
+         "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER, "iban": _WORD}
 _HONORIFIC = "(?:" + "|".join(w for g in ADDRESS.values() for w in g) + r")\.?"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -64,12 +69,12 @@ PATTERNS = {
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": (r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
-              r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
-    "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])",
+              r"|(?:1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{5})(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: What is tried at the start of a word, in this order.
-ENTITY = _EDGE + "(?:" + "|".join(p.replace(r"([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>") for p in PATTERNS.values()) + ")"
+#: What is tried at a place, in this order.
+ENTITY = "(?:" + "|".join(f"{EDGES[k]}(?:{p})" for k, p in PATTERNS.items()).replace(r"([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>") + ")"
 
 _LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _CLASSES = [
@@ -216,9 +221,10 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
     split = found.withColumn("kind", kind_of(F.col("entity"))).select("h", "at", F.posexplode(parts_of(F.col("entity"), F.col("kind"))).alias("nth", "part"))
     # equal texts are one text here
     parts = cut(split.select("h", "at", "nth", "part.*").dropDuplicates(["h", "at", "nth"]))
-    country = F.length(_digits(F.regexp_extract("raw", r"^\+[0-9]{1,3}(?=[ .(-])", 0)))
+    # the country code, or the 1 that stands for it
+    country = F.length(_digits(F.regexp_extract("raw", r"^(?:\+[0-9]{1,3}|1)(?=[ .(-])", 0)))
     units = parts.where("kind is not null").groupBy("kind", "unit").agg(F.min(F.when((F.col("kind") == "phone") & F.startswith("raw", F.lit("+")), F.greatest(country, F.lit(1)))
-                                                                             .otherwise(F.lit(0))).alias("kept"))
+                                                                             .when(F.col("kind") == "phone", country).otherwise(F.lit(0))).alias("kept"))
     known = assign(units, key)
     rendered = (parts.join(known, ["kind", "unit"], "left")
                 .withColumn("out", F.when(F.col("kind").isNull(), F.col("raw")).otherwise(_rendered(F.col("raw"), F.col("kind"), F.col("surrogate")))))
