@@ -45,6 +45,11 @@ CHROME_WORDS = frozenset("""ad ads advert advertisement adverts banner breadcrum
     cookies copyright disqus feedback footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice
     notices pager pagination popup promo related reply replies respond search share sharing sidebar signup skip social sponsor
     sponsored subscribe subscription tags toolbar topbar widget widgets""".split())
+#: Of an article, only words that make it a part beside the text, alone in a
+#: name or with words for an item: class="category-legal" says what it is about.
+BESIDE_WORDS = frozenset("""ad ads advert advertisement adverts comment comments disqus promo related replies reply respond sidebar
+    sponsor sponsored teaser teasers widget widgets""".split())
+ITEM_WORDS = frozenset("article block body box card content div entry inner item li list main node post row story text user wrapper".split())
 CHROME_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 W_BASE, W_IN_CONTENT, W_OUTSIDE, W_CHROME, W_PAGE_HEADER, W_LINKS, W_LENGTH, W_STOP = -0.6, 4.0, -4.0, -9.0, -5.0, -3.0, 2.0, 0.4
 TIE_FOLLOWS, TIE_SIBLING, TIE_NEAR = 0.3, 0.4, 0.6
@@ -72,13 +77,16 @@ class _Blocks(HTMLParser):
 
     @staticmethod
     def kind(tag: str, attrs) -> str:
-        if tag in CONTENT_TAGS:
-            return "content"
         if tag in CHROME_TAGS:
             return "chrome"
         for name, value in attrs:
-            if value and name in ("class", "id") and not CHROME_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)) and tag not in ("html", "body"):
-                return "chrome"
+            if value and name in ("class", "id"):
+                if tag == "article":
+                    names = [{w.lower() for w in _WORDS.findall(part)} for part in value.split()]
+                    if any(words & BESIDE_WORDS and words <= BESIDE_WORDS | ITEM_WORDS for words in names):
+                        return "chrome"
+                elif tag not in ("html", "body", "main") and not CHROME_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
+                    return "chrome"
             if value and name == "role":
                 if value == "main":
                     return "content"
@@ -86,6 +94,8 @@ class _Blocks(HTMLParser):
                     return "chrome"
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return "chrome"
+        if tag in CONTENT_TAGS:
+            return "content"
         return "header" if tag == "header" else ""
 
     def handle_starttag(self, tag, attrs):
@@ -135,7 +145,7 @@ class _Blocks(HTMLParser):
                 self.pop(i)
                 break
             # a stray end tag does not close the page's main parts
-            if tag not in ("body", "html") and (kind == "content" or open_tag in CHROME_TAGS) and tag not in CONTENT_TAGS and tag not in CHROME_TAGS:
+            if tag not in ("body", "html") and (kind == "content" or open_tag in CONTENT_TAGS or open_tag in CHROME_TAGS) and tag not in CONTENT_TAGS and tag not in CHROME_TAGS:
                 break
 
     def handle_data(self, data):
@@ -157,7 +167,8 @@ def blocks(html: str) -> list[tuple[str, int, tuple[str, ...], tuple[int, ...]]]
 def score(text: str, links: int, kinds: tuple[str, ...], page_has_content: bool) -> float:
     """Log-odds that a block is content."""
     inside = "content" in kinds
-    after = kinds[len(kinds) - kinds[::-1].index("content"):] if inside else kinds
+    # chrome in the outermost content element counts, also around an inner one
+    after = kinds[kinds.index("content") + 1:] if inside else kinds
     s = W_BASE + W_LENGTH * (1 - math.exp(-len(text) / 80)) + W_LINKS * min(1.0, links / len(text)) + W_STOP * (text[-1] in ".!?…。")
     if inside:
         s += W_IN_CONTENT

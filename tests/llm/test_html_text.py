@@ -55,6 +55,23 @@ def test_main_text(page, want):
     assert H.main_text(page) == want
 
 
+COMMENT = "A reader's comment that goes on for a while, as comments do, and ends here."
+
+
+@pytest.mark.parametrize("page", [
+    f"<main><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div id=comments><article class=comment><p>{COMMENT}</p></article><article class=comment><p>{COMMENT}</p></article></div></main>",
+    f"<main><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div id=comments><article><p>{COMMENT}</p></article><article><p>{COMMENT}</p></article></div></main>",
+    f"<main><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><article id='div-comment-12' class='byuser comment-body'><p>{COMMENT}</p></article></main>",
+    f"<article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><section class=related><article><h2>Other news</h2><p>{COMMENT}</p></article></section></article>",
+    f"<main><article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article><aside><article class=teaser><p>{COMMENT}</p></article></aside></main>",
+    f"<main><article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article><article hidden><p>{COMMENT}</p></article></main>",
+    f"<article class='post category-legal tag-social comments-open'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article>",
+    f"<main class='has-sidebar search'><article class=legal><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article></main>",
+])
+def test_articles_that_are_comments_or_teasers(page):
+    assert H.main_text(page) == f"{PARAGRAPH}\n{PARAGRAPH}"
+
+
 def test_very_long_and_deep_pages():
     deep = "<div>" * 3000 + "<article>" + "<p>Para of words here.</p>" * 3000 + "</article>"
     assert H.main_text(deep).count("\n") == 2999
