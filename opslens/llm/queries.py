@@ -3,7 +3,7 @@ and the DuckDB SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-from opslens.llm import edit_embedding, html_text, impact_search, jaccard_join, mixing, ordinal_quality, packing, pii, substring_dedup, warc
+from opslens.llm import edit_embedding, hard_negatives, html_text, impact_search, jaccard_join, mixing, ordinal_quality, packing, pii, spelling, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -16,10 +16,15 @@ QUERIES = {
     "op8_ordinal_quality": ordinal_quality.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_html_extraction": html_text.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_token_counts": token_counts.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE_SQL,
     "op5_exact_top_k": impact_search.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
