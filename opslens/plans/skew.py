@@ -7,16 +7,18 @@ of the data. The helpers here split each key into time buckets (rows per
 fleet size or history length), run the window per (key, bucket), and supply
 the rows a bucket needs from before its start as *context rows*:
 
-1. per (key, bucket) keep the last ``n_back`` rows: a ``max_by`` hash
-   aggregate for one row (partial on the map side, no sort), else a
-   ``row_number() <= n`` filter, which Spark plans as a partial group limit
-   before the shuffle;
+1. the rows are shuffled once, by (key, bucket); the last ``n_back`` rows of
+   every bucket are taken from the shuffled buckets, where they already lie
+   together, so the input is read and shuffled once and not a second time for
+   the tails (Spark reuses the exchange);
 2. over those tails (at most ``n_back`` rows per bucket) each tail row finds
    the later buckets that start within its next ``n_back`` tail rows
    (``lead`` over the per-key tail order) and is copied to them. This window
    holds ``n_back`` rows per non-empty bucket of a key, so pick the bucket
    width to keep buckets per key moderate (an hour over a year is 8,760);
-3. union the context rows into the bucket, run the window, drop them.
+3. the context rows, few, are shuffled to their buckets and joined to them by
+   a union of equal partitionings, which moves no row of the input again; the
+   window runs, and the context rows are dropped.
 
 The result equals the plain per-key window exactly, whatever the bucket width.
 
@@ -47,11 +49,10 @@ def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     ``order``).
     """
     keys, order = list(keys), list(order)
-    base = df.withColumn(BUCKET, bucket)
+    # one exchange for the buckets and for their tails; both need every column of it
+    base = df.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
     desc = [F.col(c).desc() for c in order]
-    # 1. last n_back rows of every (key, bucket). One row: a max_by hash
-    #    aggregate (partial on the map side, no sort). More: a row_number
-    #    group limit, also cut down on the map side before the shuffle.
+    # 1. last n_back rows of every (key, bucket), without a further shuffle
     if n_back == 1:
         others = [c for c in base.columns if c not in keys and c != BUCKET]
         last = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
@@ -68,7 +69,7 @@ def with_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     targets = F.array_distinct(F.filter(ahead, lambda b: b.isNotNull() & ~b.eqNullSafe(F.col(BUCKET))))
     ctx = (tails.withColumn("_targets", targets)
            .withColumn(BUCKET, F.explode("_targets")).drop("_targets")
-           .withColumn(CONTEXT, F.lit(True)))
+           .withColumn(CONTEXT, F.lit(True)).repartition(*keys, BUCKET))
     return base.withColumn(CONTEXT, F.lit(False)).unionByName(ctx)
 
 

@@ -88,3 +88,14 @@ def test_ordered_host_windows_are_bucketed(spark, name):
     # per-host window over bucket tails is partitioned by host alone
     assert any("host" in s and "_bucket" in s for s in specs), specs
     assert sum(1 for s in specs if "_bucket" not in s) <= 1, specs
+
+
+@pytest.mark.parametrize("name", ["m02_cpu_usage", "m03_memory_usage", "m04_swap_usage", "t3_memory_threshold_transitions"])
+def test_bucketed_windows_read_and_shuffle_the_input_once(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1, plan
+    # the buckets are not shuffled again for the window over rows and context rows
+    above_union = plan.split("Union")[0]
+    assert "Exchange" not in above_union, plan
