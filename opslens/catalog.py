@@ -193,6 +193,28 @@ _QUEUES = f"""select v.user_queue_name as concurrent_manager, m.target_node as s
 SQL["r21_queue_status"] = _QUEUES.format(only="and m.max_processes - m.running_processes = 0")
 SQL["r21_queue_status_all"] = _QUEUES.format(only="")
 # the running requests first, then every name by lookup; a request whose name is missing drops out
+
+def _ranked(order: str, columns: str, rows: str) -> str:
+    """``columns`` of ``rows`` with their places: ties by the columns, nulls last."""
+    ties = ", ".join(f"{c.strip()} asc nulls last" for c in columns.split(","))
+    return f"select row_number() over (order by {order}, {ties}) as rank, {columns} from ({rows}) as listed"
+
+
+SQL["o1_block_corruption_ranked"] = _ranked(
+    "file_no desc nulls first, block_no asc nulls last", "file_no, block_no, blocks, corruption_change_no, corruption_type",
+    SQL["r09_block_corruption"])
+SQL["o2_backup_summary_ranked"] = _ranked(
+    "start_time desc nulls first, session_key asc nulls last",
+    "session_key, start_time, end_time, status, autobackup_done, autobackup_count, input_type, elapsed_seconds",
+    SQL["r11_backup_summary"])
+SQL["o3_queue_status_ranked"] = _ranked(
+    "target desc nulls first, concurrent_manager asc nulls last, server_node asc nulls last",
+    "concurrent_manager, server_node, actual, target, status", SQL["r21_queue_status_all"])
+SQL["o4_datafile_details_ranked"] = _ranked(
+    "container_name asc nulls last, file_id asc nulls last", "container_name, tablespace_name, file_name, status, autoextend",
+    """select case when con_id = 1 then 'CDB$ROOT' else (select max(p.name) from pdbs p where p.con_id = d.con_id) end as container_name,
+        tablespace_name, file_name, status, autoextensible as autoextend, file_id from data_files d""")
+
 SQL["r22_long_running_requests"] = f"""with slow as (
         select *, round((epoch_us({AS_OF_SQL}) - epoch_us(actual_start_date)) / 6e7, 2) as mins
         from requests where status_code = 'R'),
@@ -537,6 +559,10 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "t2_memory_window_avg": lambda s: streams.metric_window_avg(_mem_pct(s), "mem_pct"),
     "t3_memory_threshold_transitions": lambda s: streams.threshold_transitions_batch(
         _mem_pct(s), "mem_pct", 90.0),
+    "o1_block_corruption_ranked": lambda s: storage.block_corruption(s.block_corruption, ranked=True),
+    "o2_backup_summary_ranked": lambda s: database.backup_summary(s.backup_jobs, AS_OF, ranked=True),
+    "o3_queue_status_ranked": lambda s: requests.queue_status(s.queues, s.queues_vl, only_at_target=False, ranked=True),
+    "o4_datafile_details_ranked": lambda s: storage.datafile_details(s.data_files, s.pdbs, ranked=True),
     "s7_findings": _findings,
 }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import codes
 from opslens.functions.exprs import report_datetime, since
+from opslens.plans.ranking import global_rank
 
 
 def database_details(db_info: DataFrame) -> DataFrame:
@@ -52,11 +53,12 @@ def invalid_object_counts(db_objects: DataFrame) -> DataFrame:
 
 
 def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
-                   order_by_time: bool = False, ordered: bool = True) -> DataFrame:
+                   order_by_time: bool = False, ordered: bool = True, ranked: bool = False) -> DataFrame:
     """Backup jobs started in the last ``days`` days, times as
     'DD-MON-YYYY HH24:MI:SS' text. The source report sorts on that text
     (so 31-JAN sorts above 01-FEB); ``order_by_time=True`` sorts on the time.
-    Columns: session_key, start_time, end_time, status, autobackup_done,
+    ``ranked`` shows the places in that order instead.
+    Columns: (rank,) session_key, start_time, end_time, status, autobackup_done,
     autobackup_count, input_type, elapsed_seconds."""
     df = backup_jobs.where(F.col("start_time") > since(as_of, days=days))
     out = df.select("session_key", report_datetime("start_time").alias("start_time"),
@@ -64,8 +66,11 @@ def backup_summary(backup_jobs: DataFrame, as_of, days: int = 5,
                     "autobackup_count", "input_type", "elapsed_seconds",
                     F.col("start_time").alias("_t"))
     key = F.col("_t") if order_by_time else F.col("start_time")
-    if ordered:
-        out = out.orderBy(key.desc_nulls_first(), F.col("session_key").asc_nulls_last())
+    order = [key.desc_nulls_first(), F.col("session_key").asc_nulls_last()]
+    if ranked:
+        out = global_rank(out, order)
+    elif ordered:
+        out = out.orderBy(*order)
     return out.drop("_t")
 
 

@@ -20,27 +20,31 @@ from opslens.functions.exprs import (as_of_lit, decode, decode_or_self, minutes_
                                      report_datetime, report_datetime_short, parse_as_of, since,
                                      text_concat)
 from opslens.plans.joins import broadcast_if_small
+from opslens.plans.ranking import global_rank
 
 
-def queue_status(queues: DataFrame, queues_vl: DataFrame, only_at_target: bool = True) -> DataFrame:
+def queue_status(queues: DataFrame, queues_vl: DataFrame, only_at_target: bool = True,
+                 ranked: bool = False) -> DataFrame:
     """Queue managers with their node, actual and target process counts and
     decoded control state (unknown codes give NULL), largest target first.
     By default only managers running exactly their target count are listed;
-    ``only_at_target=False`` lists all.
-    Columns: concurrent_manager, server_node, actual, target, status."""
+    ``only_at_target=False`` lists all. ``ranked`` shows the places in that
+    order instead.
+    Columns: (rank,) concurrent_manager, server_node, actual, target, status."""
     q = queues
     if only_at_target:
         q = q.where(F.col("running_processes") == F.col("max_processes"))
     names = queues_vl.select("queue_id", "user_queue_name", "control_code")
-    return (q.join(broadcast_if_small(names), "queue_id")
-            .select(F.col("user_queue_name").alias("concurrent_manager"),
-                    F.col("target_node").alias("server_node"),
-                    F.col("running_processes").alias("actual"),
-                    F.col("max_processes").alias("target"),
-                    decode("control_code", codes.QUEUE_CONTROL).alias("status"))
-            .distinct()
-            .orderBy(F.col("target").desc_nulls_first(), F.col("concurrent_manager").asc_nulls_last(),
-                     F.col("server_node").asc_nulls_last()))
+    out = (q.join(broadcast_if_small(names), "queue_id")
+           .select(F.col("user_queue_name").alias("concurrent_manager"),
+                   F.col("target_node").alias("server_node"),
+                   F.col("running_processes").alias("actual"),
+                   F.col("max_processes").alias("target"),
+                   decode("control_code", codes.QUEUE_CONTROL).alias("status"))
+           .distinct())
+    order = [F.col("target").desc_nulls_first(), F.col("concurrent_manager").asc_nulls_last(),
+             F.col("server_node").asc_nulls_last()]
+    return global_rank(out, order) if ranked else out.orderBy(*order)
 
 
 def long_running_requests(requests: DataFrame, users: DataFrame, responsibilities: DataFrame,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from opslens.functions import codes
 from opslens.functions.exprs import as_of_lit, day_of, gib, parse_as_of, pct_used
 from opslens.plans.joins import broadcast_if_small
+from opslens.plans.ranking import global_rank
 
 
 def database_size(data_files: DataFrame, temp_files: DataFrame, pdbs: DataFrame,
@@ -46,20 +47,24 @@ def database_size(data_files: DataFrame, temp_files: DataFrame, pdbs: DataFrame,
 
 
 def datafile_details(data_files: DataFrame, pdbs: DataFrame,
-                     root_label: str = codes.ROOT_CONTAINER_LABEL, ordered: bool = True) -> DataFrame:
+                     root_label: str = codes.ROOT_CONTAINER_LABEL, ordered: bool = True, ranked: bool = False) -> DataFrame:
     """Every data file with its container name, status and autoextend flag,
     ordered by container name then file id (the file id is not shown).
     The listing grows with the fleet; ``ordered=False`` skips the global sort
     (range-partition sampling plus a full shuffle) when the result is written
-    as a table rather than read in order.
-    Columns: container_name, tablespace_name, file_name, status, autoextend."""
+    as a table rather than read in order. ``ranked`` shows the place of every
+    file in that order instead, for readers of an unordered table.
+    Columns: (rank,) container_name, tablespace_name, file_name, status, autoextend."""
     p = broadcast_if_small(pdbs.select(F.col("con_id").alias("pdb_id"), F.col("name").alias("pdb_name")))
     df = data_files.join(p, data_files.con_id == p.pdb_id, "left")
     name = F.when(F.col("con_id") == 1, F.lit(root_label)).otherwise(F.col("pdb_name"))
     out = df.select(name.alias("container_name"), "tablespace_name", "file_name", "status",
                     F.col("autoextensible").alias("autoextend"), "file_id")
-    if ordered:
-        out = out.orderBy(F.col("container_name").asc_nulls_last(), F.col("file_id").asc_nulls_last())
+    order = [F.col("container_name").asc_nulls_last(), F.col("file_id").asc_nulls_last()]
+    if ranked:
+        out = global_rank(out, order)
+    elif ordered:
+        out = out.orderBy(*order)
     return out.drop("file_id")
 
 
@@ -166,11 +171,15 @@ def temp_usage(sort_segment: DataFrame, tablespaces: DataFrame, temp_files: Data
             .agg(gib(F.sum(F.col("used_blocks") * F.col("block_size"))).alias("used_size_gb")))
 
 
-def block_corruption(corruption: DataFrame, ordered: bool = True) -> DataFrame:
-    """Corrupt block ranges, highest file number first (then by block).
-    Columns: file_no, block_no, blocks, corruption_change_no, corruption_type."""
+def block_corruption(corruption: DataFrame, ordered: bool = True, ranked: bool = False) -> DataFrame:
+    """Corrupt block ranges, highest file number first (then by block);
+    ``ranked`` shows the places in that order instead.
+    Columns: (rank,) file_no, block_no, blocks, corruption_change_no, corruption_type."""
     out = corruption.select("file_no", "block_no", "blocks", "corruption_change_no", "corruption_type")
-    return out.orderBy(F.col("file_no").desc_nulls_first(), F.col("block_no").asc_nulls_last()) if ordered else out
+    order = [F.col("file_no").desc_nulls_first(), F.col("block_no").asc_nulls_last()]
+    if ranked:
+        return global_rank(out, order)
+    return out.orderBy(*order) if ordered else out
 
 
 def recovery_area(recovery_dest: DataFrame) -> DataFrame:
