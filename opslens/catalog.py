@@ -9,6 +9,7 @@ of names itself, so that a wrong one in the operators shows.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions import codes
+from opslens.functions.exprs import parse_as_of
 from opslens.operators import activity, components, database, hosts, requests, storage
 from opslens.operators import findings as fnd
 from opslens.oracle_views import with_views
 from opslens.sources import command_output as co
 from opslens.sources.fixtures import Snapshot
-from opslens.streaming import streams
+from opslens.streaming import alerts, streams
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_SQL = f"timestamp '{AS_OF}'"
@@ -408,6 +410,15 @@ SQL["t2_memory_window_avg"] = """select host, ws as window_start, ws + interval
                  time_bucket(interval 15 minute, ts) - k * interval 15 minute as ws
           from mem_samples, (select unnest([0, 1, 2, 3]) as k) kk) s
     group by host, ws"""
+SQL["t3_alerts_with_timeouts"] = f"""with s as (
+        select 'memory' as "check", host, ts, mem_used * 100.0 / mem_total as value, mem_used * 100.0 / mem_total >= 90 as above from mem_samples where mem_total <> 0
+        union all select 'disk', host, ts, util, util >= 30 from disk_samples),
+    p as (select *, lag(above) over w as was, lag(ts) over w + interval 12 hour as ends, lead(ts) over w as following
+          from s window w as (partition by "check", host order by ts, value))
+    select "check", host, ends as ts, 'CLEARED' as event, null::double as value from p where was and ts > ends
+    union all select "check", host, ts, if(above, 'RAISED', 'CLEARED'), value from p where above <> (coalesce(was, false) and ts <= ends)
+    union all select "check", host, ts + interval 12 hour, 'CLEARED', null from p
+    where above and following is null and ts + interval 12 hour < {AS_OF_SQL}"""
 SQL["t3_memory_threshold_transitions"] = """select host, ts,
     case when above then 'RAISED' else 'CLEARED' end as event, value
     from (select host, ts, value, above, lag(above) over (partition by host order by ts) as prev
@@ -444,6 +455,12 @@ def _users(s: Snapshot) -> DataFrame:
     return s.app_users
 
 
+def _alert_samples(s: Snapshot) -> DataFrame:
+    memory = F.try_divide(F.col("mem_used") * F.lit(100.0), F.col("mem_total"))
+    return (alerts.check_samples(s.mem_samples, "memory", memory, 90.0)
+            .unionByName(alerts.check_samples(s.disk_samples, "disk", F.col("util"), 30.0)))
+
+
 def _mem_pct(s: Snapshot) -> DataFrame:
     return s.mem_samples.withColumn("mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
 
@@ -559,6 +576,8 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "t2_memory_window_avg": lambda s: streams.metric_window_avg(_mem_pct(s), "mem_pct"),
     "t3_memory_threshold_transitions": lambda s: streams.threshold_transitions_batch(
         _mem_pct(s), "mem_pct", 90.0),
+    "t3_alerts_with_timeouts": lambda s: alerts.alert_transitions_batch(
+        _alert_samples(s), silent=dt.timedelta(hours=12), now=parse_as_of(AS_OF)),
     "o1_block_corruption_ranked": lambda s: storage.block_corruption(s.block_corruption, ranked=True),
     "o2_backup_summary_ranked": lambda s: database.backup_summary(s.backup_jobs, AS_OF, ranked=True),
     "o3_queue_status_ranked": lambda s: requests.queue_status(s.queues, s.queues_vl, only_at_target=False, ranked=True),

@@ -7,11 +7,12 @@ expressions are shared) and run in Structured Streaming:
 * ``error_counts``  - alert-log errors per tumbling window, with a watermark
   for late lines;
 * ``metric_window_avg`` - per-host averages over sliding windows;
-* ``threshold_transitions`` - per-host alert raised once when a metric
-  crosses a threshold and cleared once when it falls back, kept in state.
+* ``threshold_transitions_batch`` - per-host alert raised once when a metric
+  crosses a threshold and cleared once when it falls back; its streams are in
+  ``streaming.alerts``.
 
-Each has a batch form (the same function over a batch frame, or
-``threshold_transitions_batch``) that the tests compare with the stream.
+Each has a batch form (the same function over a batch frame) that the tests
+compare with the stream.
 ``withWatermark`` needs a zoned TIMESTAMP; the NTZ event time is converted to
 it as if it were UTC (``ntz_to_instant``, independent of the session zone) and
 the window bounds are converted back to NTZ on output, so window boundaries
@@ -21,13 +22,9 @@ fall on the same wall-clock times in every session zone.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslens.functions import codes
 from opslens.functions.exprs import instant_to_ntz, ntz_to_instant, time_bucket
@@ -80,10 +77,6 @@ def metric_window_avg(samples: DataFrame, value_col: str, window: str = "1 hour"
 
 # --------------------------------------------------- threshold transitions
 
-TRANSITION_SCHEMA = "host string, ts timestamp_ntz, event string, value double"
-STATE_SCHEMA = "open boolean, last_us long"
-
-
 def _metric(samples: DataFrame, value: str) -> DataFrame:
     return samples.select("host", "ts", F.col(value).cast("double").alias("value"))
 
@@ -101,73 +94,6 @@ def threshold_transitions_batch(samples: DataFrame, value: str, threshold: float
                     "value"))
 
 
-def _transitions_fn(threshold: float):
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # one host's rows of this micro-batch (bounded by the trigger size)
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        was_open, last_us = (bool(state.get[0]), int(state.get[1])) if state.exists else (False, None)
-        us = pdf["ts"].astype("datetime64[us]").astype("int64")
-        if last_us is not None:
-            pdf, us = pdf[us > last_us], us[us > last_us]  # at or before a processed sample: late
-        order = us.argsort(kind="stable")
-        pdf, us = pdf.iloc[order], us.iloc[order]
-        above = (pdf["value"] >= threshold).to_numpy()
-        before = np.concatenate([[was_open], above[:-1]]).astype(bool)
-        change = above != before
-        out = pdf.loc[change, ["host", "ts", "value"]].copy()
-        out.insert(2, "event", np.where(above[change], "RAISED", "CLEARED"))
-        if len(above):
-            state.update((bool(above[-1]), int(us.iloc[-1])))
-        yield out[["host", "ts", "event", "value"]]
-    return fn
-
-
-def threshold_transitions(samples: DataFrame, value: str, threshold: float) -> DataFrame:
-    """Streaming form of ``threshold_transitions_batch``: the open/closed
-    flag and the time of the last processed sample per host are kept in
-    state between micro-batches, so an alert is raised once and cleared once
-    however many batches the samples span. Within a batch a host's rows are
-    taken in event-time order; a row at or before the host's last processed
-    sample arrived late and is ignored. State is one small row per host."""
-    return _metric(samples, value).groupBy("host").applyInPandasWithState(
-        _transitions_fn(threshold), outputStructType=TRANSITION_SCHEMA,
-        stateStructType=STATE_SCHEMA, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
-
-
-# ------------------------------------------- transitions, one batch at a time
-
-def transitions_with_state(batch: DataFrame, state: DataFrame | None, threshold: float,
-                           bucket: str = "hour") -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of threshold transitions computed with DataFrame
-    operations only, and the new per-host state.
-
-    ``batch`` has (host, ts, value); ``state`` has (host, last_ts, last_above)
-    from the previous batches (None at the start). Rows at or before a host's
-    ``last_ts`` arrived late and are dropped. Each host's state row is put in
-    front of its rows as a context row, the previous flag comes from the
-    bucketed ``previous_values`` (a host with a large share of the batch is
-    split by time bucket, never handled in one task), and the new state is the
-    latest row per host (a ``max_by`` aggregate).
-    Returns (transitions: host, ts, event, value; state)."""
-    rows = batch.select("host", "ts", "value", (F.col("value") >= F.lit(threshold)).alias("above"),
-                        F.lit(False).alias("_ctx"))
-    if state is not None:
-        rows = (rows.join(state.select("host", "last_ts"), "host", "left")
-                .where(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).drop("last_ts"))
-        ctx = state.select("host", F.col("last_ts").alias("ts"), F.lit(None).cast("double").alias("value"),
-                           F.col("last_above").alias("above"), F.lit(True).alias("_ctx"))
-        rows = rows.unionByName(ctx)
-    with_prev = previous_values(rows, ["host"], ["ts"], ["above"], time_bucket("ts", bucket))
-    before = F.coalesce(F.col("prev_above"), F.lit(False))
-    out = (with_prev.where(~F.col("_ctx") & (F.col("above") != before))
-           .select("host", "ts", F.when(F.col("above"), "RAISED").otherwise("CLEARED").alias("event"), "value"))
-    new_state = (rows.groupBy("host")
-                 .agg(F.max_by(F.struct("ts", "above"), "ts").alias("_l"))
-                 .select("host", F.col("_l.ts").alias("last_ts"), F.col("_l.above").alias("last_above")))
-    return out, new_state
-
-
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     """Checkpoint location of a named stream under the shared checkpoint
     folder (the cluster's ``spark.checkpoint.dir``), so a restarted driver

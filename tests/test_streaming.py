@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import tempfile
 
@@ -69,20 +70,6 @@ def test_window_avg_stream_equals_batch(spark, event_dir):
     _same(out, streams.metric_window_avg(_batch_snapshot(spark, event_dir).disk_samples, "util"))
 
 
-def test_threshold_transitions_stream_equals_batch(spark, event_dir):
-    from pyspark.sql import functions as F
-
-    def pct(df):
-        return df.withColumn("mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
-
-    s = pct(_stream_snapshot(spark, event_dir).mem_samples)
-    out = _run(spark, streams.threshold_transitions(s, "mem_pct", THRESHOLD), "append", "t3")
-    batch = streams.threshold_transitions_batch(pct(_batch_snapshot(spark, event_dir).mem_samples),
-                                                "mem_pct", THRESHOLD)
-    _same(out, batch)
-    assert out.where("event = 'RAISED'").count() > 0
-
-
 def test_jobs_write_parquet_and_findings(spark, event_dir):
     from pyspark.sql import functions as F
 
@@ -101,9 +88,10 @@ def test_jobs_write_parquet_and_findings(spark, event_dir):
     assert got.join(batch, ["window_start", "window_end", "errors"], "left_anti").count() == 0
     assert got.groupBy("window_start").count().where("count > 1").count() == 0
 
+    # without lateness every sample is passed by the watermark in the end
     q = jobs.start_threshold_findings_stateful(spark, event_dir, os.path.join(out, "findings"), threshold=THRESHOLD,
-                                      glob="events-*.parquet", available_now=True, max_files_per_trigger=1,
-                                      name=f"findings-{tag}")
+                                      late=dt.timedelta(0), glob="events-*.parquet", available_now=True,
+                                      max_files_per_trigger=1, name=f"findings-{tag}")
     q.awaitTermination(300)
     assert q.exception() is None
     f = spark.read.parquet(os.path.join(out, "findings"))
@@ -123,7 +111,7 @@ def test_scaled_transitions_job_equals_batch(spark, event_dir):
     out = tempfile.mkdtemp(prefix="opslens-stream-out2-")
     q = jobs.start_threshold_findings(spark, event_dir, os.path.join(out, "findings"),
                                              threshold=THRESHOLD, glob="events-*.parquet",
-                                             available_now=True, max_files_per_trigger=1,
+                                             late=dt.timedelta(0), available_now=True, max_files_per_trigger=1,
                                              name=f"scaled-{os.getpid()}-{id(out)}")
     q.awaitTermination(300)
     assert q.exception() is None
@@ -136,20 +124,6 @@ def test_scaled_transitions_job_equals_batch(spark, event_dir):
         sorted((r["host"], r["event"], r["ts"]) for r in expected.collect())
 
 
-def test_transitions_with_state_drops_late_rows(spark):
-    import datetime as dt
-    state = spark.createDataFrame([("h1", dt.datetime(2024, 1, 1, 12), True)],
-                                  "host string, last_ts timestamp_ntz, last_above boolean")
-    batch = spark.createDataFrame([("h1", dt.datetime(2024, 1, 1, 11), 10.0),   # late: ignored
-                                   ("h1", dt.datetime(2024, 1, 1, 13), 95.0),   # still above: nothing
-                                   ("h1", dt.datetime(2024, 1, 1, 14), 10.0),   # cleared
-                                   ("h2", dt.datetime(2024, 1, 1, 13), 99.0)],  # new host: raised
-                                  "host string, ts timestamp_ntz, value double")
-    tr, st = streams.transitions_with_state(batch, state, THRESHOLD)
-    assert sorted((r["host"], r["event"]) for r in tr.collect()) == [("h1", "CLEARED"), ("h2", "RAISED")]
-    assert sorted((r["host"], r["last_above"]) for r in st.collect()) == [("h1", False), ("h2", True)]
-
-
 def test_window_avg_job(spark, event_dir):
     from opslens.streaming import jobs
 
