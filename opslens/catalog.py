@@ -21,7 +21,9 @@ from opslens.functions.exprs import parse_as_of
 from opslens.operators import activity, components, database, hosts, requests, storage
 from opslens.operators import findings as fnd
 from opslens.oracle_views import with_views
+from opslens.session import landing_path
 from opslens.sources import command_output as co
+from opslens.sources import log_files
 from opslens.sources.fixtures import Snapshot
 from opslens.streaming import alerts, streams
 
@@ -396,6 +398,13 @@ SQL["s4_memory_usage_from_free"] = SQL["m03_memory_usage"]
 SQL["s4_swap_usage_from_meminfo"] = SQL["m04_swap_usage"]
 SQL["f13_filesystem_alerts_from_df"] = SQL["m05_filesystem_alerts"]
 SQL["s3_top_cpu_processes_from_ps"] = SQL["m09_top_cpu_processes"]
+SQL["s3_top_cpu_processes_from_files"] = SQL["m09_top_cpu_processes"]
+# lines numbered in their day's log, the newest 30 of each host over all days
+SQL["s3_log_tail_from_files"] = """select host, row_number() over newest as rank, stamp, line, line_no
+    from (select concat('host', (user_id // 2)::varchar) as host, strftime(ts, '%Y-%m-%d') as stamp, event_type || ' ' || props as line, ts, event_id,
+                 row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts, event_id) as line_no from events) as numbered
+    window newest as (partition by host order by stamp desc, line_no desc)
+    qualify rank <= 30"""
 SQL["s3_listening_ports_from_netstat"] = SQL["m14_listening_ports"]
 SQL["s4_disk_average_from_sar"] = SQL["m15_disk_average"]
 SQL["s4_uptime_from_uptime_p"] = SQL["m08_uptime_by_host"]
@@ -461,6 +470,20 @@ def _alert_samples(s: Snapshot) -> DataFrame:
             .unionByName(alerts.check_samples(s.disk_samples, "disk", F.col("util"), 30.0)))
 
 
+def _tail_from_files(s: Snapshot) -> DataFrame:
+    """The host log written as a collector's rotated text files, one stamp a day, and read back."""
+    path = landing_path(s.spark, "host-log")
+    log_files.write_log(s.collected_log, path, F.date_format("ts", "yyyy-MM-dd"), [F.col("ts"), F.col("event_id")])
+    return log_files.log_tail(log_files.number_lines(log_files.read_log(s.spark, path)), codes.LOG_TAIL_LINES, keep=["line_no"])
+
+
+def _top_from_files(s: Snapshot) -> DataFrame:
+    """`ps` output captured to text files of many hosts' lines, and read back."""
+    path = landing_path(s.spark, "ps")
+    log_files.write_log(s.ps_lines, path, F.lit("now"), [F.col("host"), F.col("line")])
+    return hosts.top_processes(co.ps_snapshot(log_files.read_log(s.spark, path).select("host", "line")), "pcpu")
+
+
 def _mem_pct(s: Snapshot) -> DataFrame:
     return s.mem_samples.withColumn("mem_pct", F.col("mem_used") * F.lit(100.0) / F.col("mem_total"))
 
@@ -569,6 +592,8 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "s4_memory_usage_from_free": lambda s: hosts.memory_usage(co.free_memory(s.free_lines)),
     "f13_filesystem_alerts_from_df": lambda s: hosts.filesystem_alerts(co.df_usage(s.df_lines)),
     "s3_top_cpu_processes_from_ps": lambda s: hosts.top_processes(co.ps_snapshot(s.ps_lines), "pcpu"),
+    "s3_top_cpu_processes_from_files": lambda s: _top_from_files(s),
+    "s3_log_tail_from_files": lambda s: _tail_from_files(s),
     "s3_listening_ports_from_netstat": lambda s: hosts.listening_ports(co.netstat_listeners(s.netstat_lines)),
     "s4_disk_average_from_sar": lambda s: hosts.disk_average(co.sar_disk(s.sar_lines)),
     "s4_uptime_from_uptime_p": lambda s: hosts.uptime_by_host(co.uptime_pretty(s.uptime_pretty_lines), AS_OF),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -94,6 +95,13 @@ def input_bytes(spark: SparkSession, path: str) -> int | None:
         return None
 
 
+def landing_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table or files written on the way, under the shared
+    checkpoint folder. It stays there, like checkpoints, for the operator of the
+    cluster to clear."""
+    return os.path.join(ensure_checkpoint_dir(spark), "landed", f"{name}-{uuid.uuid4().hex}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the session's Hadoop FileSystem."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -460,6 +460,12 @@ class Snapshot:
             _host("user_id"), F.col("event_id").alias("line_no"),
             F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("line"))
 
+    @cached_property
+    def collected_log(self) -> DataFrame:
+        """The host log with the time and number that order it in a collector."""
+        return self.raw("events").select(
+            _host("user_id"), F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("line"), "ts", "event_id")
+
     # Captured command output for the parsing checks. Not in the fixture
     # document: these derive text lines from the event rows so that the
     # parsers run over data that grows with the snapshot.

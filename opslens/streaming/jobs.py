@@ -14,6 +14,7 @@ stopped and a lost executor's work is recomputed from the source files.
   after a failure replaces its own partitions.
 * ``start_threshold_findings_stateful``: the same transitions with Spark's keyed
   state and timers (``transformWithState``), for fleets of many small hosts.
+* ``start_log_tail``: the last lines of every host of a log of rotated text files.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opslens.session import delete_path
+from opslens.sources import log_files
 from opslens.sources.fixtures import Snapshot
 from opslens.streaming import alerts, streams
 
@@ -165,3 +167,27 @@ def start_threshold_findings_stateful(spark: SparkSession, source_dir: str, out_
     w = (tr.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", streams.stream_checkpoint(spark, name)).queryName(name))
     return _trigger(w, available_now, interval).start()
+
+
+def start_log_tail(spark: SparkSession, log_dir: str, out_path: str, *, lines: int = 30, available_now: bool = False,
+                   interval: str = "1 minute", max_files_per_trigger: int | None = None,
+                   name: str = "log_tail") -> StreamingQuery:
+    """The last lines of every host of a log that grows by rotated files
+    (``sources.log_files``), as one version of a table per micro-batch under
+    ``out_path/v=<batch>``: version N is made of version N-1 and the new lines,
+    of which at most ``lines`` a host leave their partition. Files may arrive in
+    any order, since places go by stamp and name. A replayed batch rewrites its
+    version; versions older than the one before are deleted."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("host", "line", *log_files.PLACE)
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{out_path}/v={batch_id - 1}"))
+        tail = log_files.log_tail(rows, lines, keep=("file", "block", "at"))
+        tail.drop("rank").write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
+        if batch_id > 1:
+            delete_path(spark, f"{out_path}/v={batch_id - 2}")
+
+    log = log_files.read_log(spark, log_dir, stream=True, max_files_per_trigger=max_files_per_trigger)
+    w = (log.writeStream.outputMode("append").foreachBatch(write)
+         .option("checkpointLocation", streams.stream_checkpoint(spark, name)).queryName(name))
+    return _trigger(w, available_now, interval).start()
