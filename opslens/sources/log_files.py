@@ -39,24 +39,34 @@ def write_log(lines: DataFrame, path: str, stamp: Column, order: Sequence[Column
      .write.mode("overwrite").partitionBy("stamp").text(path))
 
 
-def read_log(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, stream: bool = False,
-             max_files_per_trigger: int | None = None) -> DataFrame:
-    """The lines under ``path``: stamp, file, block, at, host, line. With ``since``
-    and ``until`` (stamps, both included) only those folders are read; a later
-    filter on ``stamp`` would not reach the scan, since places come first. A line
-    without a blank is all host. Of a stream, ``at`` orders the lines of a split
-    of one micro-batch, which reads files whole."""
+def raw_lines(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, stream: bool = False,
+              max_files_per_trigger: int | None = None) -> DataFrame:
+    """The lines under ``path`` as they are: stamp, file, block, value. With
+    ``since`` and ``until`` (stamps, both included) only those folders are read.
+    A stream reads a file whole in one micro-batch."""
     reader = (spark.readStream if stream else spark.read).schema(_SCHEMA).option("lineSep", "\n")
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.text(path)
     for bound, inside in ((since, F.col("stamp") >= F.lit(since)), (until, F.col("stamp") <= F.lit(until))):
         lines = lines if bound is None else lines.where(inside)
-    lines = lines.select(
-        "stamp", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
+    return lines.select("stamp", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """``raw_lines`` with their place in the split: stamp, file, block, at, host,
+    line. Of a stream it takes the micro-batches (``foreachBatch``). Filters on
+    the result do not reach the scan, since places come first. A line without a
+    blank is all host."""
     host = F.substring_index("value", " ", 1)
-    return lines.select(*PLACE, host.alias("host"), F.col("value").substr(F.char_length(host) + 2, F.char_length("value")).alias("line"))
+    at = F.monotonically_increasing_id().alias("at")
+    return raw.select("stamp", "file", "block", at, "value").select(
+        *PLACE, host.alias("host"), F.col("value").substr(F.char_length(host) + 2, F.char_length("value")).alias("line"))
+
+
+def read_log(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The lines of a log and their places: stamp, file, block, at, host, line."""
+    return placed(raw_lines(spark, path, since, until))
 
 
 def number_lines(log: DataFrame, by: Sequence[str] = ("stamp",)) -> DataFrame:

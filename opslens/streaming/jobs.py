@@ -179,7 +179,7 @@ def start_log_tail(spark: SparkSession, log_dir: str, out_path: str, *, lines: i
     any order, since places go by stamp and name. A replayed batch rewrites its
     version; versions older than the one before are deleted."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("host", "line", *log_files.PLACE)
+        rows = log_files.placed(batch).select("host", "line", *log_files.PLACE)
         if batch_id > 0:
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{out_path}/v={batch_id - 1}"))
         tail = log_files.log_tail(rows, lines, keep=("file", "block", "at"))
@@ -187,7 +187,7 @@ def start_log_tail(spark: SparkSession, log_dir: str, out_path: str, *, lines: i
         if batch_id > 1:
             delete_path(spark, f"{out_path}/v={batch_id - 2}")
 
-    log = log_files.read_log(spark, log_dir, stream=True, max_files_per_trigger=max_files_per_trigger)
+    log = log_files.raw_lines(spark, log_dir, stream=True, max_files_per_trigger=max_files_per_trigger)
     w = (log.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", streams.stream_checkpoint(spark, name)).queryName(name))
     return _trigger(w, available_now, interval).start()
