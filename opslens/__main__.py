@@ -6,7 +6,8 @@
 ``--snapshot`` runs on tables derived from a star-schema test directory.
 
 The Spark master and all cluster settings come from ``spark-submit`` / the
-environment; this only builds the reports and writes them.
+environment; this only builds the reports and writes them. The day becomes
+visible as a whole, by a commit at the end (``sources/commits.py``).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--threshold", type=float, default=90.0, help="capacity alert threshold, percent")
     ap.add_argument("--parallel-jobs", type=int, default=4, help="report writes submitted at once")
+    ap.add_argument("--plain", action="store_true", help="overwrite the day's folders table by table, without a commit")
     args = ap.parse_args(argv)
     builder = SparkSession.builder.appName("opslens-health-check")
     for k, v in RECOMMENDED_CONF.items():
@@ -39,7 +41,7 @@ def main(argv: list[str] | None = None) -> None:
     size_shuffles(spark, args.landed or args.snapshot)
     tables = LandedSnapshot(spark, args.landed, args.as_of) if args.landed else Snapshot(spark, args.snapshot)
     paths = report.run(tables, args.as_of, args.out,
-                       parallel_jobs=args.parallel_jobs, threshold=args.threshold)
+                       parallel_jobs=args.parallel_jobs, staged=not args.plain, threshold=args.threshold)
     print(json.dumps(paths, indent=1))
 
 

@@ -5,16 +5,21 @@ each check contributes rows ``(check, severity, entity, metric, value,
 threshold, as_of)`` and the table is written partitioned by day and check.
 Re-running a day replaces the partition of every check that ran, also of one
 that found nothing, so cleared alerts go; checks that did not run keep theirs.
+``write_findings`` replaces them one after the other; ``stage_findings`` and
+``read_findings`` go through a commit, so readers see a day as it was before or
+after a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.exprs import as_of_lit, parse_as_of
+from opslens.sources.commits import Run, read
 
 FINDING_COLUMNS = ("check", "severity", "entity", "metric", "value", "threshold", "as_of")
 
@@ -94,3 +99,21 @@ def write_findings(df: DataFrame, path: str, as_of, checks: Sequence[str]) -> No
         # the check is a literal of each branch of the union, so the filter leaves only that branch to compute
         (df.where(F.col("check") == check).drop("check").write.mode("overwrite")
          .parquet(f"{path.rstrip('/')}/as_of_date={day}/check={check}"))
+
+
+def stage_findings(df: DataFrame, run: Run, checks: Sequence[str]) -> None:
+    """One day's findings as parts ``findings/<check>`` of a run: every check of
+    ``checks`` (those that ran) is replaced when the run is committed, with no
+    rows where it found nothing; the others stay as they are."""
+    for check in checks:
+        run.write(df.where(F.col("check") == check).drop("check"), f"findings/{check}")
+
+
+def read_findings(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> DataFrame:
+    """The committed findings under ``root``: the columns of ``FINDING_COLUMNS`` and ``as_of_date``."""
+    columns = [c for c in FINDING_COLUMNS if c != "check"]
+    parts = [(check, read(spark, root, f"findings/{check}", days=days)) for check in CHECKS.values()]
+    found = [df.select(F.lit(check).alias("check"), *columns, "as_of_date") for check, df in parts if df is not None]
+    if not found:
+        raise ValueError(f"no findings are committed under {root}")
+    return reduce(DataFrame.unionByName, found).select(*FINDING_COLUMNS, "as_of_date")

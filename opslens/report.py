@@ -2,7 +2,9 @@
 
 This replaces the source's single run that appends each section to one
 document. Here each report is a table written under ``out_dir/<report>/``
-partitioned by ``as_of_date`` (a re-run overwrites that day's folder), plus the findings table. The tablespace usage
+partitioned by ``as_of_date`` (a re-run overwrites that day's folder), plus the findings table;
+``staged`` runs write to folders of their own and are committed at one moment (``sources.commits``),
+so that readers see the old day or the new one, whole. The tablespace usage
 frame feeds both its report and the capacity alert, so it is persisted for
 the run and released afterwards (the source ran that query twice). The
 fleet-sized listings are written unsorted: a table needs no global order.
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from opslens.functions import codes
 from opslens.functions.exprs import as_of_lit, parse_as_of
 from opslens.operators import activity, components, database, findings, hosts, requests, storage
+from opslens.sources import commits
 
 
 def health_check(s, as_of, *, threshold: float = codes.CAPACITY_THRESHOLD,
@@ -101,7 +104,7 @@ def _findings(frames: dict[str, DataFrame], as_of, threshold: float) -> DataFram
         **{arg: frames[name] for arg, name in _FINDING_SOURCES.items()})
 
 
-def run(s, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, str]:
+def run(s, as_of, out_dir: str, parallel_jobs: int = 4, staged: bool = False, **kwargs) -> dict[str, str]:
     """Compute and write every report and the findings for ``as_of``.
 
     Most reports are small next to the cluster, so up to ``parallel_jobs``
@@ -110,14 +113,20 @@ def run(s, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, s
     The findings are then built from the written alert tables (read back for
     this day only), not recomputed from the sources: no second scan, and the
     lineage starts at a durable table.
+
+    ``staged``: nothing is visible before the commit at the end, and all of it
+    after; read with ``commits.read`` and ``findings.read_findings``.
     Returns report name -> output path."""
     reports, _ = health_check(s, as_of, **kwargs)
     threshold = kwargs.get("threshold", codes.CAPACITY_THRESHOLD)
     base = out_dir.rstrip("/")
     day = F.to_date(as_of_lit(as_of))
+    stage = commits.Run(s.spark, base, parse_as_of(as_of).date().isoformat()) if staged else None
 
     def write(item) -> tuple[str, str]:
         name, df = item
+        if stage:
+            return name, stage.write(df, name)
         path = f"{base}/{name}"
         (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
            .parquet(f"{path}/as_of_date={parse_as_of(as_of).date().isoformat()}"))
@@ -130,13 +139,18 @@ def run(s, as_of, out_dir: str, parallel_jobs: int = 4, **kwargs) -> dict[str, s
         with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
             paths.update(pool.map(write, rest))
         spark = s.spark
+        paths["findings"] = f"{base}/findings"
+        checks = [findings.CHECKS[arg] for arg in _FINDING_SOURCES]
+        if stage:
+            written = {name: spark.read.schema(reports[name].schema).parquet(paths[name]) for name in _FINDING_SOURCES.values()}
+            findings.stage_findings(_findings(written, as_of, threshold), stage, checks)
+            stage.commit()
+            return paths
         # read back with the known schema: an empty report has no data files to infer it from
         written = {name: (spark.read.schema(reports[name].withColumn("as_of_date", day).schema)
                           .parquet(paths[name]).where(F.col("as_of_date") == day).drop("as_of_date"))
                    for name in _FINDING_SOURCES.values()}
-        paths["findings"] = f"{base}/findings"
-        findings.write_findings(_findings(written, as_of, threshold), paths["findings"], as_of,
-                                [findings.CHECKS[arg] for arg in _FINDING_SOURCES])
+        findings.write_findings(_findings(written, as_of, threshold), paths["findings"], as_of, checks)
     finally:
         reports["tablespace_usage"].unpersist()
     return paths
