@@ -192,10 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # at most ``sample`` rows of two numbers
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select(F.col("grade").cast("int"), "text").mapInArrow(run, "grade int, ids binary").toArrow())
-    found = [(grade, zlib.crc32(ids), np.frombuffer(ids, dtype=np.int32)) for grade, ids in zip(rows.column("grade").to_pylist(), rows.column("ids").to_pylist(), strict=True)]
-    del rows
+    # the ids stay in Arrow's memory, without a copy
+    found = [(grade, zlib.crc32(ids.as_buffer()), np.frombuffer(ids.as_buffer(), dtype=np.int32)) for grade, ids in zip(rows.column("grade").to_pylist(), rows.column("ids"), strict=True)]
     found.sort(key=lambda r: r[:2])  # the same fit however the rows arrive
-    return fit([ids for *_, ids in found], np.array([grade for grade, *_ in found], dtype=np.int64))
+    model = fit([ids for *_, ids in found], np.array([grade for grade, *_ in found], dtype=np.int64))
+    del rows, found
+    release_memory()  # the driver goes on without the rows of the fit
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
