@@ -62,7 +62,8 @@ EDGES = {"email": r"(?<![\p{L}\p{N}._%+-])", "secret": _WORD, "cloud_key": _WORD
          "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER, "iban": _WORD}
 _HONORIFIC = "(?:" + "|".join(w for g in ADDRESS.values() for w in g) + r")\.?"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    # a host name has at most 127 labels; an unbounded group would recurse once a label
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,125}\.\p{L}{2,}",
     "secret": r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,}""",
     "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "name": _HONORIFIC + r" \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
@@ -156,6 +157,12 @@ def surrogate(kind: Column, unit: Column, attempt: int, key: str = KEY) -> Colum
     """The surrogate of a unit, before any collision check."""
     seed = F.concat_ws("|", F.lit(key), kind, unit, F.lit(str(attempt)))
     stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 512) for i in range(STREAM_BYTES // 64)])
+    # bound by a lambda, the stream is made once a unit and not once a character
+    return F.element_at(F.transform(F.array(stream), lambda bound: _drawn(kind, unit, bound, attempt)), 1)
+
+
+def _drawn(kind: Column, unit: Column, stream: Column, attempt: int) -> Column:
+    """The surrogate of a unit from its stream of hexadecimal bytes."""
     script = F.when(unit.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     number = F.conv(F.substring(stream, 1, 12), 16, 10).cast("long")
     card = _shaped(unit, stream, F.lit(1))
@@ -181,7 +188,9 @@ def surrogate(kind: Column, unit: Column, attempt: int, key: str = KEY) -> Colum
 def assign(units: DataFrame, key: str = KEY) -> DataFrame:
     """kind, unit, surrogate for distinct (kind, unit, kept): no two units of a
     kind share a surrogate, and no surrogate is itself a unit."""
-    units = cut(units.withColumn("checksum", F.when(F.col("kind") == "card", _checksum(F.col("unit")))))
+    # few bytes but much work each: dealt to as many tasks as a shuffle has
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = cut(units.repartition(tasks, "kind", "unit").withColumn("checksum", F.when(F.col("kind") == "card", _checksum(F.col("unit")))))
     own = units.select("kind", F.col("unit").alias("surrogate"))
     left, done = units, []
     for attempt in range(ATTEMPTS):
@@ -194,8 +203,8 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
         left = cut(left.join(done[-1], ["kind", "unit"], "left_anti"))
         if left.isEmpty():
             break
-    else:  # a kind with hardly any free values left: distinct, though longer
-        done.append(left.select("kind", "unit", F.concat("unit", F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "unit"), 256), 1, 24)).alias("surrogate")))
+    else:  # a kind with hardly any free values left: a keyed digest, distinct though of another shape
+        done.append(left.select("kind", "unit", F.sha2(F.concat_ws("|", F.lit(key), "kind", "unit"), 256).alias("surrogate")))
     return reduce(DataFrame.unionByName, done)
 
 

@@ -140,3 +140,28 @@ def test_odd_rows(spark, odd_documents, no_documents):
 def test_main_path_is_native(spark, sf):
     plan = pii.query(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+CHAINS = ["x@" + "a." * 400_000 + "1", "a" * 800_000 + "@b", "a.b@c" + "-d.e" * 200_000 + "!", "password=" + "q" * 30_000, "Mr. " + "Smith " * 100_000, "Mr. " + "X'" * 300_000,
+          "+1" + " 22" * 200_000, "1" * 800_000, "1 " * 300_000, "10." * 250_000, "AKIA" * 200_000, "DE89" + " ABCD" * 200_000, "4111 " * 150_000, "token" + " = " * 200_000]
+
+
+def test_very_long_chains_of_each_kind(spark):
+    """None takes down an executor or goes on for ever; ordinary entities beside them are still found."""
+    out = run(spark, [f"{chain} and ann@x.example.org" for chain in CHAINS])
+    for (text, n), chain in zip(out, CHAINS, strict=True):
+        assert n >= 1 and "ann@x.example.org" not in text, chain[:20]
+
+
+def test_long_host_names(spark):
+    long = "x@" + ".".join(["ab1"] * 126) + ".com"
+    (text, n), (shorter, m) = run(spark, [f"to {long}", "to x@a.b.c.d.example.com"])
+    assert n == m == 1 and long not in text and "example.com" not in shorter
+
+
+def test_a_kind_without_free_values_leaves_nothing_in_clear(spark):
+    """All values of one digit are units, so no surrogate of that shape is free."""
+    units = spark.range(10).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("unit"), F.lit(0).alias("kept"))
+    got = {r["unit"]: r["surrogate"] for r in pii.assign(units).collect()}
+    assert len(got) == len(set(got.values())) == 10
+    assert all(re.fullmatch("[0-9a-f]{64}", s) for s in got.values())
