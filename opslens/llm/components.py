@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from opslens.llm.common import cut
 
-ROUNDS = 50
-
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node (a) has one centre (b), itself no node."""
@@ -22,14 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: every node's larger neighbours, then its
     smaller ones, are tied to the smallest node around it, until only stars
-    are left. Minima are aggregated before they are joined back, so a node
+    are left, however many rounds that takes (about the logarithm of the longest
+    way). Minima are aggregated before they are joined back, so a node
     with very many neighbours is not gathered in one place.
     """
     pair = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # b: the smaller
     edges = cut(edges.where("a != b").select(pair.alias("e")).select("e.*").distinct())
-    for _ in range(ROUNDS):
-        if _are_stars(edges):
-            break
+    while not _are_stars(edges):
         # large star: larger neighbours of a node go to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: the node
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
