@@ -23,6 +23,10 @@ from opslens.plans.joins import broadcast_if_small
 from opslens.plans.ranking import global_rank
 
 
+#: Factor by which more of the newest values are tried, twice, when too few of them have a name and a user.
+FAN_OUT_STEP = 64
+
+
 def queue_status(queues: DataFrame, queues_vl: DataFrame, only_at_target: bool = True,
                  ranked: bool = False) -> DataFrame:
     """Queue managers with their node, actual and target process counts and
@@ -167,22 +171,42 @@ def latest_profile_changes(options: DataFrame, values: DataFrame, options_tl: Da
     ``days`` days instead; ``language`` filters the name table.
     Ties on the change time are broken by option, level, value and user so
     the cut is deterministic.
+
+    Only the newest values are joined: those no older than the k-th newest, with
+    all ties. If they make ``n`` rows or more, the ``n`` newest are among them,
+    since every other value is older; if not (values without a name or user), k
+    grows twice, then all are joined. So the bound on the time stands under the joins, at
+    the scan; finding it runs a top-k job over one column.
     Columns: profile_option, option_level, profile_value, change_date, user_name."""
     tl = options_tl
     if language is not None:
         tl = tl.where(F.col("language") == language)
-    df = (values.join(options, "profile_option_id")
-          .join(tl, "profile_option_name")
-          .join(users.select(F.col("user_id").alias("last_updated_by"), "user_name"), "last_updated_by"))
-    out = df.select(F.col("user_profile_option_name").alias("profile_option"),
-                    decode("level_id", codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT).alias("option_level"),
-                    F.col("profile_option_value").alias("profile_value"),
-                    F.col("last_update_date").alias("change_date"), "user_name")
+
+    def named(some: DataFrame) -> DataFrame:
+        df = (some.join(options, "profile_option_id")
+              .join(tl, "profile_option_name")
+              .join(users.select(F.col("user_id").alias("last_updated_by"), "user_name"), "last_updated_by"))
+        return df.select(F.col("user_profile_option_name").alias("profile_option"),
+                         decode("level_id", codes.PROFILE_LEVEL, codes.PROFILE_LEVEL_DEFAULT).alias("option_level"),
+                         F.col("profile_option_value").alias("profile_value"),
+                         F.col("last_update_date").alias("change_date"), "user_name")
+
     order = [F.col("change_date").desc_nulls_first(), F.col("profile_option").asc_nulls_last(),
              F.col("option_level").asc_nulls_last(), F.col("profile_value").asc_nulls_last(),
              F.col("user_name").asc_nulls_last()]
     if days is not None:
-        out = out.where(F.col("change_date") > since(as_of, days=days))
+        return named(values).where(F.col("change_date") > since(as_of, days=days)).distinct().orderBy(*order)
+    changed = F.col("last_update_date")
+    for k in (n, n * FAN_OUT_STEP, n * FAN_OUT_STEP ** 2):  # their times go through the driver, hence no further
+        newest = values.select(changed).orderBy(changed.desc_nulls_first()).limit(k).collect()
+        if len(newest) < k:  # fewer values than that
+            out = named(values)
+            break
+        bound = newest[-1][0]
+        out = named(values.where(changed.isNull() if bound is None else changed.isNull() | (changed >= F.lit(bound).cast("timestamp_ntz"))))
+        if out.limit(n).count() >= n:
+            break
     else:
-        out = out.orderBy(*order).limit(n)
+        out = named(values)
+    out = out.orderBy(*order).limit(n)
     return out.distinct().orderBy(*order)
