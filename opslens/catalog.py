@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import codes
 from opslens.functions.exprs import parse_as_of
-from opslens.operators import activity, components, database, hosts, requests, storage
+from opslens.operators import activity, components, database, hosts, requests, settings, storage
 from opslens.operators import findings as fnd
 from opslens.oracle_views import with_views
 from opslens.session import landing_path
@@ -152,6 +152,16 @@ _WHO = """a.session_id, a.user_id, (select max(n.user_name) from app_users n whe
         (select max(n.description) from app_users n where n.user_id = a.user_id) as description"""
 SQL["r13_online_users"] = _live(_WHO, "a.limit_time * 3600000000", tail="group by all")
 SQL["r13_online_users_timeout_30m"] = _live(_WHO, "30 * 60000000", f"timestamp '{AS_OF_BUSY}'", "group by all")
+# nested lookups, most particular level first
+_TIMEOUTS = """select a.*, coalesce(u.t, n.t, site.t) as timeout_minutes,
+        case when u.t is not null then 10004 when n.t is not null then 10003 when site.t is not null then 10001 end as timeout_minutes_level
+    from app_sessions as a
+    left join (select c_custkey, c_nationkey, case when c_acctbal > 5000 then floor(c_acctbal / 4) end as t from customer) as u on u.c_custkey = a.user_id
+    left join (select n_nationkey, case when n_regionkey > 1 then 600e0 + 60 * n_nationkey end as t from nation) as n on n.n_nationkey = u.c_nationkey
+    left join (select 90e0 + max(r_regionkey) as t from region) as site on true"""
+SQL["f16_session_timeouts"] = f"select session_id, user_id, timeout_minutes, timeout_minutes_level from ({_TIMEOUTS}) as s"
+SQL["r13_online_users_by_profile"] = _live(_WHO, "a.timeout_minutes * 60000000", f"timestamp '{AS_OF_BUSY}'", "group by all").replace(
+    "from app_sessions as a", f"from ({_TIMEOUTS}) as a")
 SQL["r14_online_user_count"] = _live("count(a.session_id) as online_users", "a.limit_time * 3600000000")
 _IDLE = """select {keys}, count(*) as session_count
     from db_sessions
@@ -470,6 +480,11 @@ def _alert_samples(s: Snapshot) -> DataFrame:
             .unionByName(alerts.check_samples(s.disk_samples, "disk", F.col("util"), 30.0)))
 
 
+def _session_timeouts(s: Snapshot) -> DataFrame:
+    sessions = s.app_sessions.join(s.session_responsibilities, "user_id", "left")
+    return settings.with_setting(sessions, s.profile_settings, "SESSION_TIMEOUT", "timeout_minutes")
+
+
 def _tail_from_files(s: Snapshot) -> DataFrame:
     """The host log written as a collector's rotated text files, one stamp a day, and read back."""
     path = landing_path(s.spark, "host-log")
@@ -532,6 +547,9 @@ BUILDERS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "r13_online_users": lambda s: activity.online_users(s.app_sessions, s.app_users, AS_OF),
     "r13_online_users_timeout_30m": lambda s: activity.online_users(s.app_sessions, s.app_users, AS_OF_BUSY,
                                                                     timeout_minutes=30),
+    "f16_session_timeouts": lambda s: _session_timeouts(s).select("session_id", "user_id", "timeout_minutes", "timeout_minutes_level"),
+    "r13_online_users_by_profile": lambda s: activity.online_users(_session_timeouts(s), s.app_users, AS_OF_BUSY,
+                                                                   timeout_minutes=F.col("timeout_minutes")),
     "r14_online_user_count": lambda s: activity.online_user_count(s.app_sessions, s.app_users, AS_OF),
     "r15_inactive_sessions": lambda s: activity.inactive_sessions(s.db_sessions),
     "r15_inactive_session_summary": lambda s: activity.inactive_sessions(s.db_sessions, by_session=False),

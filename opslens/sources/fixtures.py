@@ -253,6 +253,24 @@ class Snapshot:
             (4 + e % 40).cast("int").alias("limit_time"), (e % 50).cast("int").alias("counter"),
             F.lit(45).alias("limit_connects"))
 
+    @cached_property
+    def session_responsibilities(self) -> DataFrame:
+        """The responsibility each user works under."""
+        return self.raw("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("responsibility_id"))
+
+    @cached_property
+    def profile_settings(self) -> DataFrame:
+        """Session time-outs in minutes, set for users in credit (but not for all of them), for some
+        responsibilities, and for the site; another setting beside them."""
+        c, n = self.raw("customer"), self.raw("nation")
+        per_user = c.select(F.lit("SESSION_TIMEOUT").alias("setting"), F.lit(10004).alias("level_id"), F.col("c_custkey").alias("level_value"),
+                            F.when(F.col("c_acctbal") > 5000, F.floor(F.col("c_acctbal") / 4).cast("double")).alias("value"))
+        per_resp = n.select(F.lit("SESSION_TIMEOUT"), F.lit(10003), F.col("n_nationkey").cast("bigint"),
+                            F.when(F.col("n_regionkey") > 1, 600.0 + 60 * F.col("n_nationkey")))
+        site = self.raw("region").groupBy().agg(F.lit("SESSION_TIMEOUT"), F.lit(10001), F.lit(0).cast("bigint"), 90.0 + F.max("r_regionkey"))
+        other = c.select(F.lit("OTHER"), F.lit(10004), F.col("c_custkey"), F.lit(1.0))
+        return per_user.union(per_resp).union(site).union(other)
+
     @cached_property
     def app_users(self) -> DataFrame:
         c = F.col("c_custkey")
