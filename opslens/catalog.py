@@ -410,7 +410,7 @@ SQL["f13_filesystem_alerts_from_df"] = SQL["m05_filesystem_alerts"]
 SQL["s3_top_cpu_processes_from_ps"] = SQL["m09_top_cpu_processes"]
 SQL["s3_top_cpu_processes_from_files"] = SQL["m09_top_cpu_processes"]
 # lines numbered in their day's log, the newest 30 of each host over all days
-SQL["s3_log_tail_from_files"] = """select host, row_number() over newest as rank, stamp, line, line_no
+SQL["s3_log_tail_from_files"] = """select host, cast(row_number() over newest as int) as rank, stamp, line, line_no
     from (select concat('host', (user_id // 2)::varchar) as host, strftime(ts, '%Y-%m-%d') as stamp, event_type || ' ' || props as line, ts, event_id,
                  row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts, event_id) as line_no from events) as numbered
     window newest as (partition by host order by stamp desc, line_no desc)

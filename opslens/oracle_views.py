@@ -128,7 +128,7 @@ VIEWS: dict[str, str] = {
     "component_params": """select s_suppkey as component_id, s_suppkey * 10 + k as parameter_id,
         case when k = 0 then 'PROCESSOR_IN_THREAD_COUNT' else 'OTHER' end as parameter_name
         from supplier, (select 0 as k union all select 1 as k) x""",
-    "param_defs": "select parameter_id from component_params where parameter_id % 3 <> 0",
+    "param_defs": "select parameter_id from component_params",
     "services": """select 0 as service_id, 'FNDCPGSC' as service_handle
         union all select 1 as service_id, 'OTHER' as service_handle""",
     "processes": """select s_suppkey as queue_id, cast(s_suppkey % 2 as int) as application_id,

@@ -388,7 +388,7 @@ class Snapshot:
 
     @cached_property
     def param_defs(self) -> DataFrame:
-        return self.component_params.where(F.col("parameter_id") % 3 != 0).select("parameter_id")
+        return self.component_params.select("parameter_id")
 
     @cached_property
     def services(self) -> DataFrame:
