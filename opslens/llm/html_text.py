@@ -11,7 +11,16 @@ terminal edge outweighs all their smoothness edges keep that label in some
 minimum cut, so they are settled first and only the doubtful rest is run
 through the flow.
 
-Work is per page, in the tasks that read the pages; nothing is shuffled.
+A page that marks its main part (article, main) has its text there. On any
+other page a block is taken for content unless its place or its links speak
+against it, and if the cut still leaves nothing, all blocks are content that
+are neither in a marked part beside the text nor links as a whole.
+
+An element is beside the text when a whole name of its class or id says so:
+``post-comments`` and ``sidebar-left`` do, ``tags-explained`` does not.
+
+Work is per page, in the tasks that read the pages; nothing is shuffled. The
+time for a page is linear in its tags, however deep they are nested.
 
 Nulls and odd rows: null or empty html gives the empty text; broken markup is
 read as far as it goes (unclosed and stray tags, truncated pages); repeated
@@ -25,6 +34,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,53 +60,106 @@ CHROME_WORDS = frozenset("""ad ads advert advertisement adverts banner breadcrum
 BESIDE_WORDS = frozenset("""ad ads advert advertisement adverts comment comments disqus promo related replies reply respond sidebar
     sponsor sponsored teaser teasers widget widgets""".split())
 ITEM_WORDS = frozenset("article block body box card content div entry inner item li list main node post row story text user wrapper".split())
+#: Words that, beside those above, a name of a part beside the text is made of.
+PLACE_WORDS = frozenset("""area bar bottom col column desktop fixed global group header home inline js large left link links main mobile
+    module new overlay page panel placeholder primary recent right secondary section site slot small sticky sub top unit view
+    wrap zone""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CHROME_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
-W_BASE, W_IN_CONTENT, W_OUTSIDE, W_CHROME, W_PAGE_HEADER, W_LINKS, W_LENGTH, W_STOP = -0.6, 4.0, -4.0, -9.0, -5.0, -3.0, 2.0, 0.4
+W_BASE, W_IN_CONTENT, W_OUTSIDE, W_UNMARKED, W_CHROME, W_PAGE_HEADER, W_LINKS, W_LENGTH, W_STOP = -0.6, 4.0, -4.0, 1.5, -9.0, -5.0, -3.0, 2.0, 0.4
 TIE_FOLLOWS, TIE_SIBLING, TIE_NEAR = 0.3, 0.4, 0.6
 SCALE = 1000
 
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+#: What the elements around a block make it: in the main part; in a part beside
+#: the text there; in one around the main part; in a page header; not shown.
+IN_CONTENT, BESIDE, AROUND, HEADER, HIDDEN = 1, 2, 4, 8, 16
+
+
+class Block(NamedTuple):
+    """A run of text. ``shared`` of its ``depth`` open elements were open all
+    the time since the block before it; ``parent`` numbers the last but one."""
+
+    text: str
+    link_chars: int
+    marks: int
+    depth: int
+    shared: int
+    parent: int
+
+
+def _says(value: str, words: frozenset[str], others: frozenset[str]) -> bool:
+    """Whether a name in ``value`` has one of ``words`` and none but ``others`` beside."""
+    names = ({w.lower() for w in _WORDS.findall(part)} for part in value.split())
+    return any(not words.isdisjoint(name) and name <= words | others for name in names)
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, link characters, path of open elements, parent's number)."""
+    """Collects the blocks of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, kind, number
-        self.hidden = self.in_link = self.link_chars = self.numbers = 0
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, marks, number
+        self.places: dict[str, list[int]] = {}  # of the open elements in the stack, by tag
+        self.main_places: list[int] = []  # of those that a stray end tag does not close
+        self.in_link = self.link_chars = self.numbers = 0
+        self.shared = 1
         self.parts: list[str] = []
-        self.found: list[tuple[str, int, tuple[str, ...], tuple[int, ...]]] = []
+        self.found: list[Block] = []
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.found.append((text, self.link_chars, tuple(k for _, k, _ in self.stack if k), tuple(n for _, _, n in self.stack)))
+                depth = len(self.stack)
+                self.found.append(Block(text, self.link_chars, self.stack[-1][1], depth, self.shared, self.stack[-2][2] if depth > 1 else 0))
+                self.shared = depth
             self.parts, self.link_chars = [], 0
 
     @staticmethod
-    def kind(tag: str, attrs) -> str:
+    def mark(tag: str, attrs) -> int:
+        if tag in HIDDEN_TAGS:
+            return HIDDEN
         if tag in CHROME_TAGS:
-            return "chrome"
+            return BESIDE
         for name, value in attrs:
-            if value and name in ("class", "id"):
+            if value and (name == "class" or name == "id" and tag not in HEADINGS):  # a heading's id is made from its text
                 if tag == "article":
-                    names = [{w.lower() for w in _WORDS.findall(part)} for part in value.split()]
-                    if any(words & BESIDE_WORDS and words <= BESIDE_WORDS | ITEM_WORDS for words in names):
-                        return "chrome"
-                elif tag not in ("html", "body", "main") and not CHROME_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                    return "chrome"
+                    if _says(value, BESIDE_WORDS, ITEM_WORDS):
+                        return BESIDE
+                elif tag not in ("html", "body", "main") and _says(value, CHROME_WORDS, ITEM_WORDS | PLACE_WORDS):
+                    return BESIDE
             if value and name == "role":
                 if value == "main":
-                    return "content"
+                    return IN_CONTENT
                 if value in CHROME_ROLES:
-                    return "chrome"
+                    return BESIDE
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return "chrome"
+                return BESIDE
         if tag in CONTENT_TAGS:
-            return "content"
-        return "header" if tag == "header" else ""
+            return IN_CONTENT
+        return HEADER if tag == "header" else 0
+
+    def push(self, tag: str, mark: int):
+        marks = self.stack[-1][1]
+        if mark == IN_CONTENT and not marks & IN_CONTENT and marks & BESIDE:
+            marks ^= BESIDE | AROUND
+        self.numbers += 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if mark == IN_CONTENT or tag in CONTENT_TAGS or tag in CHROME_TAGS:
+            self.main_places.append(len(self.stack))
+        self.stack.append((tag, marks | mark, self.numbers))
+
+    def pop(self, i: int):
+        """Close the elements from place ``i`` on."""
+        while len(self.stack) > i:
+            tag, *_ = self.stack.pop()
+            at = self.places[tag].pop()
+            if self.main_places and self.main_places[-1] == at:
+                self.main_places.pop()
+        self.shared = min(self.shared, i)
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
@@ -108,54 +171,36 @@ class _Blocks(HTMLParser):
             self.flush()
         elif tag not in HIDDEN_TAGS and not attrs:
             return
-        if tag in VOID_TAGS or (tag == "body" and any(t == "body" for t, _, _ in self.stack)):
+        if tag in VOID_TAGS or (tag == "body" and self.places.get("body")):
             return
-        closes = CLOSES_ITSELF.get(tag)
-        if closes and self.stack[-1][0] in closes or tag in BLOCK_TAGS and self.stack[-1][0] == "p":
+        top = self.stack[-1][0]
+        if top in CLOSES_ITSELF.get(tag, ()) or tag in BLOCK_TAGS and top == "p":
             self.pop(len(self.stack) - 1)
-        if tag in BLOCK_TAGS and tag != "head":
-            self.close_hidden("head")
-        kind = "hidden" if tag in HIDDEN_TAGS else self.kind(tag, attrs)
-        if tag in BLOCK_TAGS or kind:
-            self.numbers += 1
-            self.stack.append((tag, kind, self.numbers))
-            self.hidden += kind == "hidden"
-            if tag == "title":
-                return
-
-    def close_hidden(self, tag: str):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag and all(t != "title" for t, _, _ in self.stack[i:]):
-                if tag == "head" and self.stack[-1][0] == "head":
-                    self.pop(i)
-                return
-
-    def pop(self, i: int):
-        self.hidden -= sum(k == "hidden" for _, k, _ in self.stack[i:])
-        del self.stack[i:]
+        if tag in BLOCK_TAGS and tag != "head" and self.stack[-1][0] == "head":  # a head that was not closed
+            self.pop(len(self.stack) - 1)
+        mark = self.mark(tag, attrs)
+        if tag in BLOCK_TAGS or mark:
+            self.push(tag, mark)
 
     def handle_endtag(self, tag):
         if tag == "a":
             self.in_link = 0
         if tag in BLOCK_TAGS:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            open_tag, kind, _ = self.stack[i]
-            if open_tag == tag:
-                self.pop(i)
-                break
-            # a stray end tag does not close the page's main parts
-            if tag not in ("body", "html") and (kind == "content" or open_tag in CONTENT_TAGS or open_tag in CHROME_TAGS) and tag not in CONTENT_TAGS and tag not in CHROME_TAGS:
-                break
+        at = self.places.get(tag)
+        # a stray end tag does not close the page's main parts
+        free = tag in ("body", "html") or tag in CONTENT_TAGS or tag in CHROME_TAGS
+        if at and (free or not self.main_places or self.main_places[-1] <= at[-1]):
+            self.pop(at[-1])
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not self.stack[-1][1] & HIDDEN:
             self.parts.append(data)
             if self.in_link:
                 self.link_chars += len(data)
 
 
-def blocks(html: str) -> list[tuple[str, int, tuple[str, ...], tuple[int, ...]]]:
+def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     parser = _Blocks()
     parser.feed(html)
@@ -164,38 +209,32 @@ def blocks(html: str) -> list[tuple[str, int, tuple[str, ...], tuple[int, ...]]]
     return parser.found
 
 
-def score(text: str, links: int, kinds: tuple[str, ...], page_has_content: bool) -> float:
+def score(block: Block, page_is_marked: bool) -> float:
     """Log-odds that a block is content."""
-    inside = "content" in kinds
-    # chrome in the outermost content element counts, also around an inner one
-    after = kinds[kinds.index("content") + 1:] if inside else kinds
+    text, links, marks = block.text, block.link_chars, block.marks
+    inside = marks & IN_CONTENT
     s = W_BASE + W_LENGTH * (1 - math.exp(-len(text) / 80)) + W_LINKS * min(1.0, links / len(text)) + W_STOP * (text[-1] in ".!?…。")
-    if inside:
-        s += W_IN_CONTENT
-    elif page_has_content:
-        s += W_OUTSIDE
-    if "chrome" in (kinds if not inside else after):
+    s += W_IN_CONTENT if inside else W_OUTSIDE if page_is_marked else W_UNMARKED
+    if marks & BESIDE:
         s += W_CHROME
-    elif inside and "chrome" in kinds[:kinds.index("content")]:
+    elif marks & AROUND:
         s += W_CHROME / 2
-    if "header" in kinds and not inside:
+    if marks & HEADER and not inside:
         s += W_PAGE_HEADER
     return s
 
 
-def ties(paths: list[tuple[int, ...]]) -> list[tuple[int, int, int]]:
+def ties(found: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness edges (i, j, capacity) between blocks."""
     out = []
-    last_child: dict[int, tuple[int, int]] = {}
-    for j, path in enumerate(paths):
+    last_child: dict[int, int] = {}
+    for j, block in enumerate(found):
         if j:
-            shared = sum(a == b for a, b in zip(paths[j - 1], path))
-            steps = len(paths[j - 1]) + len(path) - 2 * shared
+            steps = found[j - 1].depth + block.depth - 2 * block.shared
             out.append((j - 1, j, int(SCALE * (TIE_FOLLOWS + TIE_NEAR / (1 + steps)))))
-        parent = path[-2] if len(path) > 1 else 0
-        if parent in last_child and last_child[parent][0] != j - 1:
-            out.append((last_child[parent][0], j, int(SCALE * TIE_SIBLING)))
-        last_child[parent] = (j, path[-1])
+        if last_child.get(block.parent, j - 1) != j - 1:
+            out.append((last_child[block.parent], j, int(SCALE * TIE_SIBLING)))
+        last_child[block.parent] = j
     return out
 
 
@@ -268,16 +307,18 @@ def _max_flow(unary: dict[int, int], around: dict[int, dict[int, int]]) -> set[i
                 path.pop()
 
 
-def label_blocks(found: list[tuple[str, int, tuple[str, ...], tuple[int, ...]]]) -> list[bool]:
-    has_content = any("content" in kinds for _, _, kinds, _ in found)
-    unary = [int(SCALE * score(text, links, kinds, has_content)) for text, links, kinds, _ in found]
-    return min_cut(unary, ties([path for *_, path in found]))
+def label_blocks(found: list[Block]) -> list[bool]:
+    marked = any(b.marks & IN_CONTENT and not b.marks & BESIDE for b in found)
+    labels = min_cut([int(SCALE * score(b, marked)) for b in found], ties(found))
+    if not any(labels):
+        labels = [not b.marks & (BESIDE | HEADER) and b.link_chars < len(b.text) for b in found]
+    return labels
 
 
 def main_text(html: str | None) -> str:
     """Content blocks of a page, joined by newlines."""
     found = blocks(html or "")
-    return "\n".join(text for (text, *_), keep in zip(found, label_blocks(found), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(found, label_blocks(found), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html") -> tuple[DataFrame, str]:

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -79,6 +80,39 @@ def test_very_long_and_deep_pages():
     assert H.main_text(plain).startswith(PARAGRAPH)
 
 
+ITEM = "A point of the list."
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><h1>Title</h1><p>Hi.</p></body>", "Title\nHi."),
+    (f"<title>T</title><h1>Title</h1><p>{PARAGRAPH}</p><h2>Points</h2><ul><li>one<li>two</ul>", f"Title\n{PARAGRAPH}\nPoints\none\ntwo"),
+    (f"<body><div class='site-header'><a>Home</a></div><div id=main-nav><a>A</a> <a>B</a></div><div><h1>Title</h1><p>{PARAGRAPH}</p><blockquote>So.</blockquote></div>"
+     f"<div class=sidebar-left><p>{PARAGRAPH}</p></div><div id=post-comments><p>{PARAGRAPH}</p></div><div class='footer-links'><p>Imprint</p></div></body>", f"Title\n{PARAGRAPH}\nSo."),
+    (f"<table><tr><td class=menu><a>One</a><td><h3>Head</h3>{PARAGRAPH}<p>{ITEM}</table>", f"Head\n{PARAGRAPH}\n{ITEM}"),
+    ("<ul><li><a>One</a><li><a>Two</a></ul>", ""), ("<div class=menu>One</div>", ""),
+    ("<ul><li><a>One</a><li><a>Two</a> and more</ul>", "Two and more"),
+    (f"<div role=banner>x</div><p>{ITEM}<p>{ITEM}", f"{ITEM}\n{ITEM}"),
+])
+def test_pages_without_a_marked_main_part(page, want):
+    assert H.main_text(page) == want
+
+
+@pytest.mark.parametrize("attribute", ["class='tags-explained'", "class='legal-note'", "id='related-work'", "class='lead no-comments-yet'", "id=search-trees"])
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_names_that_only_hold_such_a_word(attribute, shell):
+    page = f"<p>{PARAGRAPH}</p><section {attribute}><h2 id=comments>Comments</h2><p>{PARAGRAPH}</p></section><p {attribute}>{ITEM}</p>"
+    assert H.main_text(shell.format(page)) == f"{PARAGRAPH}\nComments\n{PARAGRAPH}\n{ITEM}"
+
+
+@pytest.mark.parametrize("page, lines", [
+    ("<div>" * 100_000 + "x" + "</div>" * 100_000, 1), ("<div>a" * 100_000, 100_000), ("<article>" + "<div>" * 50_000 + "</section>" * 50_000 + "z", 1),
+    ("<section><article>" + "<div>" * 50_000 + "</section>" * 50_000 + "z", 1), ("<p>a<ul><li>b" * 30_000, 60_000), ("<table>" + "<div><ul>" * 50_000 + "</li>" * 50_000, 0)])
+def test_time_grows_with_the_tags_and_not_with_their_depth(page, lines):
+    start = time.process_time()
+    assert len(H.main_text(page).splitlines()) == lines
+    assert time.process_time() - start < 20  # about 3 s; a scan of the open elements per tag takes hours
+
+
 def test_extra_columns_and_the_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "c"), (1, "u", "<article>x</article>", "c"), (None, None, None, None)], "page_id long, url string, html string, main_text string")
     out, name = H.extract(df)
