@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates, with built-in functions only.
 
 Detected entities (mail and IP addresses, telephone, card, social security and
-bank account numbers, access keys and passwords, names after a form of address)
+bank account numbers, access keys, tokens and passwords, names after a form of
+address)
 are replaced by surrogates of the same type and format: letters become letters
 of the same case and script, digits digits, hexadecimal stays hexadecimal; a
 card number keeps its issuer digit and its checksum's state, a telephone number
@@ -59,17 +60,25 @@ ENDINGS = {"latin": ["man", "berg", "son", "ton", "ard", "ini", "eau", "ez"], "c
 _WORD = r"(?<![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}_])(?<![0-9][._%+-])"
 EDGES = {"email": r"(?<![\p{L}\p{N}._%+-])", "secret": _WORD, "cloud_key": _WORD, "name": _WORD, "ip": r"(?<![\p{L}\p{N}_])(?<![0-9]\.)",
-         "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER, "iban": _WORD}
-_HONORIFIC = "(?:" + "|".join(w for g in ADDRESS.values() for w in g) + r")\.?"
+         "ipv6": r"(?<![\p{L}\p{N}_:.])", "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER, "iban": _WORD}
+# in capitals only with a full stop: MS Office is no person
+_HONORIFIC = "(?:(?:" + "|".join(w for g in ADDRESS.values() for w in g) + r")\.?|(?:MR|MRS|MS|DR|PROF|SR|SRA)\.)"
+# a hyphen or an apostrophe inside, but not that of a possessive
+_NAME = r"\p{Lu}(?:\p{L}++|['’-](?!s(?!\p{L}))(?=\p{L}))++"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+_TOKEN = "AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|eyJ"
 PATTERNS = {
     # a host name has at most 127 labels; an unbounded group would recurse once a label
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,125}\.\p{L}{2,}",
     "secret": r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,}""",
-    "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "name": _HONORIFIC + r" \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
+    "cloud_key": (r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,255}+(?![A-Za-z0-9])|sk_(?:live|test)_[A-Za-z0-9]{16,255}+(?![A-Za-z0-9])"
+                  r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    "name": f"{_HONORIFIC} {_NAME}(?: {_NAME}){{0,2}}",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": (r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    "ipv6": f"(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[A-Fa-f]{{0,3}}[0-9])(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}})" + r"(?![\p{L}\p{N}:])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9])",
+    "phone": (r"\+[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,8}){1,3}(?![0-9])|0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+              r"|\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
               r"|(?:1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{5})(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -95,6 +104,10 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _capitals(x: Column) -> Column:
+    return (x == F.upper(x)) & (x != F.lower(x))
+
+
 def parts_of(entity: Column, kind: Column) -> Column:
     """The parts of an entity in order: structs (kind, unit, raw). Parts with
     kind null stay; the others are replaced by their unit's surrogate."""
@@ -104,15 +117,15 @@ def parts_of(entity: Column, kind: Column) -> Column:
     none = F.lit(None).cast("string")
     head = F.regexp_extract(entity, f"^({_HONORIFIC} )", 1)
     words = F.split(F.substring(entity, F.length(head) + 1, F.length(entity)), " ")
-    title = F.regexp_replace(head, "[. ]", "")
-    gender = reduce(lambda rest, g: F.when(title.isin(ADDRESS[g]), g).otherwise(rest), ADDRESS, F.lit("n"))
+    title = F.lower(F.regexp_replace(head, "[. ]", ""))
+    gender = reduce(lambda rest, g: F.when(title.isin([w.lower() for w in ADDRESS[g]]), g).otherwise(rest), ADDRESS, F.lit("n"))
     named = F.concat(F.array(part(none, none, head)), F.flatten(F.transform(words, lambda w, i: F.array(
         part(none, none, F.when(i > 0, " ").otherwise("")),
-        part(F.when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), w, w)))))
+        part(F.when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), F.when(_capitals(w), F.initcap(w)).otherwise(w), w)))))
     lead = F.regexp_extract(entity, r"""^(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?""", 0)
     value = F.substring(entity, F.length(lead) + 1, F.length(entity))
     secret = F.array(part(none, none, lead), part(F.lit("secret"), value, value))
-    unit = (F.when(kind.isin("phone", "card", "ssn"), _digits(entity)).when(kind == "email", F.lower(entity))
+    unit = (F.when(kind.isin("phone", "card", "ssn"), _digits(entity)).when(kind.isin("email", "ipv6"), F.lower(entity))
             .when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity))
     return F.when(kind == "name", named).when(kind == "secret", secret).otherwise(F.array(part(kind, unit, entity)))
 
@@ -128,7 +141,7 @@ def _pick(values: Column, n: Column, number: Column) -> Column:
 def _shaped(unit: Column, stream: Column, keep: Column) -> Column:
     """``unit`` with every letter and digit after the first ``keep`` characters
     redrawn within its class; hexadecimal values draw their letters from a-f."""
-    is_hex = unit.rlike("^[0-9a-f]+$") & unit.rlike("[0-9]")
+    is_hex = unit.rlike("^[0-9a-f:]+$") & unit.rlike("[0-9]")
 
     def char(c: Column, i: Column) -> Column:
         out = c
@@ -182,7 +195,7 @@ def _drawn(kind: Column, unit: Column, stream: Column, attempt: int) -> Column:
                                   _pick(ends, F.lit(len(ENDINGS[s])), _byte(stream, F.lit(30)))))
         surname = F.when(script == s, made).otherwise(surname)
     return (F.when(kind == "card", F.concat(body, last)).when(kind == "ip", ip).when(kind == "email", mail).when(kind.startswith("given_"), F.concat(given, more)).when(kind == "surname", surname)
-            .otherwise(_shaped(unit, stream, F.when(kind == "cloud_key", 4).when(kind == "iban", 2).otherwise(F.col("kept")))))
+            .otherwise(_shaped(unit, stream, F.when(kind == "iban", 2).otherwise(F.col("kept")))))
 
 
 def assign(units: DataFrame, key: str = KEY) -> DataFrame:
@@ -215,7 +228,7 @@ def _rendered(raw: Column, kind: Column, new: Column) -> Column:
     filled = F.aggregate(F.split(raw, ""), start, lambda a, c: F.struct(
         F.concat(a["s"], F.when(F.regexp_like(c, pattern), F.substring(new, a["i"], F.lit(1))).otherwise(c)).alias("s"),
         (a["i"] + F.when(F.regexp_like(c, pattern), 1).otherwise(0)).alias("i")), lambda a: a["s"])
-    upper = (kind == "email") & (raw == F.upper(raw)) & (raw != F.lower(raw))
+    upper = ((kind == "email") | (kind == "surname") | kind.startswith("given_")) & _capitals(raw)
     whole = F.length(F.regexp_replace(raw, F.when(kind == "iban", "[^A-Z0-9]").otherwise("[^0-9]"), F.lit(""))) == F.length(new)
     return F.when(kind.isin("phone", "card", "ssn", "iban") & whole, filled).when(upper, F.upper(new)).otherwise(new)
 
@@ -230,10 +243,12 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
     split = found.withColumn("kind", kind_of(F.col("entity"))).select("h", "at", F.posexplode(parts_of(F.col("entity"), F.col("kind"))).alias("nth", "part"))
     # equal texts are one text here
     parts = cut(split.select("h", "at", "nth", "part.*").dropDuplicates(["h", "at", "nth"]))
-    # the country code, or the 1 that stands for it
-    country = F.length(_digits(F.regexp_extract("raw", r"^(?:\+[0-9]{1,3}|1)(?=[ .(-])", 0)))
+    # the country code, or the 1 that stands for it, and a trunk 0
+    country = F.length(_digits(F.regexp_extract("raw", r"^(?:\+[0-9]{1,3}[ .-]?\(0\)|(?:\+[0-9]{1,3}|1)(?=[ .(-])|0)", 0)))
     units = parts.where("kind is not null").groupBy("kind", "unit").agg(F.min(F.when((F.col("kind") == "phone") & F.startswith("raw", F.lit("+")), F.greatest(country, F.lit(1)))
-                                                                             .when(F.col("kind") == "phone", country).otherwise(F.lit(0))).alias("kept"))
+                                                                             .when(F.col("kind") == "phone", country)
+                                                                             .when(F.col("kind") == "cloud_key", F.length(F.regexp_extract("unit", f"^(?:{_TOKEN})", 0)))
+                                                                             .otherwise(F.lit(0))).alias("kept"))
     known = assign(units, key)
     rendered = (parts.join(known, ["kind", "unit"], "left")
                 .withColumn("out", F.when(F.col("kind").isNull(), F.col("raw")).otherwise(_rendered(F.col("raw"), F.col("kind"), F.col("surrogate")))))

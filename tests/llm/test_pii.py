@@ -34,9 +34,25 @@ KINDS = [
 ]
 
 
+TOKENS = [
+    ("+49 (0)89 123456", r"\+49 \(0\)\d\d \d{6}"), ("020 7946 0958", r"0\d\d \d{4} \d{4}"), ("123 45 6789", r"\d{3} \d\d \d{4}"),
+    ("2001:db8:0:1:1:1:1:1", r"[0-9a-f]{4}:\d?[a-z0-9]{3}:(\d:){5}\d"), ("fe80::1ff:fe23:4567:890a", r"[a-f]{2}\d\d::\d[a-f]{2}:[a-f]{2}\d\d:\d{4}:\d{3}[a-f]"),
+    ("ghp_" + "a1B2" * 9, r"ghp_([a-z]\d[A-Z]\d){9}"), ("sk_live_" + "a1B2" * 6, r"sk_live_([a-z]\d[A-Z]\d){6}"),
+    ("eyJhbGciOiJ.eyJzdWIiOiJ.SflKxwRJSM", r"eyJ[A-Za-z]{8}\.[A-Za-z]{11}\.[A-Za-z]{10}"), ("MR. JOHN SMITH", r"MR\. [A-Z]+ [A-Z]+"), ("Frau Müller-Lüdenscheidt", r"Frau [A-Z][a-z]+"),
+]
+
+
+def test_possessives_and_capitals_are_one_name(spark):
+    (text, n), (other, m) = run(spark, ["Mr. Smith left. Mr. Smith's car and MR. SMITH’s dog met Ms. O'Neil.", "Mr. John Smith's, Dr. Smith"])
+    a, b, c, d = re.match(r"Mr\. (\w+) left\. Mr\. (\w+)'s car and MR\. (\w+)’s dog met Ms\. ([A-Z]\w+)\.$", text).groups()
+    assert n == 4 and a == b == c.title() and c.isupper() and "Smith" not in text and d != a
+    assert m == 2 and re.fullmatch(rf"Mr\. [A-Z]\w+ {a}'s, Dr\. {a}", other)
+
+
 def test_each_kind_keeps_its_format(spark):
-    out = run(spark, [f"before {entity} after." for entity, _ in KINDS])
-    for (entity, shape), (text, n) in zip(KINDS, out, strict=True):
+    kinds = KINDS + TOKENS
+    out = run(spark, [f"before {entity} after." for entity, _ in kinds])
+    for (entity, shape), (text, n) in zip(kinds, out, strict=True):
         assert n == 1 and text.startswith("before ") and text.endswith(" after."), entity
         new = text[7:-7]
         assert new != entity and re.fullmatch(shape, new), (entity, new)
@@ -101,7 +117,8 @@ def test_parts_of_longer_numbers_stay(spark):
 
 
 CLEAN = ["", "   ", "Version 2.0 of 3.14.1 costs 1,000,000 in 2024-01-31 10:20:30.", "a@b and @c, x@y. +1 or 12-34", "M. le Dr. said. Mr. and Mrs.",
-         "the token is free; password must be set", "1234567 12345678901 999.999.999.999 1.2.3", "Iéro ñ ção 漢字 THTHES!! REWH!!"]
+         "the token is free; password must be set", "1234567 12345678901 999.999.999.999 1.2.3", "Iéro ñ ção 漢字 THTHES!! REWH!!",
+         "std::vector, add::bad, 10:20:30, 00:1a:2b:3c:4d:5e and MS Office or DR Congo", "ghp_short sk_live_short eyJ.a.b 0123 456 12"]
 
 
 def test_clean_texts_stay(spark):
@@ -143,7 +160,7 @@ def test_main_path_is_native(spark, sf):
 
 
 CHAINS = ["x@" + "a." * 400_000 + "1", "a" * 800_000 + "@b", "a.b@c" + "-d.e" * 200_000 + "!", "password=" + "q" * 30_000, "Mr. " + "Smith " * 100_000, "Mr. " + "X'" * 300_000,
-          "+1" + " 22" * 200_000, "1" * 800_000, "1 " * 300_000, "10." * 250_000, "AKIA" * 200_000, "DE89" + " ABCD" * 200_000, "4111 " * 150_000, "token" + " = " * 200_000]
+          "+1" + " 22" * 200_000, "1" * 800_000, "1 " * 300_000, "10." * 250_000, "AKIA" * 200_000, "DE89" + " ABCD" * 200_000, "4111 " * 150_000, "token" + " = " * 200_000, "ghp_" + "a" * 500_000, "eyJ" + "abcdefgh." * 100_000, "1:" * 300_000, "Mr. X" + "-y" * 300_000, "MR. " * 100_000, "012 " * 200_000]
 
 
 def test_very_long_chains_of_each_kind(spark):
