@@ -55,12 +55,11 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ["man", "berg", "son", "ton", "ard", "ini", "eau", "ez"], "cyrillic": ["ов", "ин", "ский", "ко"]}
 
-# What an entity may not follow, by kind. Numbers: neither a word's inside nor
+# What no entity may follow, and what else one may not follow, by kind. Numbers:
 # the inside of a longer number; addresses may end a range (10.0.0.1-10.0.0.9).
 _WORD = r"(?<![\p{L}\p{N}])"
-_NUMBER = r"(?<![\p{L}\p{N}_])(?<![0-9][._%+-])"
-EDGES = {"email": r"(?<![\p{L}\p{N}._%+-])", "secret": _WORD, "cloud_key": _WORD, "name": _WORD, "ip": r"(?<![\p{L}\p{N}_])(?<![0-9]\.)",
-         "ipv6": r"(?<![\p{L}\p{N}_:.])", "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER, "iban": _WORD}
+_NUMBER = r"(?<!_)(?<![0-9][._%+-])"
+EDGES = {"email": "(?<![._%+-])", "ip": r"(?<!_)(?<![0-9]\.)", "ipv6": "(?<![_:.])", "ssn": _NUMBER, "phone": _NUMBER, "card": _NUMBER}
 # in capitals only with a full stop: MS Office is no person
 _HONORIFIC = "(?:(?:" + "|".join(w for g in ADDRESS.values() for w in g) + r")\.?|(?:MR|MRS|MS|DR|PROF|SR|SRA)\.)"
 # a hyphen or an apostrophe inside, but not that of a possessive
@@ -83,8 +82,19 @@ PATTERNS = {
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{5})(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: What is tried at a place, in this order.
-ENTITY = "(?:" + "|".join(f"{EDGES[k]}(?:{p})" for k, p in PATTERNS.items()).replace(r"([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>") + ")"
+# The first characters of a kind; a mail address begins with almost any.
+STARTS = {"secret": "[AaPpSsTt]", "cloud_key": "[Aegs]", "name": "[" + "".join(sorted({w[0] for g in ADDRESS.values() for w in g})) + "]", "ip": "[0-9]", "ipv6": "[0-9A-Fa-f]",
+          "ssn": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]", "iban": "[A-Z]"}
+
+
+def _tried(kind: str) -> str:
+    guard = f"(?={STARTS[kind]})" if kind in STARTS else ""
+    return f"{guard}{EDGES.get(kind, '')}(?:{PATTERNS[kind]})"
+
+
+#: What is tried at a place, in this order. Most places are inside a word: they
+#: are left after one look back, and a kind is tried only at its first characters.
+ENTITY = f"{_WORD}(?:" + "|".join(map(_tried, PATTERNS)).replace(r"([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>") + ")"
 
 _LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _CLASSES = [
