@@ -341,16 +341,33 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmaps_of(texts: DataFrame) -> DataFrame:
     """sig, size and the words of the bitmap of every set (sig, text)."""
-    return texts.select("sig", "text").mapInArrow(_bitmaps, "sig long, size long, " + ", ".join(f"{w} long" for w in WORDS_OF_BITMAP))
+    found = texts.select("sig", "text").mapInArrow(_bitmaps, "sig long, size long, " + ", ".join(f"{w} long" for w in WORDS_OF_BITMAP))
+    return _never_null(found, "size", *WORDS_OF_BITMAP)
 
 
-def _least_overlap(x: str, y: str) -> Column:
-    return F.ceil(THRESHOLD * (F.col(f"{x}.size") + F.col(f"{y}.size")) / F.lit(100 + THRESHOLD))
+def _never_null(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` whose columns ``names``, which hold no null, are known to hold none."""
+    return df.withColumns({c: F.coalesce(c, F.lit(False) if kind == "boolean" else F.lit(0)) for c, kind in df.dtypes if c in names})
+
+
+def _number(name: str) -> Column:
+    """A size, place or count as a double, which holds it exactly. Sums of whole
+    numbers are checked for overflow, and columns for null; where a join's
+    condition has dozens of them, the JIT compiler takes some 460 MB of the
+    executor for that one method and then gives it up."""
+    return F.col(name).cast("double")
 
 
 def _differ(x: str, y: str) -> Column:
-    """Places in which two bitmaps differ."""
-    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WORDS_OF_BITMAP))
+    """Places in which two bitmaps differ, as a double."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))).cast("double") for w in WORDS_OF_BITMAP))
+
+
+def _close(differ: Column, x: str, y: str) -> Column:
+    """Whether bitmaps that differ in so many places leave sets of these sizes
+    enough overlap. (Half of what sizes and difference leave is the most that
+    is shared; a difference is odd or even as the sum of the sizes is.)"""
+    return (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (_number(f"{x}.size") + _number(f"{y}.size"))
 
 
 def by_bitmap(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -358,7 +375,7 @@ def by_bitmap(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     x, y = bitmaps.alias("x"), bitmaps.alias("y")
     differ = _differ("x", "y")
     return (pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig"))
-            .where(differ <= F.col("x.size") + F.col("y.size") - 2 * _least_overlap("x", "y")).select("a", "b", differ.alias("differ")))
+            .where(_close(differ, "x", "y")).select("a", "b", differ.cast("int").alias("differ")))
 
 
 def across_long_lists(entries: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -369,16 +386,18 @@ def across_long_lists(entries: DataFrame, labels: DataFrame, bitmaps: DataFrame)
     listed = entries.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     main = (listed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
             .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "main"))
-    listed = cut(listed.join(main, "shingle").withColumn("minor", F.col("component") != F.col("main")).drop("main").join(bitmaps.drop("size"), "sig"))
+    listed = listed.join(main, "shingle").withColumn("minor", F.col("component") != F.col("main")).drop("main").join(bitmaps.drop("size"), "sig")
+    listed = cut(_never_null(listed, "minor", "size", "position"))
     x, y = listed.where("minor").alias("x"), listed.alias("y")
-    least = _least_overlap("x", "y")
+    size_x, size_y = _number("x.size"), _number("y.size")
+    needed = THRESHOLD * (size_x + size_y)  # the least overlap, times 100 + THRESHOLD
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
                    & (~F.col("y.minor") | (F.col("x.sig") < F.col("y.sig")))
-                   & (100 * F.least("x.size", "y.size") >= THRESHOLD * F.greatest("x.size", "y.size"))
-                   & (F.col("x.position") <= F.col("x.size") - least) & (F.col("y.position") <= F.col("y.size") - least)
-                   & (_differ("x", "y") <= F.col("x.size") + F.col("y.size") - 2 * least))
-    one, two = F.struct("x.size", "x.sig"), F.struct("y.size", "y.sig")
-    return pairs.select(F.least(one, two)["sig"].alias("a"), F.greatest(one, two)["sig"].alias("b"))
+                   & (100 * size_x >= THRESHOLD * size_y) & (100 * size_y >= THRESHOLD * size_x)
+                   & (needed <= (100 + THRESHOLD) * (size_x - _number("x.position"))) & (needed <= (100 + THRESHOLD) * (size_y - _number("y.position")))
+                   & _close(_differ("x", "y"), "x", "y"))
+    ordered = (size_x < size_y) | ((size_x == size_y) & (F.col("x.sig") < F.col("y.sig")))
+    return pairs.select(F.when(ordered, F.col("x.sig")).otherwise(F.col("y.sig")).alias("a"), F.when(ordered, F.col("y.sig")).otherwise(F.col("x.sig")).alias("b"))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

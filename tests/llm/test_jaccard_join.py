@@ -133,6 +133,61 @@ def test_bitmaps_never_differ_more_than_the_sets():
             assert differ <= len(word_set(texts[i]) ^ word_set(texts[j]))
 
 
+def generated_code(spark, df):
+    """The Java code that Spark makes of the plan of ``df``, with joins by sorting."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        stages = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+        return [stages.apply(i)._2() for i in range(stages.size())]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_bitmaps_are_compared_without_overflow_and_null_checks(spark):
+    # with them, the JIT compiler took hundreds of MB of an executor for one generated method
+    rng = random.Random(4)
+    texts = family(rng, 12, 10)
+    bitmaps = spark.createDataFrame(list(enumerate(texts)), "sig long, text string").transform(J.bitmaps_of).localCheckpoint()
+    rows = {r["sig"]: r for r in bitmaps.collect()}
+
+    def differ(a, b):
+        return sum(((rows[a][w] ^ rows[b][w]) & (1 << 64) - 1).bit_count() for w in J.WORDS_OF_BITMAP)
+
+    def least(a, b):
+        return -(-J.THRESHOLD * (rows[a]["size"] + rows[b]["size"]) // (100 + J.THRESHOLD))
+
+    def close(a, b):
+        return differ(a, b) <= rows[a]["size"] + rows[b]["size"] - 2 * least(a, b)
+
+    every = [(a, b) for a in rows for b in rows if a < b]
+    near = J.by_bitmap(spark.createDataFrame(every, "a long, b long"), bitmaps)
+    assert sorted(map(tuple, near.collect())) == sorted((a, b, differ(a, b)) for a, b in every if close(a, b))
+    assert dict(near.dtypes)["differ"] == "int"
+
+    entries = spark.createDataFrame([(7, d, rows[d]["size"], d % 3) for d in rows], "shingle long, sig long, size long, position long")
+    labels = spark.createDataFrame([(d, d % 4) for d in rows], "node long, component long")
+    listed = J.across_long_lists(entries, labels, bitmaps)
+    main = max(range(4))  # components of three each: the largest label
+
+    def met(a, b):
+        sizes = sorted((rows[a]["size"], rows[b]["size"]))
+        return (a % 4 != b % 4 and 100 * sizes[0] >= J.THRESHOLD * sizes[1] and close(a, b)
+                and all(d % 3 <= rows[d]["size"] - least(a, b) for d in (a, b)) and (a % 4 != main or b % 4 != main))
+
+    want = {frozenset(p) for p in every if met(*p)}
+    found = [tuple(r) for r in listed.collect()]
+    assert {frozenset(p) for p in found} == want and want
+    assert all((rows[a]["size"], a) < (rows[b]["size"], b) for a, b in found)
+    assert not any(bitmaps.schema[c].nullable for c in ("size", *J.WORDS_OF_BITMAP))  # nor with null checks
+    for df in (near, listed):
+        code = [c for c in generated_code(spark, df) if "bitCount" in c]
+        assert code and not any("Exact(" in c for c in code)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (9, 9)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
